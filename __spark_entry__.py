@@ -119,9 +119,9 @@ def _mvp(spark, folder):
     return mart.mvp_course_mart(_raw(spark, folder))
 
 
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+def _rounded(df: DataFrame, *columns: str, digits: int = 10) -> DataFrame:
     """Sums of doubles depend on their order in the last digits; ratios do not."""
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 # --- Editions as files --------------------------------------------------------------
@@ -313,7 +313,8 @@ def top_k_overlap(spark, folder):
 
 def preprocessor_statistics(spark, folder):
     train, _ = _split(spark, folder)
-    return _rounded(preparation.numeric_statistics(train), "median", "mean", "deviation")
+    statistics = _rounded(preparation.numeric_statistics(train), "median")
+    return _rounded(statistics, "mean", "deviation", digits=6)
 
 
 def category_levels(spark, folder):

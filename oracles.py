@@ -205,13 +205,13 @@ SELECT n.institution_id, n.course_id, n.teaching_modality, n.census_year AS refe
        h.low_years AS low_occupancy_years_to_date,
        {_ratio('h.low_years', 'h.usable_years')} AS low_occupancy_share_to_date,
        s.streak AS current_low_occupancy_streak,
-       round(h.mean_occ, 6) AS mean_occupancy_to_date, round(h.volatility, 6) AS demand_volatility_to_date,
+       round(h.mean_occ, 10) AS mean_occupancy_to_date, round(h.volatility, 10) AS demand_volatility_to_date,
        p1.seat_occupancy_rate AS occupancy_rate_lag1,
        n.seat_occupancy_rate - p1.seat_occupancy_rate AS occupancy_change_1y,
        {_ratio('n.enrollments', 'p1.enrollments')} - 1 AS enrollment_growth_1y,
        {_ratio('n.offered_seats', 'p1.offered_seats')} - 1 AS seat_growth_1y,
        {_ratio('n.enrollments', 'p2.enrollments')} - 1 AS enrollment_growth_2y,
-       i.institution_offer_count, round(i.institution_enrollment_hhi, 6) AS institution_enrollment_hhi
+       i.institution_offer_count, round(i.institution_enrollment_hhi, 10) AS institution_enrollment_hhi
 FROM panel AS n
 JOIN history AS h USING ({_OFFER}, census_year)
 JOIN streaks AS s USING ({_OFFER}, census_year)
@@ -290,7 +290,7 @@ PARTS["lag_summary"] = f"""
 SELECT census_year, teaching_modality, lag_years, count(*) AS eligible_offers,
        {_big('sum(graduates)', 'graduates')}, {_big('sum(lagged_entrants)', 'lagged_entrants')},
        {_ratio('sum(graduates)', 'sum(lagged_entrants)')} AS aggregate_completion_ratio,
-       round(quantile_cont(lagged_completion_ratio, 0.5), 6) AS median_offer_ratio,
+       round(quantile_cont(lagged_completion_ratio, 0.5), 10) AS median_offer_ratio,
        {_ratio('count(*) FILTER (exceeds_one)', 'count(*)')} AS exceeds_one_share
 FROM lagged WHERE is_eligible GROUP BY census_year, teaching_modality, lag_years
 """
@@ -358,13 +358,13 @@ FROM training WHERE split = 'teste'
 def _metrics(source: str, model: str, probability: bool) -> str:
     """AUC by mid-ranks of rows; average precision by running counts of rows."""
     brier = "avg(power(score - label, 2))" if probability else "CAST(NULL AS DOUBLE)"
-    brier = f"round({brier}, 6)"
+    brier = f"round({brier}, 10)"
     return f"""
     SELECT '{model}' AS model_name, split, count(*) AS row_count,
            CAST(sum(label) AS DOUBLE) / count(*) AS event_rate,
            round((sum(label * mid) - sum(label) * (sum(label) + 1) / 2.0)
-                 / (CAST(sum(label) AS DOUBLE) * (count(*) - sum(label))), 6) AS roc_auc,
-           round(sum(label * tp / CAST(flagged AS DOUBLE)) / sum(label), 6) AS average_precision,
+                 / (CAST(sum(label) AS DOUBLE) * (count(*) - sum(label))), 10) AS roc_auc,
+           round(sum(label * tp / CAST(flagged AS DOUBLE)) / sum(label), 10) AS average_precision,
            {brier} AS brier_score
     FROM (SELECT *, rank() OVER (PARTITION BY split ORDER BY score)
                     + (count(*) OVER (PARTITION BY split, score) - 1) / 2.0 AS mid,
@@ -399,7 +399,7 @@ def _statistic(name: str) -> str:
     middle = f"(SELECT quantile_cont(CAST({name} AS DOUBLE), 0.5) FROM train_rows)"
     filled = f"coalesce(CAST({name} AS DOUBLE), {middle})"
     return f"""SELECT '{_FULL_NAME.get(name, name)}' AS feature, count({name}) AS present,
-      round({middle}, 6) AS median, round(avg({filled}), 6) AS mean,
+      round({middle}, 10) AS median, round(avg({filled}), 6) AS mean,
       round(stddev_pop({filled}), 6) AS deviation FROM train_rows"""
 
 
@@ -503,7 +503,7 @@ def all_queries() -> dict[str, str]:
           ON i.census_year = s.census_year AND i.institution_id = s.institution_id"""
     sql["institution_portfolio"] = f"""
         SELECT census_year, institution_id, {_big('sum(e)', 'enrollments')}, count(*) AS course_count,
-               round(sum(power(e / NULLIF(CAST(total AS DOUBLE), 0), 2)), 6) AS enrollment_hhi
+               round(sum(power(e / NULLIF(CAST(total AS DOUBLE), 0), 2)), 10) AS enrollment_hhi
         FROM (SELECT census_year, institution_id, course_id, sum(enrollments) AS e,
                      sum(sum(enrollments)) OVER (PARTITION BY census_year, institution_id) AS total
               FROM supply GROUP BY census_year, institution_id, course_id)
@@ -512,14 +512,14 @@ def all_queries() -> dict[str, str]:
     # Panel
     sql["supply_panel"] = "SELECT * FROM panel"
     sql["course_persistence"] = """
-        SELECT * REPLACE (round(mean_occupancy_rate, 6) AS mean_occupancy_rate,
-                          round(occupancy_stddev, 6) AS occupancy_stddev,
-                          round(demand_volatility, 6) AS demand_volatility) FROM persistence"""
+        SELECT * REPLACE (round(mean_occupancy_rate, 10) AS mean_occupancy_rate,
+                          round(occupancy_stddev, 10) AS occupancy_stddev,
+                          round(demand_volatility, 10) AS demand_volatility) FROM persistence"""
     sql["long_panel_persistence"] = f"""
-        SELECT teaching_modality, count(*) AS offers, round(avg(low_occupancy_share), 6) AS mean_low_share,
+        SELECT teaching_modality, count(*) AS offers, round(avg(low_occupancy_share), 10) AS mean_low_share,
                {_ratio('count(*) FILTER (low_occupancy_share = 1)', 'count(*)')} AS always_idle_share,
                {_ratio('count(*) FILTER (current_low_occupancy_streak >= 2)', 'count(*)')} AS long_streak_share,
-               round(avg(demand_volatility), 6) AS mean_volatility
+               round(avg(demand_volatility), 10) AS mean_volatility
         FROM persistence WHERE measurable_years >= 5 AND NOT has_gaps GROUP BY teaching_modality"""
 
     # Risk
@@ -552,7 +552,7 @@ def all_queries() -> dict[str, str]:
         sql[name] = f"""
             SELECT count(*) AS surviving_institution_fields, count(*) FILTER (d > 0 AND p < 0) AS ead_up_presencial_down,
                    {_ratio('count(*) FILTER (d > 0 AND p < 0)', 'count(*)')} AS substitution_signal_share,
-                   round(corr(d, p), 6) AS seat_change_correlation
+                   round(corr(d, p), 10) AS seat_change_correlation
             FROM (SELECT b.ead_seats - a.ead_seats AS d, b.presencial_seats - a.presencial_seats AS p
                   FROM state AS a JOIN state AS b USING (institution_id, cine_label_code)
                   WHERE a.census_year = {FIRST} AND b.census_year = {end})"""
@@ -768,13 +768,13 @@ def all_queries() -> dict[str, str]:
     sql["scale_ablation"] = _metrics("sized", "apenas_escala", probability=False)
     sql["ranking_metrics"] = _metrics("scored", "size", probability=True)
     sql["precision_at_k"] = f"""
-        SELECT 'size' AS model_name, split, CAST(k AS INTEGER) AS k, round(avg(label), 6) AS precision
+        SELECT 'size' AS model_name, split, CAST(k AS INTEGER) AS k, round(avg(label), 10) AS precision
         FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, {_ROW}) AS place,
                      count(*) OVER (PARTITION BY split) AS n FROM scored)
         JOIN (VALUES (100), (500), (1000), (5000)) AS v(k) ON place <= k AND k <= n GROUP BY split, k"""
     sql["calibration_table"] = f"""
-        SELECT CAST(bin AS INTEGER) AS bin, count(*) AS row_count, round(avg(score), 6) AS mean_predicted,
-               round(avg(label), 6) AS observed_rate
+        SELECT CAST(bin AS INTEGER) AS bin, count(*) AS row_count, round(avg(score), 10) AS mean_predicted,
+               round(avg(label), 10) AS observed_rate
         FROM (SELECT r.score, r.label,
                      least((SELECT count(DISTINCT e.edge) FROM cuts AS e WHERE e.edge <= r.score) - 1,
                            (SELECT count(DISTINCT edge) FROM cuts) - 2) AS bin

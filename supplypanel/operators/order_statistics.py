@@ -8,22 +8,48 @@ each slice plus the total of the slices before it is the exact running sum.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 128
+MAX_SLICES = 1024
 
 
-def _cut_points(value: str, slices: int):
-    fractions = [i / slices for i in range(1, slices)]
-    return F.percentile_approx(value, fractions, slices * 20)
+def slice_count(histogram: DataFrame) -> int:
+    """As many slices as the session has shuffle partitions."""
+    partitions = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(2, min(partitions, MAX_SLICES))
+
+
+def _cut_points(value: str, slices: int) -> Column:
+    """Approximate quantiles, all of them and every ``step``-th."""
+    cuts = F.percentile_approx(value, [i / slices for i in range(1, slices)], slices * 20)
+    step = _step(slices)
+    coarse = F.filter(cuts, lambda _, i: i % step == step - 1)
+    return F.struct(cuts.alias("all"), coarse.alias("coarse"))
+
+
+def _step(slices: int) -> int:
+    return math.isqrt(slices - 1) + 1
+
+
+def _slice_of(value: str, slices: int) -> Column:
+    """How many cut points lie below a value, looked up in two steps.
+
+    Never null, so that a join on it adds no filter to one of its sides and
+    the sides keep sharing the histogram's shuffle.
+    """
+    step = _step(slices)
+    v = F.col(value)
+    passed = F.size(F.filter("_cuts.coarse", lambda cut: cut < v)) * step
+    rest = F.size(F.filter(F.slice("_cuts.all", passed + 1, F.lit(step)), lambda cut: cut < v))
+    return F.coalesce(passed + rest, F.lit(0))
 
 
 def running_totals(
-    histogram: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str],
-    slices: int = SLICES,
+    histogram: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str]
 ) -> DataFrame:
     """Adds ``before_<m>`` and ``total_<m>`` to a histogram.
 
@@ -31,15 +57,14 @@ def running_totals(
     the measure over the smaller values of the group.
     """
     groups = list(groups)
+    slices = slice_count(histogram)
     if groups:
         cuts = histogram.groupBy(*groups).agg(_cut_points(value, slices).alias("_cuts"))
         located = histogram.join(cuts, groups)
     else:
         cuts = histogram.agg(_cut_points(value, slices)).scalar()
         located = histogram.withColumn("_cuts", cuts)
-    located = located.withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda cut: cut < F.col(value)))
-    ).drop("_cuts")
+    located = located.withColumn("_slice", _slice_of(value, slices)).drop("_cuts")
 
     # One row per slice: at most `slices` for each group.
     per_slice = located.groupBy(*groups, "_slice").agg(
@@ -76,7 +101,7 @@ def running_totals(
 
 def quantiles_of_histogram(
     histogram: DataFrame, groups: Sequence[str], value: str, count: str,
-    fractions: Sequence[tuple[int, int]], slices: int = SLICES,
+    fractions: Sequence[tuple[int, int]],
 ) -> DataFrame:
     """Exact interpolated quantiles per group as an array in ``quantiles``.
 
@@ -84,7 +109,7 @@ def quantiles_of_histogram(
     ``numerator * (n - 1) / denominator`` is then integer arithmetic, and a
     quantile that falls on a value is that value, bit for bit.
     """
-    ranked = running_totals(histogram, groups, value, [count], slices)
+    ranked = running_totals(histogram, groups, value, [count])
     before, n, total = F.col(f"before_{count}"), F.col(count), F.col(f"total_{count}")
 
     def at(rank):

@@ -225,21 +225,27 @@ def dimension_profile(raw: DataFrame) -> DataFrame:
     def codes(column):  # small code domains, listed in order
         return F.array_join(F.array_sort(F.collect_set(column)), ",")
 
-    return (
-        _profiled(raw)
-        .groupBy(F.col("tp_dimensao").alias("dimension"))
-        .agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.count_if(located).alias("geography_complete_row_count"),
-            F.countDistinct("co_ies").alias("distinct_ies_count"),
-            F.countDistinct("co_curso").alias("distinct_course_count"),
-            codes("tp_modalidade_ensino").alias("modalities"),
-            codes("tp_nivel_academico").alias("academic_levels"),
-            *per_measure,
+    # Counted from their own distinct pairs: several distinct counts in one
+    # aggregation would multiply every row and carry all measures along.
+    def distinct(column, name):
+        return (
+            rows.select("tp_dimensao", column).distinct()
+            .groupBy(F.col("tp_dimensao").alias("dimension"))
+            .agg(F.count(column).alias(name))
         )
-        .withColumn("label", dimension_label("dimension"))
-        .orderBy("dimension")
+
+    rows = _profiled(raw)
+    counted = rows.groupBy(F.col("tp_dimensao").alias("dimension")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(located).alias("geography_complete_row_count"),
+        codes("tp_modalidade_ensino").alias("modalities"),
+        codes("tp_nivel_academico").alias("academic_levels"),
+        *per_measure,
     )
+    for column, name in (("co_ies", "distinct_ies_count"), ("co_curso", "distinct_course_count")):
+        other = distinct(column, name).withColumnRenamed("dimension", "_dimension")
+        counted = counted.join(other, F.col("dimension").eqNullSafe(F.col("_dimension"))).drop("_dimension")
+    return counted.withColumn("label", dimension_label("dimension")).orderBy("dimension")
 
 
 def edition_profile(raw: DataFrame) -> DataFrame:
