@@ -57,6 +57,14 @@ def missing_tables(layouts: DataFrame, kind: str) -> DataFrame:
     )
 
 
+def require_tables(layouts: DataFrame, kind: str) -> DataFrame:
+    """The same layouts, or an error naming the years without a table."""
+    missing = sorted(row.year for row in missing_tables(layouts, kind).collect())
+    if missing:
+        raise ValueError(f"years without a '{kind}' table: {missing}")
+    return layouts
+
+
 def common_columns(layouts: DataFrame, kind: str) -> DataFrame:
     """Columns of every year, ordered as in the newest one."""
     years = layouts.agg(F.countDistinct("year")).scalar()
