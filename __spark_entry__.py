@@ -37,8 +37,10 @@ BOOSTING_ITERATIONS = 20  # the library's default is 300
 # --- Inputs ---------------------------------------------------------------------
 
 
-def _name(folder: str, what: str) -> str:
-    return f"{what}_{md5(str(Path(folder).resolve()).encode()).hexdigest()[:10]}"
+def _name(spark: SparkSession, folder: str, what: str) -> str:
+    """A table name of this application for the tables of one folder."""
+    key = f"{spark.sparkContext.applicationId} {Path(folder).resolve()}"
+    return f"{what}_{md5(key.encode()).hexdigest()[:10]}"
 
 
 def _raw(spark, folder):
@@ -63,12 +65,27 @@ def _once(spark: SparkSession, table: str, build) -> DataFrame:
 
 
 def _snapshot(spark, folder):
-    table = _name(folder, "supply_snapshot")
-    return _once(spark, table, lambda: mart.supply_snapshot(_supply(spark, folder), table))
+    table, buckets = _name(spark, folder, "supply_snapshot"), spark.sparkContext.defaultParallelism
+    return _once(
+        spark, table,
+        lambda: mart.supply_snapshot(
+            mart.course_supply(_courses(spark, folder), buckets), table, buckets
+        ),
+    )
+
+
+def _context(spark, folder):
+    table = _name(spark, folder, "institution_context")
+    return _once(
+        spark, table,
+        lambda: tables.materialize(
+            risk.institution_context(_snapshot(spark, folder)), table, partition="census_year"
+        ),
+    )
 
 
 def _state(spark, folder):
-    table = _name(folder, "portfolio_snapshot")
+    table = _name(spark, folder, "portfolio_snapshot")
     return _once(
         spark, table,
         lambda: portfolio.portfolio_snapshot(
@@ -79,12 +96,13 @@ def _state(spark, folder):
 
 def _training_plan(spark, folder):
     return risk.training_set(
-        _snapshot(spark, folder), LAST, census.TRAIN_YEARS, census.TEST_YEARS
+        _snapshot(spark, folder), LAST, _context(spark, folder), census.TRAIN_YEARS,
+        census.TEST_YEARS,
     )
 
 
 def _training(spark, folder):
-    table = _name(folder, "training_set")
+    table = _name(spark, folder, "training_set")
     return _once(
         spark, table,
         lambda: tables.materialize(_training_plan(spark, folder), table, partition="reference_year"),
@@ -104,7 +122,7 @@ def _labels(spark, folder):
 
 
 def _features(spark, folder):
-    return risk.offer_features(_snapshot(spark, folder))
+    return risk.offer_features(_snapshot(spark, folder), _context(spark, folder))
 
 
 def _transitions(spark, folder):
@@ -127,14 +145,23 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 10) -> DataFrame:
 # --- Editions as files --------------------------------------------------------------
 
 
+def _edition_source(spark, folder, year):
+    """One edition's rows, from a raw table split by year in a single scan."""
+    table = _name(spark, folder, "raw_by_year")
+    raw = _once(
+        spark, table,
+        lambda: tables.materialize(_raw(spark, folder), table, partition="nu_ano_censo"),
+    )
+    return census.as_edition(raw.where(F.col("nu_ano_censo") == str(year)), year)
+
+
 def _edition(spark, folder, year):
     """One edition read back from its own CSV files, written on first use."""
-    base = tables.app_folder(spark, _name(folder, "editions"))
+    base = tables.app_folder(spark, _name(spark, folder, "editions"))
     path = f"{base}/MICRODADOS_CADASTRO_CURSOS_{year}"
-    marker = _name(folder, f"edition_{year}")
-    if marker not in _WRITTEN:
-        editions.write_edition(census.edition_courses(spark, folder, year), path)
-        _WRITTEN.add(marker)
+    if path not in _WRITTEN:
+        editions.write_edition(_edition_source(spark, folder, year), path)
+        _WRITTEN.add(path)
     return path, editions.read_edition(spark, path)
 
 
@@ -219,7 +246,7 @@ def control_match(spark, folder):
     """Edition files against fingerprints of the tables they were written from."""
     manifest, control = [], []
     for year in YEARS:
-        source = census.edition_courses(spark, folder, year)
+        source = _edition_source(spark, folder, year)
         source = source.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in source.columns])
         manifest.append(comparison.fingerprint(_edition(spark, folder, year)[1], f"cursos_{year}"))
         control.append(comparison.fingerprint(source, f"CURSOS_{year}"))
@@ -235,7 +262,7 @@ def control_match(spark, folder):
 def snapshot_fingerprint(spark, folder):
     """The snapshot reloaded a second time against the mart it came from."""
     supply = _supply(spark, folder)
-    table = _name(folder, "supply_reloaded")
+    table = _name(spark, folder, "supply_reloaded")
     mart.supply_snapshot(supply, table)
     again = mart.supply_snapshot(supply, table)
     columns = sorted(supply.columns)
@@ -248,7 +275,7 @@ def snapshot_fingerprint(spark, folder):
 def report_sink(spark, folder):
     """A report section written as JSON and read back."""
     section = reports.modality_series(_snapshot(spark, folder))
-    path = tables.app_folder(spark, _name(folder, "report_series"))
+    path = tables.app_folder(spark, _name(spark, folder, "report_series"))
     tables.write_report(section, path)
     return spark.read.schema(section.schema).json(path)
 

@@ -19,8 +19,11 @@ def typed(value: str | Column, data_type: str) -> Column:
 
 
 def lenient(value: str | Column, data_type: str) -> Column:
-    """Text that does not parse becomes null instead of failing."""
-    return F.trim(_col(value)).try_cast(data_type)
+    """Text that does not parse becomes null instead of failing.
+
+    Blanks are common and set to null first: a failed parse costs far more.
+    """
+    return F.nullif(F.trim(_col(value)), F.lit("")).try_cast(data_type)
 
 
 def safe_ratio(numerator: str | Column, denominator: str | Column) -> Column:

@@ -11,6 +11,24 @@ def set_difference(left: DataFrame, right: DataFrame, columns) -> DataFrame:
     return left.select(*columns).subtract(right.select(*columns))
 
 
+def difference_counts(left: DataFrame, right: DataFrame, columns) -> DataFrame:
+    """One row: how many distinct rows only the left, and only the right, has.
+
+    Both directions of ``set_difference`` in one aggregation, so that each
+    input is computed once.
+    """
+    both = (
+        left.select(*columns, F.lit(1).alias("_side"))
+        .unionByName(right.select(*columns, F.lit(2).alias("_side")))
+        .groupBy(*columns)
+        .agg(F.min("_side").alias("_first"), F.max("_side").alias("_last"))
+    )
+    return both.agg(
+        F.count_if(F.col("_last") == 1).alias("left_only"),
+        F.count_if(F.col("_first") == 2).alias("right_only"),
+    )
+
+
 def jaccard(left: DataFrame, right: DataFrame, columns) -> DataFrame:
     """One row: shared keys over all keys of two sets."""
     both = (

@@ -20,6 +20,8 @@ def reconcile(
     student_measures,
     capacity_count: str,
     student_count: str,
+    cluster=(),
+    partitions: int | None = None,
 ) -> DataFrame:
     """One row per key with capacity and student sums side by side.
 
@@ -32,7 +34,9 @@ def reconcile(
 
     The input is read once. Labels group first, so that both steps are hash
     aggregations with partial sums on the map side; the second step sees about
-    one row per key and family, however many rows one key has.
+    one row per key and family, however many rows one key has. With ``cluster``,
+    a part of the key, the second step is spread by those columns alone, and a
+    table bucketed by them can be written without another shuffle.
     """
     side = (
         F.when(together, F.lit(0))
@@ -50,6 +54,8 @@ def reconcile(
     )
     sums = [*capacity_measures, *student_measures, capacity_count, student_count]
     by_label = prepared.groupBy(*keys, "_side", *labels).agg(*[F.sum(c).alias(c) for c in sums])
+    if cluster:
+        by_label = by_label.repartition(partitions, *cluster)
     return (
         by_label.groupBy(*keys, "_side")
         .agg(*[F.max(c).alias(c) for c in labels], *[F.sum(c).alias(c) for c in sums])

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplypanel.operators.comparison import set_difference
+from supplypanel.operators.comparison import difference_counts, set_difference
 from supplypanel.operators.reconcile import duplicate_keys
 from supplypanel.plans.mart import KEYS, OFFER
 from supplypanel.plans.panel import is_low, is_measurable
@@ -26,9 +26,16 @@ def _together(parts) -> DataFrame:
 
 def _counted(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Rows meeting each condition, all in one aggregation."""
-    counts = df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+    return _listed(df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()]))
+
+
+def _listed(counts: DataFrame) -> DataFrame:
+    """A row of counts as one row per count."""
     rows = F.array(
-        *[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("violations")) for n in conditions]
+        *[
+            F.struct(F.lit(n).alias("check_name"), F.col(n).alias("violations"))
+            for n in counts.columns
+        ]
     )
     return counts.select(F.inline(rows)).select(
         "check_name", F.lit(None).cast("int").alias("census_year"), "violations"
@@ -151,8 +158,11 @@ def persistence_checks(
     c = F.col
     return _together(
         [
-            _rows(set_difference(supply, snapshot, KEYS), "snapshot_drift_count"),
-            _rows(set_difference(snapshot, supply, KEYS), "snapshot_surplus_count"),
+            _listed(
+                difference_counts(supply, snapshot, KEYS).toDF(
+                    "snapshot_drift_count", "snapshot_surplus_count"
+                )
+            ),
             _rows(
                 set_difference(snapshot.where(c("census_year") == last), edition_supply, measured),
                 "regression_against_edition_count",

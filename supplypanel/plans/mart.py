@@ -20,12 +20,13 @@ CAPACITY = ["course_count", "offered_seats", "applications"]
 STUDENTS = ["entrants", "enrollments", "graduates"]
 
 
-def course_supply(courses: DataFrame) -> DataFrame:
+def course_supply(courses: DataFrame, buckets: int | None = None) -> DataFrame:
     """Undergraduate supply per offer and year, without double counting.
 
     On-site rows carry everything; distance capacity is national and distance
     students are counted by municipality; supply abroad is never read. Works
-    on the series and on a single edition, whose labels are fewer.
+    on the series and on a single edition, whose labels are fewer. ``buckets``
+    lays the result out by offer for a snapshot of as many buckets.
     """
     dimension = F.col("dimension_type")
     labels = [c for c in LABELS if c in courses.columns]
@@ -40,6 +41,8 @@ def course_supply(courses: DataFrame) -> DataFrame:
         student_measures=STUDENTS,
         capacity_count="capacity_source_row_count",
         student_count="student_source_row_count",
+        cluster=OFFER if buckets else (),
+        partitions=buckets,
     )
     names = [c for c in labels if c in LABELS[:3]]
     rest = [c for c in labels if c not in names]
@@ -82,7 +85,10 @@ def institution_portfolio(supply: DataFrame) -> DataFrame:
 
 
 def supply_snapshot(supply: DataFrame, table: str, buckets: int | None = None) -> DataFrame:
-    """The mart as a table: pruned by year, bucketed by offer."""
+    """The mart as a table: pruned by year, bucketed by offer.
+
+    A mart laid out with the same number of buckets is not shuffled again.
+    """
     return materialize(supply, table, partition="census_year", cluster=OFFER, buckets=buckets)
 
 

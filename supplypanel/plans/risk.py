@@ -73,7 +73,7 @@ def institution_context(snapshot: DataFrame) -> DataFrame:
     )
 
 
-def _add_features(panel: DataFrame, snapshot: DataFrame) -> DataFrame:
+def _add_features(panel: DataFrame, context: DataFrame) -> DataFrame:
     year = "census_year"
     upto = to_date(OFFER, year)
     occupancy = safe_ratio("entrants", "offered_seats")
@@ -107,7 +107,6 @@ def _add_features(panel: DataFrame, snapshot: DataFrame) -> DataFrame:
     acceptable = F.col("has_measurable_occupancy") & ~F.col("_low")
     last_acceptable = F.max(F.when(acceptable, F.col("measurable_years_to_date"))).over(upto)
     ranked = framed.withColumn("_last_acceptable", last_acceptable)
-    context = institution_context(snapshot)
     return ranked.join(context, ["institution_id", "census_year"], "left").withColumns(
         {
             "applications_per_seat": safe_ratio("applications", "offered_seats"),
@@ -126,13 +125,18 @@ def _add_features(panel: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
 
 
-def offer_features(snapshot: DataFrame) -> DataFrame:
+def offer_features(snapshot: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Features of an offer in a reference year from that year and earlier ones.
 
+    ``context`` is ``institution_context`` of the same snapshot. Handed in as a
+    written table its size is known, so Spark broadcasts it when it is small
+    and the feature rows are not shuffled for two columns.
+
     Lags are exact years read from RANGE frames over the same sorted
     partition as the cumulative features, in place of self-joins.
     """
-    return _add_features(snapshot, snapshot).select(
+    context = institution_context(snapshot) if context is None else context
+    return _add_features(snapshot, context).select(
         *OFFER, F.col("census_year").alias("reference_year"), *FEATURES
     )
 
@@ -140,6 +144,7 @@ def offer_features(snapshot: DataFrame) -> DataFrame:
 def training_set(
     snapshot: DataFrame,
     last_year: int = 2024,
+    context: DataFrame | None = None,
     train_years: tuple[int, int] = (2016, 2020),
     test_years: tuple[int, int] = (2021, 2022),
     horizon: int = 2,
@@ -151,7 +156,8 @@ def training_set(
     side in one pass over each offer's series and never joined.
     """
     reference = F.col("census_year")
-    both = _add_features(_add_labels(snapshot, last_year, horizon), snapshot)
+    context = institution_context(snapshot) if context is None else context
+    both = _add_features(_add_labels(snapshot, last_year, horizon), context)
     split = F.when(reference.between(*train_years), TRAIN).when(reference.between(*test_years), TEST)
     return both.where(
         all_present(OFFER)

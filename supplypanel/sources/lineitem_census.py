@@ -113,13 +113,13 @@ def raw_institutions(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(*[value.cast("string").alias(name) for name, value in text.items()])
 
 
-def edition_courses(spark: SparkSession, folder: str, year: int) -> DataFrame:
-    """One edition with the layout of its own year.
+def as_edition(rows: DataFrame, year: int) -> DataFrame:
+    """The rows of one year in that year's own layout.
 
     The field code is misspelt in one year, one column exists in a single
     year, and names are upper case as in the published headers.
     """
-    rows = raw_courses(spark, folder).where(F.col("nu_ano_censo") == str(year))
+    rows = rows.select(*RAW_COURSE_COLUMNS)
     if year == ZERO_CONVENTION_YEAR:
         rows = rows.withColumnRenamed("co_cine_rotulo", "co_cine_rotulo2")
     if year == FIRST_YEAR + 1:
