@@ -55,7 +55,7 @@ def numeric_statistics(rows: DataFrame) -> DataFrame:
     value has no row and is left out of the model.
     """
     values = _long(rows, NUMERIC, "value")
-    medians = grouped_median(values, ["feature"], "value", "median")
+    medians = grouped_median(values, ["feature"], "value", "median", few_groups=True)
     total = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
     present = values.groupBy("feature").agg(
         F.count(F.lit(1)).alias("present"), F.avg("value").alias("_avg"), F.var_pop("value").alias("_var")
@@ -139,18 +139,13 @@ def fit_preparation(rows: DataFrame) -> Preparation:
     least one row in a hundred."""
     found = {r.feature: (r.median, r.mean, r.deviation) for r in numeric_statistics(rows).collect()}
     numeric = {name: found[name] for name in NUMERIC if name in found}
-    counts = category_counts(rows)
-    kept = counts.where(~F.col("is_rare") | F.col("is_mode")).collect()
-    rare = {r.feature for r in counts.where("is_rare").select("feature").distinct().collect()}
-    categorical = {}
-    for name in CATEGORICAL:
-        levels = [r for r in kept if r.feature == name]
-        if levels:
-            categorical[name] = Category(
-                mode=next(r.level for r in levels if r.is_mode),
-                frequent=sorted(r.level for r in levels if not r.is_rare),
-                has_rare=name in rare,
-            )
+    summarized = category_counts(rows).groupBy("feature").agg(
+        F.max(F.when(F.col("is_mode"), F.col("level"))).alias("mode"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_rare"), F.col("level")))).alias("frequent"),
+        F.bool_or("is_rare").alias("has_rare"),
+    )
+    learnt = {r.feature: Category(r.mode, r.frequent, r.has_rare) for r in summarized.collect()}
+    categorical = {name: learnt[name] for name in CATEGORICAL if name in learnt}
     names = [f"numeric__{name}" for name in numeric]
     for name, category in categorical.items():
         names += [

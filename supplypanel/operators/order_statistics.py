@@ -49,18 +49,23 @@ def _slice_of(value: str, slices: int) -> Column:
 
 
 def running_totals(
-    histogram: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str]
+    histogram: DataFrame, groups: Sequence[str], value: str, measures: Sequence[str],
+    few_groups: bool = False,
 ) -> DataFrame:
     """Adds ``before_<m>`` and ``total_<m>`` to a histogram.
 
     ``histogram`` has one row per group and non-null value. ``before_<m>`` sums
-    the measure over the smaller values of the group.
+    the measure over the smaller values of the group. ``few_groups`` says that
+    the caller bounds the number of groups (say, one per feature); the
+    per-group cut points and slice totals are then broadcast. Otherwise Spark
+    chooses the joins from the sizes it meets.
     """
     groups = list(groups)
     slices = slice_count(histogram)
+    hint = F.broadcast if few_groups or not groups else lambda table: table
     if groups:
         cuts = histogram.groupBy(*groups).agg(_cut_points(value, slices).alias("_cuts"))
-        located = histogram.join(cuts, groups)
+        located = histogram.join(hint(cuts), groups)
     else:
         cuts = histogram.agg(_cut_points(value, slices)).scalar()
         located = histogram.withColumn("_cuts", cuts)
@@ -88,8 +93,7 @@ def running_totals(
         *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_inside_{m}") for m in measures],
     )
     # Without groups there are at most `slices` offset rows.
-    offsets = offsets if groups else F.broadcast(offsets)
-    joined = ranked.join(offsets, [*groups, "_slice"])
+    joined = ranked.join(hint(offsets), [*groups, "_slice"])
     for m in measures:
         joined = joined.withColumn(f"before_{m}", F.col(f"_base_{m}") + F.col(f"_inside_{m}"))
     return joined.select(
@@ -101,7 +105,7 @@ def running_totals(
 
 def quantiles_of_histogram(
     histogram: DataFrame, groups: Sequence[str], value: str, count: str,
-    fractions: Sequence[tuple[int, int]],
+    fractions: Sequence[tuple[int, int]], few_groups: bool = False,
 ) -> DataFrame:
     """Exact interpolated quantiles per group as an array in ``quantiles``.
 
@@ -109,7 +113,7 @@ def quantiles_of_histogram(
     ``numerator * (n - 1) / denominator`` is then integer arithmetic, and a
     quantile that falls on a value is that value, bit for bit.
     """
-    ranked = running_totals(histogram, groups, value, [count])
+    ranked = running_totals(histogram, groups, value, [count], few_groups)
     before, n, total = F.col(f"before_{count}"), F.col(count), F.col(f"total_{count}")
 
     def at(rank):
@@ -130,13 +134,15 @@ def quantiles_of_histogram(
     return found.select(*groups, F.array(*values).alias("quantiles"))
 
 
-def grouped_median(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
+def grouped_median(
+    df: DataFrame, groups: Sequence[str], value: str, name: str, few_groups: bool = False
+) -> DataFrame:
     """Exact median of the non-null values of each group."""
     histogram = (
         df.where(F.col(value).isNotNull())
         .groupBy(*groups, value)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return quantiles_of_histogram(histogram, groups, value, "_n", [(1, 2)]).select(
+    return quantiles_of_histogram(histogram, groups, value, "_n", [(1, 2)], few_groups).select(
         *groups, F.col("quantiles")[0].alias(name)
     )

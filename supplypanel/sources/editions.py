@@ -89,11 +89,18 @@ def edition_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def select_edition_files(spark: SparkSession, path: str) -> dict[str, str]:
-    """Path of the one file of each kind; courses must be there exactly once."""
+    """Path of the one file of each kind; courses must be there exactly once.
+
+    All files of a package must name the same year.
+    """
     found: dict[str, list[str]] = {COURSES: [], INSTITUTIONS: []}
+    years = set()
     for row in edition_files(spark, path).toLocalIterator():
-        _, kind = edition_of(row.file_name)
+        year, kind = edition_of(row.file_name)
+        years.add(year)
         found[kind].append(row.path)
+    if len(years) > 1:
+        raise ValueError(f"files of different years in one package: {sorted(years)}")
     if len(found[COURSES]) != 1:
         raise ValueError(f"expected one courses CSV, found {len(found[COURSES])}")
     if len(found[INSTITUTIONS]) > 1:

@@ -79,6 +79,13 @@ def test_two_course_files_are_refused(spark, tmp_path):
         editions.select_edition_files(spark, str(tmp_path))
 
 
+def test_a_package_has_one_year(spark, tmp_path):
+    for name in ("CURSOS_2023.CSV", "IES_2024.CSV"):
+        (tmp_path / name).write_text("A\n1\n")
+    with pytest.raises(ValueError, match="different years"):
+        editions.select_edition_files(spark, str(tmp_path))
+
+
 def test_file_profile(spark, mart_file):
     row = editions.profile_files(spark, [mart_file]).first()
     assert (row.data_row_count, row.column_count, row.columns[0]) == (5, 15, "NU_ANO_CENSO")
