@@ -42,6 +42,37 @@ def _listed(counts: DataFrame) -> DataFrame:
     )
 
 
+def _added_up(
+    per_year: DataFrame, yearly: dict[str, Column], overall: dict[str, Column], year: Column
+) -> DataFrame:
+    """Counts held by each year, listed by year or added up over all of them.
+
+    A yearly check without violations has no row; an overall one always has.
+    """
+    no_year = F.lit(None).cast("int")
+
+    def entries(counts, at, zero=False):
+        return [
+            F.struct(
+                F.lit(name).alias("check_name"),
+                at.alias("census_year"),
+                (F.lit(0) if zero else F.coalesce(c, F.lit(0))).cast("bigint").alias("violations"),
+            )
+            for name, c in counts.items()
+        ]
+
+    listed = per_year.select(F.inline(F.array(*entries(yearly, year), *entries(overall, no_year))))
+    floor = per_year.sparkSession.range(1).select(
+        F.inline(F.array(*entries(overall, no_year, zero=True)))
+    )
+    return (
+        listed.unionByName(floor)
+        .groupBy("check_name", "census_year")
+        .agg(F.sum("violations").alias("violations"))
+        .where(F.col("check_name").isin(*overall) | (F.col("violations") > 0))
+    )
+
+
 def _rows(df: DataFrame, name: str) -> DataFrame:
     """How many rows there are, as one check."""
     return df.agg(F.count(F.lit(1)).alias("violations")).select(
@@ -69,24 +100,36 @@ def mart_checks(supply: DataFrame) -> DataFrame:
 def raw_checks(
     courses: DataFrame, institutions: DataFrame, first: int, last: int, respelt_year: int
 ) -> DataFrame:
-    """Key, year, label and dimension checks on the union of raw editions."""
-    year = F.col("nu_ano_censo")
-    dimension = F.col("tp_dimensao")
+    """Key, year, label and dimension checks on the union of raw editions.
+
+    One pass: rows are counted per key, keys per year, and years added up.
+    """
+    year, dimension = F.col("nu_ano_censo"), F.col("tp_dimensao")
     grain = ["nu_ano_censo", "tp_dimensao", "co_ies", "co_curso", "co_municipio", "tp_modalidade_ensino"]
-    years = courses.groupBy("nu_ano_censo").agg(F.lit(1).alias("_seen"))
+    per_key = courses.groupBy(*grain).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if(F.col("co_cine_rotulo").isNull()).alias("_no_label"),
+    )
+    unknown = dimension.isNull() | ~dimension.isin("1", "2", "3", "4")
+    per_year = per_key.groupBy("nu_ano_censo").agg(
+        F.count_if(F.col("_rows") > 1).alias("_repeated"),
+        F.sum("_rows").alias("_rows"),
+        F.sum("_no_label").alias("_no_label"),
+        F.sum(F.when(unknown, F.col("_rows"))).alias("_unknown"),
+    )
+    outside = ~year.cast("int").between(first, last)
     return _together(
         [
-            _by_year(duplicate_keys(courses, grain), "duplicate_key_count", "nu_ano_censo"),
-            _counted(years, {"unexpected_year_count": ~year.cast("int").between(first, last)}),
-            _counted(
-                courses,
-                {
-                    "null_year_count": year.isNull(),
-                    "missing_cine_label_count": (year == str(respelt_year))
-                    & F.col("co_cine_rotulo").isNull(),
-                    "invalid_dimension_count": dimension.isNull()
-                    | ~dimension.isin("1", "2", "3", "4"),
+            _added_up(
+                per_year,
+                yearly={"duplicate_key_count": F.col("_repeated")},
+                overall={
+                    "unexpected_year_count": F.when(outside, 1),
+                    "null_year_count": F.when(year.isNull(), F.col("_rows")),
+                    "missing_cine_label_count": F.when(year == str(respelt_year), F.col("_no_label")),
+                    "invalid_dimension_count": F.col("_unknown"),
                 },
+                year=year.cast("int"),
             ),
             _by_year(
                 duplicate_keys(institutions, ["nu_ano_censo", "co_ies"]),
@@ -103,48 +146,51 @@ def staging_checks(
     """Typed keys, window, editions, applicable measures, blank convention.
 
     ``zero_from`` is the year from which an inapplicable measure is zero
-    instead of blank.
+    instead of blank. All course checks come from one pass by year, which the
+    expected years join as years without rows.
     """
-    spark = courses.sparkSession
     year, dimension = F.col("census_year"), F.col("dimension_type")
     keys = [*KEYS, "dimension_type", "academic_level"]
     unparsed = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    per_year = courses.groupBy("census_year").agg(
-        F.count_if((dimension == 3) & F.col("entrants").isNull()).alias("blank"),
-        F.count_if(dimension == 3).alias("all_rows"),
-        F.count_if(dimension.isin(1, 3) & F.col("offered_seats").isNull()).alias("null_capacity_count"),
-        F.count_if(dimension.isin(1, 2) & F.col("entrants").isNull()).alias("null_entrant_count"),
+    counts = {
+        "_rows": F.count(F.lit(1)),
+        "_unparsed": F.count_if(unparsed),
+        "_no_network": F.count_if(F.col("education_network").isNull()),
+        "_blank": F.count_if((dimension == 3) & F.col("entrants").isNull()),
+        "_national": F.count_if(dimension == 3),
+        "_no_capacity": F.count_if(dimension.isin(1, 3) & F.col("offered_seats").isNull()),
+        "_no_entrants": F.count_if(dimension.isin(1, 2) & F.col("entrants").isNull()),
+    }
+    observed = courses.groupBy("census_year").agg(*[c.alias(n) for n, c in counts.items()])
+    expected = courses.sparkSession.range(first, last + 1).select(
+        F.col("id").cast("smallint").alias("census_year"), *[F.lit(0).alias(n) for n in counts]
     )
-    expected = spark.range(first, last + 1).select(F.col("id").cast("smallint").alias("census_year"))
-    broken = ((year < zero_from) & (F.col("blank") != F.col("all_rows"))) | (
-        (year >= zero_from) & (F.col("blank") != 0)
+    per_year = observed.unionByName(expected).groupBy("census_year").agg(
+        *[F.sum(n).alias(n) for n in counts]
     )
-
-    def yearly(name):
-        return per_year.where(F.col(name) > 0).select(
-            F.lit(name).alias("check_name"),
-            year.cast("int").alias("census_year"),
-            F.col(name).alias("violations"),
-        )
-
+    inside = year.between(first, last)
+    expected_blanks = F.when(year < zero_from, F.col("_national")).when(year >= zero_from, 0)
     return _together(
         [
-            _counted(
-                courses,
-                {
-                    "unparsed_key_count": unparsed,
-                    "out_of_window_count": ~year.between(first, last),
-                    "null_network_count": F.col("education_network").isNull(),
+            _added_up(
+                per_year,
+                yearly={
+                    "null_capacity_count": F.col("_no_capacity"),
+                    "null_entrant_count": F.col("_no_entrants"),
+                },
+                overall={
+                    "unparsed_key_count": F.col("_unparsed"),
+                    "out_of_window_count": F.when(~inside, F.col("_rows")),
+                    "missing_edition_count": F.when(inside & (F.col("_rows") == 0), 1),
+                    "null_network_count": F.col("_no_network"),
+                    "unexpected_blank_convention_count": F.when(F.col("_blank") != expected_blanks, 1),
                 },
+                year=year.cast("int"),
             ),
-            _rows(expected.join(per_year, "census_year", "left_anti"), "missing_edition_count"),
-            yearly("null_capacity_count"),
-            yearly("null_entrant_count"),
             _rows(
                 duplicate_keys(institutions, ["census_year", "institution_id"]),
                 "duplicate_institution_count",
             ),
-            _counted(per_year, {"unexpected_blank_convention_count": broken}),
         ]
     )
 
