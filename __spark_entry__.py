@@ -43,6 +43,9 @@ def _name(spark: SparkSession, folder: str, what: str) -> str:
     return f"{what}_{md5(key.encode()).hexdigest()[:10]}"
 
 
+_BUILT: set[str] = set()
+
+
 def _raw(spark, folder):
     return census.raw_courses(spark, folder)
 
@@ -60,8 +63,14 @@ def _supply(spark, folder):
 
 
 def _once(spark: SparkSession, table: str, build) -> DataFrame:
-    """A table of this session, built the first time it is asked for."""
-    return spark.table(table) if spark.catalog.tableExists(table) else build()
+    """A table of this application, built the first time it is asked for.
+
+    Only a finished build counts: one that failed half-way is done again.
+    """
+    if table not in _BUILT:
+        build()
+        _BUILT.add(table)
+    return spark.table(table)
 
 
 def _snapshot(spark, folder):
@@ -159,15 +168,12 @@ def _edition(spark, folder, year):
     """One edition read back from its own CSV files, written on first use."""
     base = tables.app_folder(spark, _name(spark, folder, "editions"))
     path = f"{base}/MICRODADOS_CADASTRO_CURSOS_{year}"
-    if path not in _WRITTEN:
+    if path not in _BUILT:
         editions.write_edition(_edition_source(spark, folder, year), path)
-        _WRITTEN.add(path)
+        _BUILT.add(path)
     return path, editions.read_edition(spark, path)
 
 
-_WRITTEN: set[str] = set()
-
-
 def _editions(spark, folder):
     return {year: _edition(spark, folder, year)[1] for year in YEARS}
 

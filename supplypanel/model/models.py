@@ -16,6 +16,7 @@ from supplypanel.operators.ranking import numbered_top, top_per_group
 from supplypanel.plans.mart import OFFER
 
 VALIDATION_PERCENT = 15
+MAX_BINS, MIN_LEAF_ROWS = 255, 20
 
 
 def _label() -> Column:
@@ -150,7 +151,8 @@ def fit_comparison_model(
     )
     trees = GBTClassifier(
         featuresCol="tree_features", labelCol="label", maxIter=max_iter, stepSize=learning_rate,
-        maxDepth=max_depth, validationIndicatorCol="held_out", validationTol=1e-4, seed=42,
+        maxDepth=max_depth, maxBins=MAX_BINS, minInstancesPerNode=MIN_LEAF_ROWS,
+        validationIndicatorCol="held_out", validationTol=1e-4, seed=42,
     ).fit(prepared)
     return ComparisonModel(preparation, trees)
 
