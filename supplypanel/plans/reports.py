@@ -181,13 +181,25 @@ def mvp_idle(mart: DataFrame, institutions: DataFrame | None = None, top: int =
 
 
 def mvp_overview(mart: DataFrame) -> DataFrame:
-    """Rows, whether the key is unique, and how often a family is missing."""
-    repeated = duplicate_keys(mart, RAW_KEYS).agg(F.count(F.lit(1))).scalar()
-    return mart.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if("missing_capacity_component").alias("missing_capacity"),
-        F.count_if("missing_student_component").alias("missing_students"),
-    ).select("row_count", (repeated == 0).alias("unique_key"), "missing_capacity", "missing_students")
+    """Rows, whether the key is unique, and how often a family is missing.
+
+    Counted per key and then overall, so that the mart is computed once.
+    """
+    per_key = mart.groupBy(*RAW_KEYS).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count_if("missing_capacity_component").alias("_no_capacity"),
+        F.count_if("missing_student_component").alias("_no_students"),
+    )
+
+    def total(column):
+        return F.coalesce(F.sum(column), F.lit(0))
+
+    return per_key.agg(
+        total("_rows").alias("row_count"),
+        (F.count_if(F.col("_rows") > 1) == 0).alias("unique_key"),
+        total("_no_capacity").alias("missing_capacity"),
+        total("_no_students").alias("missing_students"),
+    )
 
 
 # --- Profile of an edition's raw course table -------------------------------------
