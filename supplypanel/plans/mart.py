@@ -10,6 +10,7 @@ from supplypanel.operators.concentration import herfindahl
 from supplypanel.operators.reconcile import reconcile
 from supplypanel.sources.tables import materialize
 
+# Staged column names.
 KEYS = ["census_year", "institution_id", "course_id", "teaching_modality"]
 OFFER = ["institution_id", "course_id", "teaching_modality"]
 LABELS = [
@@ -94,6 +95,7 @@ def supply_snapshot(supply: DataFrame, table: str, buckets: int | None = None) -
 
 # --- The mart read straight from raw text of an edition -----------------------
 
+# Published column names.
 RAW_KEYS = ["nu_ano_censo", "co_ies", "co_curso", "tp_modalidade_ensino"]
 RAW_LABELS = ["no_curso", "co_cine_rotulo", "no_cine_rotulo"]
 RAW_CAPACITY = ["qt_curso", "qt_vg_total", "qt_inscrito_total"]

@@ -204,6 +204,7 @@ def mvp_overview(mart: DataFrame) -> DataFrame:
 
 # --- Profile of an edition's raw course table -------------------------------------
 
+# The profiled columns and the candidate key of the course file.
 PROFILE_COLUMNS = [
     "nu_ano_censo", "tp_dimensao", "co_regiao", "co_uf", "co_municipio", "co_ies", "co_curso",
     "tp_modalidade_ensino", "tp_nivel_academico", "tp_grau_academico",

@@ -11,6 +11,7 @@ from supplypanel.operators.timeline import in_year, present_in_year, to_date
 from supplypanel.plans.mart import OFFER
 from supplypanel.plans.panel import is_low, is_measurable
 
+# Split names, the smallest offer considered, feature and label columns.
 TRAIN, TEST = "treino", "teste"
 MIN_ENROLLMENTS = 20
 

@@ -15,6 +15,7 @@ FIRST_YEAR, LAST_YEAR = 1995, 2001
 ZERO_CONVENTION_YEAR = 1998  # inapplicable measures are blank before, zero from here on
 TRAIN_YEARS, TEST_YEARS = (1997, 1998), (1999, 1999)
 
+# Published column names of the course file.
 RAW_COURSE_COLUMNS = [
     "nu_ano_censo", "tp_dimensao", "co_regiao", "co_uf", "co_municipio", "co_ies", "co_curso",
     "no_curso", "co_cine_rotulo", "no_cine_rotulo", "tp_modalidade_ensino", "tp_nivel_academico",

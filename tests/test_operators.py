@@ -11,6 +11,7 @@ from supplypanel.operators.order_statistics import grouped_median, running_total
 from supplypanel.operators.ranking import top_per_group
 from supplypanel.operators.reconcile import require_unique
 from supplypanel.operators.timeline import trailing_run
+from supplypanel.plans import mart
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -97,11 +98,22 @@ def test_mart_reads_its_source_once_with_partial_sums(spark):
     assert "partial_sum" in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["course_persistence", "deterioration_labels", "lagged_completion"])
+def test_snapshot_layout_is_not_shuffled_twice(spark):
+    supply = mart.course_supply(entry._courses(spark, FOLDER), buckets=5)
+    assert executed_plan(supply).count("Exchange") == 2
+    assert executed_plan(supply.repartition(5, *mart.OFFER)).count("Exchange") == 2
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["course_persistence", "deterioration_labels", "lagged_completion", "modality_transitions",
+     "offer_features", "training_set"],
+)
 def test_series_products_need_no_shuffle(spark, name):
     """Bucketing by offer leaves the windows and aggregations without an exchange."""
     df = entry.queries()[name](spark, FOLDER)
-    assert "Exchange" not in executed_plan(df)
+    plan = executed_plan(df)
+    assert "Exchange hashpartitioning" not in plan and "Exchange rangepartitioning" not in plan
 
 
 def test_year_filter_prunes_partitions(spark):
