@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from supplypanel.model.models import (
 )
 from supplypanel.operators.comparison import jaccard
 from supplypanel.plans.risk import TEST, TRAIN
+from supplypanel.sources.tables import written
 
 # The names under which the models report.
 REFERENCE, COMPARISON = "regressao_logistica", "gradient_boosting"
@@ -28,6 +30,11 @@ def _years(rows: DataFrame) -> list[int]:
     return sorted(r.reference_year for r in rows.select("reference_year").distinct().collect())
 
 
+def _kept(scored: DataFrame, name: str) -> DataFrame:
+    """Keys, score and label as a written table: every metric reads them again."""
+    return written(scored.select(*ROW_KEYS, "score", "label"), f"scored_{uuid4().hex}_{name}")
+
+
 def calibrated_pair(train: DataFrame, calibration_year: int):
     """Base model fitted before the calibration year, and its calibrated form.
 
@@ -55,27 +62,30 @@ def run_experiment(
     """
     train, test = chronological_split(training)
     reference = fit_reference_model(train)
-    comparison = fit_comparison_model(train, max_iter=boosting_iterations)
-    scored = [
-        (name, split, model.score(rows))
+    comparison = fit_comparison_model(
+        train, max_iter=boosting_iterations, preparation=reference.preparation
+    )
+    scored = {
+        (name, split): _kept(model.score(rows), f"{name}_{split}")
         for name, model in ((REFERENCE, reference), (COMPARISON, comparison))
         for split, rows in ((TRAIN, train), (TEST, test))
-    ]
+    }
     sections = {
         "reference_coefficients": reference.coefficient_table(training.sparkSession),
-        "reference_calibration": calibration_table(reference.score(test)),
-        "comparison_calibration": calibration_table(comparison.score(test)),
+        "reference_calibration": calibration_table(scored[REFERENCE, TEST]),
+        "comparison_calibration": calibration_table(scored[COMPARISON, TEST]),
         "highest_risk_explanations": highest_risk(reference, test),
     }
     pair = calibrated_pair(train, calibration_year)
     if pair:
-        base, calibrated = pair
-        scored += [(SHORT_FIT, TEST, base.score(test)), (CALIBRATED, TEST, calibrated.score(test))]
-        sections["base_calibration"] = calibration_table(base.score(test))
-        sections["calibrated_calibration"] = calibration_table(calibrated.score(test))
-    scored.append((SCALE_ONLY, TEST, scale_scores(test)))
-    sections["evaluations"] = union_all([evaluate(rows, n, s) for n, s, rows in scored])
-    sections["precision_at_k"] = union_all([precision_at_k(rows, n, s) for n, s, rows in scored])
+        for name, model in zip((SHORT_FIT, CALIBRATED), pair):
+            scored[name, TEST] = _kept(model.score(test), f"{name}_{TEST}")
+        sections["base_calibration"] = calibration_table(scored[SHORT_FIT, TEST])
+        sections["calibrated_calibration"] = calibration_table(scored[CALIBRATED, TEST])
+    scored[SCALE_ONLY, TEST] = scale_scores(test)
+    parts = [(rows, name, split) for (name, split), rows in scored.items()]
+    sections["evaluations"] = union_all([evaluate(*part) for part in parts])
+    sections["precision_at_k"] = union_all([precision_at_k(*part) for part in parts])
     sections.update(rolling_stability(training, window, top_k))
     return sections
 
@@ -98,7 +108,7 @@ def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -
     for chosen in windows:
         label = f"{chosen[0]}-{chosen[-1]}"
         model = fit_reference_model(train.where(F.col("reference_year").isin(chosen)))
-        scored = model.score(test)
+        scored = _kept(model.score(test), label)
         at_k = precision_at_k(scored, label, TEST, (top_k,)).select("precision")
         metrics.append(
             evaluate(scored, label, TEST).select(

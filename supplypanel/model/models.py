@@ -137,13 +137,15 @@ def _tree_inputs(rows: DataFrame, preparation: Preparation) -> DataFrame:
 
 
 def fit_comparison_model(
-    rows: DataFrame, max_iter: int = 300, learning_rate: float = 0.05, max_depth: int = 5
+    rows: DataFrame, max_iter: int = 300, learning_rate: float = 0.05, max_depth: int = 5,
+    preparation: Preparation | None = None,
 ) -> ComparisonModel:
     """Gradient boosting that stops when held-out rows no longer improve.
 
-    A key hash holds out 15 % of the rows. Categories enter as numbers.
+    A key hash holds out 15 % of the rows. Categories enter as numbers. A
+    preparation already learnt from the same rows is taken as it is.
     """
-    preparation = fit_preparation(rows)
+    preparation = preparation or fit_preparation(rows)
     keys = [k for k in ROW_KEYS if k in rows.columns]
     held_out = F.pmod(F.xxhash64(*keys), F.lit(100)) < VALIDATION_PERCENT
     prepared = _tree_inputs(rows, preparation).select(

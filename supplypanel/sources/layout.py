@@ -140,9 +140,7 @@ def control_match(manifest: DataFrame, control: DataFrame) -> DataFrame:
 
     Both have ``table_name, content_hash``. Names are compared without case.
     """
-    expected = control.select("content_hash", F.col("table_name").alias("control_name")).dropDuplicates(
-        ["content_hash"]
-    )
+    expected = control.groupBy("content_hash").agg(F.min("table_name").alias("control_name"))
     return manifest.join(expected, "content_hash", "left").select(
         "table_name",
         "content_hash",
