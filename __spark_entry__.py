@@ -28,6 +28,14 @@ from supplypanel.plans import (  # noqa: E402
 from supplypanel.sources import editions, layout, tables  # noqa: E402
 from supplypanel.sources import lineitem_census as census  # noqa: E402
 
+try:  # the text operators come as a part that can be left out
+    import corpus_pipeline  # noqa: E402
+    from supplypanel.llm import queries as text_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("supplypanel.llm", "corpus_pipeline")):
+        raise
+    corpus_pipeline = text_queries = None
+
 FIRST, LAST = census.FIRST_YEAR, census.LAST_YEAR
 YEARS = range(FIRST, LAST + 1)
 LEAK_CUT = 1998
@@ -613,8 +621,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stability_coefficients": lambda s, d: _stability(s, d, "stability_coefficients"),
         "experiment_evaluations": experiment_evaluations,
         "audit_list": audit_list,
-    }
+    } | ({**text_queries.QUERIES, "pipeline": corpus_pipeline.run} if text_queries else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_queries()
+    found = oracles.all_queries()
+    if text_queries:
+        found |= text_queries.ORACLE_SQL
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
