@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from supplypanel.llm import exact_dedup, quality_rules
+from supplypanel.llm import exact_dedup, quality_rules, secret_scan
 from supplypanel.llm.common import read
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = secret_scan.secret_spans(read(spark, folder, "documents"))
+    spans = F.col("secret_spans")
+    of = lambda kind: F.filter(spans, lambda x: x.kind == kind)
+    base = F.filter(spans, lambda x: x.kind != "random")
+    return scanned.select(
+        "doc_id", *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS[:3]],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"),
+        F.size(of("random")).cast("long").alias("n_random"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, folder, "documents"))
 
@@ -22,7 +35,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op8_exact_dedup, op9_quality_rules)
+    f.__name__: f for f in (op4_secret_scan, op8_exact_dedup, op9_quality_rules)
 }
 
 OP8_SQL = r"""
