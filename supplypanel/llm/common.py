@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
+from pathlib import Path
+from uuid import uuid4
+from zipfile import ZipFile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +28,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{own}/checkpoints"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with ZipFile(archive, "w") as out:
+        for file in package.rglob("*.py"):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))  # the driver serves the file to every executor
+    _SHIPPED.add(context.applicationId)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a folder that does not exist yet, inside the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder, so that later steps neither compute them again nor hang on one executor."""
     context = df.sparkSession.sparkContext

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplypanel.llm import exact_dedup, quality_rules, secret_scan
-from supplypanel.llm.common import read
+from supplypanel.llm import exact_dedup, quality_rules, secret_scan, token_output
+from supplypanel.llm.common import new_folder, read
 
 
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark, "tokens")
+    token_output.write_tokens(read(spark, folder, "documents"), files)
+    return token_output.digests(spark, files)
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read(spark, folder, "documents"))
 
@@ -35,7 +41,9 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_secret_scan, op8_exact_dedup, op9_quality_rules)
+    f.__name__: f for f in (
+        op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules,
+    )
 }
 
 OP8_SQL = r"""
