@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplypanel.llm import exact_dedup, quality_rules, secret_scan, token_output
+from supplypanel.llm import exact_dedup, packing, quality_rules, secret_scan, token_output
 from supplypanel.llm.common import new_folder, read
 
 
+def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(read(spark, folder, "documents"))
+    # What is packed are lengths; the ids go as a checksum, not through the shuffle.
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     scanned = secret_scan.secret_spans(read(spark, folder, "documents"))
     spans = F.col("secret_spans")
@@ -42,7 +48,7 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules,
+        op3_packing, op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules,
     )
 }
 
