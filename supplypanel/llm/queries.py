@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplypanel.llm import exact_dedup, packing, quality_rules, secret_scan, token_output
+from supplypanel.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan, token_output
 from supplypanel.llm.common import new_folder, read
 
 
@@ -46,9 +46,14 @@ def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(read(spark, folder, "documents")).select(
+        "doc_id", "class_id", "n_links", "n_copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_packing, op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules,
+        op3_packing, op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules, op10_ngram_join,
     )
 }
 
