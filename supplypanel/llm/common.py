@@ -84,3 +84,26 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
         groups.where(~large), keys
     )
     return rows.join(heavy, keys).unionByName(by_shuffle)
+
+
+def retained(docs: DataFrame, decisions: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` keeps, found by the columns ``names``.
+
+    ``decisions`` has a row with ``kept`` for each row of ``docs``. Rows of one
+    name are the same document; where it is kept, one of them stays. Names may hold nulls.
+    """
+    names = list(names)
+    known = kept(decisions.groupBy(*names).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("_n")))
+
+    def joined(which: DataFrame, how: str) -> DataFrame:
+        other = which.select(*[F.col(c).alias(f"_other_{c}") for c in names])
+        same = F.lit(True)
+        for c in names:
+            same = same & docs[c].eqNullSafe(other[f"_other_{c}"])
+        return docs.join(other, same, how)
+
+    out = joined(known.where("not kept or _n > 1"), "left_anti")
+    repeated = known.where("kept and _n > 1")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(joined(repeated, "left_semi").dropDuplicates(names))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import BLANK, join_groups, kept
+from supplypanel.llm.common import BLANK, join_groups, kept, retained
 
 
 def normalised(text: Column) -> Column:
@@ -57,3 +57,9 @@ def duplicate_groups(
         "doc_id", F.col("_first.doc_id").alias("keep_id"), "group_size",
         (F.col("_row") == F.col("_first._row")).alias("kept"), "text_sha256",
     )
+
+
+def without_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one row of each text."""
+    named = docs.withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))
+    return retained(named, duplicate_groups(docs), ["doc_id", "text_sha256"]).drop("text_sha256")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import join_groups, kept, ship_package
+from supplypanel.llm.common import join_groups, kept, retained, ship_package
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -311,8 +311,5 @@ def near_duplicates(
 
 def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one document of each class; all columns as they were."""
-    dropped = near_duplicates(docs, **settings).where("not kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash"))
-    return marked.join(dropped, same, "left_anti").drop("_text_hash")
+    named = docs.withColumn("text_hash", F.xxhash64("text"))
+    return retained(named, near_duplicates(docs, **settings), ["doc_id", "text_hash"]).drop("text_hash")

@@ -23,10 +23,11 @@ from supplypanel.llm.common import let, words_of
 BUCKETS = 16384
 #: About so many labelled documents make the trusted multinomial, if there are more.
 TRUSTED_ROWS = 20_000
-#: Added to the share of each bucket, as a part of the mean share, on both sides.
-SMOOTHING = 0.1
+#: Added to a bucket's trusted count and to the count that its raw share lets one expect, so
+#: that buckets with few counts, which small corpora have many of, say little.
+PRIOR = 20.0
 #: Least mean log ratio of a document that stays, in millionths.
-THRESHOLD = -40_000
+THRESHOLD = -60_000
 SYMBOLS = "#*$%&|<>"
 #: Bits for a window's place in its document.
 PLACE_BITS = 26
@@ -114,10 +115,9 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     # One row of two sorted arrays of ``buckets`` numbers.
     arrays = filled.agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "good"))).alias("c"),
                         F.sum("raw").alias("n_raw"), F.sum("good").alias("n_good"))
-    share = lambda n, total: (n / F.greatest(total, F.lit(1)) + SMOOTHING / buckets)
-    ratio = lambda x: F.round(1e6 * F.log(share(x.good, F.col("n_good")) / share(x.raw, F.col("n_raw")))).cast("long")
-    zero = F.lit(0).cast("long")
-    return arrays.select(F.transform("c", lambda x: F.when(F.col("n_good") > 0, ratio(x)).otherwise(zero)).alias("ratios"))
+    expected = lambda x: x.raw * F.col("n_good") / F.greatest(F.col("n_raw"), F.lit(1))
+    ratio = lambda x: F.round(1e6 * F.log((x.good + PRIOR) / (expected(x) + PRIOR))).cast("long")
+    return arrays.select(F.transform("c", ratio).alias("ratios"))
 
 
 def quality_rules(
