@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplypanel.llm import exact_dedup, ngram_join, packing, quality_rules, secret_scan, token_output
+from supplypanel.llm import exact_dedup, html_extraction, ngram_join, packing, quality_rules, secret_scan, token_output
 from supplypanel.llm.common import new_folder, read
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.main_texts(read(spark, folder, "pages")).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_lengths(read(spark, folder, "documents"))
 
@@ -51,7 +56,7 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_packing, op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules, op10_ngram_join,
+        op2_html_extraction, op3_packing, op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules, op10_ngram_join,
     )
 }
 
