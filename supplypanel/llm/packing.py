@@ -35,6 +35,8 @@ GROUP_PIECES = 8192
 FAN = 8
 #: Tries of the local search in a group.
 TRIES = 1500
+#: Sequences, those with most room, in which the search looks for two pieces to take for one.
+WIDE = 64
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, length: int = SEQUENCE) -> DataFrame:
@@ -125,11 +127,14 @@ class Swaps:
             return True
         if len(out) > 1:
             return False
-        for b in np.flatnonzero((room > 0) & (self.fills > 0)).tolist():
-            if b == donor or len(self.bins[b]) < 2 or len(self.bins[b]) > 16:
-                continue
-            for x, i in enumerate(self.bins[b]):
-                for j in self.bins[b][x + 1 :]:
+        roomy = np.where(self.fills > 0, room, 0)
+        roomy[donor] = 0
+        for b in np.argsort(-roomy, kind="stable")[:WIDE].tolist():
+            if not roomy[b]:
+                break
+            members = self.bins[b][:16]
+            for x, i in enumerate(members):
+                for j in members[x + 1 :]:
                     gain = size - int(self.lengths[i] + self.lengths[j])
                     if max(0, floor[b]) < gain <= room[b]:
                         self._put(out, [i, j], donor, b)

@@ -4,22 +4,23 @@ The tokenizer drops white space and never joins across it, so a text's ids are
 those of its words in order. A word of printable characters below U+0130 is cut into
 pre-tokens here and only pre-tokens not met before go to the model; any other
 word goes through the whole tokenizer. Strings of special tokens in a text are
-ordinary text. Memory is bounded: the stores are emptied when they hold
-``STORED`` entries.
+ordinary text. Memory is bounded: a store that is full is emptied.
 """
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-STORED = 1_500_000
+STORED_WORDS, STORED_PIECES = 500_000, 600_000
 DEFAULT = "word_bpe_49k.json"
+#: Characters whose case, composition or kind is left to the tokenizer itself.
+ODD = regex.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u012f]")
 # Fixed value: the tokenizer's own pre-token pattern.
 PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -45,34 +46,40 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype(self.code)
+        self.pieces: dict[str, bytes] = {}  # ids as bytes, which take a fraction of a list's memory
         self.table = {i: c for i, c in enumerate(_visible_bytes())}
         self._clear()
 
     def _clear(self) -> None:
-        self.pieces: dict[str, list[int]] = {}
         self.places: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.starts = np.zeros(1 << 14, np.int64)
+        self.ids = np.empty(1 << 16, self.kind)
+        self.starts = np.zeros(1 << 14, np.int32)
         self.size = 0
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-        ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return ids
 
-    def _word(self, text: str) -> list[int]:
-        if not text.isprintable() or max(text) >= "\u0130":
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
-        pieces, low = self.pieces, text.lower()
-        if low.isalpha():
-            return pieces.get(low) or self._piece(low)
-        return [i for p in PRE_TOKENS.findall(low) for i in pieces.get(p) or self._piece(p)]
-
-    def _add(self, words: set[bytes]) -> None:
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        joined = b"\n".join(words).decode()
+        if ODD.search(joined):
+            return [array(self.code, self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+                    if ODD.search(w) else self._words([w.encode()])[0] for w in joined.split("\n")]
+        if len(self.pieces) > STORED_PIECES:
+            self.pieces.clear()
+        get, make = self.pieces.get, self._piece
+        return [get(w) or make(w) if w.isalpha() else b"".join([get(p) or make(p) for p in PRE_TOKENS.findall(w)])
+                for w in joined.lower().split("\n")]
+
+    def _add(self, words: list[bytes]) -> None:
         n, size = len(self.places), self.size
-        found = [self._word(w.decode()) for w in words]
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        ends = size + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        found = self._words(words)
+        flat = np.frombuffer(b"".join(found), self.kind)
+        ends = size + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // self.kind.itemsize
         if size + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (size + len(flat)))
         if n + len(found) + 1 > len(self.starts):
@@ -87,16 +94,15 @@ class WordEncoder:
         words = (text or "").encode().split()
         if not words:
             return np.empty(0, np.uint32)
-        try:
-            found = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            missing = {w for w in words if w not in self.places}
-            if len(self.places) + len(missing) > STORED:
+        places = self.places
+        missing = list({w for w in words if w not in places})
+        if missing:
+            if len(places) + len(missing) > STORED_WORDS:
                 self._clear()
-                missing = set(words)
+                missing = list(set(words))
             self._add(missing)
-            found = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        found = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
         first, count = self.starts[found], self.starts[found + 1] - self.starts[found]
         ends = np.cumsum(count)
         steps = np.arange(ends[-1]) + np.repeat(first - (ends - count), count)
-        return self.ids[steps]
+        return self.ids[steps].astype(np.uint32)
