@@ -68,6 +68,32 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
+def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches as structs of start, end and the matched text.
+
+    Places count code points. What lies between matches comes from a split by
+    the same pattern; lengths add up to places. ``keep`` thins the spans out.
+    """
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+
+    def located(gaps: Column, found: Column) -> Column:
+        lengths = F.transform(found, lambda m, i: F.struct(
+            F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"), m.alias("match"),
+        ))
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(lengths, start, lambda done, x: F.struct(
+            (done.at + x.gap + x.length).alias("at"),
+            F.concat(done.out, F.array(F.struct(
+                (done.at + x.gap).alias("start"), (done.at + x.gap + x.length).alias("end"), x.match.alias("match"),
+            ))).alias("out"),
+        )).out
+
+    spans = located(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    if keep is not None:
+        spans = keep(spans)
+    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
     """Each row with its group's columns; ``groups`` has one row for each key and in ``size`` its number of rows.
 

@@ -61,7 +61,7 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Shingler:
     """Hashes of words, with a bounded store, and of shingles."""
 
-    def __init__(self, words: int, stored: int = 1_000_000):
+    def __init__(self, words: int, stored: int = 300_000):
         self.words, self.stored, self.seen = words, stored, {}
 
     def word_hashes(self, text: str) -> np.ndarray:

@@ -7,10 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supplypanel.llm import exact_dedup, html_extraction, ngram_join, packing, quality_rules, secret_scan, token_output
+from supplypanel.llm import (
+    chat, exact_dedup, html_extraction, ngram_join, packing, quality_rules, secret_scan, segment_sampling,
+    token_counts, token_output,
+)
 from supplypanel.llm.common import new_folder, read
 
 
+def op1_segment_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    sampled = segment_sampling.segmentations(read(spark, folder, "documents"), ids=False)
+    return sampled.select(
+        "doc_id", "sample", "n_pieces", *[F.round(c, 6).alias(c) for c in ("log_prob", "perturbed", "log_inclusion")],
+        "ids_crc32", "decodes",
+    )
+
+
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.main_texts(read(spark, folder, "pages")).select(
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -32,6 +43,19 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's tokens before and after its personal data are replaced."""
+    trees = token_counts.token_trees(read(spark, folder, "documents").select("doc_id", "text"))
+    planned = trees.withColumn("edits", token_counts.redactions(F.col("text"))).withColumns(
+        {"n_before": F.col("n_tokens"), "n_edits": F.size("edits").cast("long")})
+    return token_counts.apply_edits(planned).select(
+        "doc_id", "n_before", "n_edits", "n_encoded", F.col("n_tokens").alias("n_after"))
+
+
+def op6_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered(read(spark, folder, "conversations"))
+
+
 def op7_token_output(spark: SparkSession, folder: str) -> DataFrame:
     files = new_folder(spark, "tokens")
     token_output.write_tokens(read(spark, folder, "documents"), files)
@@ -56,7 +80,8 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_html_extraction, op3_packing, op4_secret_scan, op7_token_output, op8_exact_dedup, op9_quality_rules, op10_ngram_join,
+        op1_segment_sampling, op2_html_extraction, op3_packing, op4_secret_scan, op5_token_counts,
+        op6_chat_formatting, op7_token_output, op8_exact_dedup, op9_quality_rules, op10_ngram_join,
     )
 }
 
@@ -70,4 +95,28 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(texts.body)
 FROM texts JOIN groups ON texts.body = groups.body
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+OP6_SQL = r"""
+WITH placed AS (
+    SELECT conv_id, row_number() OVER (
+        PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place,
+        role, text
+    FROM conversations
+), marked AS (
+    SELECT *, coalesce('r' || hex(role), '-') || ' ' || coalesce('t' || hex(text), '-') AS mark FROM placed
+), prefixes AS (
+    SELECT conv_id, place, string_agg(mark, ',') OVER (PARTITION BY conv_id ORDER BY place) AS prefix,
+        count(*) OVER (PARTITION BY conv_id) AS n_turns
+    FROM marked
+), best AS (
+    SELECT min(conv_id) AS conv_id, count(*) AS n_snapshots, n_turns FROM prefixes
+    WHERE place = n_turns
+        AND prefix NOT IN (SELECT prefix FROM prefixes WHERE place < n_turns)
+    GROUP BY prefix, n_turns
+)
+SELECT placed.conv_id, (place - 1) // 64 AS part, n_turns, n_snapshots,
+    string_agg('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10),
+        '' ORDER BY place) AS text
+FROM placed JOIN best USING (conv_id) GROUP BY ALL
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_chat_formatting": OP6_SQL, "op8_exact_dedup": OP8_SQL}

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import let
+from supplypanel.llm.common import let, match_spans
 
 # The base patterns. Runs of a class are maximal, so that a least
 # length inside the pattern finds what a length test after it would keep.
@@ -57,39 +57,15 @@ LENGTHS = (20, 28, 40, 64, 128)
 CELLS_PER_TEN, CELLS = 20, 600
 
 
-def _spans(text: Column, pattern: str, keep=None) -> Column:
-    """Leftmost non-overlapping matches as structs of start, end and the matched text.
-
-    What lies between matches comes from a split by the same pattern; lengths add up to places.
-    """
-    def located(gaps: Column, found: Column) -> Column:
-        lengths = F.transform(found, lambda m, i: F.struct(
-            F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"), m.alias("match"),
-        ))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(
-            "array<struct<start:int,end:int,match:string>>").alias("out"))
-        return F.aggregate(lengths, start, lambda done, x: F.struct(
-            (done.at + x.gap + x.length).alias("at"),
-            F.concat(done.out, F.array(F.struct(
-                (done.at + x.gap).alias("start"), (done.at + x.gap + x.length).alias("end"), x.match.alias("match"),
-            ))).alias("out"),
-        )).out
-
-    spans = located(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    if keep is not None:
-        spans = keep(spans)
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
-
-
 def _assignments(text: Column) -> Column:
     values = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    return _spans(text, ASSIGN, lambda s: let(values, lambda v: F.filter(
+    return match_spans(text, ASSIGN, lambda s: let(values, lambda v: F.filter(
         s, lambda _, i: F.char_length(F.get(v, i)) >= ASSIGN_LEAST)))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Arrays of the base spans; ``text`` has no nulls."""
-    return {"assign": _assignments(text), "access": _spans(text, ACCESS), "hex": _spans(text, HEX)}
+    return {"assign": _assignments(text), "access": match_spans(text, ACCESS), "hex": match_spans(text, HEX)}
 
 
 def _candidates(text: Column, base: list[Column]) -> Column:
@@ -99,7 +75,7 @@ def _candidates(text: Column, base: list[Column]) -> Column:
             apart = apart & ~F.exists(b, lambda x: (x.start < s.end) & (s.start < x.end))
         return apart & s.match.rlike("[0-9]") & s.match.rlike("[A-Za-z]")
 
-    return _spans(text, CANDIDATE, lambda spans: F.filter(spans, free))
+    return match_spans(text, CANDIDATE, lambda spans: F.filter(spans, free))
 
 
 def _phi(z: Column) -> Column:
