@@ -1,8 +1,9 @@
-"""A small census of known behaviour, as raw text rows.
+"""A small census whose figures follow from short formulas, as raw text rows.
 
-Three on-site courses of one institution: one healthy, one declining, one that
-closes; two distance courses in 2024; one row abroad that must never count.
-The 2020 edition misspells the field column.
+Institution 7 teaches on site: botany grows by one entrant a year, ceramics
+shrinks and ends in 2023, dance ends in 2018. In 2024 institution 8 opens a
+distance course, institution 7 one in botany's field. A row abroad must never
+count. The 2019 edition misspells the field column; 2014 and 2015 are empty.
 """
 
 from __future__ import annotations
@@ -15,41 +16,35 @@ from pyspark.sql import functions as F
 from supplypanel.sources.layout import union_editions
 from supplypanel.sources.lineitem_census import RAW_COURSE_COLUMNS
 
+CERAMICS_ENROLLED = (120, 118, 116, 110, 90, 58, 40, 30)
 # course, name, field: year -> seats, applications, entrants, enrolments, graduates
 ON_SITE = {
-    ("100", "Saudavel", "0100"): {
-        2018: (100, 200, 80, 400, 50), 2019: (100, 210, 85, 410, 55), 2020: (100, 220, 90, 420, 60),
-        2021: (100, 230, 95, 430, 62), 2022: (100, 240, 100, 440, 65), 2023: (100, 250, 105, 450, 67),
-        2024: (100, 260, 110, 460, 70),
-    },
-    ("200", "Declinante", "0200"): {
-        2018: (200, 100, 40, 300, 40), 2019: (200, 90, 35, 280, 45), 2020: (200, 80, 30, 260, 50),
-        2021: (200, 70, 25, 200, 55), 2022: (200, 60, 20, 120, 60),
-    },
-    ("400", "Encerrada", "0400"): {
-        2018: (150, 60, 20, 200, 30), 2019: (150, 40, 12, 150, 60), 2020: (150, 20, 5, 100, 80),
+    ("31", "Botânica", "K1"): {2016 + k: (50, 70, 40 + k, 160 + 4 * k, 20 + k) for k in range(9)},
+    ("32", "Cerâmica", "K2"): {
+        2016 + k: (80, 50, 30 - 3 * k, enrolled, 9) for k, enrolled in enumerate(CERAMICS_ENROLLED)
     },
+    ("33", "Dança", "K3"): {2016: (40, 20, 10, 60, 5), 2017: (40, 20, 8, 50, 5), 2018: (40, 20, 4, 30, 5)},
 }
 # dimension, institution, course, name, field, town, measures, courses
 DISTANCE_2024 = [
-    (3, 2, "300", "Ead Nacional", "0300", "", (5000, 1200, 0, 0, 0), 1),
-    (2, 2, "300", "Ead Nacional", "0300", "3550308", (0, 0, 300, 900, 100), 0),
-    (2, 2, "300", "Ead Nacional", "0300", "2927408", (0, 0, 200, 600, 50), 0),
-    (3, 1, "500", "Saudavel EAD", "0100", "", (300, 120, 0, 0, 0), 1),
-    (2, 1, "500", "Saudavel EAD", "0100", "3550308", (0, 0, 60, 180, 20), 0),
-    (4, 2, "300", "Ead Nacional", "0300", "", (999, 999, 999, 999, 999), 1),
+    (3, 8, "41", "Edição", "K4", "", (900, 400, 0, 0, 0), 1),
+    (2, 8, "41", "Edição", "K4", "1100015", (0, 0, 70, 210, 12), 0),
+    (2, 8, "41", "Edição", "K4", "1100023", (0, 0, 65, 190, 8), 0),
+    (3, 7, "42", "Botânica a distância", "K1", "", (120, 60, 0, 0, 0), 1),
+    (2, 7, "42", "Botânica a distância", "K1", "1100015", (0, 0, 30, 70, 6), 0),
+    (4, 8, "41", "Edição", "K4", "", (777, 777, 777, 777, 777), 1),
 ]
 INSTITUTIONS = [
-    ("2024", "1", "Instituicao Um", "IU", "SP"),
-    ("2024", "2", "Instituicao Dois", "ID", "BA"),
-    ("2018", "1", "Instituicao Um", "IU", "SP"),
+    ("2016", "7", "Escola Sete", "E7", "RO"),
+    ("2024", "7", "Escola Sete", "E7", "RO"),
+    ("2024", "8", "Escola Oito", "E8", "AC"),
 ]
 
 
 def _course(year, dimension, institution, course, name, field, town, modality, measures, courses):
     values = {
-        "nu_ano_censo": year, "tp_dimensao": dimension, "co_regiao": "3" if town else "",
-        "co_uf": "35" if town else "", "co_municipio": town, "co_ies": institution,
+        "nu_ano_censo": year, "tp_dimensao": dimension, "co_regiao": "1" if town else "",
+        "co_uf": "11" if town else "", "co_municipio": town, "co_ies": institution,
         "co_curso": course, "no_curso": name, "co_cine_rotulo": field,
         "no_cine_rotulo": f"Area {field}", "tp_modalidade_ensino": modality,
         "tp_nivel_academico": 1, "tp_grau_academico": 1, "tp_rede": 2,
@@ -64,7 +59,7 @@ def raw_editions(spark) -> dict[int, DataFrame]:
     editions = {}
     for year in range(2014, 2025):
         rows = [
-            _course(year, 1, 1, course, name, field, "3550308", 1, years[year], 1)
+            _course(year, 1, 7, course, name, field, "1100015", 1, years[year], 1)
             for (course, name, field), years in ON_SITE.items()
             if year in years
         ]
@@ -74,7 +69,7 @@ def raw_editions(spark) -> dict[int, DataFrame]:
                 for d, inst, c, name, f, town, m, n in DISTANCE_2024
             ]
         table = spark.createDataFrame(rows, schema)
-        if year == 2020:
+        if year == 2019:
             table = table.withColumnRenamed("co_cine_rotulo", "co_cine_rotulo2")
         editions[year] = table
     return editions
@@ -85,7 +80,7 @@ def raw_courses(spark) -> DataFrame:
 
 
 def raw_institutions(spark) -> DataFrame:
-    rows = [(y, i, n, s, "1", "4", "3550308", uf) for y, i, n, s, uf in INSTITUTIONS]
+    rows = [(y, i, n, s, "1", "4", "1100015", uf) for y, i, n, s, uf in INSTITUTIONS]
     return spark.createDataFrame(
         rows,
         "nu_ano_censo string, co_ies string, no_ies string, sg_ies string, "

@@ -39,48 +39,48 @@ def features(snapshot):
     return risk.offer_features(snapshot).cache()
 
 
-def offer(course, modality=1, institution=1):
+def offer(course, modality=1, institution=7):
     return {"institution_id": institution, "course_id": course, "teaching_modality": modality}
 
 
 def test_distance_capacity_and_students_meet_once(supply):
-    row = only(supply, census_year=2024, institution_id=2, course_id=300)
-    assert (row.offered_seats, row.entrants, row.enrollments) == (5000, 500, 1500)
+    row = only(supply, census_year=2024, institution_id=8, course_id=41)
+    assert (row.offered_seats, row.entrants, row.enrollments) == (900, 135, 400)
     assert (row.capacity_source_row_count, row.student_source_row_count) == (1, 2)
 
 
 def test_supply_abroad_is_never_read(supply):
     measures = ["offered_seats", "applications", "entrants", "enrollments", "graduates"]
-    assert supply.where(" or ".join(f"{m} = 999" for m in measures)).isEmpty()
+    assert supply.where(" or ".join(f"{m} = 777" for m in measures)).isEmpty()
 
 
 def test_misspelt_edition_keeps_its_fields(courses):
-    edition = courses.where("census_year = 2020")
+    edition = courses.where("census_year = 2019")
     assert edition.where("cine_label_code is null").isEmpty()
-    assert edition.select("cine_label_code").distinct().count() == 3
+    assert edition.select("cine_label_code").distinct().count() == 2
 
 
 def test_labels(snapshot):
     labels = risk.deterioration_labels(snapshot, last_year=2024)
-    assert only(labels, reference_year=2020, **offer(200)).deteriorated is True
-    assert only(labels, reference_year=2019, **offer(400)).disappeared_from_census is True
-    assert only(labels, reference_year=2020, **offer(100)).deteriorated is False
+    assert only(labels, reference_year=2020, **offer(32)).deteriorated is True
+    assert only(labels, reference_year=2017, **offer(33)).disappeared_from_census is True
+    assert only(labels, reference_year=2016, **offer(33)).deteriorated is False
     assert labels.where("reference_year = 2024 and deteriorated is not null").isEmpty()
 
 
 def test_features_look_back_only(features):
-    assert only(features, reference_year=2018, **offer(100)).years_observed_to_date == 1
-    assert only(features, reference_year=2022, **offer(100)).years_observed_to_date == 5
-    assert only(features, reference_year=2022, **offer(100)).occupancy_rate_lag1 == 0.95
-    assert only(features, reference_year=2020, **offer(400)).occupancy_rate_lag1 == 12 / 150
-    assert features.where("reference_year = 2021 and course_id = 400").isEmpty()
+    assert only(features, reference_year=2016, **offer(31)).years_observed_to_date == 1
+    assert only(features, reference_year=2020, **offer(31)).years_observed_to_date == 5
+    assert only(features, reference_year=2022, **offer(31)).occupancy_rate_lag1 == 45 / 50
+    assert only(features, reference_year=2018, **offer(33)).occupancy_rate_lag1 == 8 / 40
+    assert features.where("reference_year = 2019 and course_id = 33").isEmpty()
 
 
 def test_streaks(snapshot, features):
     persistence = panel.course_persistence(panel.supply_panel(snapshot))
-    assert only(persistence, **offer(200)).current_low_occupancy_streak == 5
-    assert only(persistence, **offer(100)).current_low_occupancy_streak == 0
-    assert only(features, reference_year=2020, **offer(200)).current_low_occupancy_streak == 3
+    assert only(persistence, **offer(32)).current_low_occupancy_streak == 4
+    assert only(persistence, **offer(31)).current_low_occupancy_streak == 0
+    assert only(features, reference_year=2020, **offer(32)).current_low_occupancy_streak == 1
 
 
 def test_unmeasurable_is_not_low(snapshot):
@@ -92,7 +92,7 @@ def test_transition_to_both_modalities(snapshot):
     state = portfolio.modality_portfolio_state(snapshot)
     row = only(
         portfolio.modality_transitions(state, snapshot),
-        census_year=2024, institution_id=1, cine_label_code="0100",
+        census_year=2024, institution_id=7, cine_label_code="K1",
     )
     assert (row.previous_state, row.current_state) == ("presencial", "dual")
     assert row.transition == "presencial → dual"
@@ -102,15 +102,15 @@ def test_exit_is_reported_the_year_after(snapshot):
     state = portfolio.modality_portfolio_state(snapshot)
     row = only(
         portfolio.modality_transitions(state, snapshot),
-        census_year=2021, institution_id=1, cine_label_code="0400",
+        census_year=2019, institution_id=7, cine_label_code="K3",
     )
     assert (row.previous_state, row.current_state) == ("presencial", "ausente")
-    assert row.current_presencial_seats is None and row.previous_presencial_seats == 150
+    assert row.current_presencial_seats is None and row.previous_presencial_seats == 40
 
 
 def test_lagged_completion(snapshot):
-    row = only(completion.lagged_completion(snapshot), census_year=2022, lag_years=4, **offer(100))
-    assert row.lagged_completion_ratio == 65 / 80
+    row = only(completion.lagged_completion(snapshot), census_year=2022, lag_years=4, **offer(31))
+    assert row.lagged_completion_ratio == 26 / 42
 
 
 def test_reloading_the_snapshot_changes_nothing(spark, supply, snapshot):
@@ -128,19 +128,19 @@ def test_single_edition_gets_context_from_institutions(raw, spark):
     staged = staging.stage_institutions(institutions, single_edition=True)
     row = only(
         mart.course_sustainability(mart.course_supply(edition), staged),
-        institution_id=2, course_id=300,
+        institution_id=8, course_id=41,
     )
-    assert (row.education_network, row.institution_name) == (2, "Instituicao Dois")
-    assert row.seat_occupancy_rate == 0.1
+    assert (row.education_network, row.institution_name) == (2, "Escola Oito")
+    assert row.seat_occupancy_rate == 0.15
 
 
 def test_reports(snapshot, institutions):
     top = reports.top_unconverted_institutions(snapshot, institutions, 2024).collect()
-    assert [(r.institution_id, r.unconverted) for r in top] == [(2, 4500), (1, 230)]
+    assert [(r.institution_id, r.unconverted) for r in top] == [(8, 765), (7, 92)]
     shares = reports.unconverted_concentration(snapshot, 2024).collect()
-    assert [(r.position, r.cumulative_share) for r in shares] == [(1, 4500 / 4730)]
+    assert [(r.position, r.cumulative_share) for r in shares] == [(1, 765 / 857)]
     totals = reports.capacity_totals(snapshot, 2024).first()
-    assert (totals.institutions, totals.unconverted, totals.seats) == (2, 4730, 5400)
+    assert (totals.institutions, totals.unconverted, totals.seats) == (2, 857, 1070)
 
 
 def test_all_checks_pass_but_the_editions_left_empty(spark, raw, courses, institutions, snapshot, supply, features):
@@ -166,7 +166,7 @@ def test_all_checks_pass_but_the_editions_left_empty(spark, raw, courses, instit
     violations = {
         r.check_name: r.violations for part in found for r in part.collect() if r.violations
     }
-    assert violations == {"missing_edition_count": 4}
+    assert violations == {"missing_edition_count": 2}
 
 
 def test_checks_see_what_is_wrong(courses, snapshot, features):
@@ -182,14 +182,14 @@ def test_checks_see_what_is_wrong(courses, snapshot, features):
     assert counts["unexpected_blank_convention_count"] == 1
     assert counts["duplicate_institution_count"] > 0
     peeking = features.withColumn("years_observed_to_date", F.col("years_observed_to_date") + 1)
-    assert checks.leakage(snapshot, features, 2019).isEmpty()
-    assert checks.leakage(snapshot, peeking, 2019).count() == 3
+    assert checks.leakage(snapshot, features, 2018).isEmpty()
+    assert checks.leakage(snapshot, peeking, 2018).count() == 3
 
 
 def test_null_keys_never_join(spark, courses):
     """A capacity row and a student row with a null key stay apart."""
-    lost = courses.where("census_year = 2024 and course_id = 500").withColumn(
+    lost = courses.where("census_year = 2024 and course_id = 42").withColumn(
         "course_id", F.lit(None).cast("bigint")
     )
     rows = mart.course_supply(lost).orderBy("offered_seats").collect()
-    assert [(r.offered_seats, r.entrants) for r in rows] == [(None, 60), (300, None)]
+    assert [(r.offered_seats, r.entrants) for r in rows] == [(None, 30), (120, None)]

@@ -9,17 +9,21 @@ from supplypanel.plans.risk import TEST, TRAIN
 
 
 def frame(years, rows_per_year=40, test_from=2021):
-    """Random numeric features; every fourth row is an event."""
-    generator = np.random.default_rng(7)
-    rows = []
-    for year in years:
-        for index in range(rows_per_year):
-            values = [float(v) for v in generator.normal(size=len(preparation.NUMERIC))]
-            rows.append(
-                (1, index, year, TRAIN if year < test_from else TEST, index % 4 == 0, *values,
-                 float(1 + index % 2), float(1 + index % 2), float([1, 2, 4, 5][index % 4]))
-            )
-    return rows
+    """Skewed numeric features with gaps; the event follows two of them and one category."""
+    draw = np.random.default_rng(90_125)
+    n, width = len(years) * rows_per_year, len(preparation.NUMERIC)
+    numeric = draw.gamma(1.7, 2.2, size=(n, width))
+    network, scope = draw.integers(1, 3, n), draw.integers(1, 3, n)
+    category = draw.choice([3.0, 5.0, 8.0, 9.0], n, p=[0.4, 0.3, 0.2, 0.1])
+    pull = numeric[:, 1] - numeric[:, 4] + (category == 5.0) + draw.logistic(size=n)
+    event = pull > np.quantile(pull, 0.7)
+    missing = draw.random((n, width)) < 0.04
+    return [
+        (1, i % rows_per_year, year, TRAIN if year < test_from else TEST, bool(event[i]),
+         *[None if gone else float(v) for v, gone in zip(numeric[i], missing[i])],
+         float(network[i]), float(scope[i]), float(category[i]))
+        for i, year in enumerate(np.repeat(years, rows_per_year).tolist())
+    ]
 
 
 def table(spark, rows):
@@ -52,17 +56,24 @@ def scored(spark, labels, scores):
 # --- Ranking metrics ------------------------------------------------------------------
 
 
-def test_precision_at_k(spark):
-    rows = scored(spark, [0, 1, 1, 0, 1, 0], [0.1, 0.9, 0.8, 0.2, 0.4, 0.05])
-    found = {r.k: r.precision for r in metrics.precision_at_k(rows, "m", TEST, (2, 4, 7)).collect()}
-    assert found == {2: 1.0, 4: 0.75}
+@pytest.mark.parametrize("size", [5, 60])
+def test_precision_at_k_matches_a_sort(spark, size):
+    draw = np.random.default_rng(size)
+    scores, labels = draw.permutation(size) / size, draw.integers(0, 2, size)
+    wanted = (1, size // 2, size, size + 1)
+    rows = scored(spark, labels, scores)
+    found = {r.k: r.precision for r in metrics.precision_at_k(rows, "m", TEST, wanted).collect()}
+    ordered = labels[np.argsort(-scores)]
+    assert found == {k: pytest.approx(ordered[:k].mean()) for k in wanted if k <= size}
 
 
 def test_brier_only_for_probabilities(spark):
-    ranking = metrics.evaluate(scored(spark, [0, 1, 1, 0], [-500.0, -10, -20, -900]), "m", TEST).first()
-    assert ranking.brier_score is None and ranking.roc_auc == 1.0
-    chance = metrics.evaluate(scored(spark, [0, 1, 1, 0], [0.1, 0.8, 0.7, 0.2]), "m", TEST).first()
-    assert chance.brier_score == pytest.approx((0.01 + 0.04 + 0.09 + 0.04) / 4)
+    draw = np.random.default_rng(31)
+    labels, scores = draw.integers(0, 2, 30), draw.random(30)
+    chance = metrics.evaluate(scored(spark, labels, scores), "m", TEST).first()
+    assert chance.brier_score == pytest.approx(np.mean((labels - scores) ** 2))
+    shifted = metrics.evaluate(scored(spark, labels, 7 * scores - 3), "m", TEST).first()
+    assert shifted.brier_score is None and shifted.roc_auc == pytest.approx(chance.roc_auc)
 
 
 def brute_auc_and_precision(labels, scores):
@@ -112,11 +123,15 @@ def test_calibration_matches_brute_force(spark, bins, distinct):
         assert r.observed_rate == pytest.approx(labels[chosen].mean())
 
 
-def test_calibration_ends(spark):
-    scores = np.linspace(0.0, 1.0, 100)
-    rows = metrics.calibration_table(scored(spark, (scores > 0.5).astype(int), scores), 4).collect()
-    assert sum(r.row_count for r in rows) == 100
-    assert (rows[0].observed_rate, rows[-1].observed_rate) == (0.0, 1.0)
+def test_calibration_bins_hold_every_row(spark):
+    draw = np.random.default_rng(12)
+    scores = np.sort(draw.beta(2, 5, 77))
+    labels = np.arange(77) >= 60  # the largest scores are the events
+    rows = metrics.calibration_table(scored(spark, labels.astype(int), scores), 5).collect()
+    assert sum(r.row_count for r in rows) == 77
+    assert rows[0].observed_rate == 0 and rows[-1].observed_rate == 1
+    means = [r.mean_predicted for r in rows]
+    assert means == sorted(means)
 
 
 def test_unknown_size_ranks_last(spark, training):
@@ -153,7 +168,7 @@ def test_preparation_matches_brute_force(spark):
         rows[i][5] = None  # occupancy_rate
     for i in range(0, 301, 50):
         rows[i][-1] = None  # administrative_category
-    rows[1][-1] = 9.0  # one row in 301 is rare
+    rows[1][-1] = 4.0  # one row in 301 is rare
     df = table(spark, [tuple(r) for r in rows])
     fitted = preparation.fit_preparation(df)
     values = np.array([np.nan if r[5] is None else r[5] for r in rows])
@@ -164,8 +179,8 @@ def test_preparation_matches_brute_force(spark):
     levels = [r[-1] for r in rows if r[-1] is not None]
     counts = {v: levels.count(v) for v in set(levels)}
     mode = min(v for v in counts if counts[v] == max(counts.values()))
-    assert (category.mode, category.frequent, category.has_rare) == (mode, [1.0, 2.0, 4.0, 5.0], True)
-    assert category.indicators == [2.0, 4.0, 5.0, None]
+    assert (category.mode, category.frequent, category.has_rare) == (mode, [3.0, 5.0, 8.0, 9.0], True)
+    assert category.indicators == [5.0, 8.0, 9.0, None]
     prepared = np.array([r.inputs for r in fitted.apply(df).orderBy("course_id").collect()])
     assert prepared.shape == (301, len(fitted.names))
     assert prepared[:, 0] == pytest.approx((filled - filled.mean()) / filled.std())
@@ -286,29 +301,34 @@ def test_audit_list_has_one_offer_per_institution(spark):
 def test_trees_learn_what_is_there(spark):
     rows = [list(r) for r in frame([2019, 2020, 2021], rows_per_year=150)]
     for r in rows:
-        r[4] = r[5] > 0.3  # the event is one feature beyond a threshold
+        r[4] = r[5] is not None and r[5] > 3  # the event is one feature beyond a threshold
     df = table(spark, [tuple(r) for r in rows])
     model = models.fit_comparison_model(df.where(F.col("split") == TRAIN), max_iter=5)
     row = metrics.evaluate(model.score(df.where(F.col("split") == TEST)), "m", TEST).first()
     assert row.roc_auc > 0.95 and row.brier_score is not None
 
 
-def test_stability(spark):
-    df = table(spark, frame([2016, 2017, 2018, 2019, 2020, 2021])).withColumn(
-        "teaching_modality", F.col("teaching_modality")
-    ).cache()
-    sections = experiment.rolling_stability(df, window=3, top_k=10)
-    windows = [r.window for r in sections["stability_windows"].collect()]
-    assert windows == ["2016-2018", "2017-2019", "2018-2020"]
+def test_stability_finds_planted_flips(spark):
+    """One feature drives the event up in the early years and down in the late ones, another always up."""
+    draw, flips, holds = np.random.default_rng(44), 5, 7
+    rows = [list(r) for r in frame([2011, 2012, 2013, 2014, 2015], rows_per_year=80, test_from=2015)]
+    for r in rows:
+        turn, steady = draw.normal(size=2)
+        r[flips], r[holds] = float(turn), float(steady)
+        r[4] = bool((2 if r[2] < 2013 else -2) * turn + 2 * steady + draw.logistic() > 0)
+    df = table(spark, [tuple(r) for r in rows]).cache()
+    sections = experiment.rolling_stability(df, window=2, top_k=25)
+    assert [r.window for r in sections["stability_windows"].collect()] == ["2011-2012", "2012-2013", "2013-2014"]
     overlaps = [r.jaccard for r in sections["stability_overlap"].collect()]
     assert len(overlaps) == 2 and all(0 <= j <= 1 for j in overlaps)
+    names = [f"numeric__{preparation.NUMERIC[k - 5]}" for k in (flips, holds)]
     flipping = {r.feature for r in sections["sign_flipping_features"].collect()}
-    stable = [r for r in sections["sign_stable_features"].collect()]
-    assert not flipping & {r.feature for r in stable} and len(stable) <= 8
+    stable = sections["sign_stable_features"].collect()
+    assert names[0] in flipping and names[1] == stable[0].feature
     sizes = [r.min_absolute_coefficient for r in stable]
-    assert sizes == sorted(sizes, reverse=True)
+    assert sizes == sorted(sizes, reverse=True) and not flipping & {r.feature for r in stable}
     with pytest.raises(ValueError, match="two training windows"):
-        experiment.rolling_stability(df, window=5)
+        experiment.rolling_stability(df, window=4)
 
 
 def test_experiment_sections(training):

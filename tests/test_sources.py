@@ -12,22 +12,23 @@ from supplypanel.plans.reports import (
 from supplypanel.sources import editions, layout, tables
 
 MART_CSV = """NU_ANO_CENSO;TP_DIMENSAO;CO_IES;CO_CURSO;NO_CURSO;CO_CINE_ROTULO;NO_CINE_ROTULO;TP_MODALIDADE_ENSINO;TP_NIVEL_ACADEMICO;QT_CURSO;QT_VG_TOTAL;QT_INSCRITO_TOTAL;QT_ING;QT_MAT;QT_CONC
-2024;1;10;100;Presencial;\"\"\"01\"\"\";Área A;1;1;1;100;150;60;80;20
-2024;2;10;200;EAD;02;Área B;2;1;;0;0;70;90;15
-2024;2;10;200;EAD;02;Área B;2;1;;0;0;30;40;5
-2024;3;10;200;EAD;02;Área B;2;1;1;250;300;0;0;0
-2024;4;10;300;Exterior;03;Área C;2;1;1;10;10;5;5;1
+2023;3;77;9;Têxtil a distância;T9;Fibras;2;1;1;64;31;0;0;0
+2023;2;77;9;Têxtil a distância;T9;Fibras;2;1;;0;0;11;29;3
+2023;2;77;9;Têxtil a distância;T9;Fibras;2;1;;0;0;5;8;1
+2023;1;77;4;Ótica;\"\"\"O4\"\"\";Lentes e ótica;1;1;1;18;40;12;33;7
+2023;4;77;9;Fora;T9;Fibras;2;1;1;999;999;99;99;99
+2023;2;78;5;Música;M5;Sons;2;1;;0;0;2;6;0
 """
 
 
 @pytest.fixture(scope="module")
 def mart_file(tmp_path_factory):
     folder = tmp_path_factory.mktemp("edition")
-    path = folder / "MICRODADOS_CADASTRO_CURSOS_2024.CSV"
+    path = folder / "MICRODADOS_CADASTRO_CURSOS_2023.CSV"
     path.write_text(MART_CSV, encoding="latin-1")
-    (folder / "~$MICRODADOS_CADASTRO_CURSOS_2024.CSV").write_text("lock", encoding="latin-1")
-    (folder / "MICRODADOS_CADASTRO_IES_2024.csv").write_text(
-        "NU_ANO_CENSO;CO_IES\n2024;10\n", encoding="latin-1"
+    (folder / "~$MICRODADOS_CADASTRO_CURSOS_2023.CSV").write_text("lock", encoding="latin-1")
+    (folder / "MICRODADOS_CADASTRO_IES_2023.csv").write_text(
+        "NU_ANO_CENSO;CO_IES\n2023;77\n2023;78\n", encoding="latin-1"
     )
     return str(path)
 
@@ -35,8 +36,8 @@ def mart_file(tmp_path_factory):
 def test_edition_is_text_with_quotes_and_accents(spark, mart_file):
     table = editions.read_edition(spark, mart_file)
     assert {t for _, t in table.dtypes} == {"string"}
-    first = table.where("CO_CURSO = '100'").first()
-    assert (first.CO_CINE_ROTULO, first.NO_CINE_ROTULO) == ('"01"', "Área A")
+    first = table.where("CO_CURSO = '4'").first()
+    assert (first.CO_CINE_ROTULO, first.NO_CINE_ROTULO) == ('"O4"', "Lentes e ótica")
     assert editions.read_edition(spark, mart_file, ["CO_IES"]).columns == ["CO_IES"]
 
 
@@ -49,27 +50,27 @@ def test_written_edition_reads_back(spark, mart_file, tmp_path):
 
 def test_mart_of_an_edition(spark, mart_file):
     mart = mvp_course_mart(editions.read_edition(spark, mart_file)).cache()
-    assert mart.count() == 2
-    distance = mart.where("tp_modalidade_ensino = 2").first()
-    assert (distance.qt_vg_total, distance.qt_ing, distance.qt_mat) == (250, 100, 130)
-    assert distance.seat_occupancy_rate == 0.4
+    assert mart.count() == 3
+    distance = mart.where("co_curso = 9").first()
+    assert (distance.qt_vg_total, distance.qt_ing, distance.qt_mat) == (64, 11 + 5, 29 + 8)
+    assert distance.seat_occupancy_rate == 16 / 64
     assert mvp_overview(mart).first().unique_key
     assert mvp_by_modality(mart).count() == 2
 
 
 def test_mart_falls_back_to_student_labels_and_tolerates_text(spark, mart_file):
-    table = editions.read_edition(spark, mart_file).where("TP_DIMENSAO = '2'")
+    table = editions.read_edition(spark, mart_file).where("CO_CURSO = '5'")
     row = mvp_course_mart(table.withColumn("QT_CONC", F.lit("n/d"))).first()
-    assert (row.no_curso, row.qt_conc, row.qt_vg_total) == ("EAD", 0, None)
+    assert (row.no_curso, row.qt_conc, row.qt_vg_total) == ("Música", 0, None)
     assert row.missing_capacity_component and not row.missing_student_component
 
 
 def test_files_of_a_folder(spark, mart_file):
     folder = mart_file.rsplit("/", 1)[0]
     files = {(r.kind, r.year) for r in editions.edition_files(spark, folder).collect()}
-    assert files == {("cursos", 2024), ("ies", 2024)}
+    assert files == {("cursos", 2023), ("ies", 2023)}
     chosen = editions.select_edition_files(spark, folder)
-    assert chosen["cursos"].endswith("CURSOS_2024.CSV") and chosen["ies"].endswith("IES_2024.csv")
+    assert chosen["cursos"].endswith("CURSOS_2023.CSV") and chosen["ies"].endswith("IES_2023.csv")
 
 
 def test_two_course_files_are_refused(spark, tmp_path):
@@ -88,7 +89,7 @@ def test_a_package_has_one_year(spark, tmp_path):
 
 def test_file_profile(spark, mart_file):
     row = editions.profile_files(spark, [mart_file]).first()
-    assert (row.data_row_count, row.column_count, row.columns[0]) == (5, 15, "NU_ANO_CENSO")
+    assert (row.data_row_count, row.column_count, row.columns[0]) == (6, 15, "NU_ANO_CENSO")
 
 
 def test_edition_names():
@@ -105,30 +106,28 @@ def test_edition_names():
 # --- Layouts ------------------------------------------------------------------------
 
 LAYOUTS = {
-    2020: {"cursos": ["NU_ANO_CENSO", "CO_CURSO", "CO_CINE_ROTULO2"], "ies": ["NU_ANO_CENSO", "CO_IES"]},
-    2021: {
-        "cursos": ["NU_ANO_CENSO", "CO_CURSO", "CO_CINE_ROTULO", "CO_PROJETO"],
-        "ies": ["NU_ANO_CENSO", "CO_IES"],
-    },
-    2022: {"cursos": ["NU_ANO_CENSO", "CO_CURSO", "CO_CINE_ROTULO"], "ies": ["NU_ANO_CENSO", "CO_IES"]},
+    2016: {"cursos": ["QT_MAT", "CO_CINE_ROTULO2", "TP_REDE", "NU_TURMAS"], "ies": ["CO_IES", "SG_IES", "NO_IES"]},
+    2017: {"cursos": ["TP_REDE", "QT_MAT", "CO_CINE_ROTULO"], "ies": ["NO_IES", "CO_IES", "SG_IES"]},
+    2018: {"cursos": ["CO_CINE_ROTULO", "TP_REDE", "QT_MAT", "IN_NOVO"], "ies": ["SG_IES", "CO_IES", "NO_IES"]},
+    2019: {"cursos": ["QT_MAT", "TP_REDE", "CO_CINE_ROTULO"], "ies": ["CO_IES", "SG_IES", "NO_IES", "IN_POLO"]},
 }
 
 
 def test_common_and_single_columns(spark):
     layouts = layout.layout_table(spark, LAYOUTS)
     common = [r.column_name for r in layout.common_columns(layouts, "cursos").collect()]
-    assert common == ["NU_ANO_CENSO", "CO_CURSO", "CO_CINE_ROTULO"]
+    assert common == ["QT_MAT", "TP_REDE", "CO_CINE_ROTULO"]  # in the newest edition's order
     single = {r.year: r.columns for r in layout.single_edition_columns(layouts, "cursos").collect()}
-    assert single == {2020: [], 2021: ["CO_PROJETO"], 2022: []}
+    assert single == {2016: ["NU_TURMAS"], 2017: [], 2018: ["IN_NOVO"], 2019: []}
     drift = layout.layout_drift(layouts)
-    assert drift.where("kind = 'ies' and common_column_count = 2").count() == 3
+    assert drift.where("kind = 'ies' and common_column_count = 3").count() == 4
 
 
 def test_missing_table(spark):
-    broken = {**LAYOUTS, 2023: {"cursos": ["NU_ANO_CENSO"]}}
+    broken = {**LAYOUTS, 2022: {"cursos": ["QT_MAT"]}}
     layouts = layout.layout_table(spark, broken)
-    assert [r.year for r in layout.missing_tables(layouts, "ies").collect()] == [2023]
-    with pytest.raises(ValueError, match="2023"):
+    assert [r.year for r in layout.missing_tables(layouts, "ies").collect()] == [2022]
+    with pytest.raises(ValueError, match="2022"):
         layout.require_tables(layouts, "ies")
     assert layout.require_tables(layouts, "cursos") is layouts
 
@@ -170,20 +169,21 @@ def test_quality_profile(spark):
         "nu_ano_censo tp_dimensao co_regiao co_uf co_municipio co_ies co_curso tp_modalidade_ensino "
         "tp_nivel_academico tp_grau_academico qt_curso qt_vg_total qt_inscrito_total qt_ing qt_mat qt_conc"
     ).split()
+    # On site with everything; distance students in a town; a national offer without place or graduates; a repeat abroad.
     rows = [
-        "2024 1 3 35 3550308 1 10 1 1 1 1 20 30 10 40 5".split(),
-        "2024 2 3 35 3550308 1 20 2 1 1 0 0 0 8 30 4".split(),
-        "2024 3    1 20 2 1 1 1 100 50 0 0".split(" ") + [""],
+        ["2019", "1", "1", "12", "77", "5", "6", "1", "1", "2", "1", "25", "44", "19", "61", "8"],
+        ["2019", "2", "1", "12", "77", "5", "7", "2", "1", "2", "0", "0", "0", "3", "13", "2"],
+        ["2019", "3", "", "", "", "5", "7", "2", "1", "2", "1", "70", "21", "0", "0", ""],
+        ["2019", "2", "1", "12", "77", "5", "7", "2", "1", "2", "0", "0", "0", "4", "9", "0"],
     ]
     raw = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
     profile = edition_profile(raw).first()
-    assert (profile.row_count, profile.candidate_key_is_unique, profile.null_co_uf) == (3, True, 1)
+    assert (profile.row_count, profile.candidate_key_is_unique, profile.null_co_uf) == (4, False, 1)
     by_dimension = {r.dimension: r for r in dimension_profile(raw).collect()}
-    assert by_dimension[1].vg_total_sum == 20 and by_dimension[2].ing_sum == 8
+    assert by_dimension[1].vg_total_sum == 25 and by_dimension[2].ing_sum == 3 + 4
     assert by_dimension[3].geography_complete_row_count == 0
     assert by_dimension[3].conc_non_null == 0 and by_dimension[3].conc_non_zero == 1
-    assert by_dimension[3].label == "ead_oferta_nacional"
-    assert academic_level_counts(raw).first().row_count == 3
+    assert academic_level_counts(raw).first().row_count == 4
 
 
 def test_bad_text_fails_in_staging(spark):
