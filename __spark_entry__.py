@@ -37,10 +37,8 @@ except ModuleNotFoundError as missing:
     corpus_pipeline = text_queries = None
 
 FIRST, LAST = census.FIRST_YEAR, census.LAST_YEAR
-YEARS = range(FIRST, LAST + 1)
 LEAK_CUT = 1998
 CALIBRATION_YEAR = census.TRAIN_YEARS[1]
-BOOSTING_ITERATIONS = 20  # the library's default is 300
 
 # --- Inputs ---------------------------------------------------------------------
 
@@ -162,13 +160,18 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 10) -> DataFrame:
 # --- Editions as files --------------------------------------------------------------
 
 
-def _edition_source(spark, folder, year):
-    """One edition's rows, from a raw table split by year in a single scan."""
+def _raw_by_year(spark, folder):
+    """The raw table split by year in a single scan."""
     table = _name(spark, folder, "raw_by_year")
-    raw = _once(
+    return _once(
         spark, table,
         lambda: tables.materialize(_raw(spark, folder), table, partition="nu_ano_censo"),
     )
+
+
+def _edition_source(spark, folder, year):
+    """One edition's rows."""
+    raw = _raw_by_year(spark, folder)
     return census.as_edition(raw.where(F.col("nu_ano_censo") == str(year)), year)
 
 
@@ -182,13 +185,19 @@ def _edition(spark, folder, year):
     return path, editions.read_edition(spark, path)
 
 
+def _years(spark, folder):
+    """The years that the raw table holds, which are its partitions."""
+    years = _raw_by_year(spark, folder).select("nu_ano_censo").distinct().collect()
+    return sorted(int(r.nu_ano_censo) for r in years)
+
+
 def _editions(spark, folder):
-    return {year: _edition(spark, folder, year)[1] for year in YEARS}
+    return {year: _edition(spark, folder, year)[1] for year in _years(spark, folder)}
 
 
 def _layouts(spark, folder):
     """Layout rows from the headers of the edition files, with their row counts."""
-    paths = [_edition(spark, folder, year)[0] for year in YEARS]
+    paths = [_edition(spark, folder, year)[0] for year in _years(spark, folder)]
     name = F.element_at(F.split("path", "/"), -1)
     return editions.profile_files(spark, paths).select(
         editions.edition_year(name).alias("year"),
@@ -210,7 +219,7 @@ def edition_file_profile(spark, folder):
 def edition_file_selection(spark, folder):
     """CSV parts per edition folder, by kind and year; each holds some rows."""
     found = []
-    for year in YEARS:
+    for year in _years(spark, folder):
         path, _ = _edition(spark, folder, year)
         found.append(
             editions.edition_files(spark, path).agg(F.count(F.lit(1)).alias("files")).select(
@@ -252,14 +261,14 @@ def layout_drift(spark, folder):
 def dictionary_diff(spark, folder):
     """Every edition's header against the newest edition's as the dictionary."""
     rows = _layout_rows(spark, folder)
-    newest = rows.where(F.col("year") == LAST).select("kind", F.col("column_name").alias("variable"))
+    newest = rows.where(F.col("year") == max(_years(spark, folder))).select("kind", F.col("column_name").alias("variable"))
     return layout.dictionary_diff(rows, newest)
 
 
 def control_match(spark, folder):
     """Edition files against fingerprints of the tables they were written from."""
     manifest, control = [], []
-    for year in YEARS:
+    for year in _years(spark, folder):
         source = _edition_source(spark, folder, year)
         source = source.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in source.columns])
         manifest.append(comparison.fingerprint(_edition(spark, folder, year)[1], f"cursos_{year}"))
@@ -381,7 +390,7 @@ def reference_model_evaluation(spark, folder):
 
 def comparison_model_evaluation(spark, folder):
     train, test = _split(spark, folder)
-    model = models.fit_comparison_model(train, max_iter=BOOSTING_ITERATIONS)
+    model = models.fit_comparison_model(train)
     return metrics.evaluate(model.score(test), experiment.COMPARISON, risk.TEST)
 
 
@@ -420,15 +429,11 @@ def highest_risk(spark, folder):
 
 
 def _stability(spark, folder, section):
-    return experiment.rolling_stability(_training(spark, folder), window=1)[section]
+    return experiment.rolling_stability(_training(spark, folder))[section]
 
 
 def experiment_evaluations(spark, folder):
-    sections = experiment.run_experiment(
-        _training(spark, folder), CALIBRATION_YEAR, window=1,
-        boosting_iterations=BOOSTING_ITERATIONS,
-    )
-    return sections["evaluations"]
+    return experiment.run_experiment(_training(spark, folder), CALIBRATION_YEAR)["evaluations"]
 
 
 def audit_list(spark, folder):
@@ -456,9 +461,9 @@ def staging_checks(spark, folder):
 
 
 def persistence_checks(spark, folder):
-    newest = staging.stage_courses(_raw(spark, folder), single_edition=True).where(
-        F.col("census_year") == LAST
-    )
+    # The edition's own partition, not a filter on a cast over all editions.
+    edition = _raw_by_year(spark, folder).where(F.col("nu_ano_censo") == str(LAST))
+    newest = staging.stage_courses(edition, single_edition=True)
     return checks.persistence_checks(
         _supply(spark, folder), _snapshot(spark, folder), mart.course_supply(newest),
         _panel(spark, folder), _persistence(spark, folder), FIRST, LAST,

@@ -11,7 +11,7 @@ import re
 
 FIRST, LAST = 1995, 2001
 ZERO_FROM = 1998
-TRAIN, TEST = (1997, 1998), (1999, 1999)
+TRAIN, TEST = (1995, 1998), (1999, 1999)
 
 PARTS: dict[str, str] = {}
 
@@ -59,7 +59,6 @@ SELECT CAST(y.year AS VARCHAR) AS nu_ano_censo, CAST(s_suppkey AS VARCHAR) AS co
        CAST(s_suppkey % 1000 AS VARCHAR) AS co_municipio_ies, n_name AS sg_uf_ies
 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 CROSS JOIN (SELECT unnest(range({FIRST}, {LAST + 1})) AS year) AS y
-WHERE s_suppkey % 10 <> 0
 """
 
 _COURSE_TYPES = [
@@ -163,8 +162,8 @@ SELECT a.institution_id, a.course_id, a.teaching_modality, a.census_year AS refe
             WHEN b.census_year IS NULL THEN TRUE
             WHEN a.enrollments > 0 THEN b.enrollments < a.enrollments * 0.5 END AS deteriorated
 FROM supply AS a LEFT JOIN supply AS b
-  ON (a.institution_id, a.course_id, a.teaching_modality, a.census_year + 2)
-   = (b.institution_id, b.course_id, b.teaching_modality, b.census_year)
+  ON a.institution_id = b.institution_id AND a.course_id = b.course_id
+ AND a.teaching_modality = b.teaching_modality AND a.census_year + 2 = b.census_year
 """
 PARTS["inst_year"] = """
 SELECT institution_id, census_year, count(*) AS institution_offer_count,
@@ -437,7 +436,7 @@ def _with(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    listed = ",\n".join(f"{n} AS (\n{PARTS[n].strip()}\n)" for n in needed)
+    listed = ",\n".join(f"{n} AS MATERIALIZED (\n{PARTS[n].strip()}\n)" for n in needed)
     return f"WITH {listed}\n{sql}"
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from supplypanel.model.models import (
 )
 from supplypanel.operators.comparison import jaccard
 from supplypanel.plans.risk import TEST, TRAIN
-from supplypanel.sources.tables import written
+from supplypanel.sources.tables import settled
 
 # The names under which the models report.
 REFERENCE, COMPARISON = "regressao_logistica", "gradient_boosting"
@@ -30,9 +29,9 @@ def _years(rows: DataFrame) -> list[int]:
     return sorted(r.reference_year for r in rows.select("reference_year").distinct().collect())
 
 
-def _kept(scored: DataFrame, name: str) -> DataFrame:
-    """Keys, score and label as a written table: every metric reads them again."""
-    return written(scored.select(*ROW_KEYS, "score", "label"), f"scored_{uuid4().hex}_{name}")
+def _kept(scored: DataFrame) -> DataFrame:
+    """Keys, score and label, computed once: every metric reads them again."""
+    return settled(scored.select(*ROW_KEYS, "score", "label"))
 
 
 def calibrated_pair(train: DataFrame, calibration_year: int):
@@ -66,7 +65,7 @@ def run_experiment(
         train, max_iter=boosting_iterations, preparation=reference.preparation
     )
     scored = {
-        (name, split): _kept(model.score(rows), f"{name}_{split}")
+        (name, split): _kept(model.score(rows))
         for name, model in ((REFERENCE, reference), (COMPARISON, comparison))
         for split, rows in ((TRAIN, train), (TEST, test))
     }
@@ -79,7 +78,7 @@ def run_experiment(
     pair = calibrated_pair(train, calibration_year)
     if pair:
         for name, model in zip((SHORT_FIT, CALIBRATED), pair):
-            scored[name, TEST] = _kept(model.score(test), f"{name}_{TEST}")
+            scored[name, TEST] = _kept(model.score(test))
         sections["base_calibration"] = calibration_table(scored[SHORT_FIT, TEST])
         sections["calibrated_calibration"] = calibration_table(scored[CALIBRATED, TEST])
     scored[SCALE_ONLY, TEST] = scale_scores(test)
@@ -108,7 +107,7 @@ def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -
     for chosen in windows:
         label = f"{chosen[0]}-{chosen[-1]}"
         model = fit_reference_model(train.where(F.col("reference_year").isin(chosen)))
-        scored = _kept(model.score(test), label)
+        scored = _kept(model.score(test))
         at_k = precision_at_k(scored, label, TEST, (top_k,)).select("precision")
         metrics.append(
             evaluate(scored, label, TEST).select(

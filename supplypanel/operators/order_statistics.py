@@ -14,13 +14,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_SLICES = 1024
+from supplypanel.sources.tables import settled
 
+#: Histogram rows that one slice should hold.
+SLICE_ROWS = 1_000_000
 
-def slice_count(histogram: DataFrame) -> int:
-    """As many slices as the session has shuffle partitions."""
-    partitions = int(histogram.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(partitions, MAX_SLICES))
+
+def slice_count(rows: int) -> int:
+    """Slices of about ``SLICE_ROWS``, so that a task's share does not grow with the data."""
+    return max(2, -(-rows // SLICE_ROWS))
 
 
 def _cut_points(value: str, slices: int) -> Column:
@@ -61,7 +63,9 @@ def running_totals(
     chooses the joins from the sizes it meets.
     """
     groups = list(groups)
-    slices = slice_count(histogram)
+    # Counted, cut and ranked from one computation of whatever lies below.
+    histogram = settled(histogram)
+    slices = slice_count(histogram.count())
     hint = F.broadcast if few_groups or not groups else lambda table: table
     if groups:
         cuts = histogram.groupBy(*groups).agg(_cut_points(value, slices).alias("_cuts"))

@@ -51,8 +51,9 @@ def lagged_completion(snapshot: DataFrame, lags=LAGS, min_entrants: int = MIN_EN
 def lagged_completion_summary(completion: DataFrame) -> DataFrame:
     """Eligible offers by year, modality and lag; the median is exact.
 
-    The groups are few and huge, so the median is taken from a distributed
-    histogram instead of inside one task per group.
+    There are years x modalities x lags groups, a few hundred, each huge: their
+    cut points are broadcast and the median comes from a histogram that is
+    spread over slices of each group, not from one task per group.
     """
     groups = ["census_year", "teaching_modality", "lag_years"]
     eligible = completion.where("is_eligible")
@@ -63,7 +64,9 @@ def lagged_completion_summary(completion: DataFrame) -> DataFrame:
         safe_ratio(F.sum("graduates"), F.sum("lagged_entrants")).alias("aggregate_completion_ratio"),
         safe_ratio(F.count_if("exceeds_one"), F.count(F.lit(1))).alias("exceeds_one_share"),
     )
-    median = grouped_median(eligible, groups, "lagged_completion_ratio", "median_offer_ratio")
+    median = grouped_median(
+        eligible, groups, "lagged_completion_ratio", "median_offer_ratio", few_groups=True
+    )
     return totals.join(median, groups, "left").select(
         *groups, "eligible_offers", "graduates", "lagged_entrants", "aggregate_completion_ratio",
         "median_offer_ratio", "exceeds_one_share",

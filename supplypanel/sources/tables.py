@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
-
-    Only a local session may go without: it gets a temporary folder.
-    """
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return _LOCAL_FOLDERS.setdefault(
-        spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="supplypanel-")
-    )
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return folder.rstrip("/") if folder else f"{warehouse}/shared"
 
 
 def app_folder(spark: SparkSession, name: str) -> str:
@@ -29,6 +16,18 @@ def app_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows as a checkpoint in the shared folder: read again instead of computed again.
+
+    Spark removes it with the DataFrame where
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
+    return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows once and reads them back: later plans start here."""
     spark = df.sparkSession
@@ -58,7 +57,8 @@ def materialize(
         writer.option("path", app_folder(spark, table)).saveAsTable(table)
     if cluster:
         ordered = ordered.repartition(buckets, *cluster)
-    ordered.write.insertInto(table, overwrite=True)
+    # The whole table, whatever the session's partition overwrite mode.
+    ordered.write.option("partitionOverwriteMode", "static").insertInto(table, overwrite=True)
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
     return spark.table(table)
 
