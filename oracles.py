@@ -602,24 +602,25 @@ def all_queries() -> dict[str, str]:
     total = {c: f"CAST(coalesce(sum({c}), 0) AS BIGINT)" for c in
              ("qt_vg_total", "qt_inscrito_total", "qt_ing", "qt_mat", "qt_conc")}
     sql["mvp_by_modality"] = f"""
-        SELECT tp_modalidade_ensino AS modality_code, count(*) AS course_offerings,
+        SELECT nu_ano_censo AS census_year, tp_modalidade_ensino AS modality_code, count(*) AS course_offerings,
                count(DISTINCT co_ies) AS institutions, {total['qt_vg_total']} AS offered_seats,
                {total['qt_inscrito_total']} AS applications, {total['qt_ing']} AS entrants,
                {total['qt_mat']} AS enrollments, {total['qt_conc']} AS graduates,
                round({_ratio(total['qt_ing'], total['qt_vg_total'])}, 6) AS weighted_seat_occupancy_rate,
                round({_ratio(total['qt_conc'], total['qt_mat'])}, 6) AS graduation_intensity
-        FROM mvp GROUP BY tp_modalidade_ensino"""
+        FROM mvp GROUP BY nu_ano_censo, tp_modalidade_ensino"""
     sql["mvp_concentration"] = f"""
-        SELECT institution_id, institution_name, round(hhi, 6) AS enrollment_hhi, course_count,
+        SELECT census_year, institution_id, institution_name, round(hhi, 6) AS enrollment_hhi, course_count,
                CAST(enrollments AS BIGINT) AS enrollments
-        FROM (SELECT co_ies AS institution_id, count(*) AS course_count, sum(e) AS enrollments,
-                     sum(power(e / CAST(total AS DOUBLE), 2)) AS hhi
-              FROM (SELECT co_ies, co_curso, coalesce(sum(qt_mat), 0) AS e,
-                           sum(coalesce(sum(qt_mat), 0)) OVER (PARTITION BY co_ies) AS total
-                    FROM mvp GROUP BY co_ies, co_curso)
-              WHERE total > 0 GROUP BY co_ies)
+        FROM (SELECT nu_ano_censo AS census_year, co_ies AS institution_id, count(*) AS course_count,
+                     sum(e) AS enrollments, sum(power(e / CAST(total AS DOUBLE), 2)) AS hhi
+              FROM (SELECT nu_ano_censo, co_ies, co_curso, coalesce(sum(qt_mat), 0) AS e,
+                           sum(coalesce(sum(qt_mat), 0)) OVER (PARTITION BY nu_ano_censo, co_ies) AS total
+                    FROM mvp GROUP BY nu_ano_censo, co_ies, co_curso)
+              WHERE total > 0 GROUP BY nu_ano_censo, co_ies)
         LEFT JOIN names USING (institution_id)
-        WHERE course_count >= 5 AND enrollments >= 1000 ORDER BY hhi DESC, institution_id LIMIT 10"""
+        WHERE course_count >= 5 AND enrollments >= 1000
+        QUALIFY row_number() OVER (PARTITION BY census_year ORDER BY round(hhi, 9) DESC, institution_id) <= 10"""
     sql["mvp_idle"] = """
         SELECT m.nu_ano_censo AS census_year, m.co_ies AS institution_id, n.institution_name,
                m.co_curso AS course_id, m.no_curso AS course_name, m.tp_modalidade_ensino AS modality_code,
@@ -627,7 +628,8 @@ def all_queries() -> dict[str, str]:
                round(m.seat_occupancy_rate, 6) AS seat_occupancy_rate, m.unconverted_seat_capacity
         FROM mvp AS m LEFT JOIN names AS n ON n.institution_id = m.co_ies
         WHERE m.qt_vg_total >= 100 AND m.seat_occupancy_rate IS NOT NULL
-        ORDER BY m.unconverted_seat_capacity DESC NULLS LAST, 1, 2, 4, 6 LIMIT 10"""
+        QUALIFY row_number() OVER (PARTITION BY m.nu_ano_censo ORDER BY m.unconverted_seat_capacity DESC NULLS LAST,
+            m.co_ies, m.co_curso, m.tp_modalidade_ensino) <= 10"""
     sql["mvp_overview"] = f"""
         SELECT count(*) AS row_count, count(*) = count(DISTINCT ({_RKEY})) AS unique_key,
                count(*) FILTER (missing_capacity_component) AS missing_capacity,
@@ -639,7 +641,7 @@ def all_queries() -> dict[str, str]:
         for m in measures
     )
     sql["dimension_profile"] = f"""
-        SELECT tp_dimensao AS dimension, count(*) AS row_count,
+        SELECT nu_ano_censo AS census_year, tp_dimensao AS dimension, count(*) AS row_count,
                count(co_regiao + co_uf + co_municipio) AS geography_complete_row_count,
                count(DISTINCT co_ies) AS distinct_ies_count, count(DISTINCT co_curso) AS distinct_course_count,
                string_agg(DISTINCT CAST(tp_modalidade_ensino AS VARCHAR), ',' ORDER BY CAST(tp_modalidade_ensino AS VARCHAR)) AS modalities,
@@ -648,18 +650,20 @@ def all_queries() -> dict[str, str]:
                CASE tp_dimensao WHEN 1 THEN 'presencial_brasil' WHEN 2 THEN 'ead_alunos_por_localidade_brasil'
                     WHEN 3 THEN 'ead_oferta_nacional' WHEN 4 THEN 'ead_instituicoes_brasileiras_exterior'
                     ELSE 'categoria_desconhecida' END AS label
-        FROM raw_num GROUP BY tp_dimensao"""
+        FROM raw_num GROUP BY nu_ano_censo, tp_dimensao"""
     profiled = [c for c, _, t in _COURSE_TYPES if t != "VARCHAR" and c not in
                 ("tp_rede", "tp_categoria_administrativa", "tp_organizacao_academica")]
     nulls = ", ".join(f"count(*) - count({c}) AS null_{c}" for c in profiled)
     sql["edition_profile"] = f"""
-        SELECT count(*) AS row_count, CAST(count(*) FILTER (same > 1) AS BIGINT) AS rows_in_duplicated_candidate_key,
+        SELECT nu_ano_censo AS census_year, count(*) AS row_count,
+               CAST(count(*) FILTER (same > 1) AS BIGINT) AS rows_in_duplicated_candidate_key,
                count(*) FILTER (same > 1) = 0 AS candidate_key_is_unique, {nulls}
-        FROM (SELECT *, count(*) OVER (PARTITION BY tp_dimensao, co_ies, co_curso, co_municipio, tp_modalidade_ensino) AS same
-              FROM raw_num)"""
+        FROM (SELECT *, count(*) OVER (
+                  PARTITION BY nu_ano_censo, tp_dimensao, co_ies, co_curso, co_municipio, tp_modalidade_ensino) AS same
+              FROM raw_num) GROUP BY nu_ano_censo"""
     sql["academic_level_counts"] = """
-        SELECT CAST(tp_nivel_academico AS INTEGER) AS academic_level, count(*) AS row_count
-        FROM raw_num WHERE tp_nivel_academico IS NOT NULL GROUP BY 1"""
+        SELECT nu_ano_censo AS census_year, CAST(tp_nivel_academico AS INTEGER) AS academic_level, count(*) AS row_count
+        FROM raw_num WHERE tp_nivel_academico IS NOT NULL GROUP BY 1, 2"""
 
     # Checks
     sql["mart_checks"] = _all(

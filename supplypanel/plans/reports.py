@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from supplypanel.functions.columns import dimension_label, lenient, safe_ratio
 from supplypanel.operators.concentration import herfindahl, running_share
-from supplypanel.operators.reconcile import duplicate_keys
+from supplypanel.operators.ranking import top_per_group
 from supplypanel.plans.mart import RAW_KEYS, RAW_STUDENTS, RAW_CAPACITY
 
 CONCENTRATION_POSITIONS = (1, 5, 10, 20, 50)
@@ -90,13 +90,15 @@ def capacity_totals(snapshot: DataFrame, year: int) -> DataFrame:
 
 
 def mvp_by_modality(mart: DataFrame) -> DataFrame:
-    """Size, occupancy and graduation intensity of each modality."""
+    """Size, occupancy and graduation intensity of each modality of an edition."""
 
     def total(column):  # an all-null sum is zero here
         return F.coalesce(F.sum(column), F.lit(0))
 
     return (
-        mart.groupBy(F.col("tp_modalidade_ensino").alias("modality_code"))
+        mart.groupBy(
+            F.col("nu_ano_censo").alias("census_year"), F.col("tp_modalidade_ensino").alias("modality_code")
+        )
         .agg(
             F.count(F.lit(1)).alias("course_offerings"),
             F.countDistinct("co_ies").alias("institutions"),
@@ -112,7 +114,7 @@ def mvp_by_modality(mart: DataFrame) -> DataFrame:
                 "graduation_intensity": F.round(safe_ratio("graduates", "enrollments"), 6),
             }
         )
-        .orderBy("modality_code")
+        .orderBy("census_year", "modality_code")
     )
 
 
@@ -126,42 +128,43 @@ def _named(ranked: DataFrame, institutions: DataFrame | None, key: str) -> DataF
 
 
 def mvp_concentration(mart: DataFrame, institutions: DataFrame | None = None, top: int = 10) -> DataFrame:
-    """The most concentrated institutions with enough courses and students."""
-    courses = mart.groupBy("co_ies", "co_curso").agg(
+    """Each edition's most concentrated institutions with enough courses and students."""
+    courses = mart.groupBy("nu_ano_censo", "co_ies", "co_curso").agg(
         F.coalesce(F.sum("qt_mat"), F.lit(0)).alias("qt_mat")
     )
     ranked = (
-        courses.groupBy(F.col("co_ies").alias("institution_id"))
+        courses.groupBy(
+            F.col("nu_ano_censo").alias("census_year"), F.col("co_ies").alias("institution_id")
+        )
         .agg(
             herfindahl("qt_mat").alias("enrollment_hhi"),
             F.count(F.lit(1)).alias("course_count"),
             F.sum("qt_mat").alias("enrollments"),
         )
         .where("course_count >= 5 and enrollments >= 1000")
-        .orderBy(F.desc_nulls_last("enrollment_hhi"), "institution_id")
-        .limit(top)
+    )
+    ranked = top_per_group(
+        ranked, ["census_year"],
+        [F.round("enrollment_hhi", 9).desc_nulls_last(), F.col("institution_id")], top,
     )
     return (
         _named(ranked, institutions, "institution_id")
         .select(
-            "institution_id", "institution_name", F.round("enrollment_hhi", 6).alias("enrollment_hhi"),
-            "course_count", "enrollments",
+            "census_year", "institution_id", "institution_name",
+            F.round("enrollment_hhi", 6).alias("enrollment_hhi"), "course_count", "enrollments",
         )
-        .orderBy(F.desc("enrollment_hhi"), "institution_id")
+        .orderBy("census_year", F.desc("enrollment_hhi"), "institution_id")
     )
 
 
 def mvp_idle(mart: DataFrame, institutions: DataFrame | None = None, top: int = 10) -> DataFrame:
-    """The offers with most seats left, among those of some size."""
+    """Each edition's offers with most seats left, among those of some size."""
     order = [
         F.desc_nulls_last("unconverted_seat_capacity"), "nu_ano_censo", "co_ies", "co_curso",
         "tp_modalidade_ensino",
     ]
-    ranked = (
-        mart.where((F.col("qt_vg_total") >= 100) & F.col("seat_occupancy_rate").isNotNull())
-        .orderBy(*order)
-        .limit(top)
-    )
+    sized = mart.where((F.col("qt_vg_total") >= 100) & F.col("seat_occupancy_rate").isNotNull())
+    ranked = top_per_group(sized, ["nu_ano_censo"], order, top)
     return (
         _named(ranked, institutions, "co_ies")
         .orderBy(*order)
@@ -218,7 +221,7 @@ def _profiled(raw: DataFrame) -> DataFrame:
 
 
 def dimension_profile(raw: DataFrame) -> DataFrame:
-    """Control counts and sums of each dimension.
+    """Control counts and sums of each dimension of an edition.
 
     ``non_zero`` counts nulls too: a missing value is not equal to zero.
     """
@@ -235,54 +238,61 @@ def dimension_profile(raw: DataFrame) -> DataFrame:
         F.col("co_regiao").isNotNull() & F.col("co_uf").isNotNull() & F.col("co_municipio").isNotNull()
     )
 
-    def codes(column):  # small code domains, listed in order
-        return F.array_join(F.array_sort(F.collect_set(column)), ",")
-
-    # Counted from their own distinct pairs: several distinct counts in one
-    # aggregation would multiply every row and carry all measures along.
-    def distinct(column, name):
-        return (
-            rows.select("tp_dimensao", column).distinct()
-            .groupBy(F.col("tp_dimensao").alias("dimension"))
-            .agg(F.count(column).alias(name))
-        )
-
+    # One scan: partial counts per institution and course, from which both the
+    # distinct counts and the totals of a dimension follow.
     rows = _profiled(raw)
-    counted = rows.groupBy(F.col("tp_dimensao").alias("dimension")).agg(
+    code_columns = {"modalities": "tp_modalidade_ensino", "academic_levels": "tp_nivel_academico"}
+    offers = rows.groupBy("nu_ano_censo", "tp_dimensao", "co_ies", "co_curso").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(located).alias("geography_complete_row_count"),
-        codes("tp_modalidade_ensino").alias("modalities"),
-        codes("tp_nivel_academico").alias("academic_levels"),
+        *[F.collect_set(column).alias(name) for name, column in code_columns.items()],
         *per_measure,
     )
-    for column, name in (("co_ies", "distinct_ies_count"), ("co_curso", "distinct_course_count")):
-        other = distinct(column, name).withColumnRenamed("dimension", "_dimension")
-        counted = counted.join(other, F.col("dimension").eqNullSafe(F.col("_dimension"))).drop("_dimension")
-    return counted.withColumn("label", dimension_label("dimension")).orderBy("dimension")
+    added = [
+        "row_count", "geography_complete_row_count",
+        *[f"{m.removeprefix('qt_')}_{kind}" for m in measures for kind in ("non_null", "non_zero", "sum")],
+    ]
+
+    def codes(name):  # small code domains, listed in order
+        sets = F.flatten(F.collect_set(name))
+        return F.array_join(F.array_sort(F.array_distinct(sets)), ",").alias(name)
+
+    return (
+        offers.groupBy(F.col("nu_ano_censo").alias("census_year"), F.col("tp_dimensao").alias("dimension"))
+        .agg(
+            *[F.sum(name).alias(name) for name in added],
+            *[codes(name) for name in code_columns],
+            F.countDistinct("co_ies").alias("distinct_ies_count"),
+            F.countDistinct("co_curso").alias("distinct_course_count"),
+        )
+        .withColumn("label", dimension_label("dimension"))
+        .orderBy("census_year", "dimension")
+    )
 
 
 def edition_profile(raw: DataFrame) -> DataFrame:
-    """Row count, rows in a repeated key, and nulls of every profiled column."""
-    rows = _profiled(raw)
-    repeated = duplicate_keys(rows, CANDIDATE_KEY).agg(
-        F.coalesce(F.sum("row_count"), F.lit(0))
-    ).scalar()
-    counted = rows.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c in PROFILE_COLUMNS],
+    """Of each edition: row count, rows in a repeated key, and nulls of every profiled column.
+
+    Counted per candidate key and then per edition, in one scan.
+    """
+    per_key = _profiled(raw).groupBy("nu_ano_censo", *CANDIDATE_KEY).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in PROFILE_COLUMNS],
     )
-    return counted.select(
-        "row_count",
+    repeated = F.coalesce(F.sum(F.when(F.col("_rows") > 1, F.col("_rows"))), F.lit(0))
+    return per_key.groupBy(F.col("nu_ano_censo").alias("census_year")).agg(
+        F.sum("_rows").alias("row_count"),
         repeated.alias("rows_in_duplicated_candidate_key"),
         (repeated == 0).alias("candidate_key_is_unique"),
-        *[F.col(c).alias(f"null_{c}") for c in PROFILE_COLUMNS],
-    )
+        *[F.sum(f"null_{c}").alias(f"null_{c}") for c in PROFILE_COLUMNS],
+    ).orderBy("census_year")
 
 
 def academic_level_counts(raw: DataFrame) -> DataFrame:
     level = lenient("tp_nivel_academico", "int").alias("academic_level")
+    year = lenient("nu_ano_censo", "bigint").alias("census_year")
     return (
-        raw.groupBy(level).agg(F.count(F.lit(1)).alias("row_count"))
+        raw.groupBy(year, level).agg(F.count(F.lit(1)).alias("row_count"))
         .where(F.col("academic_level").isNotNull())
-        .orderBy("academic_level")
+        .orderBy("census_year", "academic_level")
     )
