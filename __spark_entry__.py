@@ -234,6 +234,19 @@ def edition_csv_supply(spark, folder):
     return mart.course_supply(staging.stage_courses(layout.union_editions(_editions(spark, folder))))
 
 
+def pruned_edition_read(spark, folder):
+    """Two columns of every edition file, and no others."""
+    found = []
+    for year in _years(spark, folder):
+        rows = editions.read_edition(spark, _edition(spark, folder, year)[0], ["CO_IES", "QT_MAT"])
+        found.append(rows.agg(
+            F.lit(year).alias("census_year"), F.count(F.lit(1)).alias("row_count"),
+            F.countDistinct("CO_IES").alias("institutions"),
+            F.coalesce(F.sum(typed("QT_MAT", "bigint")), F.lit(0)).alias("enrollments"),
+        ))
+    return metrics.union_all(found)
+
+
 def union_editions(spark, folder):
     """What the union of editions holds, year by year."""
     joined = layout.union_editions(_editions(spark, folder))
@@ -432,6 +445,16 @@ def _stability(spark, folder, section):
     return experiment.rolling_stability(_training(spark, folder))[section]
 
 
+def _signs(spark, folder, section):
+    """The sign sections over coefficients that SQL can repeat: entrants less twice the graduates of each field and year."""
+    excess = F.coalesce("entrants", F.lit(0)) - 2 * F.coalesce("graduates", F.lit(0))
+    rows = _supply(spark, folder).groupBy(
+        F.col("cine_label_code").alias("feature"), F.col("census_year").cast("string").alias("window")
+    ).agg(F.sum(excess).cast("double").alias("coefficient"))
+    listed = F.transform("coefficients", lambda x: F.concat_ws(":", x["window"], x["coefficient"].cast("long").cast("string")))
+    return experiment.sign_sections(rows)[section].withColumn("coefficients", F.array_join(listed, ","))
+
+
 def experiment_evaluations(spark, folder):
     return experiment.run_experiment(_training(spark, folder), CALIBRATION_YEAR)["evaluations"]
 
@@ -460,6 +483,54 @@ def staging_checks(spark, folder):
     )
 
 
+def _spoilt_raw(spark, folder):
+    """Raw rows with a year gone, others wrong or blank, bad codes, and rows that stand twice."""
+    institution, course = F.col("co_ies").cast("bigint"), F.col("co_curso").cast("bigint")
+    none = F.lit(None).cast("string")
+
+    def spoilt(column, condition, value=none):
+        return F.when(condition, value).otherwise(F.col(column))
+
+    rows = _raw(spark, folder).where("nu_ano_censo <> '1997'").withColumns(
+        {
+            "nu_ano_censo": F.when(course == 3, "1990").otherwise(spoilt("nu_ano_censo", (course == 8) & (F.col("tp_dimensao") == "1"))),
+            "tp_dimensao": spoilt("tp_dimensao", institution % 4 == 1, F.lit("9")),
+            "co_cine_rotulo": spoilt("co_cine_rotulo", course % 13 == 5),
+            "tp_rede": spoilt("tp_rede", institution % 6 == 2),
+            "qt_ing": spoilt("qt_ing", institution % 5 == 3),
+            "qt_vg_total": spoilt("qt_vg_total", institution % 5 == 2),
+        }
+    )
+    return rows.unionAll(rows.where(institution % 7 == 0))
+
+
+def _spoilt_institutions(spark, folder):
+    rows = census.raw_institutions(spark, folder)
+    return rows.unionAll(rows.where(F.col("co_ies").cast("bigint") % 5 == 0))
+
+
+def spoilt_raw_checks(spark, folder):
+    return checks.raw_checks(
+        _spoilt_raw(spark, folder), _spoilt_institutions(spark, folder), FIRST, LAST,
+        census.ZERO_CONVENTION_YEAR,
+    )
+
+
+def spoilt_staging_checks(spark, folder):
+    return checks.staging_checks(
+        staging.stage_courses(_spoilt_raw(spark, folder)),
+        staging.stage_institutions(_spoilt_institutions(spark, folder)), FIRST, LAST,
+        census.ZERO_CONVENTION_YEAR,
+    )
+
+
+def spoilt_mart_checks(spark, folder):
+    supply = _supply(spark, folder)
+    modality = F.when(F.col("course_id") % 11 == 0, 9).otherwise(F.col("teaching_modality"))
+    rows = supply.withColumn("teaching_modality", modality)
+    return checks.mart_checks(rows.unionAll(rows.where("institution_id % 7 = 0")))
+
+
 def persistence_checks(spark, folder):
     # The edition's own partition, not a filter on a cast over all editions.
     edition = _raw_by_year(spark, folder).where(F.col("nu_ano_censo") == str(LAST))
@@ -510,6 +581,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edition_file_selection": edition_file_selection,
         "edition_csv_supply": edition_csv_supply,
         "union_editions": union_editions,
+        "pruned_edition_read": pruned_edition_read,
         "common_columns": common_columns,
         "layout_drift": layout_drift,
         "dictionary_diff": dictionary_diff,
@@ -602,6 +674,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Checks
         "mart_checks": lambda s, d: checks.mart_checks(_supply(s, d)),
         "raw_checks": raw_checks,
+        "spoilt_mart_checks": spoilt_mart_checks,
+        "spoilt_raw_checks": spoilt_raw_checks,
+        "spoilt_staging_checks": spoilt_staging_checks,
         "staging_checks": staging_checks,
         "persistence_checks": persistence_checks,
         "feature_checks": feature_checks,
@@ -624,6 +699,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stability_windows": lambda s, d: _stability(s, d, "stability_windows"),
         "stability_overlap": lambda s, d: _stability(s, d, "stability_overlap"),
         "stability_coefficients": lambda s, d: _stability(s, d, "stability_coefficients"),
+        "sign_flipping_features": lambda s, d: _signs(s, d, "sign_flipping_features"),
+        "sign_stable_features": lambda s, d: _signs(s, d, "sign_stable_features"),
         "experiment_evaluations": experiment_evaluations,
         "audit_list": audit_list,
     } | ({**text_queries.QUERIES, "pipeline": corpus_pipeline.run} if text_queries else {})

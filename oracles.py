@@ -440,9 +440,43 @@ def _with(sql: str) -> str:
     return f"WITH {listed}\n{sql}"
 
 
+# Spoilt inputs: a year is gone, others are wrong or blank, codes are bad, rows stand twice.
+_SPOILT_ROWS = """SELECT * REPLACE (
+    CASE WHEN CAST(co_curso AS BIGINT) = 3 THEN '1990' WHEN CAST(co_curso AS BIGINT) = 8 AND tp_dimensao = '1' THEN NULL
+         ELSE nu_ano_censo END AS nu_ano_censo,
+    CASE WHEN CAST(co_ies AS BIGINT) % 4 = 1 THEN '9' ELSE tp_dimensao END AS tp_dimensao,
+    CASE WHEN CAST(co_curso AS BIGINT) % 13 = 5 THEN NULL ELSE co_cine_rotulo END AS co_cine_rotulo,
+    CASE WHEN CAST(co_ies AS BIGINT) % 6 = 2 THEN NULL ELSE tp_rede END AS tp_rede,
+    CASE WHEN CAST(co_ies AS BIGINT) % 5 = 3 THEN NULL ELSE qt_ing END AS qt_ing,
+    CASE WHEN CAST(co_ies AS BIGINT) % 5 = 2 THEN NULL ELSE qt_vg_total END AS qt_vg_total)
+FROM raw WHERE nu_ano_censo <> '1997'"""
+PARTS["bad_raw"] = f"{_SPOILT_ROWS} UNION ALL {_SPOILT_ROWS} AND CAST(co_ies AS BIGINT) % 7 = 0"
+PARTS["bad_raw_inst"] = "SELECT * FROM raw_inst UNION ALL SELECT * FROM raw_inst WHERE CAST(co_ies AS BIGINT) % 5 = 0"
+PARTS["bad_typed"] = _cast_all(_COURSE_TYPES, "bad_raw")
+PARTS["bad_inst"] = _cast_all(_INST_TYPES, "bad_raw_inst")
+_SPOILT_SUPPLY = """SELECT * REPLACE (CAST(CASE WHEN course_id % 11 = 0 THEN 9 ELSE teaching_modality END AS INTEGER)
+    AS teaching_modality) FROM supply"""
+PARTS["bad_supply"] = f"{_SPOILT_SUPPLY} UNION ALL {_SPOILT_SUPPLY} WHERE institution_id % 7 = 0"
+
+
+def _spoilt(sql: str) -> str:
+    """The same statement over the spoilt inputs."""
+    return re.sub(r"\b(FROM|JOIN)(\s+)(raw_inst|raw|typed|inst|supply)\b", r"\1\2bad_\3", sql)
+
+
 _EDGE_BINS = 10
 
 
+def _signs(signs: str, extreme: str = "max") -> str:
+    return f"""
+        SELECT feature, {extreme}(abs(coefficient)) AS {extreme}_absolute_coefficient,
+               string_agg("window" || ':' || CAST(CAST(coefficient AS BIGINT) AS VARCHAR), ',' ORDER BY "window") AS coefficients
+        FROM (SELECT cine_label_code AS feature, CAST(census_year AS VARCHAR) AS "window",
+                     CAST(sum(coalesce(entrants, 0) - 2 * coalesce(graduates, 0)) AS DOUBLE) AS coefficient
+              FROM supply GROUP BY ALL)
+        GROUP BY feature HAVING count(DISTINCT coefficient > 0) {signs}"""
+
+
 def all_queries() -> dict[str, str]:
     years = "(SELECT DISTINCT CAST(y AS INTEGER) AS year FROM line)"
     newest_header = [c for c, _, _ in _COURSE_TYPES]
@@ -704,6 +738,16 @@ def all_queries() -> dict[str, str]:
             WHERE dimension_type = 3 GROUP BY 1)
             WHERE blank <> CASE WHEN census_year < {ZERO_FROM} THEN n ELSE 0 END"""),
     )
+    for name in ("mart_checks", "raw_checks", "staging_checks"):
+        sql[f"spoilt_{name}"] = _spoilt(sql[name])
+    # Exactly what SQL says of coefficients that are whole numbers of each edition.
+    sql["sign_flipping_features"] = _signs("> 1")
+    sql["sign_stable_features"] = _signs("= 1", "min") + " ORDER BY min_absolute_coefficient DESC, feature LIMIT 8"
+    sql["pruned_edition_read"] = """
+        SELECT CAST(nu_ano_censo AS INTEGER) AS census_year, count(*) AS row_count,
+               count(DISTINCT co_ies) AS institutions,
+               CAST(coalesce(sum(CAST(NULLIF(qt_mat, '') AS BIGINT)), 0) AS BIGINT) AS enrollments
+        FROM raw GROUP BY 1"""
     sql["persistence_checks"] = _all(
         # The snapshot and the single edition are the mart itself on the SQL side.
         _check("snapshot_drift_count", f"SELECT count(*) FROM (SELECT {_KEY} FROM supply EXCEPT SELECT {_KEY} FROM supply)"),

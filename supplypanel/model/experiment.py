@@ -128,6 +128,19 @@ def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -
         for (label, now), (next_label, following) in zip(tops, tops[1:])
     ]
     by_window = reduce(DataFrame.unionByName, coefficients)
+    return {
+        "stability_windows": union_all(metrics),
+        "stability_overlap": union_all(overlaps),
+        "stability_coefficients": by_window,
+        **sign_sections(by_window),
+    }
+
+
+def sign_sections(by_window: DataFrame, stable: int = 8) -> dict[str, DataFrame]:
+    """Features whose coefficient changes its sign between windows, and the strongest that never do.
+
+    ``by_window`` has feature, window and coefficient.
+    """
     size = F.abs("coefficient")
     signs = by_window.groupBy("feature").agg(
         F.countDistinct(F.col("coefficient") > 0).alias("_signs"),
@@ -136,16 +149,13 @@ def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -
         F.array_sort(F.collect_list(F.struct("window", "coefficient"))).alias("coefficients"),
     )
     return {
-        "stability_windows": union_all(metrics),
-        "stability_overlap": union_all(overlaps),
-        "stability_coefficients": by_window,
         "sign_flipping_features": signs.where("_signs > 1")
         .select("feature", "max_absolute_coefficient", "coefficients")
         .orderBy(F.desc("max_absolute_coefficient"), "feature"),
         "sign_stable_features": signs.where("_signs = 1")
         .select("feature", "min_absolute_coefficient", "coefficients")
         .orderBy(F.desc("min_absolute_coefficient"), "feature")
-        .limit(8),
+        .limit(stable),
     }
 
 
