@@ -1,5 +1,7 @@
 """Shared operators: order statistics, runs, concentration, plans at scale."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from supplypanel.functions.columns import correlation, lenient, safe_ratio, typed
 from supplypanel.operators.concentration import herfindahl, running_share
+from supplypanel.operators import order_statistics
 from supplypanel.operators.order_statistics import grouped_median, running_totals
 from supplypanel.operators.ranking import top_per_group
 from supplypanel.operators.reconcile import require_unique
@@ -122,6 +125,22 @@ def test_year_filter_prunes_partitions(spark):
     assert "ReadSchema: struct<institution_id:int,offered_seats:bigint,entrants:bigint>" in plan
 
 
+def test_a_huge_group_is_ranked_in_slices(spark, monkeypatch):
+    """With broadcasting left to the hints alone, the rows of one group go to many tasks."""
+    monkeypatch.setattr(order_statistics, "SLICE_ROWS", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.range(9001).select(F.lit(1).alias("g"), (F.col("id") * 3).alias("v"))
+        found = grouped_median(df, ["g"], "v", "m", few_groups=True)
+        plan = executed_plan(found)
+        assert found.first().m == 13500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert re.search(r"Exchange hashpartitioning\((g#\d+, )?_slice#", plan)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
 def test_top_per_group_limits_before_the_shuffle(spark):
     df = spark.range(1000).withColumn("g", F.col("id") % 3)
     plan = executed_plan(top_per_group(df, ["g"], [F.desc("id")]))
