@@ -70,7 +70,7 @@ def prefix_hashes(ordered: DataFrame) -> DataFrame:
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """``conv`` and ``n_turns`` of the conversations that no longer one begins with, one for each content; ``n_snapshots`` equal ones."""
     prefixes = kept(prefix_hashes(ordered_turns(turns)))
-    lengths = prefixes.groupBy("conv").agg(F.max("place").alias("n_turns"))
+    lengths = kept(prefixes.groupBy("conv").agg(F.max("place").alias("n_turns")))
     # The last prefix of a conversation has its length; all others are proper prefixes of it.
     ends = join_groups(prefixes, lengths, ["conv"], "n_turns")
     whole = ends.where("place = n_turns").groupBy("prefix").agg(

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 from uuid import uuid4
 from zipfile import ZipFile
@@ -16,6 +17,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 #: A key that holds more than one row in so many is joined by broadcast; there are fewer than this many such keys.
 HEAVY_SHARE = 1000
+#: Rows of a small table (ids, links, labels) that make a partition of its own.
+PART_ROWS = 100_000
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -45,13 +48,31 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows while whole texts or payloads go to Python and back; both sides hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """The name of a folder that does not exist yet, inside the shared one."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, so that later steps neither compute them again nor hang on one executor."""
+def kept(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows written to the shared checkpoint folder, so that later steps neither compute them again nor hang on one executor.
+
+    ``rows``, about how many there are, sets the number of partitions: small
+    tables that many steps read and write would else be a file for each shuffle partition.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PART_ROWS)))
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
@@ -100,7 +121,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     A key with more than 1/1000 of all rows is joined by broadcast. There are
     fewer than 1000 of those whatever the data, and their rows are not
     shuffled; so no task of the shuffled join gets more than that share.
-    ``rows`` is read twice and should be a checkpoint. Rows without a group are dropped.
+    ``rows`` is read twice and ``groups`` four times; both should be checkpoints.
+    Rows without a group are dropped.
     """
     keys = list(keys)
     total = groups.agg(F.sum(size)).first()[0] or 0

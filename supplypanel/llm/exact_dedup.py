@@ -52,7 +52,7 @@ def duplicate_groups(
         keys, rows = ["_hash"], prints
     else:  # the sha of the text tells the texts of one hash apart once their bytes were found to differ
         keys, rows = ["_hash", "text_sha256"], prints
-    groups = rows.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("group_size"))
+    groups = kept(rows.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("group_size")))
     return join_groups(rows, groups, keys, "group_size").select(
         "doc_id", F.col("_first.doc_id").alias("keep_id"), "group_size",
         (F.col("_row") == F.col("_first._row")).alias("kept"), "text_sha256",

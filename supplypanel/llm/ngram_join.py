@@ -140,35 +140,37 @@ def components(links: DataFrame) -> DataFrame:
     the logarithm of the longest path. Each round is a checkpoint, and a key
     with many neighbours is joined by broadcast.
     """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
     edges = kept(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    while True:
-        before = edges
-        both = before.union(before.select("b", "a"))
-        edges = kept(_starred(kept(both.toDF("u", "v")), larger=True))
-        edges = kept(_starred(edges.toDF("u", "v"), larger=False))
-        same = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if same(before) == same(edges):
-            break
+    before, now = None, mark(edges)
+    while now != before:
+        before, n = now, now[0]
+        both = edges.toDF("u", "v").union(edges.select("b", "a"))
+        larger = kept(_starred(both, True, n), n)
+        edges = kept(_starred(larger.toDF("u", "v"), False, n).distinct(), n)
+        now = mark(edges)
     return edges.select(F.col("a").alias("key"), F.col("b").alias("component")).union(
         edges.select("b", "b").distinct())
 
 
-def _starred(pairs: DataFrame, larger: bool) -> DataFrame:
+def _starred(pairs: DataFrame, larger: bool, rows: int) -> DataFrame:
     """Links (a, b), a above b, from each key's larger (or smaller and own) neighbours to its smallest neighbour."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+    least = kept(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), rows)
     joined = join_groups(pairs, least, ["u"], "n")
     out = joined.select(F.col("v").alias("a"), F.col("m").alias("b"), "u")
     if larger:
         out = out.where("a > u")
     else:
         out = out.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"), "u"))
-    return out.where("a > b").select("a", "b").distinct()
+    return out.where("a > b").select("a", "b")
 
 
 def candidate_links(reps: DataFrame) -> DataFrame:
     """Links from each key (with ``bands``) to the smallest key that shares one of its band hashes."""
-    shared = kept(reps.select("key", F.explode("bands").alias("bucket")))
-    least = shared.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = reps.select("key", F.explode("bands").alias("bucket"))
+    least = kept(shared.groupBy("bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     return join_groups(shared, least, ["bucket"], "n").select(F.col("key").alias("a"), "b")
 
 
@@ -280,12 +282,12 @@ def near_duplicates(
     """
     bands, rows = bands_and_rows(similarity, recall)
     prints = kept(signatures(docs, words, bands, rows))
-    worded = prints.where("key is not null")
+    worded, n = prints.where("key is not null"), prints.count()
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     reps = kept(worded.groupBy("key").agg(
-        F.min(first).alias("first"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands")))
-    candidates = kept(components(candidate_links(reps)))
-    sizes = candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        F.min(first).alias("first"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands")), n)
+    candidates = kept(components(candidate_links(reps)), n)
+    sizes = kept(candidates.groupBy("component").agg(F.count(F.lit(1)).alias("size")), n)
     blocks = F.ceil(F.col("size") / block).cast("int")
     wanted = join_groups(candidates, sizes, ["component"], "size").join(reps, "key").select(
         "key", "component", "n_docs", blocks.alias("blocks"), F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"),
@@ -293,14 +295,15 @@ def near_duplicates(
     links = kept(verified_links(shingle_sets(docs, wanted, words), similarity))
 
     totals = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
-    classes = kept(components(links.select(F.col("key").alias("a"), F.col("least").alias("b"))))
+    classes = kept(components(links.select(F.col("key").alias("a"), F.col("least").alias("b"))), n)
     named = classes.join(reps.select("key", "first"), "key")
-    class_first = kept(named).groupBy("component").agg(F.min("first").alias("class_first"), F.count(F.lit(1)).alias("size"))
+    class_first = kept(named.groupBy("component").agg(
+        F.min("first").alias("class_first"), F.count(F.lit(1)).alias("size")), n)
     in_class = join_groups(classes, class_first, ["component"], "size").select("key", "class_first")
     keys = reps.drop("bands").join(totals, "key", "left").join(in_class, "key", "left").select(
         "key", "n_docs", (F.coalesce("n_links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"),
         F.coalesce("class_first", "first").alias("first"))
-    joined = join_groups(worded, kept(keys), ["key"], "n_docs").select(
+    joined = join_groups(worded, kept(keys, n), ["key"], "n_docs").select(
         "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", F.col("n_docs").alias("n_copies"),
         (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"))
     alone = prints.where("key is null").select(
