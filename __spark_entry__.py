@@ -441,6 +441,58 @@ def highest_risk(spark, folder):
     )
 
 
+def _fixed_scorer() -> models.ReferenceModel:
+    """A model of stated weights, so that SQL can repeat what is read from a model."""
+    numeric = {name: (middle, mean, deviation) for name, middle, mean, deviation, _ in oracles.SCORER}
+    levels = {name: preparation.Category(1.0, [1.0, 2.0], False) for name, _ in oracles.SCORER_LEVELS}
+    names = [f"numeric__{n}" for n in numeric] + [f"categorical__{n}_2.0" for n in levels]
+    weights = [row[-1] for row in [*oracles.SCORER, *oracles.SCORER_LEVELS]]
+    return models.ReferenceModel(
+        preparation.Preparation(numeric, levels, names), weights, oracles.SCORER_INTERCEPT
+    )
+
+
+def fixed_scorer_explanations(spark, folder):
+    _, test = _split(spark, folder)
+    explained = _fixed_scorer().explain(test, top_n=3).select(
+        *metrics.ROW_KEYS, "predicted_probability", "log_odds",
+        F.posexplode("top_contributions").alias("rank", "part"),
+    )
+    return _rounded(
+        explained.select(
+            *metrics.ROW_KEYS, "predicted_probability", "log_odds", "rank",
+            "part.feature", "part.transformed_value", "part.contribution",
+        ),
+        "predicted_probability", "log_odds", "transformed_value", "contribution", digits=8,
+    )
+
+
+def fixed_scorer_highest_risk(spark, folder):
+    _, test = _split(spark, folder)
+    found = models.highest_risk(_fixed_scorer(), test).select(
+        "position", *metrics.ROW_KEYS, "predicted_probability", "log_odds",
+        F.array_join(F.transform("top_contributions", lambda p: p["feature"]), ",").alias("drivers"),
+        "observed_deterioration",
+    )
+    return _rounded(found, "predicted_probability", "log_odds", digits=8)
+
+
+def _fixed_risks(spark, folder):
+    open_rows = risk.scoring_rows(_features(spark, folder), _snapshot(spark, folder), LAST)
+    return _fixed_scorer().score(open_rows).withColumnRenamed("score", "risk")
+
+
+def fixed_scorer_year(spark, folder):
+    return _rounded(
+        _fixed_risks(spark, folder).select(*metrics.ROW_KEYS, "course_name", "risk"), "risk", digits=8
+    )
+
+
+def fixed_scorer_audit_list(spark, folder):
+    found = models.audit_list(_fixed_risks(spark, folder), _institutions(spark, folder), LAST)
+    return _rounded(found, "occupancy_rate", "risk", digits=8)
+
+
 def _stability(spark, folder, section):
     return experiment.rolling_stability(_training(spark, folder))[section]
 
@@ -699,6 +751,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stability_windows": lambda s, d: _stability(s, d, "stability_windows"),
         "stability_overlap": lambda s, d: _stability(s, d, "stability_overlap"),
         "stability_coefficients": lambda s, d: _stability(s, d, "stability_coefficients"),
+        "fixed_scorer_explanations": fixed_scorer_explanations,
+        "fixed_scorer_highest_risk": fixed_scorer_highest_risk,
+        "fixed_scorer_year": fixed_scorer_year,
+        "fixed_scorer_audit_list": fixed_scorer_audit_list,
         "sign_flipping_features": lambda s, d: _signs(s, d, "sign_flipping_features"),
         "sign_stable_features": lambda s, d: _signs(s, d, "sign_stable_features"),
         "experiment_evaluations": experiment_evaluations,

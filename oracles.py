@@ -440,6 +440,47 @@ def _with(sql: str) -> str:
     return f"WITH {listed}\n{sql}"
 
 
+# A scorer of stated weights: name, middle, mean, deviation and weight of each numeric input, in order.
+SCORER = [
+    ("occupancy_rate", 0.5, 0.4, 0.25, -1.25), ("offered_seats", 40.0, 50.0, 30.0, -0.75),
+    ("enrollments", 100.0, 120.0, 80.0, 0.5), ("institution_offer_count", 3.0, 4.0, 2.0, 0.3),
+]
+SCORER_LEVELS = [("teaching_modality", 0.4), ("education_network", -0.2)]  # each has levels 1 and 2
+SCORER_INTERCEPT = -0.6
+
+
+def _scored(rows: str) -> str:
+    inputs = [
+        (f"numeric__{n}", f"((coalesce(CAST({n} AS DOUBLE), {m}::DOUBLE) - {mean}::DOUBLE) / {dev}::DOUBLE)", w)
+        for n, m, mean, dev, w in SCORER
+    ] + [
+        (f"categorical__{n}_2.0", f"(CASE WHEN coalesce({n}, 1) = 2 THEN 1.0 ELSE 0.0 END)::DOUBLE", w)
+        for n, w in SCORER_LEVELS
+    ]
+    total = f"{SCORER_INTERCEPT}::DOUBLE"
+    for _, value, weight in inputs:
+        total = f"({total} + ({weight}::DOUBLE) * {value})"
+    parts = ", ".join(
+        f"{{'place': {i}, 'feature': '{n}', 'transformed_value': {v}, 'contribution': ({w}::DOUBLE) * {v}}}"
+        for i, (n, v, w) in enumerate(inputs)
+    )
+    return f"""SELECT *, 1 / (1 + exp(-log_odds)) AS score FROM (
+        SELECT *, {total} AS log_odds, [{parts}] AS parts FROM ({rows}))"""
+
+
+PARTS["scored_test"] = _scored("SELECT * FROM training WHERE split = 'teste'")
+PARTS["explained_test"] = f"""
+SELECT reference_year, {_OFFER}, log_odds, score, deteriorated, part.feature AS feature,
+       part.transformed_value AS transformed_value, part.contribution AS contribution,
+       row_number() OVER (PARTITION BY reference_year, {_OFFER} ORDER BY abs(part.contribution) DESC, part.place) AS place
+FROM (SELECT *, unnest(parts) AS part FROM scored_test)
+"""
+PARTS["scored_open"] = _scored(f"""
+    SELECT f.*, s.course_name FROM features AS f JOIN supply AS s
+      ON s.institution_id = f.institution_id AND s.course_id = f.course_id
+     AND s.teaching_modality = f.teaching_modality AND s.census_year = {LAST}
+    WHERE f.reference_year = {LAST} AND f.enrollments >= 20""")
+
 # Spoilt inputs: a year is gone, others are wrong or blank, codes are bad, rows stand twice.
 _SPOILT_ROWS = """SELECT * REPLACE (
     CASE WHEN CAST(co_curso AS BIGINT) = 3 THEN '1990' WHEN CAST(co_curso AS BIGINT) = 8 AND tp_dimensao = '1' THEN NULL
@@ -738,6 +779,28 @@ def all_queries() -> dict[str, str]:
             WHERE dimension_type = 3 GROUP BY 1)
             WHERE blank <> CASE WHEN census_year < {ZERO_FROM} THEN n ELSE 0 END"""),
     )
+    sql["fixed_scorer_explanations"] = f"""
+        SELECT reference_year, {_OFFER}, round(score, 8) AS predicted_probability, round(log_odds, 8) AS log_odds,
+               CAST(place - 1 AS INTEGER) AS rank, feature, round(transformed_value, 8) AS transformed_value,
+               round(contribution, 8) AS contribution
+        FROM explained_test WHERE place <= 3"""
+    sql["fixed_scorer_highest_risk"] = f"""
+        SELECT CAST(row_number() OVER (ORDER BY log_odds DESC, reference_year, {_OFFER}) AS INTEGER) AS position,
+               reference_year, {_OFFER}, round(score, 8) AS predicted_probability, round(log_odds, 8) AS log_odds,
+               drivers, deteriorated AS observed_deterioration
+        FROM (SELECT * FROM scored_test ORDER BY log_odds DESC, reference_year, {_OFFER} LIMIT 20)
+        JOIN (SELECT reference_year, {_OFFER}, string_agg(feature, ',' ORDER BY place) AS drivers
+              FROM explained_test WHERE place <= 5 GROUP BY ALL) USING (reference_year, {_OFFER})"""
+    sql["fixed_scorer_year"] = f"""
+        SELECT reference_year, {_OFFER}, course_name, round(score, 8) AS risk FROM scored_open"""
+    sql["fixed_scorer_audit_list"] = f"""
+        SELECT {_OFFER}, reference_year, course_name, institution_name, institution_state, enrollments,
+               round(occupancy_rate, 8) AS occupancy_rate, round(score, 8) AS risk
+        FROM (SELECT * FROM scored_open QUALIFY row_number() OVER (
+                  PARTITION BY institution_id ORDER BY log_odds DESC, {_OFFER}) = 1
+              ORDER BY log_odds DESC, {_OFFER} LIMIT 15)
+        LEFT JOIN (SELECT institution_id, institution_name, institution_state FROM inst
+                   WHERE census_year = {LAST}) USING (institution_id)"""
     for name in ("mart_checks", "raw_checks", "staging_checks"):
         sql[f"spoilt_{name}"] = _spoilt(sql[name])
     # Exactly what SQL says of coefficients that are whole numbers of each edition.
