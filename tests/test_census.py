@@ -134,6 +134,14 @@ def test_single_edition_gets_context_from_institutions(raw, spark):
     assert row.seat_occupancy_rate == 0.15
 
 
+def test_unregistered_institutions_keep_their_offers(supply, institutions):
+    """No institution is registered for 2020: its offers stay, without a name."""
+    found = mart.course_sustainability(supply, institutions)
+    assert found.count() == supply.count()
+    assert found.where("census_year = 2020 and institution_name is not null").isEmpty()
+    assert only(found, census_year=2024, **offer(31)).institution_name == "Escola Sete"
+
+
 def test_reports(snapshot, institutions):
     top = reports.top_unconverted_institutions(snapshot, institutions, 2024).collect()
     assert [(r.institution_id, r.unconverted) for r in top] == [(8, 765), (7, 92)]
