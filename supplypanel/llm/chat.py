@@ -67,9 +67,9 @@ def prefix_hashes(ordered: DataFrame) -> DataFrame:
         "place", *[(F.col(f"before_{name}") + F.col(name)).cast("decimal(38,0)").alias(name) for name in lanes]).alias("prefix"))
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
+def maximal_conversations(ordered: DataFrame) -> DataFrame:
     """``conv`` and ``n_turns`` of the conversations that no longer one begins with, one for each content; ``n_snapshots`` equal ones."""
-    prefixes = kept(prefix_hashes(ordered_turns(turns)))
+    prefixes = kept(prefix_hashes(ordered))
     lengths = kept(prefixes.groupBy("conv").agg(F.max("place").alias("n_turns")))
     # The last prefix of a conversation has its length; all others are proper prefixes of it.
     ends = join_groups(prefixes, lengths, ["conv"], "n_turns")
@@ -81,8 +81,8 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 def rendered(turns: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, n_snapshots and text of each maximal conversation; most have part 0 alone."""
-    best = kept(maximal_conversations(turns))
     ordered = kept(ordered_turns(turns))
+    best = kept(maximal_conversations(ordered))
     chosen = join_groups(ordered, best, ["conv"], "n_turns")
     line = F.concat(F.lit(TURN[0]), F.coalesce("role", F.lit("")), F.lit(TURN[1]), F.coalesce("text", F.lit("")), F.lit(TURN[2]))
     parts = chosen.withColumn("part", F.floor((F.col("place") - 1) / BLOCK)).groupBy("conv", "part", "n_turns", "n_snapshots").agg(
