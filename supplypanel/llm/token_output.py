@@ -20,28 +20,28 @@ empty table gives empty files.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import kept, ship_package
-from supplypanel.llm.word_tokens import encoder, tokenizer_path
+from supplypanel.llm.common import kept, ship_package, small_batches
+from supplypanel.llm.word_tokens import encoder, release, tokenizer_path
 
 END_ID = 2
 #: Documents from which the dictionary is trained, about, and the ids taken from each.
 SAMPLE_ROWS, SAMPLE_IDS = 2000, 4096
 DICTIONARY_BYTES = 65536
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 LEVEL = 3
 FRAME_TABLE = ("doc_ids", "n_tokens", "earlier", "frame_at", "frame_bytes")
-#: Characters of text that one output part should hold.
-PART_CHARS = 64 << 20
+#: Bytes of frames that one output part should hold.
+PART_BYTES = 32 << 20
 
 
 def serialized(ids: np.ndarray) -> bytes:
@@ -79,50 +79,72 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, rows: int
         return b""
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
-    """Writes the ids of ``docs`` (doc_id, text) in the format above; whatever the folder held is replaced."""
-    spark, path = docs.sparkSession, path or tokenizer_path()
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
-    dictionary = train_dictionary(docs, path, end_id)
-    name = sha256(dictionary).hexdigest()
-    spark.createDataFrame([(name, dictionary)], "dictionary_hash string, content binary").write.mode(
-        "overwrite").parquet(f"{folder}/dictionary")
-
-    size = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_CHARS))
-    ordered = docs.withColumn("_tie", F.xxhash64("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions(
-        "doc_id", "_tie").drop("_tie")
+def _framed(docs: DataFrame, dictionary: bytes, path: str, end_id: int) -> DataFrame:
+    """doc_id, tie, n_tokens and frame of each document."""
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
-        frames, ids, counts, at = [], [], [], 0
+        for batch in batches:
+            counts, frames = [], []
+            for text in batch.column(2):
+                ids = _ids(path, end_id, text.as_py())
+                counts.append(len(ids)), frames.append(compressor.compress(serialized(ids)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],
+                names=["doc_id", "tie", "n_tokens", "frame"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(
+        framed, "doc_id long, tie long, n_tokens long, frame binary")
+
+
+def _blocks(frames: DataFrame, dictionary_hash: str) -> DataFrame:
+    """Payloads of about ``BLOCK_BYTES`` with their frame tables, from frames in order."""
+    names = ["payload", "dictionary_hash", *FRAME_TABLE]
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, counts, frames, held = [], [], [], 0
 
-        def block() -> pd.DataFrame:
-            lengths = [len(f) for f in frames]
-            places = np.cumsum([0, *lengths[:-1]])
-            return pd.DataFrame({
-                "payload": [b"".join(frames)], "dictionary_hash": [name], "doc_ids": [ids], "n_tokens": [counts],
-                "earlier": [np.cumsum([0, *counts[:-1]]).tolist()], "frame_at": [places.tolist()],
-                "frame_bytes": [lengths],
-            })
+        def block() -> pa.RecordBatch:
+            sizes = [len(f) for f in frames]
+            tables = (ids, counts, np.cumsum([0, *counts[:-1]]).tolist(), np.cumsum([0, *sizes[:-1]]).tolist(), sizes)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b"".join(frames)], pa.binary()), pa.array([dictionary_hash]),
+                 *[pa.array([t], pa.list_(pa.int64())) for t in tables]], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"]):
-                tokens = _ids(path, end_id, text)
-                frames.append(compressor.compress(serialized(tokens)))
-                ids.append(None if doc_id is None else int(doc_id))
-                counts.append(len(tokens))
-                at += len(frames[-1])
-                if at >= BLOCK_BYTES:
+            for doc_id, n, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids.append(doc_id), counts.append(n), frames.append(frame.as_py())
+                held += len(frames[-1])
+                if held >= BLOCK_BYTES:
                     yield block()
-                    frames, ids, counts, at = [], [], [], 0
+                    ids, counts, frames, held = [], [], [], 0
         if frames:
             yield block()
 
-    listed = "payload binary, dictionary_hash string, " + ", ".join(f"{x} array<long>" for x in FRAME_TABLE)
-    blocks = ordered.mapInPandas(packed, listed).withColumn("block", F.monotonically_increasing_id())
-    blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
+    schema = "payload binary, dictionary_hash string, " + ", ".join(f"{x} array<long>" for x in FRAME_TABLE)
+    return frames.mapInArrow(gathered, schema)
+
+
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
+    """Writes the ids of ``docs`` (doc_id, text) in the format above; whatever the folder held is replaced."""
+    spark, path = docs.sparkSession, path or tokenizer_path()
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
+    dictionary = train_dictionary(docs, path, end_id)
+    name = sha256(dictionary).hexdigest()
+    spark.createDataFrame([(name, dictionary)], "dictionary_hash string, content binary").write.mode(
+        "overwrite").parquet(f"{folder}/dictionary")
+
+    # Frames are made where the texts are read; only frames are shuffled. The kept frames
+    # serve both passes of the range partitioning.
+    with small_batches(spark):
+        frames = kept(_framed(docs, dictionary, path, end_id))
+    size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    ordered = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
+    blocks = _blocks(ordered.drop("tie"), name).withColumn("block", F.monotonically_increasing_id())
+    with small_batches(spark):
+        blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
     written = spark.read.parquet(f"{folder}/blocks")
     # Blocks are numbered in doc_id order: part above, place in the part below. Token sums
     # are added up over parts, of which there are few, and over the blocks inside each.
@@ -157,23 +179,27 @@ def _decoded(blocks: DataFrame, dictionary: tuple[str, bytes]) -> DataFrame:
     ship_package(blocks.sparkSession)
     name, content = dictionary
 
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(content) if content else None
         reader = zstandard.ZstdDecompressor(dict_data=shared)
+        release()  # the worker may have encoded before
         for batch in batches:
-            for b in batch.itertuples(index=False):
-                if b.dictionary_hash != name:
-                    raise ValueError(f"block {b.block} needs dictionary {b.dictionary_hash}")
-                payload = memoryview(b.payload)
-                for k in range(0, len(b.frame_at), 512):
-                    spans = zip(b.frame_at[k : k + 512], b.frame_bytes[k : k + 512])
-                    ids = [deserialized(reader.decompress(payload[at : at + n])).tobytes() for at, n in spans]
-                    yield pd.DataFrame({
-                        "doc_id": pd.array(b.doc_ids[k : k + 512], "Int64"), "block": b.block,
-                        "place": b.places[k : k + 512], "ids": ids,
-                    })
-
-    return blocks.mapInPandas(unpacked, "doc_id long, block long, place int, ids binary")
+            for r in range(batch.num_rows):
+                b = {n: batch.column(n)[r].as_py() for n in names}
+                if b["dictionary_hash"] != name:
+                    raise ValueError(f"block {b['block']} needs dictionary {b['dictionary_hash']}")
+                payload, size = memoryview(b["payload"]), len(b["frame_at"] or ())
+                for k in range(0, size, 256):
+                    part = slice(k, min(k + 256, size))
+                    ids = [deserialized(reader.decompress(payload[at : at + n])).tobytes()
+                           for at, n in zip(b["frame_at"][part], b["frame_bytes"][part])]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(b["doc_ids"][part], pa.int64()), pa.array([b["block"]] * len(ids), pa.int64()),
+                         pa.array(b["places"][part], pa.int32()), pa.array(ids, pa.binary())],
+                        names=["doc_id", "block", "place", "ids"])
+
+    names = ["payload", "dictionary_hash", "block", "doc_ids", "places", "frame_at", "frame_bytes"]
+    return blocks.select(*names).mapInArrow(unpacked, "doc_id long, block long, place int, ids binary")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,7 +213,7 @@ def fetch_tokens(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFra
     """The documents whose doc_id is in ``wanted``, by the index: only their blocks are read and only their frames unpacked."""
     index = spark.read.parquet(f"{folder}/index").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     entry = F.struct("place", "doc_id", "frame_at", "frame_bytes")
-    # A block's frames make one group; a block holds about a megabyte.
+    # A block's frames make one group; a block holds about a quarter of a megabyte.
     frames = index.groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("e")).select(
         "block", F.col("e.place").alias("places"), F.col("e.doc_id").alias("doc_ids"),
         F.col("e.frame_at").alias("frame_at"), F.col("e.frame_bytes").alias("frame_bytes"))
@@ -197,13 +223,8 @@ def fetch_tokens(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFra
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files."""
-    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({
-                "block": batch["block"], "place": batch["place"], "n_tokens": [len(x) // 4 for x in batch["ids"]],
-                "ids_crc32": [zlib.crc32(x) for x in batch["ids"]],
-            })
-
-    sums = read_tokens(spark, folder).mapInPandas(summed, "block long, place int, n_tokens long, ids_crc32 long")
+    with small_batches(spark, 16):  # rows are blocks
+        sums = kept(read_tokens(spark, folder).select(
+            "block", "place", F.floor(F.length("ids") / 4).alias("n_tokens"), F.crc32("ids").alias("ids_crc32")))
     index = spark.read.parquet(f"{folder}/index").select("doc_id", "block", "place", "start")
     return index.join(sums, ["block", "place"]).select("doc_id", "start", "n_tokens", "ids_crc32")

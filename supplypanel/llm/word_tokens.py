@@ -17,7 +17,7 @@ import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-STORED_WORDS, STORED_PIECES = 500_000, 600_000
+STORED_WORDS, STORED_PIECES = 250_000, 350_000
 DEFAULT = "word_bpe_49k.json"
 #: Characters whose case, composition or kind is left to the tokenizer itself.
 ODD = regex.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u012f]")
@@ -35,6 +35,11 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def release() -> None:
+    """Gives back the memory of the worker's encoders."""
+    encoder.cache_clear()
+
+
 def _visible_bytes() -> list[str]:
     """The character for each byte: printable ones stand for themselves, the others follow from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -94,14 +99,18 @@ class WordEncoder:
         words = (text or "").encode().split()
         if not words:
             return np.empty(0, np.uint32)
-        places = self.places
-        missing = list({w for w in words if w not in places})
-        if missing:
-            if len(places) + len(missing) > STORED_WORDS:
+        found = list(map(self.places.get, words))
+        if None in found:
+            gaps = [i for i, place in enumerate(found) if place is None]
+            missing = list({words[i] for i in gaps})
+            if len(self.places) + len(missing) > STORED_WORDS:
                 self._clear()
-                missing = list(set(words))
+                missing, gaps = list(set(words)), range(len(words))
             self._add(missing)
-        found = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+            places = self.places
+            for i in gaps:
+                found[i] = places[words[i]]
+        found = np.array(found, np.int32)
         first, count = self.starts[found], self.starts[found + 1] - self.starts[found]
         ends = np.cumsum(count)
         steps = np.arange(ends[-1]) + np.repeat(first - (ends - count), count)
