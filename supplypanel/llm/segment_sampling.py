@@ -29,6 +29,7 @@ an empty result. Characters without a piece become their bytes' pieces.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,7 +39,6 @@ from math import exp, inf, log
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,17 +48,53 @@ from supplypanel.llm.common import ship_package
 MODEL = "piece_bpe_32k.model"
 SAMPLES = 2
 #: Words whose lattices are held; characters above which a word's is made by itself.
-STORED, LONG = 150_000, 64
+STORED, LONG = 300_000, 64
 #: Multipliers of the table's hash, and its size.
 ROLL, SPREAD, TABLE_BITS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 18
 SPACE = "▁"
-CHUNKS = regex.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
+CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\\n]*|[^{SPACE}\\n]+|\\n")
 
 
 def model_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+#: Steps of the random streams.
+STEP, WORD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: Ids, log probability, perturbed value and log inclusion probability.
+Sample = tuple[np.ndarray, float, float, float]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64; a stream is its key plus multiples of ``STEP``, mixed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(keys: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, both excluded."""
+    return ((_mixed(keys) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _mixed_int(key: int) -> int:
+    return int(_mixed(np.array([key & (1 << 64) - 1], np.uint64))[0])
+
+
+def _uniform_int(key: int) -> float:
+    return float(_uniform(np.array([key], np.uint64))[0])
+
+
+class _Path:
+    """A segmentation as edges, the word of each edge, and its perturbed value."""
+
+    def __init__(self, edges: np.ndarray, owner: np.ndarray, value: float):
+        self.edges, self.owner, self.value = edges, owner, value
+
+    def before(self, at: int, share: np.ndarray) -> float:
+        return float(np.log(share[self.edges[:at]]).sum())
+
+
 @lru_cache(maxsize=2)
 def sampler(path: str) -> Sampler:
     return Sampler(path)
@@ -99,7 +135,7 @@ class Sampler:
             while self.slots[at]:
                 at = (at + 1) % (1 << TABLE_BITS)
             self.slots[at], self.slot_id[at], self.slot_weight[at] = h, i, w
-        self.lone = regex.compile(f"[{regex.escape(''.join(p for p in self.weights if len(p) == 1), special_only=False)}]*")
+        self.lone = {piece for piece in self.weights if len(piece) == 1}
 
     def _edges(self, word: str) -> tuple[list[list[tuple[int, int, float]]], list[int]]:
         """For each node its edges as (target, id, log weight), and an order in which targets come before sources.
@@ -161,10 +197,9 @@ class Sampler:
 
     def _add_all(self, words: list[str]) -> None:
         """The lattices of many words at once; long words and those with characters without a piece one by one."""
-        whole = self.lone.fullmatch
         alone = {w for w in words if len(w) > LONG}
-        if not whole("".join(words)):
-            alone |= {w for w in words if not whole(w)}
+        for c in set("".join(words)) - self.lone:
+            alone |= {w for w in words if c in w}
         for w in alone:
             self.places[w] = self._add(w)
         plain = [w for w in words if w not in alone]
@@ -184,8 +219,10 @@ class Sampler:
             source.append(live[hit]), goal.append(live[hit] + length), slot.append(found[hit])
         source, goal, slot = map(np.concatenate, (source, goal, slot))
         # Masses from the ends of the words to their beginnings, all words together.
-        order = np.lexsort((source, (end - np.arange(n))[source]))
-        source, goal, slot = source[order], goal[order], slot[order]
+        order = np.argsort(source, kind="stable")  # sorted runs, one for each length
+        by_node = source[order], goal[order], slot[order]
+        order = np.argsort((end[by_node[0]] - by_node[0]).astype(np.uint8), kind="stable")
+        source, goal, slot = (x[order] for x in by_node)
         to_end, weight = end[source] - source, self.slot_weight[slot]
         mass, last = np.zeros(n + 1), goal == end[source]
         cuts = np.searchsorted(to_end, np.arange(1, int(sizes.max()) + 2))
@@ -195,8 +232,8 @@ class Sampler:
             top = np.maximum.reduceat(sums, heads)
             spread = np.repeat(top, np.diff(np.append(heads, b - a)))
             mass[source[a:b][heads]] = top + np.log(np.add.reduceat(np.exp(sums - spread), heads))
-        order = np.lexsort((goal, source))
-        source, goal, slot, weight, last = source[order], goal[order], slot[order], weight[order], last[order]
+        (source, goal, slot), last = by_node, by_node[1] == end[by_node[0]]
+        weight = self.slot_weight[slot]
         share = np.exp(weight + np.where(last, 0.0, mass[goal]) - mass[source])
         heads = np.flatnonzero(np.diff(source, prepend=-1))
         total = np.cumsum(share)
@@ -222,80 +259,122 @@ class Sampler:
         self._add_all(list({c for chunks in cut for c in chunks if c not in places}))
         return [np.fromiter(map(places.__getitem__, chunks), np.int64, len(chunks)) for chunks in cut]
 
-    def _draw(self, nodes: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """A path from each node to its word's end: the edges and the row of ``nodes`` of each, in order."""
+    def _draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A path from each node to its word's end: the edges and the row of ``nodes`` of each, in order.
+
+        Each row draws from its own key, so rows of many texts can go together.
+        """
         first, reached, target = (np.frombuffer(x, x.typecode) for x in (self.first, self.reached, self.target))
         rows, steps, found = np.arange(len(nodes)), [], []
         while len(rows):
             at = first[nodes]
-            u = rng.random(len(rows))
-            more = u >= reached[at]
-            while more.any():
-                at = at + more
-                more = u >= reached[at]
+            keys = keys + STEP
+            u = _uniform(keys)
+            more = np.flatnonzero(u >= reached[at])
+            while len(more):
+                at[more] += 1
+                more = more[u[more] >= reached[at[more]]]
             found.append(at)
             steps.append(rows)
             nodes = target[at]
-            rows, nodes = rows[nodes >= 0], nodes[nodes >= 0]
+            on = np.flatnonzero(nodes >= 0)
+            rows, nodes, keys = rows[on], nodes[on], keys[on]
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         edges, owner = np.concatenate(found).astype(np.int64), np.concatenate(steps)
-        order = np.argsort(owner.astype(np.uint16) if int(owner.max()) < 1 << 16 else owner, kind="stable")
+        order = np.argsort(owner, kind="stable")
         return edges[order], owner[order]
 
-    def _leave(self, edges, owner, at: int, gone: tuple[int, ...], starts, rng) -> tuple[np.ndarray, np.ndarray]:
-        """A path that follows ``edges`` up to place ``at``, takes none of the edges ``gone`` there, and goes on freely."""
-        first, target = (np.frombuffer(x, x.typecode) for x in (self.first, self.target))
-        node = int(np.searchsorted(first, first.dtype.type(edges[at]), "right")) - 1
-        end = int(first[node + 1]) if node + 1 < len(first) else len(target)
+    def _leave(self, path: _Path, at: int, gone: tuple[int, ...], u: float) -> tuple[int, int, int]:
+        """Another edge than those ``gone`` at a place of a path: the edge, its word, its target (-1: the word's end)."""
+        first = np.frombuffer(self.first, self.first.typecode)
+        node = int(np.searchsorted(first, first.dtype.type(path.edges[at]), "right")) - 1
+        end = int(first[node + 1]) if node + 1 < len(first) else len(self.target)
         choice = [e for e in range(int(first[node]), end) if e not in gone]
-        reached = np.cumsum([self.share[e] for e in choice])
-        pick = choice[min(len(choice) - 1, int(np.searchsorted(reached, rng.random() * reached[-1], "right")))]
-        word = int(owner[at])
-        later = np.arange(word + 1, len(starts))
-        nodes = starts[later]
-        if target[pick] >= 0:
-            nodes, later = np.append(target[pick], nodes), np.append(word, later)
-        rest, rows = self._draw(nodes, rng)
-        return (np.concatenate([edges[:at], [pick], rest]).astype(np.int64),
-                np.concatenate([owner[:at], [word], later[rows]]).astype(np.int64))
-
-    def sample(self, starts: np.ndarray, key: int, k: int = SAMPLES) -> list[tuple[np.ndarray, float, float, float]]:
-        """At most k segmentations: ids, log probability, perturbed value and log inclusion probability, best first.
-
-        ``starts`` comes from the last call of ``prepare``.
+        u *= sum(self.share[e] for e in choice)
+        for pick in choice:
+            u -= self.share[pick]
+            if u < 0:
+                break
+        return pick, int(path.owner[at]), self.target[pick]
+
+    def _branch(self, path: _Path, heap: list, number: int, since: int, gone: tuple[int, ...], key: int, k: int) -> None:
+        """Puts on the heap the best sets of paths that leave this one at an edge from ``since`` on.
+
+        A set's value is a Gumbel at its log mass, cut off at the path's value.
         """
-        if not len(starts):
-            return [(np.empty(0, np.int32), 0.0, 0.0, 0.0)]
-        rng = np.random.Generator(np.random.PCG64(key))
-        share, piece = (np.frombuffer(x, x.typecode) for x in (self.share, self.piece))
-        (edges, owner), since, gone = self._draw(starts, rng), 0, ()
-        bound = -log(rng.standard_exponential())
-        heap: list[tuple] = []
-        out: list[tuple[np.ndarray, np.ndarray, float, float]] = []
+        edges, share = path.edges[since:], np.frombuffer(self.share, "d")
+        size = 256  # log masses fall along the path; what is far below the first ones is out of reach
         while True:
-            logs = np.log(share[edges])
-            out.append((edges, owner, float(logs.sum()), bound))
-            # Sets of paths that leave this one at an edge: their log masses and Gumbels cut off at its value.
-            left = 1 - share[edges[since:]]
+            own = share[edges[:size]]
+            logs, left = np.log(own), 1 - own
             if gone:
-                left[0] -= share[list(gone)].sum()
+                left[0] -= sum(self.share[e] for e in gone)
             there = np.flatnonzero(left > 1e-12)
-            mass = (np.cumsum(logs) - logs)[since:][there] + np.log(left[there])
-            if len(mass) > k + 1:  # what is below the precision of the whole cannot be told from nothing
-                near = mass >= min(mass.max() - 45, np.partition(mass, -k - 1)[-k - 1])
-                there, mass = there[near], mass[near]
-            values = -np.logaddexp(-bound, np.log(rng.standard_exponential(len(mass))) - mass)
-            for b in np.argsort(-values, kind="stable")[: k + 1].tolist():
-                at = since + int(there[b])
-                heapq.heappush(heap, (-float(values[b]), len(out) - 1, at, (*(gone if at == since else ()), int(edges[at]))))
-            if not heap or len(out) == k:
+            mass = (np.cumsum(logs) - logs)[there] + np.log(left[there])
+            if size >= len(edges) or (len(mass) > k + 1 and mass.max() - 45 > logs.sum()):
+                break
+            size *= 4
+        if not len(mass):
+            return
+        if len(mass) > k + 1:  # what is below the precision of the whole cannot be told from nothing
+            near = mass >= min(mass.max() - 45, np.partition(mass, -k - 1)[-k - 1])
+            there, mass = there[near], mass[near]
+        draws = -np.log(_uniform(np.uint64(key) + np.arange(1, len(mass) + 1, dtype=np.uint64) * STEP))
+        values = -np.logaddexp(-path.value, np.log(draws) - (mass + path.before(since, share)))
+        for b in np.argsort(-values, kind="stable")[: k + 1].tolist():
+            at = since + int(there[b])
+            heapq.heappush(heap, (-float(values[b]), number, at, (*(gone if at == since else ()), int(path.edges[at]))))
+
+    def sample(self, starts: list[np.ndarray], keys: list[int], k: int = SAMPLES) -> list[list[Sample]]:
+        """At most k segmentations of each text, best first.
+
+        ``starts`` comes from the last call of ``prepare``, ``keys`` seed the
+        texts. All texts go in step, a segmentation of each at a time, so that
+        paths are drawn for all together; a text's draws depend on its key alone.
+        """
+        share, piece = (np.frombuffer(x, x.typecode) for x in (self.share, self.piece))
+        heaps: list[list[tuple]] = [[] for _ in starts]
+        paths: list[list[_Path]] = [[] for _ in starts]
+        for turn in range(k):
+            # For each text that has a set left: what stands before the fresh draws, and their first nodes.
+            opened = []
+            for d, nodes in enumerate(starts):
+                if not len(nodes):
+                    continue
+                key = _mixed_int(keys[d] + 2 * turn * int(STEP))
+                if turn == 0:
+                    opened.append((d, None, 0, (), -log(-log(_uniform_int(key))), [], [], nodes, np.arange(len(nodes)), key))
+                elif heaps[d]:
+                    value, number, at, gone = heapq.heappop(heaps[d])
+                    parent = paths[d][number]
+                    pick, word, target = self._leave(parent, at, gone, _uniform_int(key))
+                    later, own = nodes[word + 1 :], np.arange(word + 1, len(nodes))
+                    if target >= 0:
+                        later, own = np.append(target, later), np.append(word, own)
+                    opened.append((d, parent, at, gone, -value, [pick], [word], later, own, key))
+            if not opened:
                 break
-            value, parent, since, gone = heapq.heappop(heap)
-            bound = -value
-            edges, owner = self._leave(*out[parent][:2], since, gone, starts, rng)
-        threshold = -heap[0][0] if heap else -inf
-        return [(piece[e], p, g, _log_inclusion(p - threshold) if heap else 0.0) for e, _, p, g in out]
+            sizes = [len(o[7]) for o in opened]
+            streams = [np.uint64(o[9]) ^ (o[8].astype(np.uint64) + np.uint64(1)) * WORD for o in opened]
+            edges, rows = self._draw(np.concatenate([o[7] for o in opened]), _mixed(np.concatenate(streams)))
+            cuts = np.searchsorted(rows, np.cumsum([0, *sizes]))
+            for (d, parent, at, gone, value, pick, word, _, own, key), a, b, base in zip(
+                    opened, cuts[:-1], cuts[1:], np.cumsum([0, *sizes])):
+                fresh, owner = edges[a:b], own[rows[a:b] - base] if b > a else rows[a:b]
+                if parent:
+                    fresh = np.concatenate([parent.edges[:at], pick, fresh]).astype(np.int64)
+                    owner = np.concatenate([parent.owner[:at], word, owner]).astype(np.int64)
+                path = _Path(fresh, owner, value)
+                paths[d].append(path)
+                self._branch(path, heaps[d], len(paths[d]) - 1, at, gone, _mixed_int(key + 1), k)
+        out = []
+        for found, heap in zip(paths, heaps):
+            threshold = -heap[0][0] if heap else -inf
+            logs = [float(np.log(share[p.edges]).sum()) for p in found]
+            out.append([(piece[p.edges], q, p.value, _log_inclusion(q - threshold) if heap else 0.0)
+                        for p, q in zip(found, logs)] or [(np.empty(0, np.int32), 0.0, 0.0, 0.0)])
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""
@@ -330,8 +409,10 @@ def segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = 0, path: str |
             for at in range(0, batch.num_rows, 256):
                 part, rows, found = batch.slice(at, 256), [], []
                 texts = part.column(1).to_pylist()
-                for key, text, starts in zip(part.column(0).to_pylist(), texts, model.prepare(texts)):
-                    for n, (own, p, g, inclusion) in enumerate(model.sample(starts, row_key(key, seed), k)):
+                ids_of = part.column(0).to_pylist()
+                sampled = model.sample(model.prepare(texts), [row_key(key, seed) for key in ids_of], k)
+                for key, text, samples in zip(ids_of, texts, sampled):
+                    for n, (own, p, g, inclusion) in enumerate(samples):
                         same = model.decode(own) == (text or "").replace(SPACE, " ")
                         rows.append((key, n, len(own), p, g, inclusion, zlib.crc32(own.astype("<i4").tobytes()), same))
                         if ids:

@@ -207,7 +207,7 @@ def test_samples_have_the_distribution_of_draws_without_replacement():
     starts, n = model.prepare(["hello"])[0], 6000
     first, second, pieces = collections.Counter(), collections.Counter(), 0.0
     for key in range(n):
-        one, two = model.sample(starts, key, 2)
+        one, two = model.sample([starts], [key * 7919], 2)[0]
         assert tuple(one[0]) != tuple(two[0]) and one[2] > two[2]
         for ids, log_p, _, inclusion in (one, two):
             assert abs(log_p - logs[tuple(ids)]) < 1e-9
@@ -223,7 +223,7 @@ def test_samples_have_the_distribution_of_draws_without_replacement():
 
 def test_small_lattices_are_drawn_whole():
     model = segment_sampling.sampler(segment_sampling.model_path())
-    found = model.sample(model.prepare(["to"])[0], 1, 50)
+    found = model.sample(model.prepare(["to"]), [1], 50)[0]
     assert {tuple(ids) for ids, *_ in found} == set(all_segmentations(model, "▁to"))
     assert all(inclusion == 0 for *_, inclusion in found)
 
