@@ -4,7 +4,9 @@ Words and pairs of neighbouring words are hashed to ``BUCKETS`` buckets. Over
 the trusted documents and over all documents the bucket counts make two
 multinomials; a document's score is the mean over its n-grams of the log of
 their ratio, in millionths, as whole numbers, so that sums are exact and the
-threshold gives the same answer everywhere.
+threshold gives the same answer everywhere. Equal texts (the same words) count
+once in both multinomials, and as trusted if one of their documents is, so the
+number of copies decides no verdict.
 
 Defined cases: null or empty texts have no words and fail the base rule;
 documents without labels, empty tables and repeated or null ids are allowed
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import let, words_of
+from supplypanel.llm.common import kept, let, words_of
 
 #: Buckets of the multinomials; bounds the table that each task gets.
 BUCKETS = 16384
@@ -29,6 +31,8 @@ PRIOR = 20.0
 #: Least mean log ratio of a document that stays, in millionths.
 THRESHOLD = -60_000
 SYMBOLS = "#*$%&|<>"
+#: Cells of text hashes; those that hold a repeated text are grouped text by text. Bounds what each task gets.
+TEXT_CELLS = 1 << 20
 #: Bits for a window's place in its document.
 PLACE_BITS = 26
 
@@ -100,14 +104,31 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
 
+def distinct_texts(docs: DataFrame, trusted: DataFrame, cells: int = TEXT_CELLS) -> DataFrame:
+    """One row for each different text: its words and ``_trusted``, which is null where no document of it is trusted.
+
+    Texts alone in their cell of hashes are not shuffled. The others are grouped by
+    the words themselves, so a hash decides only which way a text goes; equal texts
+    of a task are one row before the shuffle.
+    """
+    body = F.array_join(words_of(F.col("text")), " ").alias("_body")
+    cell = lambda hashed: F.pmod(hashed, F.lit(cells)).cast("int").alias("_cell")
+    repeated = docs.select(body).groupBy(F.xxhash64("_body").alias("_hash")).count().where("count > 1")
+    shared = F.broadcast(kept(repeated.select(cell(F.col("_hash"))).distinct()))
+    flagged = docs.join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left").select(body, "_trusted")
+    placed = flagged.withColumn("_cell", cell(F.xxhash64("_body")))
+    alone = placed.join(shared, "_cell", "left_anti").select("_body", "_trusted")
+    grouped = placed.join(shared, "_cell", "left_semi").groupBy("_body").agg(F.max("_trusted").alias("_trusted"))
+    return alone.unionByName(grouped).select(words_of(F.col("_body")).alias("words"), "_trusted")
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row: an array with each bucket's log of trusted share over raw share, in millionths.
 
-    Counts cover all documents and are summed in each task before the shuffle.
+    Counts cover the texts of all documents, each once, and are summed in each task before the shuffle.
     """
-    flagged = docs.join(F.broadcast(trusted.withColumn("_trusted", F.lit(1))), "doc_id", "left")
-    counts = flagged.select(
-        F.explode(grams(words_of(F.col("text")), buckets)).alias("bucket"), "_trusted",
+    counts = distinct_texts(docs, trusted).select(
+        F.explode(grams(F.col("words"), buckets)).alias("bucket"), "_trusted",
     ).groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("_trusted").alias("good"))
     filled = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(
         counts, "bucket", "left"

@@ -128,6 +128,25 @@ def test_quality_of_odd_tables(spark):
     assert found.where("kept = base_failed").count() == 0
 
 
+def test_copies_of_a_clean_text_decide_no_verdict(spark):
+    rng = random.Random(3)
+    docs = [(k, " ".join(rng.choice(sentences(k % 13).split()) for _ in range(80))) for k in range(400)]
+    clean = " ".join(f"plain{k}" for k in range(80))
+    docs += [(1000 + k, ("\n " if k % 2 else "") + clean) for k in range(200)]
+    docs += [(None, clean), (5, clean)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 400, 3)], "doc_id long, quality int, toxic int")
+    found = quality_rules.quality_rules(table, labels, buckets=4096)
+    no_python(found)
+    verdicts = [r.kept for r in found.select("kept", "text").collect() if "plain0" in r.text]
+    assert verdicts == [True] * 202
+    trusted = spark.createDataFrame([(k,) for k in (3, 1007)], "doc_id long")
+    texts = rows(quality_rules.distinct_texts(table, trusted))
+    assert len(texts) == 401 and [t for w, t in texts if w == clean.split()] == [1]
+    # One cell for all texts: everything is grouped, with the same outcome.
+    assert rows(quality_rules.distinct_texts(table, trusted, cells=1)) == texts
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
