@@ -48,6 +48,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 BLANKS = re.compile(r"\s+")
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "xmp")
+#: ASCII letters alone match in either case; a lowered copy of the page would not keep its places.
+RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -87,7 +89,7 @@ class Tree:
         self.runs: list[tuple[int, str, bool]] = []  # the element of a run of text, the run, whether it is a link's
         self.breaks: list[int] = []  # the number of runs before each block boundary
         self.link = False
-        stack, at, low = [0], 0, None
+        stack, at = [0], 0
         while True:
             m = TOKEN.search(page, at)
             if m is None:
@@ -102,10 +104,8 @@ class Tree:
             if m[1]:
                 self._close(stack, tag)
             elif tag in RAW:
-                low = low or page.lower()
-                end = low.find(f"</{tag}", at)
-                at = len(page) if end < 0 else end
-                end = page.find(">", at)
+                closing = RAW_ENDS[tag].search(page, at)
+                end = page.find(">", closing.start()) if closing else -1
                 at = len(page) if end < 0 else end + 1
             else:
                 self._open(stack, tag, m[3])

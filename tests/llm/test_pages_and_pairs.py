@@ -40,6 +40,15 @@ line &lt;tag&gt; of the story that the page is about, with more words.<p>Second
 <footer>&copy; 2024 the owners of the site</footer></body></html>"""
 
 
+def test_raw_elements_end_at_their_own_tag_after_letters_that_lower_to_two():
+    page = ("<p>" + "\u0130stanbul " * 40 + "</p><SCRIPT>var no = 1;</Script ><p>one</p><style>no{}</STYLE><p>two</p>"
+            "<script>no</\u017fcript></script><p>three</p>")
+    tree = web.Tree(page)
+    text = tree.text(np.ones(len(tree.parent), bool))
+    assert text == "\u0130stanbul " * 40 + "one two three"
+
+
+
 def test_a_page_of_many_parts(model):
     assert extracted(PAGE, model) == (
         "Café & bar First bold line <tag> of the story that the page is about, with more words. "
