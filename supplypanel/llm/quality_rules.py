@@ -40,29 +40,39 @@ PLACE_BITS = 26
 def repeated_words(words: Column) -> Column:
     """How many words stand in a three-word window that the text holds twice or more.
 
-    Each window is one long, its hash above its place, and the longs are sorted;
-    neighbours with the same hash are compared word by word. Each repeated
-    window then adds the words that the one before it did not cover.
+    Each window is one long, some of its hash's bits above its place, and the longs
+    are sorted. Only windows beside another of the same bits can be repeated; those
+    are sorted by their words, so equal ones are neighbours whatever else shares the
+    bits. Texts with more words than there are places sort all windows so. Each
+    repeated window then adds the words that the one before it did not cover.
     """
     places = F.lit((1 << PLACE_BITS) - 1).cast("long")
 
     def marked(w: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(w) - 3)
+
         def key(i: Column) -> Column:
             windowed = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
             return F.shiftleft(windowed, PLACE_BITS).bitwiseOR(i.cast("long"))
 
-        def same(a: Column, b: Column) -> Column:
-            i, j = a.bitwiseAND(places).cast("int"), b.bitwiseAND(places).cast("int")
-            equal = F.shiftright(a, PLACE_BITS) == F.shiftright(b, PLACE_BITS)
-            for k in range(3):
-                equal = equal & (F.get(w, i + k) == F.get(w, j + k))
-            return F.coalesce(equal, F.lit(False))
+        def alike(x: Column, y: Column) -> Column:
+            return F.coalesce(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.lit(False))
+
+        def window(i: Column) -> Column:
+            a, b, c = (F.get(w, i + k) for k in range(3))
+            return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), i.alias("place"))
+
+        def same(x: Column, y: Column) -> Column:
+            return F.coalesce((x.a == y.a) & (x.b == y.b) & (x.c == y.c), F.lit(False))
 
-        keys = F.transform(F.sequence(F.lit(0), F.size(w) - 3), key)
-        repeated = let(F.sort_array(keys), lambda s: F.filter(
+        beside = let(F.sort_array(F.transform(every, key)), lambda s: F.transform(
+            F.filter(s, lambda x, i: alike(x, F.get(s, i - 1)) | alike(x, F.get(s, i + 1))),
+            lambda x: x.bitwiseAND(places).cast("int")))
+        likely = F.when(F.size(w) <= 1 << PLACE_BITS, beside).otherwise(every)
+        repeated = let(F.sort_array(F.transform(likely, window)), lambda s: F.filter(
             s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))
         ))
-        starts = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(places)))
+        starts = F.sort_array(F.transform(repeated, lambda x: x.place))
         return let(starts, lambda p: F.aggregate(
             F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(x - F.get(p, i - 1), F.lit(3)))),
             F.lit(0).cast("long"), lambda total, x: total + x,

@@ -147,6 +147,25 @@ def test_copies_of_a_clean_text_decide_no_verdict(spark):
     assert rows(quality_rules.distinct_texts(table, trusted, cells=1)) == texts
 
 
+def test_equal_windows_are_found_with_others_of_their_hash_between(spark):
+    def windowed(w):
+        seed = 42
+        for word in w:
+            seed = xxhash.xxh64_intdigest(word, seed)
+        return seed % (1 << 38)
+
+    seen = {}
+    for k in range(10_000_000):
+        if (other := seen.setdefault(windowed(("a", "b", f"w{k}")), k)) != k:
+            break
+    first, between = f"a b w{other}", f"a b w{k}"
+    apart = [" ".join(f"x{j}{i}" for i in range(20)) for j in range(4)]
+    text = " ".join((apart[0], first, apart[1], between, apart[2], first, apart[3]))
+    found = spark.createDataFrame([(text,)], "text string").select(
+        quality_rules.repeated_words(quality_rules.words_of(F.col("text"))))
+    assert found.first()[0] == 6
+
+
 # --- secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
