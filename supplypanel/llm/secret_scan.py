@@ -1,15 +1,16 @@
 """Secret scans: three fixed patterns, and runs of characters that look random.
 
 The fixed patterns give the base spans. The method adds spans of kind
-``random``: runs of 20 or more encoding characters with letters and digits that
-no base span touches. A run's encoding is inferred from its characters, and two
+``random``: runs of 20 or more encoding characters, except those that lie whole
+in a base span. A run's encoding is inferred from its characters, and two
 batteries of tests are made in it, each of a chi-squared test of the alphabet, a
 runs test and a lag-1 serial correlation:
 
 * against uniform draws from the alphabet; a run that one of them rejects is not random;
 * against ordinary names and numbers, which prefer some characters, change
   seldom between digits, capitals and small letters, and put like beside like.
-  Their p-values are combined by Fisher's method.
+  Their p-values are combined by Fisher's method; a run of digits alone, or of
+  letters of one case, has no changes that could tell, so two p-values are combined.
 
 Over the whole corpus the combined p-values of each encoding and length class
 then pass the Benjamini-Hochberg step-up rule on a fixed grid of p, rounded up,
@@ -42,7 +43,7 @@ SMALL = "abcdefghijklmnopqrstuvwxyz"
 LARGE = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {
     "hex": DIGITS + SMALL[:6], "base32": LARGE + "234567", "base36": DIGITS + SMALL,
-    "base64": LARGE + SMALL + DIGITS + "+/",
+    "base64": LARGE + SMALL + DIGITS + "+/", "digits": DIGITS, "letters": SMALL, "cases": LARGE + SMALL,
 }
 #: What ordinary runs are taken for: how much likelier than in uniform draws two
 #: characters agree, how often neighbours change class, and their serial correlation.
@@ -69,13 +70,13 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _candidates(text: Column, base: list[Column]) -> Column:
-    def free(s: Column) -> Column:
-        apart = F.lit(True)
+    def left(s: Column) -> Column:
+        inside = F.lit(False)
         for b in base:
-            apart = apart & ~F.exists(b, lambda x: (x.start < s.end) & (s.start < x.end))
-        return apart & s.match.rlike("[0-9]") & s.match.rlike("[A-Za-z]")
+            inside = inside | F.exists(b, lambda x: (x.start <= s.start) & (s.end <= x.end))
+        return ~inside
 
-    return match_spans(text, CANDIDATE, lambda spans: F.filter(spans, free))
+    return match_spans(text, CANDIDATE, lambda spans: F.filter(spans, left))
 
 
 def _phi(z: Column) -> Column:
@@ -114,11 +115,13 @@ def _verdict(v: Column, s: Column, encoding: Column) -> Column:
                           / F.sqrt((n - 1) * ORDINARY_CHANGES * (1 - ORDINARY_CHANGES)))
         by_serial = _phi((F.atanh(F.least(F.abs(c.serial), F.lit(0.99))) - F.atanh(F.lit(ORDINARY_SERIAL)))
                          * F.sqrt(n - 3))
+        one_kind = encoding.isin("digits", "letters")
+        by_changes = F.when(one_kind, 1.0).otherwise(by_changes)
         half = F.lit(0.0)
         for p in (by_chi, by_changes, by_serial):
             half = half - F.log(F.greatest(p, F.lit(1e-30)))
-        # Fisher's statistic has six degrees of freedom; this is the log of its upper tail.
-        tail = -half + F.log(1 + half + half * half / 2)
+        # Fisher's statistic has six degrees of freedom, or four; this is the log of its upper tail.
+        tail = -half + F.log(1 + half + F.when(one_kind, 0.0).otherwise(half * half / 2))
         cell = F.least(F.floor(-tail / F.log(F.lit(10.0)) * CELLS_PER_TEN), F.lit(CELLS - 1)).cast("int")
         length = F.lit(LENGTHS[0])
         for least in LENGTHS[1:]:
@@ -135,8 +138,7 @@ def battery(token: Column) -> Column:
 
     def tested(body: Column, encoding: Column) -> Column:
         letters = F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair])[encoding]
-        folded = (F.when(encoding == "hex", F.lower(body)).when(encoding == "base36", F.lower(body))
-                  .otherwise(body))
+        folded = F.when(encoding.isin("hex", "base36", "letters"), F.lower(body)).otherwise(body)
         values = let(letters, lambda a: F.transform(
             F.split(folded, letter_by_letter), lambda c: (F.instr(a, c) - 1).cast("double")))
         kinds = body
@@ -152,7 +154,8 @@ def battery(token: Column) -> Column:
     # The padding is no part of the alphabet; the two base64 alphabets become one.
     stripped = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
     return let(stripped, lambda body: let(
-        F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32")
+        F.when(body.rlike("^[0-9]+$"), "digits").when(body.rlike("^([a-z]+|[A-Z]+)$"), "letters")
+        .when(body.rlike("^[A-Za-z]+$"), "cases").when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32")
         .when(body.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").otherwise("base64"),
         lambda encoding: tested(body, encoding)))
 
@@ -169,7 +172,7 @@ def _scanned(docs: DataFrame) -> DataFrame:
 def discovery_cells(docs: DataFrame, false_share: float = FALSE_SHARE) -> DataFrame:
     """One row: a map from class to the least grid cell that the step-up rule accepts.
 
-    Over all candidates of the corpus; there are at most 20 classes of ``CELLS`` cells.
+    Over all candidates of the corpus; there are at most 35 classes of ``CELLS`` cells.
     """
     tests = _scanned(docs.select("text")).select(F.explode("_random.test").alias("t")).select("t.*")
     counts = tests.groupBy("class", "cell").agg(

@@ -210,6 +210,28 @@ def test_secrets_keep_base_spans_and_find_random_runs(spark):
     assert planted == 50 and hit >= 45
 
 
+def test_runs_of_one_kind_and_runs_around_base_spans_are_tested(spark):
+    rng = random.Random(7)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    digits = string.digits
+    kinds = {"small": (string.ascii_lowercase, 80), "large": (string.ascii_uppercase, 80), "both": (string.ascii_letters, 40)}
+    planted = [(kind, some(*of)) for kind, of in kinds.items() for _ in range(40)]
+    # A base span covers the hexadecimal middle of these.
+    b64 = string.ascii_letters + digits
+    planted += [("around", some(b64, 30) + "Z" + some("0123456789abcdef", 24) + "Z" + some(b64, 30)) for _ in range(40)]
+    planted += [("digits", some(digits, 22)) for _ in range(40)]
+    planted += [("words", "".join(rng.choice(("erlich", "heit", "tion", "ungen", "ment", "lich", "verein")) for _ in range(6))) for _ in range(40)]
+    table = spark.createDataFrame([(k, f"a {run} b") for k, (_, run) in enumerate(planted)], "doc_id long, text string")
+    tested = {r.doc_id: len(r._random) for r in secret_scan._scanned(table).collect()}
+    assert set(tested.values()) == {1}
+    hit = collections.Counter()
+    for r in secret_scan.secret_spans(table).collect():
+        kind, run = planted[r.doc_id]
+        hit[kind] += ("random", 2, 2 + len(run)) in [tuple(s) for s in r.secret_spans]
+    assert hit["words"] == 0
+    assert min(hit[kind] for kind in ("small", "large", "both")) >= 36 and hit["around"] >= 30, hit
+
+
 def test_secrets_of_odd_tables(spark):
     assert secret_scan.secret_spans(empty(spark)).count() == 0
     docs = clashing(awkward(spark))
