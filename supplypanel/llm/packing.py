@@ -35,8 +35,6 @@ GROUP_PIECES = 8192
 FAN = 8
 #: Tries of the local search in a group.
 TRIES = 1500
-#: Sequences, those with most room, in which the search looks for two pieces to take for one.
-WIDE = 64
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, end_id: int = END_ID, length: int = SEQUENCE) -> DataFrame:
@@ -127,19 +125,34 @@ class Swaps:
             return True
         if len(out) > 1:
             return False
-        roomy = np.where(self.fills > 0, room, 0)
-        roomy[donor] = 0
-        for b in np.argsort(-roomy, kind="stable")[:WIDE].tolist():
-            if not roomy[b]:
-                break
-            members = self.bins[b][:16]
-            for x, i in enumerate(members):
-                for j in members[x + 1 :]:
-                    gain = size - int(self.lengths[i] + self.lengths[j])
-                    if max(0, floor[b]) < gain <= room[b]:
-                        self._put(out, [i, j], donor, b)
-                        return True
-        return False
+        pair = self._pair(size, room, np.maximum(floor, 0), donor)
+        if pair:
+            self._put(out, pair, donor, int(self.home[pair[0]]))
+        return bool(pair)
+
+    def _pair(self, size: int, room: np.ndarray, floor: np.ndarray, donor: int) -> list[int]:
+        """Two pieces of one sequence, shorter than ``size`` by more than its floor and by its room at most; of all
+        sequences, the one with most room. For each first piece the second is looked up among sorted lengths."""
+        ends = room > floor
+        ends[donor] = False
+        firsts = np.flatnonzero(ends[self.home] & (self.lengths < size))
+        if not len(firsts):
+            return []
+        home, lengths = self.home[firsts], self.lengths[firsts]
+        keys = home * (self.capacity + 1) + lengths
+        order = np.argsort(keys, kind="stable")
+        firsts, home, lengths, keys = firsts[order], home[order], lengths[order], keys[order]
+        least = np.maximum(size - room[home] - lengths, 0)
+        most = size - floor[home] - 1 - lengths
+        base = home * (self.capacity + 1)
+        # Pieces before the first one in this order would give the same pairs.
+        low = np.maximum(np.searchsorted(keys, base + least), np.arange(len(keys)) + 1)
+        high = np.where(most >= 0, np.searchsorted(keys, base + np.maximum(most, 0), side="right"), 0)
+        found = np.flatnonzero(low < high)
+        if not len(found):
+            return []
+        first = found[np.argmax(room[home[found]])]
+        return [int(firsts[first]), int(firsts[low[first]])]
 
     def _lighten(self, donor: int) -> bool:
         members = sorted(self.bins[donor], key=lambda i: -self.lengths[i])

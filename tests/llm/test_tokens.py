@@ -257,3 +257,32 @@ def test_segmentations_of_tables_decode_to_their_texts(spark):
     key = lambda r: (str(r.doc_id), r.sample, r.ids_crc32, round(r.perturbed, 9))
     assert sorted(map(key, back)) == sorted(map(key, same.collect()))
     assert segment_sampling.segmentations(empty(spark)).count() == 0
+
+
+def test_two_pieces_for_one_are_found_in_any_sequence_and_at_any_place():
+    # Only the last of 101 sequences, which has least room, and there only its last pieces give a pair for the donor's.
+    bins, lengths = [], []
+    for sizes in [[500]] + [[1000]] * 100 + [[45] * 18 + [200, 200]]:
+        bins.append(list(range(len(lengths), len(lengths) + len(sizes))))
+        lengths += sizes
+    search = packing.Swaps(np.array(lengths), bins, 1310)
+    room = search.capacity - search.fills
+    pair = search._pair(500, room, np.maximum(search.fills[0] - search.fills, 0), 0)
+    assert sorted(search.lengths[pair].tolist()) == [200, 200]
+
+
+def test_a_pair_is_found_wherever_brute_force_finds_one():
+    rng, seen = np.random.default_rng(4), set()
+    for _ in range(300):
+        count = int(rng.integers(1, 30))
+        lengths = rng.integers(1, 60, count)
+        search = packing.Swaps(lengths, packing.best_fit(lengths, 100), 100)
+        room, donor = search.capacity - search.fills, int(rng.integers(len(search.bins)))
+        floor = np.maximum(search.fills[donor] - search.fills, 0)
+        size = int(lengths[search.bins[donor][0]])
+        want = [(i, j) for b, members in enumerate(search.bins) if b != donor for i in members for j in members
+                if i != j and floor[b] < size - lengths[i] - lengths[j] <= room[b]]
+        found = search._pair(size, room, floor, donor)
+        assert tuple(found) in want if want else found == []
+        seen.add(bool(want))
+    assert seen == {True, False}
