@@ -56,7 +56,7 @@ def word_lists(text: bytes, runs: int) -> Iterator[tuple[list[bytes], int]]:
     while at < len(flat):
         end = flat.find(b" ", at + PIECE_BYTES)
         end = len(flat) if end < 0 else end
-        before = words[len(words) - runs + 1 :] if runs > 1 else []
+        before = words[1 - runs :] if runs > 1 else []
         words = before + flat[at:end].split()
         yield words, len(before)
         at = end
