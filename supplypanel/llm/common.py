@@ -84,6 +84,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sampled(key: Column, share: float) -> Column:
+    """Whether a key is of a sample of about ``share``, by its hash as a number of 63 bits.
+
+    The share of a bounded sample gets small as a table grows; with 63 bits it does not become none.
+    """
+    low, high = 20, 43
+    hashed = F.xxhash64(key)
+    number = F.pmod(hashed, F.lit(1 << low)) * F.lit(1 << high) + F.pmod(F.shiftright(hashed, low), F.lit(1 << high))
+    return number < F.lit(min((1 << 63) - 1, max(1, int(share * (1 << 63)))))
+
+
 def words_of(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")

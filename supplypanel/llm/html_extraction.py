@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from supplypanel.llm.common import ship_package
+from supplypanel.llm.common import sampled, ship_package
 
 #: Pages whose text blocks fill the training pages, and how many of those are laid out.
 SAMPLE_PAGES, TRAINING_PAGES = 200, 800
@@ -372,7 +372,7 @@ def sample_texts(pages: DataFrame, rows: int = SAMPLE_PAGES) -> list[str]:
     """Runs of text from about ``rows`` pages chosen by hash; at most 40 of 400 characters from each."""
     ship_package(pages.sparkSession)
     share = min(1.0, rows / max(1, pages.count()))
-    chosen = pages.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20))).select("html")
+    chosen = pages.where(sampled(F.col("html"), share)).select("html")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

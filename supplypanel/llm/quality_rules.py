@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import kept, let, words_of
+from supplypanel.llm.common import kept, let, sampled, words_of
 
 #: Buckets of the multinomials; bounds the table that each task gets.
 BUCKETS = 16384
@@ -111,7 +111,7 @@ def trusted_ids(labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
     """Ids labelled good and not toxic: all of them, or about ``rows`` chosen by hash; the size is so bounded."""
     good = labels.where("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
     share = min(1.0, rows / max(1, good.count()))
-    return good.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return good.where(sampled(F.col("doc_id"), share))
 
 
 def distinct_texts(docs: DataFrame, trusted: DataFrame, cells: int = TEXT_CELLS) -> DataFrame:

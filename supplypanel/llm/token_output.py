@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from supplypanel.llm.common import kept, ship_package, small_batches
+from supplypanel.llm.common import kept, sampled, ship_package, small_batches
 from supplypanel.llm.word_tokens import encoder, release, tokenizer_path
 
 END_ID = 2
@@ -66,7 +66,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int = END_ID, rows: int
     """
     ship_package(docs.sparkSession)
     share = min(1.0, rows / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    chosen = docs.where(sampled(F.col("doc_id"), share)).select("text")
 
     def samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -138,11 +138,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
     # Frames are made where the texts are read; only frames are shuffled. The kept frames
     # serve both passes of the range partitioning.
     with small_batches(spark):
-        frames = kept(_framed(docs, dictionary, path, end_id))
+        frames = kept(_framed(docs, dictionary, path, end_id)).withColumn("row", F.monotonically_increasing_id())
     size = frames.agg(F.sum(F.length("frame"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
-    ordered = frames.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "tie")
-    blocks = _blocks(ordered.drop("tie"), name).withColumn("block", F.monotonically_increasing_id())
+    # The row splits an id that very many documents share.
+    keys = ("doc_id", "tie", "row")
+    ordered = frames.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    blocks = _blocks(ordered.drop("tie", "row"), name).withColumn("block", F.monotonically_increasing_id())
     with small_batches(spark):
         blocks.write.mode("overwrite").parquet(f"{folder}/blocks")
     written = spark.read.parquet(f"{folder}/blocks")

@@ -1,28 +1,45 @@
-"""Token ids of whole texts, with each word encoded once per Python worker.
+"""Token ids of whole texts, with each pre-token encoded once per Python worker.
 
 The tokenizer drops white space and never joins across it, so a text's ids are
-those of its words in order. A word of printable characters below U+0130 is cut into
-pre-tokens here and only pre-tokens not met before go to the model; any other
-word goes through the whole tokenizer. Strings of special tokens in a text are
-ordinary text. Memory is bounded: a store that is full is emptied.
+those of its words in order. Text of printable characters below U+0130 is cut into
+pre-tokens here and only pre-tokens not met before go to the model; a word with
+any other character goes through the whole tokenizer. Strings of special tokens in a text are
+ordinary text. Memory is bounded: the store has two generations; what is met again
+moves to the young one, and when that is full the old one is dropped. So frequent
+pre-tokens are never encoded twice, however many rare ones there are.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
+from unicodedata import category
 
 import numpy as np
 import public_tokenizers
-import regex
 from tokenizers import Tokenizer
 
-STORED_WORDS, STORED_PIECES = 250_000, 350_000
+#: Pre-tokens and odd words that a generation of the store holds.
+STORED = 200_000
+#: Characters of a text that are cut at once, up to the next space or line end.
+CUT_CHARACTERS = 1 << 20
 DEFAULT = "word_bpe_49k.json"
-#: Characters whose case, composition or kind is left to the tokenizer itself.
-ODD = regex.compile("[^\n\x21-\x7e\xa1-\xac\xae-\u012f]")
-# Fixed value: the tokenizer's own pre-token pattern.
-PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Characters whose case, composition or kind is left to the tokenizer itself; white space is that between words.
+ODD = re.compile("[^\t-\r\x20-\x7e\xa1-\xac\xae-\u012f]")
+
+
+def _pre_tokens() -> re.Pattern:
+    """The tokenizer's own cut into pre-tokens, with its classes of letters and numbers written out below U+0130."""
+    of = {k: "".join(re.escape(chr(c)) for c in range(0x130) if category(chr(c))[0] == k) for k in "LN"}
+    # The endings that are pre-tokens of their own.
+    return re.compile(f"[{of['L']}]+|'(?:s|t|re|ve|m|ll|d)|[{of['N']}]|[^\\s{of['L']}{of['N']}]+")
+
+
+PRE_TOKENS = _pre_tokens()
+SPACE = re.compile("[ \t-\r]")
 
 
 def tokenizer_path() -> str:
@@ -47,71 +64,61 @@ def _visible_bytes() -> list[str]:
     return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+class _Store(dict):
+    """Ids as bytes by pre-token or word; ``encode`` makes those that neither generation holds."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(self) >= STORED:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
+        return ids
+
+
 class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.kind = np.dtype(self.code)
-        self.pieces: dict[str, bytes] = {}  # ids as bytes, which take a fraction of a list's memory
         self.table = {i: c for i, c in enumerate(_visible_bytes())}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.ids = np.empty(1 << 16, self.kind)
-        self.starts = np.zeros(1 << 14, np.int32)
-        self.size = 0
+        self.pieces, self.words = _Store(self._piece), _Store(self._word)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
-        ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-        return ids
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as bytes."""
-        joined = b"\n".join(words).decode()
-        if ODD.search(joined):
-            return [array(self.code, self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-                    if ODD.search(w) else self._words([w.encode()])[0] for w in joined.split("\n")]
-        if len(self.pieces) > STORED_PIECES:
-            self.pieces.clear()
-        get, make = self.pieces.get, self._piece
-        return [get(w) or make(w) if w.isalpha() else b"".join([get(p) or make(p) for p in PRE_TOKENS.findall(w)])
-                for w in joined.lower().split("\n")]
-
-    def _add(self, words: list[bytes]) -> None:
-        n, size = len(self.places), self.size
-        found = self._words(words)
-        flat = np.frombuffer(b"".join(found), self.kind)
-        ends = size + np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) // self.kind.itemsize
-        if size + len(flat) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * (size + len(flat)))
-        if n + len(found) + 1 > len(self.starts):
-            self.starts = np.resize(self.starts, 2 * (n + len(found) + 1))
-        self.ids[size : size + len(flat)] = flat
-        self.starts[n + 1 : n + 1 + len(found)] = ends
-        self.size += len(flat)
-        self.places.update(zip(words, range(n, n + len(found))))
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PRE_TOKENS.findall(text.lower())))
+
+    def _part(self, text: str) -> bytes:
+        """The ids of a text that begins and ends between words, as bytes."""
+        if not ODD.search(text):
+            return self._plain(text)
+        words = (w.decode() for w in text.encode().split())
+        return b"".join(
+            b"".join(map(self.words.__getitem__, run)) if odd else self._plain(" ".join(run))
+            for odd, run in groupby(words, key=lambda w: bool(ODD.search(w))))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text as unsigned 32-bit numbers; none for null."""
-        words = (text or "").encode().split()
-        if not words:
-            return np.empty(0, np.uint32)
-        found = list(map(self.places.get, words))
-        if None in found:
-            gaps = [i for i, place in enumerate(found) if place is None]
-            missing = list({words[i] for i in gaps})
-            if len(self.places) + len(missing) > STORED_WORDS:
-                self._clear()
-                missing, gaps = list(set(words)), range(len(words))
-            self._add(missing)
-            places = self.places
-            for i in gaps:
-                found[i] = places[words[i]]
-        found = np.array(found, np.int32)
-        first, count = self.starts[found], self.starts[found + 1] - self.starts[found]
-        ends = np.cumsum(count)
-        steps = np.arange(ends[-1]) + np.repeat(first - (ends - count), count)
-        return self.ids[steps].astype(np.uint32)
+        return np.frombuffer(b"".join(map(self._part, _cut(text or ""))), self.code).astype(np.uint32)
+
+
+def _cut(text: str) -> Iterator[str]:
+    """A text in parts of about ``CUT_CHARACTERS`` that end at white space; a longer word is not cut."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + CUT_CHARACTERS)
+        end = space.start() if space else len(text)
+        yield text[at:end]
+        at = end

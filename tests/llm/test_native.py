@@ -281,3 +281,14 @@ def test_chats_of_odd_tables(spark):
            (2, 5, "user", "a", ""), (2, 9, "user", "a", ""), (2, 12, "user", "b", "")]
     out = {r.conv_id: (r.n_turns, r.n_snapshots) for r in chat.rendered(spark.createDataFrame(odd, TURNS)).collect()}
     assert out == {None: (2, 1), 2: (3, 1)}
+
+
+def test_a_small_share_of_a_huge_table_is_not_none(spark):
+    from supplypanel.llm.common import sampled
+
+    keys = spark.range(200_000)
+    share = keys.where(sampled(F.col("id"), 0.01)).count() / 200_000
+    assert abs(share - 0.01) < 0.002 and keys.where(sampled(F.col("id"), 1.0)).count() == 200_000
+    # Of 10^12 rows 2,000 are wanted: the hash's bound is then far above 0.
+    plan = keys.where(sampled(F.col("id"), 2000 / 1e12))._jdf.queryExecution().toString()
+    assert f"< {int(2000 / 1e12 * (1 << 63))}" in plan and int(2000 / 1e12 * (1 << 63)) > 1e10

@@ -26,14 +26,25 @@ def crc(ids):
 
 
 def test_word_encoder_equals_the_tokenizer(plain, monkeypatch):
-    monkeypatch.setattr(word_tokens, "STORED_WORDS", 20)
-    monkeypatch.setattr(word_tokens, "STORED_PIECES", 20)
+    monkeypatch.setattr(word_tokens, "STORED", 5)
+    monkeypatch.setattr(word_tokens, "CUT_CHARACTERS", 30)
     encoder = word_tokens.WordEncoder(word_tokens.tokenizer_path())
     rng = random.Random(0)
     parts = ["the", "Straße", "İ", "ΑΣ", "it's", "I'LL", "12a3", "...", "é", "é", "\xa0", "\x1c", "\x85", "ﬁ", "😀", "<|endoftext|>", "３", "x" * 200]
     for _ in range(300):
         text = "".join(rng.choice(parts) + rng.choice(("", " ", "\n", "\t ")) for _ in range(rng.randint(0, 25)))
         assert encoder.encode(text).tolist() == plain(text)
+        assert max(len(store) + len(store.old) for store in (encoder.pieces, encoder.words)) <= 10
+
+
+def test_frequent_pre_tokens_are_encoded_once_however_many_are_rare(monkeypatch):
+    monkeypatch.setattr(word_tokens, "STORED", 50)
+    encoder, made = word_tokens.WordEncoder(word_tokens.tokenizer_path()), collections.Counter()
+    encode = encoder.pieces.encode
+    encoder.pieces.encode = lambda piece: made.update([piece]) or encode(piece)
+    for k in range(400):
+        encoder.encode(f"often {'abcdefghij'[k % 10] * (k // 10 + 1)} seen")
+    assert made["often"] == made["seen"] == 1 and sum(made.values()) == 402
 
 
 # --- packing
