@@ -20,8 +20,10 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import oracles  # noqa: E402
 from supplypanel.functions.columns import typed  # noqa: E402
-from supplypanel.model import experiment, metrics, models, preparation  # noqa: E402
-from supplypanel.operators import comparison  # noqa: E402
+from supplypanel.model import (  # noqa: E402
+    boosting, experiment, isotonic, logistic, metrics, models, preparation,
+)
+from supplypanel.operators import comparison, ranking  # noqa: E402
 from supplypanel.plans import (  # noqa: E402
     checks, completion, mart, panel, portfolio, reports, risk, staging,
 )
@@ -401,6 +403,77 @@ def reference_model_evaluation(spark, folder):
     )
 
 
+_FITTED: dict[str, models.ReferenceModel] = {}
+
+
+def _reference_model(spark, folder) -> models.ReferenceModel:
+    """The reference model of one folder's training rows, fitted once for each application."""
+    name = _name(spark, folder, "reference")
+    if name not in _FITTED:
+        _FITTED[name] = models.fit_reference_model(_split(spark, folder)[0])
+    return _FITTED[name]
+
+
+def reference_model_convergence(spark, folder):
+    """What proves the fit: rows, a gradient that vanishes, and the number of steps."""
+    return _reference_model(spark, folder).convergence(spark).select(
+        "n", (F.col("gradient_norm") < 1e-9).alias("gradient_vanishes"), (F.col("steps") <= 25).alias("few_steps"))
+
+
+def reference_model_gradient(spark, folder):
+    """The gradient at the fitted weights by column expressions, for each input; 0.0 even where rounding leaves -0.0."""
+    found = models.penalised_gradient(_reference_model(spark, folder), _split(spark, folder)[0])
+    return found.select("feature", (F.round("gradient", 9) + F.lit(0.0)).alias("gradient"))
+
+
+def size_model_coefficients(spark, folder):
+    """The solver on two inputs of stated scale, step by step the same as in SQL."""
+    chosen = {name: (middle, mean, deviation) for name, middle, mean, deviation, _ in oracles.SCORER[1:3]}
+    inputs = preparation.Preparation(chosen, {}, [f"numeric__{n}" for n in chosen])
+    (fit,) = logistic.fit_logistic(_split(spark, folder)[0], [(inputs, None)])
+    rows = [*zip(inputs.names, fit.coefficients), ("intercept", fit.intercept)]
+    return spark.createDataFrame(
+        [(name, round(value, 7)) for name, value in rows], "feature string, coefficient double")
+
+
+def window_statistics(spark, folder):
+    """Numeric statistics of each window of training years, from one histogram by year."""
+    train, _ = _split(spark, folder)
+    state = tables.settled(preparation.feature_histogram(train, ["reference_year"]))
+    merged = tables.settled(preparation.merged_windows(state, oracles.training_windows()))
+    found = _rounded(preparation.numeric_summary(merged, ["window"]), "median")
+    return _rounded(found, "mean", "deviation", digits=6)
+
+
+def isotonic_fit(spark, folder):
+    """The isotonic mean of each rounded log-odds of the calibration year."""
+    rows = _fixed_scorer().score(_training(spark, folder).where(F.col("reference_year") == CALIBRATION_YEAR))
+    points = rows.groupBy(F.round("log_odds", 1).alias("value")).agg(
+        F.sum("label").cast("bigint").alias("events"), F.count(F.lit(1)).alias("n"))
+    blocks = isotonic.isotonic_blocks(points, slices=4)
+    return _rounded(isotonic.with_mean(points.select("value"), "value", blocks, "mean"), "mean")
+
+
+def large_top_ranks(spark, folder):
+    """Half of the training rows in the order of their score."""
+    train, _ = _split(spark, folder)
+    scored = _size_score(train).select(*metrics.ROW_KEYS, "score")
+    return ranking.ranked_top(scored, "score", metrics.ROW_KEYS, train.count() // 2).select(*metrics.ROW_KEYS, "position")
+
+
+def boosted_first_split(spark, folder):
+    """The first split that boosting finds over features of few values, and the values of its two leaves."""
+    train, _ = _split(spark, folder)
+    model = boosting.fit_boosted(
+        train, F.col("deteriorated").cast("int"), F.lit(False), oracles.BOOSTED_FEATURES, max_iter=1, depth=1)
+    tree = model.trees[0]
+    feature = int(tree.feature[0])
+    row = (model.features[feature], float(model.cuts[feature][tree.cut[0]]), bool(tree.missing_left[0]),
+           round(float(tree.value[1]), 9), round(float(tree.value[2]), 9))
+    return spark.createDataFrame(
+        [row], "feature string, cut double, missing_left boolean, left_value double, right_value double")
+
+
 def comparison_model_evaluation(spark, folder):
     train, test = _split(spark, folder)
     model = models.fit_comparison_model(train)
@@ -507,8 +580,22 @@ def _signs(spark, folder, section):
     return experiment.sign_sections(rows)[section].withColumn("coefficients", F.array_join(listed, ","))
 
 
-def experiment_evaluations(spark, folder):
-    return experiment.run_experiment(_training(spark, folder), CALIBRATION_YEAR)["evaluations"]
+_EXPERIMENTS: dict[str, dict[str, DataFrame]] = {}
+
+
+def _experiment(spark, folder) -> dict[str, DataFrame]:
+    """The experiment's sections; its models are fitted once for each folder and application."""
+    name = _name(spark, folder, "experiment")
+    if name not in _EXPERIMENTS:
+        _EXPERIMENTS[name] = experiment.run_experiment(_training(spark, folder), CALIBRATION_YEAR)
+    return _EXPERIMENTS[name]
+
+
+def experiment_calibration_gaps(spark, folder):
+    """Calibration error of each model of the experiment, before and after the isotonic map."""
+    sections = _experiment(spark, folder)
+    found = {n.removesuffix("_calibration"): s for n, s in sections.items() if n.endswith("_calibration")}
+    return experiment.calibration_gaps(found)
 
 
 def audit_list(spark, folder):
@@ -743,6 +830,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "calibration_table": calibration_table,
         "top_k_overlap": top_k_overlap,
         "reference_model_coefficients": reference_model_coefficients,
+        "reference_model_convergence": reference_model_convergence,
+        "reference_model_gradient": reference_model_gradient,
+        "size_model_coefficients": size_model_coefficients,
+        "window_statistics": window_statistics,
+        "isotonic_fit": isotonic_fit,
+        "large_top_ranks": large_top_ranks,
+        "boosted_first_split": boosted_first_split,
         "reference_model_evaluation": reference_model_evaluation,
         "comparison_model_evaluation": comparison_model_evaluation,
         "isotonic_calibration": isotonic_calibration,
@@ -757,7 +851,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fixed_scorer_audit_list": fixed_scorer_audit_list,
         "sign_flipping_features": lambda s, d: _signs(s, d, "sign_flipping_features"),
         "sign_stable_features": lambda s, d: _signs(s, d, "sign_stable_features"),
-        "experiment_evaluations": experiment_evaluations,
+        "experiment_evaluations": lambda spark, folder: _experiment(spark, folder)["evaluations"],
+        "experiment_precision_at_k": lambda spark, folder: _experiment(spark, folder)["precision_at_k"],
+        "experiment_coefficients": lambda spark, folder: _experiment(spark, folder)["reference_coefficients"],
+        "experiment_calibration_gaps": experiment_calibration_gaps,
         "audit_list": audit_list,
     } | ({**text_queries.QUERIES, "pipeline": corpus_pipeline.run} if text_queries else {})
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 FIRST, LAST = 1995, 2001
+TRAIN_YEARS = (1995, 1998)
 ZERO_FROM = 1998
 TRAIN, TEST = (1995, 1998), (1999, 1999)
 
@@ -410,6 +411,21 @@ def _levels(name: str) -> str:
       FROM (SELECT coalesce({name}, {mode}) AS level FROM train_rows) GROUP BY level"""
 
 
+def _window_statistic(name: str, window: str, years: list[int]) -> str:
+    """``_statistic`` of some training years."""
+    chosen = f"(SELECT * FROM train_rows WHERE reference_year IN ({', '.join(map(str, years))}))"
+    return f"""SELECT '{window}' AS "window", * FROM ({_statistic(name).replace("FROM train_rows", f"FROM {chosen}")})"""
+
+
+#: Training years that a window of the stability report has.
+WINDOW_YEARS = 3
+
+
+def training_windows() -> dict[str, list[int]]:
+    first, last = TRAIN_YEARS
+    return {f"{y}-{y + WINDOW_YEARS - 1}": list(range(y, y + WINDOW_YEARS)) for y in range(first, last - WINDOW_YEARS + 2)}
+
+
 def _check(name: str, sql: str) -> str:
     return f"SELECT '{name}' AS check_name, CAST(NULL AS INTEGER) AS census_year, CAST(({sql}) AS BIGINT) AS violations"
 
@@ -472,7 +488,7 @@ PARTS["scored_test"] = _scored("SELECT * FROM training WHERE split = 'teste'")
 PARTS["explained_test"] = f"""
 SELECT reference_year, {_OFFER}, log_odds, score, deteriorated, part.feature AS feature,
        part.transformed_value AS transformed_value, part.contribution AS contribution,
-       row_number() OVER (PARTITION BY reference_year, {_OFFER} ORDER BY abs(part.contribution) DESC, part.place) AS place
+       row_number() OVER (PARTITION BY reference_year, {_OFFER} ORDER BY abs(part.contribution) DESC, part.feature) AS place
 FROM (SELECT *, unnest(parts) AS part FROM scored_test)
 """
 PARTS["scored_open"] = _scored(f"""
@@ -785,10 +801,10 @@ def all_queries() -> dict[str, str]:
                round(contribution, 8) AS contribution
         FROM explained_test WHERE place <= 3"""
     sql["fixed_scorer_highest_risk"] = f"""
-        SELECT CAST(row_number() OVER (ORDER BY log_odds DESC, reference_year, {_OFFER}) AS INTEGER) AS position,
+        SELECT CAST(row_number() OVER (ORDER BY round(log_odds, 8) DESC, reference_year, {_OFFER}) AS INTEGER) AS position,
                reference_year, {_OFFER}, round(score, 8) AS predicted_probability, round(log_odds, 8) AS log_odds,
                drivers, deteriorated AS observed_deterioration
-        FROM (SELECT * FROM scored_test ORDER BY log_odds DESC, reference_year, {_OFFER} LIMIT 20)
+        FROM (SELECT * FROM scored_test ORDER BY round(log_odds, 8) DESC, reference_year, {_OFFER} LIMIT 20)
         JOIN (SELECT reference_year, {_OFFER}, string_agg(feature, ',' ORDER BY place) AS drivers
               FROM explained_test WHERE place <= 5 GROUP BY ALL) USING (reference_year, {_OFFER})"""
     sql["fixed_scorer_year"] = f"""
@@ -797,8 +813,8 @@ def all_queries() -> dict[str, str]:
         SELECT {_OFFER}, reference_year, course_name, institution_name, institution_state, enrollments,
                round(occupancy_rate, 8) AS occupancy_rate, round(score, 8) AS risk
         FROM (SELECT * FROM scored_open QUALIFY row_number() OVER (
-                  PARTITION BY institution_id ORDER BY log_odds DESC, {_OFFER}) = 1
-              ORDER BY log_odds DESC, {_OFFER} LIMIT 15)
+                  PARTITION BY institution_id ORDER BY round(log_odds, 8) DESC, {_OFFER}) = 1
+              ORDER BY round(log_odds, 8) DESC, {_OFFER} LIMIT 15)
         LEFT JOIN (SELECT institution_id, institution_name, institution_state FROM inst
                    WHERE census_year = {LAST}) USING (institution_id)"""
     for name in ("mart_checks", "raw_checks", "staging_checks"):
@@ -875,6 +891,36 @@ def all_queries() -> dict[str, str]:
     sql["category_levels"] = _all(
         *[_levels(n) for n in ("teaching_modality", "education_network", "administrative_category")]
     )
+    sql["window_statistics"] = _all(
+        *[_window_statistic(n, w, years) for w, years in training_windows().items() for n in _NUMERIC])
+    # A fit is proved by a gradient of zero for each of its inputs.
+    sql["reference_model_gradient"] = _all(
+        *[f"SELECT 'numeric__{_FULL_NAME.get(n, n)}' AS feature, 0.0::DOUBLE AS gradient FROM train_rows HAVING count({n}) > 0"
+          for n in _NUMERIC],
+        *[f"""SELECT 'categorical__{n}_' || level, 0.0::DOUBLE FROM (
+              SELECT level, row_number() OVER (ORDER BY is_rare, level) AS place FROM (
+                  SELECT DISTINCT CASE WHEN is_rare THEN 'infrequent' ELSE CAST(level AS VARCHAR) END AS level, is_rare
+                  FROM ({_levels(n)}))) WHERE place > 1"""
+          for n in ("teaching_modality", "education_network", "administrative_category")],
+        "SELECT 'intercept', 0.0::DOUBLE",
+    )
+    sql["reference_model_convergence"] = """
+        SELECT count(*) AS n, TRUE AS gradient_vanishes, TRUE AS few_steps FROM train_rows"""
+    sql["size_model_coefficients"] = f"""
+        SELECT unnest(['numeric__offered_seats', 'numeric__enrollments', 'intercept']) AS feature,
+               round(unnest([w1, w2, w0]), 7) AS coefficient FROM newton_step{NEWTON_STEPS}"""
+    sql["isotonic_fit"] = """
+        SELECT a.value, round(max(a.least), 10) AS mean FROM (
+            SELECT i.value, j.place, min(j.events / j.n) AS least FROM isotonic_points AS i
+            JOIN isotonic_stretches AS j ON j.place <= i.place AND j.last >= i.place GROUP BY i.value, j.place) AS a
+        GROUP BY a.value"""
+    sql["large_top_ranks"] = f"""
+        SELECT {_ROW}, CAST(place AS BIGINT) AS position FROM (
+            SELECT {_ROW}, row_number() OVER (ORDER BY score DESC, {_ROW}) AS place, count(*) OVER () AS n
+            FROM scored WHERE split = 'treino') WHERE place <= n // 2"""
+    sql["boosted_first_split"] = f"""
+        SELECT feature, cut, missing_left, round(-0.05 * gl / hl, 9) AS left_value, round(-0.05 * gr / hr, 9) AS right_value
+        FROM (SELECT * FROM boosted_gains ORDER BY gain DESC, place, missing_left, cut LIMIT 1)"""
     sql["scale_ablation"] = _metrics("sized", "apenas_escala", probability=False)
     sql["ranking_metrics"] = _metrics("scored", "size", probability=True)
     sql["precision_at_k"] = f"""
@@ -905,6 +951,63 @@ PARTS["placed"] = """
 SELECT score, row_number() OVER (ORDER BY score) - 1 AS place, count(*) OVER () AS n
 FROM scored WHERE split = 'teste'
 """
+# Logistic regression on two inputs of the scorer, with half the squared weights as penalty: each of Newton's steps is a
+# subquery, its three equations solved by Cramer's rule.
+NEWTON_STEPS = 12
+_X1, _X2 = (
+    f"(coalesce(CAST({n} AS DOUBLE), {m}::DOUBLE) - {mean}::DOUBLE) / {dev}::DOUBLE" for n, m, mean, dev, _ in SCORER[1:3])
+PARTS["newton_points"] = f"SELECT {_X1} AS x1, {_X2} AS x2, CAST(deteriorated AS INTEGER) AS y FROM train_rows"
+PARTS["newton_step0"] = "SELECT 0::DOUBLE AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS w0"
+for _i in range(1, NEWTON_STEPS + 1):
+    PARTS[f"newton_sums{_i}"] = f"""
+SELECT w1, w2, w0, sum((p - y) * x1) + w1 AS g1, sum((p - y) * x2) + w2 AS g2, sum(p - y) AS g0,
+       sum(p * (1 - p) * x1 * x1) + 1 AS a, sum(p * (1 - p) * x1 * x2) AS b, sum(p * (1 - p) * x1) AS c,
+       sum(p * (1 - p) * x2 * x2) + 1 AS d, sum(p * (1 - p) * x2) AS e, sum(p * (1 - p)) AS f
+FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM newton_points CROSS JOIN newton_step{_i - 1})
+GROUP BY w1, w2, w0
+"""
+    PARTS[f"newton_step{_i}"] = f"""
+SELECT w1 - (g1 * (d * f - e * e) - b * (g2 * f - e * g0) + c * (g2 * e - d * g0)) / det AS w1,
+       w2 - (a * (g2 * f - e * g0) - g1 * (b * f - c * e) + c * (b * g0 - g2 * c)) / det AS w2,
+       w0 - (a * (d * g0 - g2 * e) - b * (b * g0 - g2 * c) + g1 * (b * e - d * c)) / det AS w0
+FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM newton_sums{_i})
+"""
+
+# Rounded log-odds of the calibration year, and all stretches of neighbouring values with their sums.
+PARTS["isotonic_points"] = f"""
+SELECT value, events, n, row_number() OVER (ORDER BY value) AS place FROM (
+    SELECT round(log_odds, 1) AS value, count(*) FILTER (deteriorated) AS events, count(*) AS n
+    FROM ({_scored(f"SELECT * FROM training WHERE reference_year = {TRAIN_YEARS[1]}")}) GROUP BY 1)
+"""
+PARTS["isotonic_stretches"] = """
+SELECT a.place, b.place AS last, sum(c.events) AS events, sum(c.n) AS n
+FROM isotonic_points AS a JOIN isotonic_points AS b ON b.place >= a.place
+JOIN isotonic_points AS c ON c.place BETWEEN a.place AND b.place GROUP BY 1, 2
+"""
+# The gain of every split of the training rows at a value of some feature, with missing values on either side.
+BOOSTED_FEATURES = ["years_observed_to_date", "current_low_occupancy_streak", "teaching_modality", "administrative_category"]
+PARTS["boosted_values"] = _all(*[
+    f"SELECT {i} AS place, '{n}' AS feature, CAST({n} AS DOUBLE) AS value, CAST(deteriorated AS INTEGER) AS y FROM train_rows"
+    for i, n in enumerate(BOOSTED_FEATURES)])
+PARTS["boosted_sums"] = """
+SELECT place, feature, value, count(*) AS n, sum(round((p - y) * 16777216)) AS g, sum(round(p * (1 - p) * 16777216)) AS h
+FROM boosted_values, (SELECT avg(y) AS p FROM boosted_values WHERE place = 0) GROUP BY 1, 2, 3
+"""
+PARTS["boosted_sides"] = """
+SELECT c.place, c.feature, c.value AS cut, m.missing_left,
+       sum(s.n) FILTER (s.value <= c.value OR s.value IS NULL AND m.missing_left) AS nl,
+       sum(s.g) FILTER (s.value <= c.value OR s.value IS NULL AND m.missing_left) AS gl,
+       sum(s.h) FILTER (s.value <= c.value OR s.value IS NULL AND m.missing_left) AS hl,
+       sum(s.n) AS n, sum(s.g) AS g, sum(s.h) AS h, count(*) FILTER (s.value IS NULL) AS gone
+FROM boosted_sums AS c JOIN boosted_sums AS s ON s.place = c.place
+CROSS JOIN (VALUES (FALSE), (TRUE)) AS m(missing_left)
+WHERE c.value < (SELECT max(value) FROM boosted_sums AS x WHERE x.place = c.place) GROUP BY 1, 2, 3, 4
+"""
+PARTS["boosted_gains"] = """
+SELECT place, feature, cut, CASE WHEN gone > 0 THEN missing_left ELSE nl > n - nl END AS missing_left,
+       gl, hl, g - gl AS gr, h - hl AS hr, gl * gl / hl + (g - gl) * (g - gl) / (h - hl) - g * g / h AS gain
+FROM boosted_sides WHERE nl >= 20 AND n - nl >= 20 AND (gone > 0 OR NOT missing_left)
+"""
 PARTS["cuts"] = f"""
 SELECT i, min(score) + (max(score) - min(score)) * (max(i * (n - 1) % {_EDGE_BINS}) / CAST({_EDGE_BINS} AS DOUBLE)) AS edge
 FROM placed CROSS JOIN (SELECT unnest(range(0, {_EDGE_BINS + 1})) AS i) AS steps

@@ -13,9 +13,10 @@ from supplypanel.model.metrics import (
     union_all,
 )
 from supplypanel.model.models import (
-    fit_calibrated_model, fit_comparison_model, fit_reference_model, highest_risk,
+    fit_calibrated_model, fit_comparison_model, fit_reference_model, fit_reference_models, highest_risk,
 )
 from supplypanel.operators.comparison import jaccard
+from supplypanel.operators.ranking import ranked_top
 from supplypanel.plans.risk import TEST, TRAIN
 from supplypanel.sources.tables import settled
 
@@ -61,9 +62,7 @@ def run_experiment(
     """
     train, test = chronological_split(training)
     reference = fit_reference_model(train)
-    comparison = fit_comparison_model(
-        train, max_iter=boosting_iterations, preparation=reference.preparation
-    )
+    comparison = fit_comparison_model(train, max_iter=boosting_iterations)
     scored = {
         (name, split): _kept(model.score(rows))
         for name, model in ((REFERENCE, reference), (COMPARISON, comparison))
@@ -99,24 +98,30 @@ def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -
     spark = training.sparkSession
     train, test = chronological_split(training)
     years = _years(train)
-    windows = [years[i : i + window] for i in range(len(years) - window + 1)]
+    windows = {
+        f"{years[i]}-{years[i + window - 1]}": years[i : i + window] for i in range(len(years) - window + 1)
+    }
     if len(windows) < 2:
         raise ValueError("stability needs at least two training windows")
 
+    models = fit_reference_models(train, windows)
+    # All windows score the test rows in one pass.
+    scores = [
+        F.struct(F.lit(name).alias("window"), model.probability().alias("score")) for name, model in models.items()
+    ]
+    scored = settled(test.select(
+        *ROW_KEYS, F.col("deteriorated").cast("int").alias("label"), F.inline(F.array(*scores))))
     metrics, tops, coefficients = [], [], []
-    for chosen in windows:
-        label = f"{chosen[0]}-{chosen[-1]}"
-        model = fit_reference_model(train.where(F.col("reference_year").isin(chosen)))
-        scored = _kept(model.score(test))
-        at_k = precision_at_k(scored, label, TEST, (top_k,)).select("precision")
+    for label, model in models.items():
+        own = scored.where(F.col("window") == label).drop("window")
+        at_k = precision_at_k(own, label, TEST, (top_k,)).select("precision")
         metrics.append(
-            evaluate(scored, label, TEST).select(
+            evaluate(own, label, TEST).select(
                 F.col("model_name").alias("window"), "roc_auc", "average_precision",
                 at_k.scalar().alias("precision_at_k"),
             )
         )
-        order = [F.desc("score"), *ROW_KEYS]
-        tops.append((label, scored.orderBy(*order).limit(top_k).select(*ROW_KEYS)))
+        tops.append((label, ranked_top(own, "score", ROW_KEYS, top_k).select(*ROW_KEYS)))
         coefficients.append(
             model.coefficient_table(spark).select("feature", F.lit(label).alias("window"), "coefficient")
         )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from supplypanel.functions.columns import safe_ratio
 from supplypanel.operators.order_statistics import quantiles_of_histogram, running_totals
-from supplypanel.operators.ranking import numbered_top
+from supplypanel.operators.ranking import ranked_top
 from supplypanel.plans.mart import OFFER
 from supplypanel.plans.risk import TEST, TRAIN
 
@@ -91,11 +91,9 @@ def precision_at_k(
 ) -> DataFrame:
     """Event rate among the k highest scores; sizes above the row count drop out.
 
-    Equal scores are ordered by key. Only ``max(sizes)`` rows are gathered.
+    Equal scores are ordered by key. The largest size may be any share of the rows.
     """
-    top = numbered_top(
-        scored.select("score", "label", *keys), [F.desc("score"), *keys], max(sizes)
-    )
+    top = ranked_top(scored.select("score", "label", *keys), "score", keys, max(sizes))
     inside = F.col("position") <= F.col("k")
     return (
         top.select("position", "label", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k"))

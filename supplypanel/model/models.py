@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from supplypanel.model.boosting import Boosted, fit_boosted
+from supplypanel.model.isotonic import isotonic_blocks, with_mean
+from supplypanel.model.logistic import LogisticFit, fit_logistic
 from supplypanel.model.metrics import ROW_KEYS
-from supplypanel.model.preparation import FEATURES, NUMERIC, Preparation, fit_preparation
+from supplypanel.model.preparation import FEATURES, Preparation, fit_preparation, fit_preparations
 from supplypanel.operators.ranking import numbered_top, top_per_group
 from supplypanel.plans.mart import OFFER
 
 VALIDATION_PERCENT = 15
-MAX_BINS, MIN_LEAF_ROWS = 255, 20
+MIN_LEAF_ROWS = 20
+#: Digits of log-odds that rank: beyond them equal rows may differ by the order of a sum.
+RANK_DIGITS = 8
 
 
 def _label() -> Column:
@@ -34,6 +36,15 @@ class ReferenceModel:
     preparation: Preparation
     coefficients: list[float]
     intercept: float
+    c: float = 1.0
+    fit: LogisticFit | None = None
+
+    def convergence(self, spark: SparkSession) -> DataFrame:
+        """One row that proves the fit: rows, steps, and the largest entry of the mean loss's gradient."""
+        if self.fit is None:
+            raise ValueError("a model of stated weights was not fitted")
+        return spark.createDataFrame(
+            [(self.fit.n, self.fit.steps, self.fit.gradient_norm)], "n long, steps int, gradient_norm double")
 
     def log_odds(self) -> Column:
         total = F.lit(self.intercept)
@@ -41,6 +52,9 @@ class ReferenceModel:
             total = total + F.lit(weight) * value
         return total
 
+    def probability(self) -> Column:
+        return _sigmoid(self.log_odds())
+
     def score(self, rows: DataFrame) -> DataFrame:
         """Adds ``log_odds`` and the probability ``score``; label where known."""
         scored = rows.withColumn("log_odds", self.log_odds()).withColumn(
@@ -76,7 +90,8 @@ class ReferenceModel:
 
         def larger_first(a, b):
             gap = F.abs(b["contribution"]) - F.abs(a["contribution"])
-            return F.signum(gap).cast("int")
+            by_name = F.when(a["feature"] < b["feature"], -1).otherwise(1)
+            return F.when(gap == 0, by_name).otherwise(F.signum(gap).cast("int"))
 
         return self.score(rows).select(
             *rows.columns,
@@ -87,76 +102,63 @@ class ReferenceModel:
         )
 
 
-def fit_reference_model(rows: DataFrame, c: float = 1.0, max_iter: int = 2000) -> ReferenceModel:
-    """L2 logistic regression on standardized inputs, intercept unpenalized.
+def fit_reference_model(rows: DataFrame, c: float = 1.0) -> ReferenceModel:
+    """L2 logistic regression on standardized inputs, intercept unpenalized, the penalty stated for summed losses."""
+    preparation = fit_preparation(rows)
+    (fit,) = fit_logistic(rows, [(preparation, None)], c)
+    return _reference(preparation, fit, c)
+
+
+def fit_reference_models(rows: DataFrame, windows: dict[str, list[int]], c: float = 1.0) -> dict[str, ReferenceModel]:
+    """One reference model for each window of years: one scan for all preparations, and one for each step of all fits."""
+    preparations = fit_preparations(rows, windows)
+    fits = fit_logistic(rows, [(preparations[w], years) for w, years in windows.items()], c)
+    return {w: _reference(preparations[w], fit, c) for w, fit in zip(windows, fits)}
+
+
+def _reference(preparation: Preparation, fit: LogisticFit, c: float) -> ReferenceModel:
+    return ReferenceModel(preparation, fit.coefficients, fit.intercept, c, fit)
+
 
-    The penalty is stated for summed losses (``c``); Spark averages them, so
-    its parameter is ``1 / (c * n)``.
+def penalised_gradient(model: ReferenceModel, rows: DataFrame) -> DataFrame:
+    """feature and gradient of the mean penalised loss at the model's weights, by column expressions.
+
+    All are zero for a model that was fitted to these rows; the intercept is the feature ``intercept``.
     """
-    preparation = fit_preparation(rows)
-    prepared = preparation.apply(rows).select(
-        array_to_vector("inputs").alias("features"), _label().cast("double").alias("label")
+    error = F.col("score") - F.col("label")
+    scored = model.score(rows).withColumn("_inputs", F.array(*model.preparation.inputs(), F.lit(1.0)))
+    names = [*model.preparation.names, "intercept"]
+    penalty = F.array(*[F.lit(w / model.c) for w in model.coefficients], F.lit(0.0))
+    sums = scored.select(F.posexplode("_inputs").alias("place", "value"), error.alias("_error")).groupBy("place").agg(
+        F.sum(F.col("value") * F.col("_error")).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    return sums.select(
+        F.array(*[F.lit(n) for n in names])[F.col("place")].alias("feature"),
+        ((F.col("_sum") + penalty[F.col("place")]) / F.col("_n")).alias("gradient"),
     )
-    n = rows.count()
-    fitted = LogisticRegression(
-        regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
-        maxIter=max_iter, tol=1e-8, family="binomial",
-    ).fit(prepared)
-    return ReferenceModel(preparation, [float(w) for w in fitted.coefficients], float(fitted.intercept))
 
 
 @dataclass(frozen=True)
 class ComparisonModel:
-    """Boosted trees over raw values, missing ones marked."""
+    """Boosted trees over raw values; missing ones go their own way at each split."""
 
-    preparation: Preparation
-    trees: object
+    trees: Boosted
 
     def score(self, rows: DataFrame) -> DataFrame:
-        scored = self.trees.transform(_tree_inputs(rows, self.preparation)).withColumn(
-            "score", vector_to_array("probability")[1]
-        )
-        extra = [F.col("score")]
-        if "deteriorated" in rows.columns:
-            extra.append(_label().alias("label"))
-        return scored.select(*rows.columns, *extra)
-
-
-def _tree_inputs(rows: DataFrame, preparation: Preparation) -> DataFrame:
-    values = []
-    for name in FEATURES:
-        if name in preparation.numeric:
-            default = preparation.numeric[name][0]
-        elif name in preparation.categorical:
-            default = preparation.categorical[name].mode
-        else:
-            continue
-        values.append(F.coalesce(F.col(name).cast("double"), F.lit(default)))
-    missing = [F.col(name).isNull().cast("double") for name in preparation.numeric if name in NUMERIC]
-    return rows.withColumn("tree_features", array_to_vector(F.array(*values, *missing)))
+        scored = rows.withColumn("score", _sigmoid(self.trees.log_odds()))
+        return scored.withColumn("label", _label()) if "deteriorated" in rows.columns else scored
 
 
 def fit_comparison_model(
     rows: DataFrame, max_iter: int = 300, learning_rate: float = 0.05, max_depth: int = 5,
-    preparation: Preparation | None = None,
 ) -> ComparisonModel:
     """Gradient boosting that stops when held-out rows no longer improve.
 
-    A key hash holds out 15 % of the rows. Categories enter as numbers. A
-    preparation already learnt from the same rows is taken as it is.
+    A key hash holds out 15 % of the rows. Categories enter as numbers.
     """
-    preparation = preparation or fit_preparation(rows)
     keys = [k for k in ROW_KEYS if k in rows.columns]
     held_out = F.pmod(F.xxhash64(*keys), F.lit(100)) < VALIDATION_PERCENT
-    prepared = _tree_inputs(rows, preparation).select(
-        "tree_features", _label().cast("double").alias("label"), held_out.alias("held_out")
-    )
-    trees = GBTClassifier(
-        featuresCol="tree_features", labelCol="label", maxIter=max_iter, stepSize=learning_rate,
-        maxDepth=max_depth, maxBins=MAX_BINS, minInstancesPerNode=MIN_LEAF_ROWS,
-        validationIndicatorCol="held_out", validationTol=1e-4, seed=42,
-    ).fit(prepared)
-    return ComparisonModel(preparation, trees)
+    return ComparisonModel(fit_boosted(
+        rows, _label(), held_out, FEATURES, max_iter, learning_rate, max_depth, least_rows=MIN_LEAF_ROWS))
 
 
 @dataclass(frozen=True)
@@ -164,23 +166,17 @@ class CalibratedModel:
     """A fixed base model with one monotone map over its log-odds."""
 
     base: ReferenceModel
-    isotonic: object
+    blocks: DataFrame
 
     def score(self, rows: DataFrame) -> DataFrame:
-        scored = self.base.score(rows).drop("score")
-        return self.isotonic.transform(scored).withColumnRenamed("prediction", "score")
+        return with_mean(self.base.score(rows).drop("score"), "log_odds", self.blocks, "score")
 
 
 def fit_calibrated_model(base: ReferenceModel, rows: DataFrame) -> CalibratedModel:
     """Isotonic calibration of a base model that is not fitted again."""
-    scored = base.score(rows).groupBy("log_odds").agg(
-        F.avg(F.col("label").cast("double")).alias("rate"),
-        F.count(F.lit(1)).cast("double").alias("weight"),
-    )
-    isotonic = IsotonicRegression(
-        featuresCol="log_odds", labelCol="rate", weightCol="weight", isotonic=True
-    ).fit(scored)
-    return CalibratedModel(base, isotonic)
+    histogram = base.score(rows).groupBy(F.col("log_odds").alias("value")).agg(
+        F.sum(F.col("label").cast("long")).alias("events"), F.count(F.lit(1)).alias("n"))
+    return CalibratedModel(base, isotonic_blocks(histogram))
 
 
 def highest_risk(
@@ -188,7 +184,8 @@ def highest_risk(
 ) -> DataFrame:
     """The riskiest offers with their explanation and what then happened."""
     needed = list(dict.fromkeys([*keys, *FEATURES, "deteriorated"]))
-    order = [F.desc("score"), *keys]
+    # Log-odds and not probabilities, which are all 1 from some size on.
+    order = [F.desc(F.round("log_odds", RANK_DIGITS)), *keys]
     top = numbered_top(model.score(rows.select(*needed)), order, n).select("position", *needed)
     return model.explain(top, top_n).select(
         "position", *keys, "predicted_probability", "intercept", "log_odds", "top_contributions",
@@ -212,7 +209,8 @@ def score_year(labelled: DataFrame, unlabelled: DataFrame) -> DataFrame:
 def audit_list(risks: DataFrame, institutions: DataFrame, year: int, n: int = 15) -> DataFrame:
     """The riskiest offer of each institution, riskiest institutions first."""
 
-    order = [F.desc("risk"), *OFFER]
+    ranked = F.round("log_odds", RANK_DIGITS) if "log_odds" in risks.columns else F.col("risk")
+    order = [F.desc(ranked), *OFFER]
     names = institutions.where(F.col("census_year") == year).select(
         "institution_id", "institution_name", "institution_state"
     )

@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supplypanel.operators.order_statistics import grouped_median
+from supplypanel.operators.order_statistics import quantiles_of_histogram
 from supplypanel.operators.ranking import top_per_group
+from supplypanel.sources.tables import settled
 
 # The model's inputs, in order.
 NUMERIC = [
@@ -40,60 +41,100 @@ FEATURES = NUMERIC + CATEGORICAL
 RARE_SHARE = 0.01
 
 
-def _long(rows: DataFrame, columns, value: str) -> DataFrame:
-    """One row per feature and non-null value."""
+def feature_histogram(rows: DataFrame, by=(), features=FEATURES) -> DataFrame:
+    """Rows for each feature and value (nulls too), in one scan: the state from which all statistics follow.
+
+    Histograms add up. With ``by``, say the year, those of any window of years
+    come from the same state.
+    """
     pairs = [
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias(value)) for c in columns
+        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features
     ]
-    return rows.select(F.inline(F.array(*pairs))).where(F.col(value).isNotNull())
+    return rows.select(*by, F.inline(F.array(*pairs))).groupBy(*by, "feature", "value").agg(
+        F.count(F.lit(1)).alias("n")
+    )
 
 
-def numeric_statistics(rows: DataFrame) -> DataFrame:
-    """Median of each numeric feature, and mean and spread after imputing it.
+def merged_windows(state: DataFrame, windows: dict[str, list[int]]) -> DataFrame:
+    """The histogram of each window of years, from one state by ``reference_year``.
+
+    ``windows`` are named lists of years, so their table is as small as a series is long.
+    """
+    members = [(name, year) for name, years in windows.items() for year in years]
+    table = state.sparkSession.createDataFrame(members, "window string, reference_year int")
+    return state.join(F.broadcast(table), "reference_year").groupBy("window", "feature", "value").agg(
+        F.sum("n").alias("n")
+    )
+
+
+def numeric_summary(histogram: DataFrame, by=()) -> DataFrame:
+    """Median of each numeric feature, and mean and spread after imputing it, from a settled histogram.
 
     The spread is the population standard deviation. A feature without any
     value has no row and is left out of the model.
     """
-    values = _long(rows, NUMERIC, "value")
-    medians = grouped_median(values, ["feature"], "value", "median", few_groups=True)
-    total = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
-    present = values.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("present"), F.avg("value").alias("_avg"), F.var_pop("value").alias("_var")
+    keys = [*by, "feature"]
+    numeric = histogram.where(F.col("feature").isin(*NUMERIC))
+    known = numeric.where(F.col("value").isNotNull())
+    medians = quantiles_of_histogram(known, keys, "value", "n", [(1, 2)], few_groups=True).select(
+        *keys, F.col("quantiles")[0].alias("median")
+    )
+    here = F.when(F.col("value").isNotNull(), F.col("n"))
+    totals = numeric.groupBy(*keys).agg(
+        F.sum("n").cast("double").alias("_total"), F.sum(here).alias("present"),
+        (F.sum(F.col("value") * here) / F.sum(here)).alias("_avg"),
+    )
+    # One row for each feature (and window): small whatever the rows.
+    centred = known.join(F.broadcast(totals), keys)
+    spread = centred.groupBy(*keys, "_total", "present", "_avg").agg(
+        (F.sum(F.col("n") * F.pow(F.col("value") - F.col("_avg"), 2)) / F.col("present")).alias("_var")
     )
     # Adding `missing` copies of the median shifts mean and variance in closed form.
-    missing = total - F.col("present")
-    mean = (F.col("_avg") * F.col("present") + F.col("median") * missing) / total
+    missing = F.col("_total") - F.col("present")
+    mean = (F.col("_avg") * F.col("present") + F.col("median") * missing) / F.col("_total")
     within = F.col("present") * (F.col("_var") + F.pow(F.col("_avg") - F.col("mean"), 2))
     between = missing * F.pow(F.col("median") - F.col("mean"), 2)
     return (
-        present.join(medians, "feature")
+        spread.join(medians, keys)
         .withColumn("mean", mean)
-        .withColumn("deviation", F.sqrt((within + between) / total))
-        .select("feature", "present", "median", "mean", "deviation")
+        .withColumn("deviation", F.sqrt((within + between) / F.col("_total")))
+        .select(*keys, "present", "median", "mean", "deviation")
     )
 
 
-def category_counts(rows: DataFrame) -> DataFrame:
-    """Rows per feature and level, nulls counted as the most frequent level.
+def category_summary(histogram: DataFrame, by=()) -> DataFrame:
+    """Rows per categorical feature and level, nulls counted as the most frequent level.
 
     Among equally frequent levels the smallest takes the nulls.
     """
-    total = rows.agg(F.count(F.lit(1))).scalar()
-    counts = _long(rows, CATEGORICAL, "level").groupBy("feature", "level").agg(
-        F.count(F.lit(1)).alias("present")
+    keys = [*by, "feature"]
+    levels = histogram.where(F.col("feature").isin(*CATEGORICAL)).withColumnsRenamed(
+        {"value": "level", "n": "present"}
     )
-    known = counts.groupBy("feature").agg(F.sum("present").alias("_known"))
-    modes = top_per_group(counts, ["feature"], [F.desc("present"), "level"]).select(
-        "feature", F.col("level").alias("_mode")
+    known = levels.where(F.col("level").isNotNull())
+    here = F.when(F.col("level").isNotNull(), F.col("present")).otherwise(0)
+    totals = levels.groupBy(*keys).agg(F.sum("present").alias("_total"), F.sum(here).alias("_known"))
+    modes = top_per_group(known, keys, [F.desc("present"), "level"]).select(
+        *keys, F.col("level").alias("_mode")
     )
     is_mode = F.col("level") == F.col("_mode")
-    rows_with_nulls = F.col("present") + F.when(is_mode, total - F.col("_known")).otherwise(0)
-    return counts.join(known, "feature").join(modes, "feature").select(
-        "feature", "level", is_mode.alias("is_mode"), rows_with_nulls.alias("rows"),
-        (rows_with_nulls < total * F.lit(RARE_SHARE)).alias("is_rare"),
+    rows_with_nulls = F.col("present") + F.when(is_mode, F.col("_total") - F.col("_known")).otherwise(0)
+    return known.join(totals, keys).join(modes, keys).select(
+        *keys, "level", is_mode.alias("is_mode"), rows_with_nulls.alias("rows"),
+        (rows_with_nulls < F.col("_total") * F.lit(RARE_SHARE)).alias("is_rare"),
     )
 
 
+def numeric_statistics(rows: DataFrame) -> DataFrame:
+    """``numeric_summary`` of rows."""
+    return numeric_summary(settled(feature_histogram(rows, features=NUMERIC)))
+
+
+def category_counts(rows: DataFrame) -> DataFrame:
+    """``category_summary`` of rows."""
+    return category_summary(settled(feature_histogram(rows, features=CATEGORICAL)))
+
+
 @dataclass(frozen=True)
 class Category:
     mode: float
@@ -132,20 +173,42 @@ class Preparation:
     def apply(self, rows: DataFrame, name: str = "inputs") -> DataFrame:
         return rows.withColumn(name, F.array(*self.inputs()))
 
+    def steps(self) -> list[tuple]:
+        """``inputs`` as plain values: feature, what stands for null, and how the value becomes an input."""
+        found: list[tuple] = [
+            (name, median, "scale", mean, deviation or 1.0)
+            for name, (median, mean, deviation) in self.numeric.items()
+        ]
+        for name, category in self.categorical.items():
+            for level in category.indicators:
+                found.append((name, category.mode, "rare", tuple(category.frequent), None) if level is None
+                             else (name, category.mode, "level", level, None))
+        return found
 
-def fit_preparation(rows: DataFrame) -> Preparation:
-    """Learns the preparation. What comes back to the driver is bounded: a row
-    per numeric feature, and per category its mode and the levels that hold at
-    least one row in a hundred."""
-    found = {r.feature: (r.median, r.mean, r.deviation) for r in numeric_statistics(rows).collect()}
-    numeric = {name: found[name] for name in NUMERIC if name in found}
-    summarized = category_counts(rows).groupBy("feature").agg(
-        F.max(F.when(F.col("is_mode"), F.col("level"))).alias("mode"),
-        F.array_sort(F.collect_list(F.when(~F.col("is_rare"), F.col("level")))).alias("frequent"),
-        F.bool_or("is_rare").alias("has_rare"),
-    )
-    learnt = {r.feature: Category(r.mode, r.frequent, r.has_rare) for r in summarized.collect()}
-    categorical = {name: learnt[name] for name in CATEGORICAL if name in learnt}
+
+def design_of(steps: list[tuple]):
+    """A function from columns of numbers, by feature and with NaN for null, to the matrix of inputs.
+
+    It is a closure over plain values, so workers need no copy of this package.
+    """
+    import numpy as np
+
+    def design(columns: dict) -> np.ndarray:
+        parts = []
+        for name, default, kind, a, b in steps:
+            value = np.where(np.isnan(columns[name]), default, columns[name])
+            if kind == "scale":
+                parts.append((value - a) / b)
+            else:
+                parts.append((value == a if kind == "level" else ~np.isin(value, a)).astype(float))
+        return np.stack(parts, axis=1) if parts else np.empty((len(next(iter(columns.values()))), 0))
+
+    return design
+
+
+def _learnt(numeric: dict, categorical: dict) -> Preparation:
+    numeric = {name: numeric[name] for name in NUMERIC if name in numeric}
+    categorical = {name: categorical[name] for name in CATEGORICAL if name in categorical}
     names = [f"numeric__{name}" for name in numeric]
     for name, category in categorical.items():
         names += [
@@ -153,3 +216,33 @@ def fit_preparation(rows: DataFrame) -> Preparation:
             for level in category.indicators
         ]
     return Preparation(numeric, categorical, names)
+
+
+def fit_preparations(rows: DataFrame, windows: dict[str, list[int]]) -> dict[str, Preparation]:
+    """The preparation of each window of years, all from one scan of ``rows``.
+
+    What comes back to the driver is bounded: for each window a row per numeric
+    feature, and per category its mode and the levels that hold at least one row in a hundred.
+    """
+    return _fit(settled(merged_windows(settled(feature_histogram(rows, ["reference_year"])), windows)), list(windows))
+
+
+def fit_preparation(rows: DataFrame) -> Preparation:
+    """The preparation learnt from all ``rows``."""
+    histogram = settled(feature_histogram(rows).withColumn("window", F.lit("all")))
+    return _fit(histogram, ["all"])["all"]
+
+
+def _fit(histogram: DataFrame, windows: list[str]) -> dict[str, Preparation]:
+    numeric: dict[str, dict] = {w: {} for w in windows}
+    categorical: dict[str, dict] = {w: {} for w in windows}
+    for r in numeric_summary(histogram, ["window"]).collect():
+        numeric[r.window][r.feature] = (r.median, r.mean, r.deviation)
+    levels = category_summary(histogram, ["window"]).groupBy("window", "feature").agg(
+        F.max(F.when(F.col("is_mode"), F.col("level"))).alias("mode"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_rare"), F.col("level")))).alias("frequent"),
+        F.bool_or("is_rare").alias("has_rare"),
+    )
+    for r in levels.collect():
+        categorical[r.window][r.feature] = Category(r.mode, r.frequent, r.has_rare)
+    return {w: _learnt(numeric[w], categorical[w]) for w in windows}

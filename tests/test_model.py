@@ -1,10 +1,13 @@
 """Model steps against brute force on small frames."""
 
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from supplypanel.model import experiment, metrics, models, preparation
+from supplypanel.model import boosting, experiment, isotonic, logistic, metrics, models, preparation
+from supplypanel.operators import ranking
 from supplypanel.plans.risk import TEST, TRAIN
 
 
@@ -112,15 +115,17 @@ def test_calibration_matches_brute_force(spark, bins, distinct):
         low, rest = divmod(i * 499, bins)
         high = min(low + 1, 499)
         edges.append(ordered[low] + (ordered[high] - ordered[low]) * (rest / bins))
-    edges = np.unique(edges)
-    assigned = np.clip(np.searchsorted(edges, scores, side="right") - 1, 0, len(edges) - 2)
+    edges = sorted(set(edges))
+    wanted = []
+    for place, (low, high) in enumerate(zip(edges, edges[1:])):
+        last = high == edges[-1]  # half-open intervals, but for the last
+        inside = [i for i in range(500) if low <= scores[i] < high or last and scores[i] == high]
+        if inside:
+            wanted.append((place, len(inside), scores[inside].mean(), labels[inside].mean()))
     rows = metrics.calibration_table(scored(spark, labels, scores), bins).collect()
-    assert [r.bin for r in rows] == sorted(set(assigned))
-    for r in rows:
-        chosen = assigned == r.bin
-        assert r.row_count == chosen.sum()
-        assert r.mean_predicted == pytest.approx(scores[chosen].mean())
-        assert r.observed_rate == pytest.approx(labels[chosen].mean())
+    assert [(r.bin, r.row_count) for r in rows] == [w[:2] for w in wanted]
+    for r, (_, _, predicted, observed) in zip(rows, wanted):
+        assert (r.mean_predicted, r.observed_rate) == (pytest.approx(predicted), pytest.approx(observed))
 
 
 def test_calibration_bins_hold_every_row(spark):
@@ -229,8 +234,58 @@ def test_coefficients_match_newton(training, model):
     weights = newton_logistic(
         np.array([r.inputs for r in rows]), np.array([float(r.deteriorated) for r in rows])
     )
-    assert model.coefficients == pytest.approx(list(weights[:-1]), abs=1e-4)
-    assert model.intercept == pytest.approx(weights[-1], abs=1e-4)
+    assert model.coefficients == pytest.approx(list(weights[:-1]), abs=1e-10)
+    assert model.intercept == pytest.approx(weights[-1], abs=1e-10)
+    proof = model.convergence(training.sparkSession).first()
+    assert (proof.n, proof.gradient_norm < 1e-9, proof.steps < 15) == (80, True, True)
+    gradient = models.penalised_gradient(model, train).collect()
+    assert {r.feature for r in gradient} == {*model.preparation.names, "intercept"}
+    assert max(abs(r.gradient) for r in gradient) < 1e-12
+    moved = models.ReferenceModel(model.preparation, [w + 0.1 for w in model.coefficients], model.intercept)
+    assert max(abs(r.gradient) for r in models.penalised_gradient(moved, train).collect()) > 1e-3
+
+
+def test_a_fit_that_cannot_be_proved_raises(training, monkeypatch):
+    train = training.where(F.col("split") == TRAIN)
+    monkeypatch.setattr(logistic, "MAX_STEPS", 2)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        models.fit_reference_model(train)
+    with pytest.raises(ValueError, match="without rows"):
+        logistic.fit_logistic(train, [(preparation.fit_preparation(train), [1900])])
+
+
+def test_separable_rows_converge(spark):
+    rows = [list(r) for r in frame([2019], rows_per_year=60)]
+    for r in rows:
+        r[4] = r[6] is not None and r[6] > 4
+    fitted = models.fit_reference_model(table(spark, [tuple(r) for r in rows]))
+    assert fitted.fit.gradient_norm < 1e-9
+
+
+def test_windows_equal_separate_fits_and_share_a_scan(spark):
+    df = table(spark, frame([2015, 2016, 2017, 2018], rows_per_year=60)).cache()
+    windows = {"a": [2015, 2016], "b": [2016, 2017, 2018], "c": [2017]}
+    together = models.fit_reference_models(df, windows)
+    for name, years in windows.items():
+        alone = models.fit_reference_model(df.where(F.col("reference_year").isin(years)))
+        assert together[name].preparation.names == alone.preparation.names
+        assert together[name].preparation.categorical == alone.preparation.categorical
+        for feature, numbers in alone.preparation.numeric.items():
+            assert together[name].preparation.numeric[feature] == pytest.approx(numbers, rel=1e-12)
+        assert together[name].coefficients == pytest.approx(alone.coefficients, abs=1e-9)
+        assert together[name].fit.n == 60 * len(years)
+    state = preparation.feature_histogram(df, ["reference_year"])
+    plan = preparation.merged_windows(state, windows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan") == 1 and "Scan" in plan
+
+
+def test_design_equals_the_column_form(training, model):
+    test = training.where(F.col("split") == TEST).withColumn(
+        "administrative_category", F.when(F.col("course_id") > 3, F.col("administrative_category")))
+    rows = model.preparation.apply(test).orderBy("course_id").collect()
+    columns = {c: np.array([np.nan if r[c] is None else r[c] for r in rows], float) for c in preparation.FEATURES}
+    found = preparation.design_of(model.preparation.steps())(columns)
+    assert found == pytest.approx(np.array([r.inputs for r in rows]), abs=1e-12)
 
 
 def test_categories_become_indicators(spark, model):
@@ -295,6 +350,71 @@ def test_audit_list_has_one_offer_per_institution(spark):
     ]
 
 
+# --- Isotonic regression ------------------------------------------------------------------
+
+
+def isotonic_by_min_max(events, n):
+    """The largest of the least means: of all stretches that end at or after a place, among those that begin at or before it."""
+    total = len(n)
+    return [
+        max(min(Fraction(sum(events[j : k + 1]), sum(n[j : k + 1])) for k in range(i, total)) for j in range(i + 1))
+        for i in range(total)
+    ]
+
+
+@pytest.mark.parametrize("slices", [1, 3, 11])
+@pytest.mark.parametrize("shape", ["random", "falling", "rising", "ties", "single"])
+def test_isotonic_blocks_equal_the_min_max_formula(spark, shape, slices):
+    draw = np.random.default_rng(len(shape) + slices)
+    size = 1 if shape == "single" else 40
+    n = draw.integers(1, 6, size).tolist()
+    share = {"falling": np.linspace(1, 0, size), "rising": np.linspace(0, 1, size)}.get(shape, draw.random(size))
+    if shape == "ties":
+        share = np.round(share)
+    events = [int(round(k * s)) for k, s in zip(n, share)]
+    table_ = spark.createDataFrame([(i / 8, e, k) for i, (e, k) in enumerate(zip(events, n))], "value double, events long, n long")
+    blocks = isotonic.isotonic_blocks(table_.repartition(5), slices).orderBy("low").collect()
+    wanted = isotonic_by_min_max(events, n)
+    found = [Fraction(b.events, b.n) for i in range(size) for b in blocks if b.low <= i / 8 <= b.high]
+    assert found == wanted
+    means = [Fraction(b.events, b.n) for b in blocks]
+    assert means == sorted(set(means)) and sum(b.n for b in blocks) == sum(n)
+
+
+def test_isotonic_map_reads_alike_from_arrays_and_along_the_order(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(float(v), int(e), int(k)) for v, e, k in zip(range(60), draw.integers(0, 4, 60), draw.integers(4, 7, 60))]
+    blocks = isotonic.isotonic_blocks(spark.createDataFrame(rows, "value double, events long, n long"), 4)
+    values = [*draw.uniform(-5, 65, 200).tolist(), *[7.0] * 300, *[float(i) for i in range(60)], None]
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, x double")
+    near = {r.id: r.mean for r in isotonic.with_mean(asked, "x", blocks, "mean").collect()}
+    points = sorted({(p, b.events / b.n) for b in blocks.collect() for p in (b.low, b.high)})
+    for i, v in enumerate(values):
+        assert near[i] == (None if v is None else pytest.approx(np.interp(v, *zip(*points)), abs=1e-12))
+    monkeypatch.setattr(isotonic, "HELD_BLOCKS", 1)
+    monkeypatch.setattr(isotonic, "RANGE_ROWS", 50)
+    far = {r.id: r.mean for r in isotonic.with_mean(asked, "x", blocks, "mean").collect()}
+    assert far.keys() == near.keys() and all(far[i] == pytest.approx(near[i], abs=1e-12) for i in far if far[i] is not None)
+    assert [i for i in far if far[i] is None] == [len(values) - 1]
+
+
+# --- Top rows ------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 500, 1500, 3000, 4000])
+def test_top_ranks_equal_a_sort_and_no_task_holds_them(spark, monkeypatch, n):
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 100)
+    draw = np.random.default_rng(n)
+    rows = [(i, float(s)) for i, s in enumerate(draw.integers(0, 50, 3000))]
+    rows = [(i, 25.0 if i % 3 == 0 else None if i % 97 == 1 else s) for i, s in rows]  # a third share one score
+    df = spark.createDataFrame(rows, "id long, score double").repartition(16)
+    top = ranking.ranked_top(df, "score", ["id"], n)
+    wanted = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))[:n]
+    assert [(r.id, r.score) for r in sorted(top.collect(), key=lambda r: r.position)] == wanted
+    sizes = [r["count"] for r in top.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert n < 500 or max(sizes) < n / 2
+
+
 # --- Comparison model, stability, experiment ------------------------------------------------
 
 
@@ -308,6 +428,100 @@ def test_trees_learn_what_is_there(spark):
     assert row.roc_auc > 0.95 and row.brier_score is not None
 
 
+def brute_splits(bins, g, h, least_rows):
+    """The best split of some rows by trying each: (gain, feature, cut, missing to the left)."""
+    best = (1e-9, None, None, None)
+    one = 2.0**boosting.FRACTION_BITS
+
+    def value(rows):
+        return (g[rows].sum() / one) ** 2 / (h[rows].sum() / one)
+
+    for f in range(bins.shape[1]):
+        gone = bins[:, f] == boosting.MISSING
+        for side in ((False, True) if gone.any() else (False,)):
+            for cut in range(boosting.BINS - 1):
+                left = (bins[:, f] <= cut) & ~gone | (gone & side)
+                if min(left.sum(), (~left).sum()) < least_rows or min(h[left].sum(), h[~left].sum()) < 1e-3 * one:
+                    continue
+                gain = value(left) + value(~left) - value(slice(None))
+                if gain > best[0]:
+                    best = (gain, f, cut, side if gone.any() else bool(left.sum() > (~left).sum()))
+    return best
+
+
+def brute_boosting(bins, y, trees, depth, rate, least_rows):
+    """Trees grown on whole-number gradients, row by row."""
+    one = 2.0**boosting.FRACTION_BITS
+    raw = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    grown = []
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = np.rint((p - y) * one), np.rint(p * (1 - p) * one)
+        nodes, splits = {0: np.ones(len(y), bool)}, {}
+        for level in range(depth):
+            for n in [n for n in nodes if 2**level - 1 <= n < 2 ** (level + 1) - 1]:
+                rows = nodes[n]
+                gain, f, cut, side = brute_splits(bins[rows], g[rows], h[rows], least_rows)
+                if f is None:
+                    continue
+                splits[n] = (f, cut, side)
+                gone = bins[:, f] == boosting.MISSING
+                left = np.where(gone, side, bins[:, f] <= cut)
+                nodes[2 * n + 1], nodes[2 * n + 2] = rows & left, rows & ~left
+        for n, rows in nodes.items():
+            if n not in splits:
+                raw[rows] -= rate * (g[rows].sum() / one) / (h[rows].sum() / one)
+        grown.append(splits)
+    return grown, raw
+
+
+def test_boosting_equals_brute_force_with_missing_values(spark):
+    rows = [list(r) for r in frame([2019], rows_per_year=260)]
+    draw = np.random.default_rng(2)
+    for r in rows:
+        if draw.random() < 0.3:
+            r[6] = None
+            r[4] = bool(draw.random() < 0.8)  # that a value is missing tells something
+    df = table(spark, [tuple(r) for r in rows])
+    features = preparation.NUMERIC[:4] + ["administrative_category"]
+    fits = [
+        boosting.fit_boosted(df.repartition(k), F.col("deteriorated").cast("int"), F.lit(False), features,
+                             max_iter=4, rate=0.3, depth=3, least_rows=10) for k in (1, 7)
+    ]
+    model = fits[0]
+    values = np.array([[np.nan if v is None else v for v in (*r[5:9], r[-1])] for r in rows], float)
+    bins = np.array([[boosting.MISSING if np.isnan(v) else (model.cuts[f] < v).sum() for f, v in enumerate(x)] for x in values])
+    y = np.array([float(r[4]) for r in rows])
+    wanted, raw = brute_boosting(bins, y, 4, 3, 0.3, 10)
+    for tree, splits in zip(model.trees, wanted):
+        found = {n: (tree.feature[n], tree.cut[n], bool(tree.missing_left[n])) for n in range(7) if tree.feature[n] >= 0}
+        assert found == splits
+    assert any(s[2] for splits in wanted for s in splits.values())
+    got = [r.raw for r in df.withColumn("raw", model.log_odds()).orderBy("course_id").collect()]
+    assert got == pytest.approx(raw.tolist(), abs=1e-9)
+    for a, b in zip(model.trees, fits[1].trees):  # the dealing of rows to tasks leaves no trace
+        assert all((x == z).all() for x, z in zip((a.feature, a.cut, a.value), (b.feature, b.cut, b.value)))
+
+
+def test_cut_points_are_values_or_exact_quantiles(spark):
+    rows = spark.createDataFrame([(float(i % 7), float((i * 37) % 1000), None) for i in range(1000)], "a double, b double, c double")
+    few, many, none = boosting.cut_points(rows, ["a", "b", "c"])
+    assert few.tolist() == [0, 1, 2, 3, 4, 5] and len(none) == 0
+    assert many.tolist() == [max(v for v in range(1000) if v * boosting.BINS // 1000 == k) for k in range(boosting.BINS - 1)]
+
+
+def test_boosting_stops_when_held_out_rows_gain_nothing(spark):
+    rows = [list(r) for r in frame([2019, 2020], rows_per_year=150)]
+    draw = np.random.default_rng(3)
+    for r in rows:
+        r[4] = bool(draw.random() < 0.5)  # nothing to learn
+    df = table(spark, [tuple(r) for r in rows])
+    model = boosting.fit_boosted(df, F.col("deteriorated").cast("int"), F.col("course_id") % 3 == 0, max_iter=100, rate=0.3)
+    assert boosting.PATIENCE <= len(model.trees) < 100 and len(model.losses) == len(model.trees) + 1
+    with pytest.raises(ValueError, match="no rows"):
+        boosting.fit_boosted(df, F.col("deteriorated").cast("int"), F.lit(True))
+
+
 def test_stability_finds_planted_flips(spark):
     """One feature drives the event up in the early years and down in the late ones, another always up."""
     draw, flips, holds = np.random.default_rng(44), 5, 7
