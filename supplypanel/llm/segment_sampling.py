@@ -114,6 +114,9 @@ class Sampler:
         pieces = [model.id_to_piece(i) for i in range(n)]
         self.content = [bytes([int(p[1:-1], 16)]) if model.is_byte(i) else b"" if model.is_control(i)
                         else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.content_bytes = np.frombuffer(b"".join(self.content), np.uint8)
+        self.content_end = np.cumsum([len(c) for c in self.content])
+        self.content_start = self.content_end - [len(c) for c in self.content]
         self._index()
         self._clear()
 
@@ -256,8 +259,15 @@ class Sampler:
         if len(self.places) > STORED:
             self._clear()
         places, cut = self.places, [self.chunks(t) if t else [] for t in texts]
-        self._add_all(list({c for chunks in cut for c in chunks if c not in places}))
-        return [np.fromiter(map(places.__getitem__, chunks), np.int64, len(chunks)) for chunks in cut]
+        found = [list(map(places.get, chunks)) for chunks in cut]
+        gaps = [[i for i, at in enumerate(own) if at is None] if None in own else () for own in found]
+        missing = {chunks[i] for chunks, own in zip(cut, gaps) for i in own}
+        if missing:
+            self._add_all(list(missing))
+            for chunks, own, at in zip(cut, found, gaps):
+                for i in at:
+                    own[i] = places[chunks[i]]
+        return [np.array(own, np.int64) for own in found]
 
     def _draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A path from each node to its word's end: the edges and the row of ``nodes`` of each, in order.
@@ -376,6 +386,17 @@ class Sampler:
                         for p, q in zip(found, logs)] or [(np.empty(0, np.int32), 0.0, 0.0, 0.0)])
         return out
 
+    def decode_all(self, sequences: list[np.ndarray]) -> Iterator[bytes]:
+        """``decode`` of many sequences at once, as UTF-8: the pieces' bytes are gathered for all together."""
+        ids = np.concatenate([np.empty(0, np.int64), *sequences])
+        sizes = self.content_end[ids] - self.content_start[ids]
+        ends = np.cumsum(sizes)
+        flat = self.content_bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.content_start[ids] - (ends - sizes), sizes)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, sequences)])].tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            text = flat[a:b].tobytes()
+            yield text[1:] if text.startswith(b" ") else text
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids."""
         content = self.content
@@ -411,9 +432,11 @@ def segmentations(docs: DataFrame, k: int = SAMPLES, seed: int = 0, path: str |
                 texts = part.column(1).to_pylist()
                 ids_of = part.column(0).to_pylist()
                 sampled = model.sample(model.prepare(texts), [row_key(key, seed) for key in ids_of], k)
+                read = model.decode_all([own for samples in sampled for own, *_ in samples])
                 for key, text, samples in zip(ids_of, texts, sampled):
+                    wanted = (text or "").replace(SPACE, " ").encode()
                     for n, (own, p, g, inclusion) in enumerate(samples):
-                        same = model.decode(own) == (text or "").replace(SPACE, " ")
+                        same = next(read) == wanted
                         rows.append((key, n, len(own), p, g, inclusion, zlib.crc32(own.astype("<i4").tobytes()), same))
                         if ids:
                             found.append(own)
