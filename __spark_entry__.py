@@ -23,11 +23,11 @@ from supplypanel.functions.columns import typed  # noqa: E402
 from supplypanel.model import (  # noqa: E402
     boosting, experiment, isotonic, logistic, metrics, models, preparation,
 )
-from supplypanel.operators import comparison, ranking  # noqa: E402
+from supplypanel.operators import comparison, ranges, ranking  # noqa: E402
 from supplypanel.plans import (  # noqa: E402
     checks, completion, mart, panel, portfolio, reports, risk, staging,
 )
-from supplypanel.sources import editions, layout, tables  # noqa: E402
+from supplypanel.sources import editions, layout, tables, versions  # noqa: E402
 from supplypanel.sources import lineitem_census as census  # noqa: E402
 
 try:  # the text operators come as a part that can be left out
@@ -218,17 +218,81 @@ def edition_file_profile(spark, folder):
     return _layouts(spark, folder).select("year", "kind", "data_row_count", "column_count")
 
 
+def _package(spark, folder, year):
+    """A package as it is handed over: the year's two tables, and files that are neither; each as a folder of its name."""
+    base = tables.app_folder(spark, _name(spark, folder, f"package_{year}"))
+    if base not in _BUILT:
+        courses = _edition_source(spark, folder, year)
+        editions.write_edition(courses, f"{base}/MICRODADOS_CADASTRO_CURSOS_{year}.CSV")
+        editions.write_edition(courses.limit(1), f"{base}/~$MICRODADOS_CADASTRO_CURSOS_{year}.CSV")
+        editions.write_edition(courses.limit(2), f"{base}/LEIAME_{year}.csv")
+        editions.write_edition(courses.limit(2), f"{base}/MICRODADOS_CADASTRO_CURSOS_{year}.TXT")
+        institutions = _institution_source(spark, folder, year)
+        editions.write_edition(institutions, f"{base}/MICRODADOS_ED_SUP_IES_{year}.CSV")
+        if year == LAST:  # two candidates: neither is chosen
+            editions.write_edition(institutions.limit(3), f"{base}/IES_COPIA_{year}.CSV")
+        _BUILT.add(base)
+    return base
+
+
 def edition_file_selection(spark, folder):
-    """CSV parts per edition folder, by kind and year; each holds some rows."""
+    """Every file of the first and the last package, with the outcome of the selection; rows of the chosen ones."""
     found = []
-    for year in _years(spark, folder):
-        path, _ = _edition(spark, folder, year)
-        found.append(
-            editions.edition_files(spark, path).agg(F.count(F.lit(1)).alias("files")).select(
-                F.lit(year).alias("year"), (F.col("files") > 0).alias("has_files")
-            )
-        )
-    return reduce(DataFrame.unionByName, found)
+    for year in (FIRST, LAST):
+        base = _package(spark, folder, year)
+        listed = editions.edition_choices(spark, base)
+        chosen = [r.path for r in listed.where("outcome = 'chosen'").select("path").collect()]
+        rows = editions.profile_files(spark, chosen).select("path", "data_row_count")
+        found.append(listed.join(rows, "path", "left").drop("path").select(F.lit(year).alias("package_year"), "*"))
+    return metrics.union_all(found)
+
+
+def _institution_source(spark, folder, year):
+    """One year's institutions in that year's layout: only the newest edition has the network."""
+    rows = census.raw_institutions(spark, folder).where(F.col("nu_ano_censo") == str(year))
+    rows = rows if year == LAST else rows.drop("tp_rede")
+    return rows.toDF(*[c.upper() for c in rows.columns])
+
+
+def _institution_edition(spark, folder, year):
+    """Path and rows of one institutions file, written on first use."""
+    path = f"{tables.app_folder(spark, _name(spark, folder, 'editions'))}/MICRODADOS_ED_SUP_IES_{year}"
+    if path not in _BUILT:
+        editions.write_edition(_institution_source(spark, folder, year), path)
+        _BUILT.add(path)
+    return path, editions.read_edition(spark, path)
+
+
+def _institution_layouts(spark, folder):
+    paths = [_institution_edition(spark, folder, year)[0] for year in range(FIRST, LAST + 1)]
+    name = F.element_at(F.split("path", "/"), -1)
+    return editions.profile_files(spark, paths).select(
+        editions.edition_year(name).alias("year"), editions.edition_kind(name).alias("kind"),
+        "data_row_count", "column_count", "columns")
+
+
+def institution_file_profile(spark, folder):
+    return _institution_layouts(spark, folder).select("year", "kind", "data_row_count", "column_count")
+
+
+def institution_layout_drift(spark, folder):
+    rows = _institution_layouts(spark, folder).select("year", "kind", F.posexplode("columns").alias("position", "column_name"))
+    return layout.layout_drift(rows, ("ies",)).select(
+        "kind", "year", "common_column_count", F.array_join("only_this_year", ",").alias("only_this_year"))
+
+
+def institution_edition_series(spark, folder):
+    """Institutions typed from the union of their edition files."""
+    files = {year: _institution_edition(spark, folder, year)[1] for year in range(FIRST, LAST + 1)}
+    return staging.stage_institutions(layout.union_editions(files))
+
+
+def single_edition_sustainability(spark, folder):
+    """The newest edition by itself: network and category come with the institution."""
+    courses = staging.stage_courses(layout.one_edition(_edition(spark, folder, LAST)[1]), single_edition=True)
+    institutions = layout.one_edition(_institution_edition(spark, folder, LAST)[1])
+    return mart.course_sustainability(
+        mart.course_supply(courses), staging.stage_institutions(institutions, single_edition=True))
 
 
 def edition_csv_supply(spark, folder):
@@ -310,6 +374,51 @@ def snapshot_fingerprint(spark, folder):
     )
 
 
+def _edited_supply(spark, folder):
+    """The mart with some cells, rows and offers changed, in two editions only."""
+    supply = _snapshot(spark, folder).where(F.col("census_year") <= LAST)
+    touched = (F.col("census_year") == LAST) & (F.col("institution_id") % 7 == 3)
+    edited = supply.withColumns({
+        "enrollments": F.when(touched & (F.col("course_id") % 5 == 1), F.coalesce("enrollments", F.lit(0)) + 1).otherwise(F.col("enrollments")),
+        "course_name": F.when(touched & (F.col("course_id") % 4 == 2), F.lit("outro")).otherwise(F.col("course_name")),
+    })
+    gone = (F.col("census_year") == FIRST) & (F.col("course_id") % 9 == 4)
+    more = supply.where((F.col("census_year") == FIRST) & (F.col("course_id") % 9 == 5)).withColumn(
+        "course_id", F.col("course_id") + 10**9)
+    return edited.where(~gone).unionByName(more)
+
+
+def changed_cells(spark, folder):
+    """What an edit of the mart changed, by key and column, from manifests of key ranges and the files that differ."""
+    base = tables.app_folder(spark, _name(spark, folder, "ranges"))
+    sides = {"old": _snapshot(spark, folder), "new": _edited_supply(spark, folder)}
+    for name, rows in sides.items():
+        if f"{base}/{name}" not in _BUILT:
+            ranges.write_by_range(rows, f"{base}/{name}", mart.KEYS)
+            _BUILT.add(f"{base}/{name}")
+    manifests = [tables.settled(ranges.tree_manifest(
+        spark.read.parquet(f"{base}/{name}").drop(ranges.RANGE), mart.KEYS)) for name in sides]
+    found = ranges.changed_rows(
+        spark, f"{base}/old", f"{base}/new", mart.KEYS, ranges.differing_leaves(*manifests))
+    return found.withColumn("columns", F.array_join(F.array_sort("columns"), ","))
+
+
+def edition_reload(spark, folder):
+    """Which editions a reload wrote after an edit of two of them, and that the table then holds the edited rows."""
+    table = _name(spark, folder, "supply_versions")
+    mart.supply_snapshot(_snapshot(spark, folder), table)
+    before = versions.manifest(spark, table)
+    edited = _edited_supply(spark, folder)
+    now = mart.supply_snapshot(edited, table)
+    after = versions.manifest(spark, table)
+    again = versions.manifest(spark, mart.supply_snapshot(edited, table) and table)
+    rows = [(int(p), after[p][3] != before.get(p, (None,) * 4)[3], again[p] == after[p]) for p in after]
+    written = spark.createDataFrame(rows, "census_year int, rewritten boolean, second_run_writes_nothing boolean")
+    held = now.groupBy(F.col("census_year").cast("int").alias("census_year")).agg(
+        F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("enrollments"), F.lit(0)).alias("enrollments"))
+    return written.join(held, "census_year")
+
+
 def report_sink(spark, folder):
     """A report section written as JSON and read back."""
     section = reports.modality_series(_snapshot(spark, folder))
@@ -675,7 +784,7 @@ def persistence_checks(spark, folder):
     edition = _raw_by_year(spark, folder).where(F.col("nu_ano_censo") == str(LAST))
     newest = staging.stage_courses(edition, single_edition=True)
     return checks.persistence_checks(
-        _supply(spark, folder), _snapshot(spark, folder), mart.course_supply(newest),
+        mart.offer_years(_courses(spark, folder)), _snapshot(spark, folder), mart.course_supply(newest),
         _panel(spark, folder), _persistence(spark, folder), FIRST, LAST,
     )
 
@@ -695,6 +804,70 @@ def modality_checks(spark, folder):
     )
 
 
+def _spoilt(column: str, condition, value) -> dict:
+    return {column: F.when(condition, F.lit(value)).otherwise(F.col(column))}
+
+
+def spoilt_persistence_checks(spark, folder):
+    """Offers lost from the snapshot and others added to it, an edition that differs, impossible histories."""
+    snapshot, c = _snapshot(spark, folder), F.col
+    lost = snapshot.where(~((c("institution_id") % 7 == 0) & (c("census_year") == 1997)))
+    bad_snapshot = lost.unionByName(
+        snapshot.where("institution_id % 11 = 3").withColumn("course_id", c("course_id") + 10**6))
+    newest = snapshot.where(c("census_year") == LAST)
+    edition = newest.withColumn(
+        "enrollments", F.when(c("course_id") % 9 == 0, F.coalesce("enrollments", F.lit(0)) + 1).otherwise(c("enrollments")))
+    history = _persistence(spark, folder).withColumns({
+        "current_low_occupancy_streak": F.when(c("institution_id") % 5 == 1, c("measurable_years") + 1).otherwise(
+            c("current_low_occupancy_streak")),
+        **_spoilt("low_occupancy_share", c("institution_id") % 6 == 2, 1.5),
+        **_spoilt("first_year", c("institution_id") % 8 == 3, 1990),
+        **_spoilt("demand_volatility", c("institution_id") % 9 == 4, -1.0),
+    })
+    series = _panel(spark, folder).withColumns({
+        **_spoilt("is_low_occupancy", c("institution_id") % 5 == 2, True),
+        **_spoilt("has_measurable_occupancy", c("institution_id") % 5 == 2, False),
+    })
+    return checks.persistence_checks(
+        mart.offer_years(_courses(spark, folder)), bad_snapshot, edition, series, history, FIRST, LAST)
+
+
+def spoilt_feature_checks(spark, folder):
+    """Features that look ahead, labels beyond the series or at odds with the counts, a split that is not one by time."""
+    c = F.col
+    features = _features(spark, folder).withColumns({
+        "years_observed_to_date": F.when(c("institution_id") % 5 == 1, c("years_observed_to_date") + 20).otherwise(
+            c("years_observed_to_date")),
+        **_spoilt("institution_enrollment_hhi", c("institution_id") % 6 == 1, 2.0),
+    })
+    observable, gone = c("label_is_observable"), c("disappeared_from_census")
+    grown = observable & ~gone & (c("base_enrollments") > 0) & (c("horizon_enrollments") >= c("base_enrollments"))
+    labels = _labels(spark, folder).withColumn(
+        "deteriorated",
+        F.when((c("reference_year") > LAST - 2) & (c("institution_id") % 4 == 1), True)
+        .when(observable & gone & (c("institution_id") % 4 == 2), False)
+        .when(grown & (c("institution_id") % 4 == 3), True).otherwise(c("deteriorated")))
+    training = _training(spark, folder).withColumns({
+        **_spoilt("split", (c("reference_year") == 1998) & (c("institution_id") % 5 == 0), risk.TEST),
+        "deteriorated": F.when(c("institution_id") % 7 != 3, c("deteriorated")),
+    })
+    return checks.feature_checks(_snapshot(spark, folder), features, labels, training, FIRST, LAST, LEAK_CUT)
+
+
+def spoilt_modality_checks(spark, folder):
+    """States of no name, transitions into the first year, shares beyond one, lags and eligibility that do not add up."""
+    snapshot, c = _snapshot(spark, folder), F.col
+    state = _state(spark, folder).withColumns(_spoilt("modality_state", c("institution_id") % 5 == 1, "outra"))
+    transitions = _transitions(spark, folder).withColumns(_spoilt("census_year", c("institution_id") % 6 == 1, FIRST))
+    dependency = portfolio.modality_dependency(snapshot).withColumns(
+        _spoilt("ead_seat_share", c("census_year") % 2 == 1, 1.5))
+    lagged = _completion(spark, folder).withColumns({
+        **_spoilt("lag_years", c("institution_id") % 5 == 1, 9),
+        "is_eligible": F.when(c("institution_id") % 6 == 1, ~c("is_eligible")).otherwise(c("is_eligible")),
+    })
+    return checks.modality_checks(snapshot, state, transitions, dependency, lagged)
+
+
 def course_sustainability(spark, folder):
     return mart.course_sustainability(_supply(spark, folder), _institutions(spark, folder))
 
@@ -719,6 +892,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "edition_file_profile": edition_file_profile,
         "edition_file_selection": edition_file_selection,
         "edition_csv_supply": edition_csv_supply,
+        "institution_file_profile": institution_file_profile,
+        "institution_layout_drift": institution_layout_drift,
+        "institution_edition_series": institution_edition_series,
+        "single_edition_sustainability": single_edition_sustainability,
+        "changed_cells": changed_cells,
+        "edition_reload": edition_reload,
+        "spoilt_persistence_checks": spoilt_persistence_checks,
+        "spoilt_feature_checks": spoilt_feature_checks,
+        "spoilt_modality_checks": spoilt_modality_checks,
         "union_editions": union_editions,
         "pruned_edition_read": pruned_edition_read,
         "common_columns": common_columns,

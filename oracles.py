@@ -129,6 +129,18 @@ def _ratio(a: str, b: str) -> str:
     return f"CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0)"
 
 
+# What the edits and the reload of editions are checked on.
+PARTS["edited"] = f"""
+SELECT * REPLACE (
+    CASE WHEN census_year = {LAST} AND institution_id % 7 = 3 AND course_id % 5 = 1 THEN coalesce(enrollments, 0) + 1 ELSE enrollments END AS enrollments,
+    CASE WHEN census_year = {LAST} AND institution_id % 7 = 3 AND course_id % 4 = 2 THEN 'outro' ELSE course_name END AS course_name)
+FROM supply WHERE NOT (census_year = {FIRST} AND course_id % 9 = 4)
+UNION ALL
+SELECT * REPLACE (course_id + 1000000000 AS course_id) FROM supply WHERE census_year = {FIRST} AND course_id % 9 = 5
+"""
+PARTS["inst_single"] = _cast_all([*_INST_TYPES, ("tp_rede", "education_network", "SMALLINT")], "raw_inst")
+PARTS["snapshot_rows"] = "SELECT * FROM supply"
+PARTS["edition_rows"] = f"SELECT * FROM supply WHERE census_year = {LAST}"
 PARTS["panel"] = f"""
 SELECT {_KEY}, course_name, education_network, administrative_category, offered_seats, applications,
        entrants, enrollments, graduates, {_ratio('entrants', 'offered_seats')} AS seat_occupancy_rate,
@@ -516,6 +528,64 @@ _SPOILT_SUPPLY = """SELECT * REPLACE (CAST(CASE WHEN course_id % 11 = 0 THEN 9 E
 PARTS["bad_supply"] = f"{_SPOILT_SUPPLY} UNION ALL {_SPOILT_SUPPLY} WHERE institution_id % 7 = 0"
 
 
+# Spoilt products, each so that every check of its family finds something.
+PARTS["bad_snapshot_rows"] = """
+SELECT * FROM supply WHERE NOT (institution_id % 7 = 0 AND census_year = 1997)
+UNION ALL SELECT * REPLACE (course_id + 1000000 AS course_id) FROM supply WHERE institution_id % 11 = 3
+"""
+PARTS["bad_edition_rows"] = f"""
+SELECT * REPLACE (CASE WHEN course_id % 9 = 0 THEN coalesce(enrollments, 0) + 1 ELSE enrollments END AS enrollments)
+FROM supply WHERE census_year = {LAST}
+"""
+PARTS["bad_persistence"] = """
+SELECT * REPLACE (
+    CASE WHEN institution_id % 5 = 1 THEN measurable_years + 1 ELSE current_low_occupancy_streak END AS current_low_occupancy_streak,
+    CASE WHEN institution_id % 6 = 2 THEN 1.5 ELSE low_occupancy_share END AS low_occupancy_share,
+    CASE WHEN institution_id % 8 = 3 THEN 1990 ELSE first_year END AS first_year,
+    CASE WHEN institution_id % 9 = 4 THEN -1.0 ELSE demand_volatility END AS demand_volatility)
+FROM persistence
+"""
+PARTS["bad_panel"] = """
+SELECT * REPLACE (CASE WHEN institution_id % 5 = 2 THEN TRUE ELSE is_low_occupancy END AS is_low_occupancy,
+    CASE WHEN institution_id % 5 = 2 THEN FALSE ELSE has_measurable_occupancy END AS has_measurable_occupancy)
+FROM panel
+"""
+PARTS["bad_features"] = """
+SELECT * REPLACE (
+    CASE WHEN institution_id % 5 = 1 THEN years_observed_to_date + 20 ELSE years_observed_to_date END AS years_observed_to_date,
+    CASE WHEN institution_id % 6 = 1 THEN 2.0 ELSE institution_enrollment_hhi END AS institution_enrollment_hhi)
+FROM features
+"""
+PARTS["bad_labels"] = f"""
+SELECT * REPLACE (CASE
+    WHEN reference_year > {LAST - 2} AND institution_id % 4 = 1 THEN TRUE
+    WHEN label_is_observable AND disappeared_from_census AND institution_id % 4 = 2 THEN FALSE
+    WHEN label_is_observable AND NOT disappeared_from_census AND base_enrollments > 0
+         AND horizon_enrollments >= base_enrollments AND institution_id % 4 = 3 THEN TRUE
+    ELSE deteriorated END AS deteriorated)
+FROM labels
+"""
+PARTS["bad_training"] = """
+SELECT * REPLACE (CASE WHEN reference_year = 1998 AND institution_id % 5 = 0 THEN 'teste' ELSE split END AS split,
+    CASE WHEN institution_id % 7 <> 3 THEN deteriorated END AS deteriorated)
+FROM training
+"""
+PARTS["bad_state"] = """
+SELECT * REPLACE (CASE WHEN institution_id % 5 = 1 THEN 'outra' ELSE modality_state END AS modality_state) FROM state
+"""
+PARTS["bad_transitions"] = f"""
+SELECT * REPLACE (CASE WHEN institution_id % 6 = 1 THEN {FIRST} ELSE census_year END AS census_year) FROM transitions
+"""
+PARTS["bad_dependency"] = """
+SELECT * REPLACE (CASE WHEN census_year % 2 = 1 THEN 1.5 ELSE ead_seat_share END AS ead_seat_share) FROM dependency
+"""
+PARTS["bad_lagged"] = """
+SELECT * REPLACE (CASE WHEN institution_id % 5 = 1 THEN 9 ELSE lag_years END AS lag_years,
+    CASE WHEN institution_id % 6 = 1 THEN NOT is_eligible ELSE is_eligible END AS is_eligible)
+FROM lagged
+"""
+
+
 def _spoilt(sql: str) -> str:
     """The same statement over the spoilt inputs."""
     return re.sub(r"\b(FROM|JOIN)(\s+)(raw_inst|raw|typed|inst|supply)\b", r"\1\2bad_\3", sql)
@@ -544,7 +614,48 @@ def all_queries() -> dict[str, str]:
         SELECT CAST(y AS INTEGER) AS year, 'cursos' AS kind, count(*) AS data_row_count,
                CAST(CASE WHEN y = {FIRST + 1} THEN 23 ELSE 22 END AS INTEGER) AS column_count
         FROM line GROUP BY y"""
-    sql["edition_file_selection"] = f"SELECT year, TRUE AS has_files FROM {years}"
+    courses_file, institutions_file = "'MICRODADOS_CADASTRO_CURSOS_'", "'MICRODADOS_ED_SUP_IES_'"
+    packages = f"(SELECT {FIRST} AS year UNION ALL SELECT {LAST})"
+    sql["edition_file_selection"] = f"""
+        SELECT CAST(year AS INTEGER) AS package_year, name AS file_name, kind, CAST(year AS INTEGER) AS year, outcome,
+               CASE WHEN outcome = 'chosen' THEN CASE kind WHEN 'cursos' THEN courses ELSE institutions END END AS data_row_count
+        FROM (SELECT p.year, name, kind, CASE WHEN kind = 'ies' AND p.year = {LAST} THEN 'second candidate' ELSE outcome END AS outcome
+              FROM {packages} AS p CROSS JOIN LATERAL (VALUES
+                ({courses_file} || p.year || '.CSV', 'cursos', 'chosen'), ('~$' || {courses_file} || p.year || '.CSV', NULL, 'lock file'),
+                ('LEIAME_' || p.year || '.csv', NULL, 'no kind'), ({courses_file} || p.year || '.TXT', NULL, 'not a CSV'),
+                ({institutions_file} || p.year || '.CSV', 'ies', 'chosen'),
+                (CASE WHEN p.year = {LAST} THEN 'IES_COPIA_' || p.year || '.CSV' END, 'ies', 'second candidate')) AS v(name, kind, outcome)
+              WHERE name IS NOT NULL)
+        JOIN (SELECT CAST(nu_ano_censo AS INTEGER) AS year, count(*) AS courses FROM raw GROUP BY 1) USING (year)
+        JOIN (SELECT CAST(nu_ano_censo AS INTEGER) AS year, count(*) AS institutions FROM raw_inst GROUP BY 1) USING (year)"""
+    sql["institution_file_profile"] = f"""
+        SELECT CAST(nu_ano_censo AS INTEGER) AS year, 'ies' AS kind, count(*) AS data_row_count,
+               CAST(CASE WHEN nu_ano_censo = '{LAST}' THEN 9 ELSE 8 END AS INTEGER) AS column_count
+        FROM raw_inst GROUP BY nu_ano_censo"""
+    sql["institution_layout_drift"] = f"""
+        SELECT 'ies' AS kind, CAST(nu_ano_censo AS INTEGER) AS year, CAST(8 AS BIGINT) AS common_column_count,
+               CASE WHEN nu_ano_censo = '{LAST}' THEN 'TP_REDE' ELSE '' END AS only_this_year
+        FROM raw_inst GROUP BY nu_ano_censo"""
+    sql["institution_edition_series"] = "SELECT * FROM inst"
+    sql["changed_cells"] = f"""
+        SELECT coalesce(o.census_year, n.census_year) AS census_year, coalesce(o.institution_id, n.institution_id) AS institution_id,
+               coalesce(o.course_id, n.course_id) AS course_id, coalesce(o.teaching_modality, n.teaching_modality) AS teaching_modality,
+               CASE WHEN o.course_id IS NULL THEN 'added' WHEN n.course_id IS NULL THEN 'removed' ELSE 'changed' END AS change,
+               CASE WHEN o.course_id IS NULL OR n.course_id IS NULL THEN '' ELSE concat_ws(',',
+                   CASE WHEN o.course_name IS DISTINCT FROM n.course_name THEN 'course_name' END,
+                   CASE WHEN o.enrollments IS DISTINCT FROM n.enrollments THEN 'enrollments' END) END AS columns
+        FROM supply AS o FULL JOIN edited AS n ON o.census_year = n.census_year AND o.institution_id = n.institution_id
+         AND o.course_id = n.course_id AND o.teaching_modality = n.teaching_modality
+        WHERE o.course_id IS NULL OR n.course_id IS NULL
+           OR (o.course_name, o.enrollments) IS DISTINCT FROM (n.course_name, n.enrollments)"""
+    sql["edition_reload"] = f"""
+        SELECT CAST(census_year AS INTEGER) AS census_year,
+               (SELECT count(*) FROM (SELECT * FROM edited AS x WHERE x.census_year = e.census_year EXCEPT ALL
+                                      SELECT * FROM supply AS y WHERE y.census_year = e.census_year))
+               + (SELECT count(*) FROM (SELECT * FROM supply AS y WHERE y.census_year = e.census_year EXCEPT ALL
+                                        SELECT * FROM edited AS x WHERE x.census_year = e.census_year)) > 0 AS rewritten,
+               TRUE AS second_run_writes_nothing, count(*) AS row_count, CAST(coalesce(sum(enrollments), 0) AS BIGINT) AS enrollments
+        FROM edited AS e GROUP BY e.census_year"""
     sql["edition_csv_supply"] = "SELECT * FROM supply"
     sql["union_editions"] = """
         SELECT CAST(nu_ano_censo AS INTEGER) AS census_year, count(*) AS row_count,
@@ -591,6 +702,10 @@ def all_queries() -> dict[str, str]:
                student_source_row_count IS NULL AS missing_student_component
         FROM supply AS s LEFT JOIN inst AS i
           ON i.census_year = s.census_year AND i.institution_id = s.institution_id"""
+    sql["single_edition_sustainability"] = sql["course_sustainability"].replace(
+        "SELECT s.*,", "SELECT s.* EXCLUDE (education_network, administrative_category), "
+        "i.education_network, i.administrative_category,").replace("LEFT JOIN inst AS i", "LEFT JOIN inst_single AS i") + (
+        f" WHERE s.census_year = {LAST}")
     sql["institution_portfolio"] = f"""
         SELECT census_year, institution_id, {_big('sum(e)', 'enrollments')}, count(*) AS course_count,
                round(sum(power(e / NULLIF(CAST(total AS DOUBLE), 0), 2)), 10) AS enrollment_hhi
@@ -828,10 +943,12 @@ def all_queries() -> dict[str, str]:
                CAST(coalesce(sum(CAST(NULLIF(qt_mat, '') AS BIGINT)), 0) AS BIGINT) AS enrollments
         FROM raw GROUP BY 1"""
     sql["persistence_checks"] = _all(
-        # The snapshot and the single edition are the mart itself on the SQL side.
-        _check("snapshot_drift_count", f"SELECT count(*) FROM (SELECT {_KEY} FROM supply EXCEPT SELECT {_KEY} FROM supply)"),
-        _check("snapshot_surplus_count", f"SELECT count(*) FROM (SELECT {_KEY} FROM supply EXCEPT SELECT {_KEY} FROM supply)"),
-        _check("regression_against_edition_count", "SELECT 0"),
+        _check("snapshot_drift_count", f"SELECT count(*) FROM (SELECT {_KEY} FROM supply EXCEPT SELECT {_KEY} FROM snapshot_rows)"),
+        _check("snapshot_surplus_count", f"SELECT count(*) FROM (SELECT {_KEY} FROM snapshot_rows EXCEPT SELECT {_KEY} FROM supply)"),
+        _check("regression_against_edition_count", f"""SELECT count(*) FROM (
+            SELECT {_OFFER}, offered_seats, entrants, enrollments, graduates, applications FROM snapshot_rows
+            WHERE census_year = {LAST} EXCEPT
+            SELECT {_OFFER}, offered_seats, entrants, enrollments, graduates, applications FROM edition_rows)"""),
         _check("impossible_count_rows", """SELECT count(*) FROM persistence
             WHERE greatest(low_occupancy_years, current_low_occupancy_streak) > measurable_years
                OR current_low_occupancy_streak > low_occupancy_years"""),
@@ -883,6 +1000,13 @@ def all_queries() -> dict[str, str]:
             WHERE is_eligible IS DISTINCT FROM lagged_entrants > 19"""),
     )
 
+    def spoilt_by(name, *parts):
+        return re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(parts)})\b", r"\1\2bad_\3", sql[name])
+
+    sql["spoilt_persistence_checks"] = spoilt_by("persistence_checks", "snapshot_rows", "edition_rows", "persistence", "panel")
+    sql["spoilt_feature_checks"] = spoilt_by("feature_checks", "features", "labels", "training")
+    sql["spoilt_modality_checks"] = spoilt_by("modality_checks", "state", "transitions", "dependency", "lagged")
+
     # Model
     sql["chronological_split"] = """
         SELECT split, reference_year, count(*) AS rows, count(*) FILTER (deteriorated) AS events

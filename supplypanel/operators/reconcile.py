@@ -22,6 +22,7 @@ def reconcile(
     student_count: str,
     cluster=(),
     partitions: int | None = None,
+    unique: str | None = None,
 ) -> DataFrame:
     """One row per key with capacity and student sums side by side.
 
@@ -37,6 +38,10 @@ def reconcile(
     one row per key and family, however many rows one key has. With ``cluster``,
     a part of the key, the second step is spread by those columns alone, and a
     table bucketed by them can be written without another shuffle.
+
+    ``unique`` names the result whose key must be unique: the second step then
+    meets rows of a key that came together and others that did not in one group,
+    and the job fails with that key, without a pass of its own.
     """
     side = (
         F.when(together, F.lit(0))
@@ -56,13 +61,26 @@ def reconcile(
     by_label = prepared.groupBy(*keys, "_side", *labels).agg(*[F.sum(c).alias(c) for c in sums])
     if cluster:
         by_label = by_label.repartition(partitions, *cluster)
+    group = F.col("_side")
+    if unique:
+        group = F.when(all_present(keys), F.lit(0)).otherwise(group)
+    last = F.sum(sums[-1])
+    if unique:
+        last = failing_where(F.min("_side") != F.max("_side"), last, keys, unique)
     return (
-        by_label.groupBy(*keys, "_side")
-        .agg(*[F.max(c).alias(c) for c in labels], *[F.sum(c).alias(c) for c in sums])
-        .drop("_side")
+        by_label.groupBy(*keys, group.alias("_group"))
+        .agg(*[F.max(c).alias(c) for c in labels], *[F.sum(c).alias(c) for c in sums[:-1]], last.alias(sums[-1]))
+        .drop("_group")
     )
 
 
+def failing_where(repeated: Column, value: Column, keys, what: str) -> Column:
+    """``value``, or a failure of the job that names the key of the group where ``repeated`` holds."""
+    shown = F.concat_ws(", ", *[F.first(F.col(k).cast("string")) for k in keys])
+    error = F.raise_error(F.concat(F.lit(f"{what}: key {list(keys)} is not unique: "), shown))
+    return F.when(repeated, error.cast("bigint")).otherwise(value)
+
+
 def duplicate_keys(df: DataFrame, keys) -> DataFrame:
     """Key combinations that occur more than once, with their row count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")

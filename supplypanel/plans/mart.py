@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from supplypanel.functions.columns import lenient, safe_ratio, supply_indicators
 from supplypanel.operators.concentration import herfindahl
-from supplypanel.operators.reconcile import reconcile
-from supplypanel.sources.tables import materialize
+from supplypanel.operators.reconcile import failing_where, reconcile
+from supplypanel.sources.versions import reload
 
 # Staged column names.
 KEYS = ["census_year", "institution_id", "course_id", "teaching_modality"]
@@ -21,13 +21,15 @@ CAPACITY = ["course_count", "offered_seats", "applications"]
 STUDENTS = ["entrants", "enrollments", "graduates"]
 
 
-def course_supply(courses: DataFrame, buckets: int | None = None) -> DataFrame:
+def course_supply(courses: DataFrame, buckets: int | None = None, unique: bool = True) -> DataFrame:
     """Undergraduate supply per offer and year, without double counting.
 
     On-site rows carry everything; distance capacity is national and distance
     students are counted by municipality; supply abroad is never read. Works
     on the series and on a single edition, whose labels are fewer. ``buckets``
-    lays the result out by offer for a snapshot of as many buckets.
+    lays the result out by offer for a snapshot of as many buckets. An offer that
+    has on-site as well as distance rows in a year would stand twice: the job
+    fails with its key, unless ``unique`` is off.
     """
     dimension = F.col("dimension_type")
     labels = [c for c in LABELS if c in courses.columns]
@@ -44,6 +46,7 @@ def course_supply(courses: DataFrame, buckets: int | None = None) -> DataFrame:
         student_count="student_source_row_count",
         cluster=OFFER if buckets else (),
         partitions=buckets,
+        unique="course_supply" if unique else None,
     )
     names = [c for c in labels if c in LABELS[:3]]
     rest = [c for c in labels if c not in names]
@@ -86,11 +89,17 @@ def institution_portfolio(supply: DataFrame) -> DataFrame:
 
 
 def supply_snapshot(supply: DataFrame, table: str, buckets: int | None = None) -> DataFrame:
-    """The mart as a table: pruned by year, bucketed by offer.
+    """The mart as a table: pruned by year, bucketed by offer; a reload writes the years that differ and swaps them in at once.
 
     A mart laid out with the same number of buckets is not shuffled again.
     """
-    return materialize(supply, table, partition="census_year", cluster=OFFER, buckets=buckets)
+    return reload(supply, table, partition="census_year", cluster=OFFER, buckets=buckets)
+
+
+def offer_years(courses: DataFrame) -> DataFrame:
+    """The keys of ``course_supply`` alone: what a comparison of keys needs of it."""
+    rows = courses.where((F.col("academic_level") == 1) & F.col("dimension_type").isin(1, 2, 3))
+    return rows.select(*KEYS).distinct()
 
 
 # --- The mart read straight from raw text of an edition -----------------------
@@ -102,13 +111,14 @@ RAW_CAPACITY = ["qt_curso", "qt_vg_total", "qt_inscrito_total"]
 RAW_STUDENTS = ["qt_ing", "qt_mat", "qt_conc"]
 
 
-def mvp_course_mart(raw: DataFrame) -> DataFrame:
+def mvp_course_mart(raw: DataFrame, unique: bool = True) -> DataFrame:
     """Offer-years from raw text, tolerant of bad numbers.
 
     Unlike ``course_supply``: rows with a null key are dropped, a present
     family whose values are all null sums to zero, and distance labels fall
     back to the student side. Where a label differs within an offer, the
-    smallest is taken, since rows of a distributed file have no first.
+    smallest is taken, since rows of a distributed file have no first. An offer
+    with on-site and distance rows in a year fails the job, unless ``unique`` is off.
     """
     dimension = lenient("tp_dimensao", "int")
     capacity, students = dimension.isin(1, 3), dimension.isin(1, 2)
@@ -126,13 +136,18 @@ def mvp_course_mart(raw: DataFrame) -> DataFrame:
     )
     capacity = F.col("_dimension").isin(1, 3)
     students = F.col("_dimension").isin(1, 2)
-    offers = per_dimension.groupBy(*RAW_KEYS, (F.col("_dimension") == 1).alias("_on_site")).agg(
+    on_site = F.col("_dimension") == 1
+    graduates = F.sum(F.when(students, F.col(RAW_STUDENTS[-1])))
+    if unique:
+        graduates = failing_where(F.min(on_site) != F.max(on_site), graduates, RAW_KEYS, "mvp_course_mart")
+    offers = per_dimension.groupBy(*RAW_KEYS, *([] if unique else [on_site.alias("_on_site")])).agg(
         *[
             F.coalesce(F.min(F.when(capacity, F.col(c))), F.min(F.when(students, F.col(c)))).alias(c)
             for c in RAW_LABELS
         ],
         *[F.sum(F.when(capacity, F.col(c))).alias(c) for c in RAW_CAPACITY],
-        *[F.sum(F.when(students, F.col(c))).alias(c) for c in RAW_STUDENTS],
+        *[F.sum(F.when(students, F.col(c))).alias(c) for c in RAW_STUDENTS[:-1]],
+        graduates.alias(RAW_STUDENTS[-1]),
         (F.count_if(capacity) == 0).alias("missing_capacity_component"),
         (F.count_if(students) == 0).alias("missing_student_component"),
     )

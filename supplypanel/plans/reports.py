@@ -238,14 +238,13 @@ def dimension_profile(raw: DataFrame) -> DataFrame:
         F.col("co_regiao").isNotNull() & F.col("co_uf").isNotNull() & F.col("co_municipio").isNotNull()
     )
 
-    # One scan: partial counts per institution and course, from which both the
-    # distinct counts and the totals of a dimension follow.
+    # Sums by the few codes, then by dimension; distinct counts from the keys alone. Both
+    # are small for each task before they are shuffled, and no row is a set or is expanded.
     rows = _profiled(raw)
     code_columns = {"modalities": "tp_modalidade_ensino", "academic_levels": "tp_nivel_academico"}
-    offers = rows.groupBy("nu_ano_censo", "tp_dimensao", "co_ies", "co_curso").agg(
+    by_code = rows.groupBy("nu_ano_censo", "tp_dimensao", *code_columns.values()).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.count_if(located).alias("geography_complete_row_count"),
-        *[F.collect_set(column).alias(name) for name, column in code_columns.items()],
         *per_measure,
     )
     added = [
@@ -253,18 +252,23 @@ def dimension_profile(raw: DataFrame) -> DataFrame:
         *[f"{m.removeprefix('qt_')}_{kind}" for m in measures for kind in ("non_null", "non_zero", "sum")],
     ]
 
-    def codes(name):  # small code domains, listed in order
-        sets = F.flatten(F.collect_set(name))
-        return F.array_join(F.array_sort(F.array_distinct(sets)), ",").alias(name)
-
+    def codes(name, column):  # small code domains, listed in order
+        return F.array_join(F.array_sort(F.collect_set(column)), ",").alias(name)
+
+    totals = by_code.groupBy("nu_ano_censo", "tp_dimensao").agg(
+        *[F.sum(name).alias(name) for name in added], *[codes(*pair) for pair in code_columns.items()])
+    keys = {"distinct_ies_count": "co_ies", "distinct_course_count": "co_curso"}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("key")) for name, c in keys.items()]))
+    distinct = (
+        rows.select("nu_ano_censo", "tp_dimensao", each.alias("_")).select("nu_ano_censo", "tp_dimensao", "_.*").distinct()
+        .groupBy(F.col("nu_ano_censo").alias("_year"), F.col("tp_dimensao").alias("_dimension"))
+        .agg(*[F.count_if((F.col("name") == name) & F.col("key").isNotNull()).alias(name) for name in keys])
+    )
+    same = F.col("nu_ano_censo").eqNullSafe(F.col("_year")) & F.col("tp_dimensao").eqNullSafe(F.col("_dimension"))
     return (
-        offers.groupBy(F.col("nu_ano_censo").alias("census_year"), F.col("tp_dimensao").alias("dimension"))
-        .agg(
-            *[F.sum(name).alias(name) for name in added],
-            *[codes(name) for name in code_columns],
-            F.countDistinct("co_ies").alias("distinct_ies_count"),
-            F.countDistinct("co_curso").alias("distinct_course_count"),
-        )
+        totals.join(distinct, same)
+        .select(
+            F.col("nu_ano_censo").alias("census_year"), F.col("tp_dimensao").alias("dimension"), *added, *code_columns, *keys)
         .withColumn("label", dimension_label("dimension"))
         .orderBy("census_year", "dimension")
     )

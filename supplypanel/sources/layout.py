@@ -162,6 +162,11 @@ def validated_columns(names) -> list[str]:
     return lowered
 
 
+def one_edition(table: DataFrame, aliases=COLUMN_ALIASES) -> DataFrame:
+    """One edition by canonical name."""
+    return table.toDF(*validated_columns([canonical_column(c, aliases) for c in table.columns]))
+
+
 def union_editions(editions: dict[int, DataFrame], aliases=COLUMN_ALIASES) -> DataFrame:
     """All editions by canonical name, over the columns every one has.
 
@@ -169,10 +174,7 @@ def union_editions(editions: dict[int, DataFrame], aliases=COLUMN_ALIASES) -> Da
     """
     if len(editions) < 2:
         raise ValueError("a series needs at least two editions")
-    renamed = {}
-    for year, table in editions.items():
-        names = validated_columns([canonical_column(c, aliases) for c in table.columns])
-        renamed[year] = table.toDF(*names)
+    renamed = {year: one_edition(table, aliases) for year, table in editions.items()}
     shared = set.intersection(*[set(table.columns) for table in renamed.values()])
     order = [c for c in renamed[max(renamed)].columns if c in shared]
     return reduce(DataFrame.unionByName, [renamed[y].select(*order) for y in sorted(renamed)])

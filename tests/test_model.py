@@ -264,7 +264,7 @@ def test_separable_rows_converge(spark):
 
 def test_windows_equal_separate_fits_and_share_a_scan(spark):
     df = table(spark, frame([2015, 2016, 2017, 2018], rows_per_year=60)).cache()
-    windows = {"a": [2015, 2016], "b": [2016, 2017, 2018], "c": [2017]}
+    windows = {"a": [2015, 2016], "b": [2016, 2017, 2018]}
     together = models.fit_reference_models(df, windows)
     for name, years in windows.items():
         alone = models.fit_reference_model(df.where(F.col("reference_year").isin(years)))
@@ -362,8 +362,8 @@ def isotonic_by_min_max(events, n):
     ]
 
 
-@pytest.mark.parametrize("slices", [1, 3, 11])
-@pytest.mark.parametrize("shape", ["random", "falling", "rising", "ties", "single"])
+@pytest.mark.parametrize("shape,slices", [
+    ("random", 11), ("falling", 5), ("rising", 3), ("ties", 4), ("single", 2), ("random", 1)])
 def test_isotonic_blocks_equal_the_min_max_formula(spark, shape, slices):
     draw = np.random.default_rng(len(shape) + slices)
     size = 1 if shape == "single" else 40
@@ -401,7 +401,7 @@ def test_isotonic_map_reads_alike_from_arrays_and_along_the_order(spark, monkeyp
 # --- Top rows ------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("n", [1, 500, 1500, 3000, 4000])
+@pytest.mark.parametrize("n", [1, 1500, 4000])
 def test_top_ranks_equal_a_sort_and_no_task_holds_them(spark, monkeypatch, n):
     monkeypatch.setattr(ranking, "RANGE_ROWS", 100)
     draw = np.random.default_rng(n)
@@ -516,7 +516,7 @@ def test_boosting_stops_when_held_out_rows_gain_nothing(spark):
     for r in rows:
         r[4] = bool(draw.random() < 0.5)  # nothing to learn
     df = table(spark, [tuple(r) for r in rows])
-    model = boosting.fit_boosted(df, F.col("deteriorated").cast("int"), F.col("course_id") % 3 == 0, max_iter=100, rate=0.3)
+    model = boosting.fit_boosted(df, F.col("deteriorated").cast("int"), F.col("course_id") % 3 == 0, max_iter=100, rate=0.3, depth=1)
     assert boosting.PATIENCE <= len(model.trees) < 100 and len(model.losses) == len(model.trees) + 1
     with pytest.raises(ValueError, match="no rows"):
         boosting.fit_boosted(df, F.col("deteriorated").cast("int"), F.lit(True))
