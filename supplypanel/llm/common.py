@@ -19,6 +19,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 HEAVY_SHARE = 1000
 #: Rows of a small table (ids, links, labels) that make a partition of its own.
 PART_ROWS = 100_000
+#: Values that a fold which appends takes at once.
+FOLD = 256
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -100,6 +102,23 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANK), "")
 
 
+def in_blocks(values: Column, folded: Callable[[Column], Column]) -> Column:
+    """``folded`` of each ``FOLD`` values of an array in turn, as an array; of none where there are none.
+
+    A fold that appends copies what it has for each value. In blocks that is work in
+    proportion to the values, where over all at once it would be to their square.
+    """
+    last = F.greatest(F.ceil(F.size(values) / F.lit(FOLD)).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: folded(F.slice(values, b * FOLD + 1, F.lit(FOLD))))
+
+
+def totals_before(values: Column) -> Column:
+    """For each number of an array the sum of those before it; for blocks, of which there are few."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda done, x: F.struct(
+        (done.at + x).alias("at"), F.concat(done.out, F.array(done.at)).alias("out"))).out
+
+
 def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches as structs of start, end and the matched text.
 
@@ -108,19 +127,27 @@ def match_spans(text: Column, pattern: str, keep: Callable[[Column], Column] | N
     """
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
 
-    def located(gaps: Column, found: Column) -> Column:
-        lengths = F.transform(found, lambda m, i: F.struct(
-            F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"), m.alias("match"),
-        ))
+    def spans_of(lengths: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), none.alias("out"))
         return F.aggregate(lengths, start, lambda done, x: F.struct(
             (done.at + x.gap + x.length).alias("at"),
             F.concat(done.out, F.array(F.struct(
                 (done.at + x.gap).alias("start"), (done.at + x.gap + x.length).alias("end"), x.match.alias("match"),
             ))).alias("out"),
-        )).out
+        ))
 
-    spans = located(F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    def located(gaps: Column, found: Column) -> Column:
+        lengths = F.transform(found, lambda m, i: F.struct(
+            F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("length"), m.alias("match"),
+        ))
+        return let(lengths, lambda all_: let(in_blocks(all_, spans_of), lambda blocks: let(
+            totals_before(F.transform(blocks, lambda b: b.at)), lambda before: F.flatten(F.transform(
+                blocks, lambda b, i: F.transform(b.out, lambda s: F.struct(
+                    (s.start + before[i]).alias("start"), (s.end + before[i]).alias("end"), s.match.alias("match"),
+                )))))))
+
+    # Bound once: inside a lambda the split would be made anew for each match.
+    spans = let(F.split(text, pattern), lambda gaps: located(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
     if keep is not None:
         spans = keep(spans)
     return F.when(text.rlike(pattern), spans).otherwise(none)

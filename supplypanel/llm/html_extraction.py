@@ -16,9 +16,13 @@ descendant never contradict each other.
 The model learns from pages that are laid out here, with known labels, around
 text blocks from a bounded sample of the given pages; nothing else is labelled.
 
+A page is scanned once from its start to its end, in time in proportion to its
+length whatever it holds. A quote opens a value only after an equals sign; markup
+that is cut off at the page's end is no text.
+
 Defined cases: null, empty and text-free pages give an empty text; tags that are
-not closed end with their parent; repeated rows are taken each by itself; a very
-deep tree is held at ``DEEPEST`` levels, deeper elements become siblings there.
+not closed end with their parent; repeated rows are taken each by itself; trees
+may be of any depth, which as a feature counts up to ``DEEPEST``.
 """
 
 from __future__ import annotations
@@ -44,13 +48,19 @@ SAMPLE_PAGES, TRAINING_PAGES = 200, 800
 TREES, DEPTH = 16, 5
 DEEPEST = 200
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+#: What begins markup; any other ``<`` is text.
+MARKUP = re.compile(r"<(?=[a-zA-Z!?/])")
+NAME = re.compile(r"[^\s/>]+")
+#: White space and slashes between attributes; an attribute's name with what leads to its value; a value without quotes.
+BETWEEN, ATTRIBUTE, UNQUOTED = re.compile(r"[\s/]*"), re.compile(r"([^\s/>][^\s/>=]*)(\s*=\s*)?"), re.compile(r"[^\s>]*")
+NAMED = ("class", "id", "role")
 BLANKS = re.compile(r"\s+")
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "xmp")
 #: ASCII letters alone match in either case; a lowered copy of the page would not keep its places.
 RAW_ENDS = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Void elements that stand in a line of text and end no block.
+IN_LINE_VOID = {"area", "embed", "img", "input", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
           "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 #: What an opening tag ends: elements of these kinds, up to the nearest of the second group.
@@ -81,6 +91,53 @@ KINDS = [frozenset(w.split()) for w in WORDS]
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, list[str], bool]]:
+    """Where each tag begins and ends, its name, whether it closes, its class, id and role values, and whether it ends in a slash.
+
+    Comments and declarations have no name. What is cut off reaches to the page's
+    end. The caller sends the place to go on from, or None for the tag's end.
+    """
+    at, size = 0, len(page)
+    while (m := MARKUP.search(page, at)) is not None:
+        begin = m.start()
+        closing = page.startswith("/", begin + 1)
+        first = page[begin + 1 + closing : begin + 2 + closing]
+        if not (first.isascii() and first.isalpha()):  # a comment, a declaration, or what counts as one
+            comment = page.startswith("<!--", begin)
+            end = page.find("-->", begin + 4) if comment else page.find(">", begin + 1)
+            at = size if end < 0 else end + (3 if comment else 1)
+            yield begin, at, "", False, [], False
+            continue
+        name = NAME.match(page, begin + 1 + closing)
+        at, values, slash, whole = name.end(), [], False, False
+        while True:
+            gap = BETWEEN.match(page, at)
+            at = gap.end()
+            if at >= size:
+                break
+            if page[at] == ">":
+                slash, whole = gap.group().endswith("/"), True
+                at += 1
+                break
+            attribute = ATTRIBUTE.match(page, at)
+            at = attribute.end()
+            if attribute[2]:
+                quote = page[at : at + 1]
+                if quote in ('"', "'") and quote:
+                    end = page.find(quote, at + 1)
+                    value, at = (page[at + 1 : end], end + 1) if end >= 0 else ("", size)
+                else:
+                    value = UNQUOTED.match(page, at)
+                    value, at = value.group(), value.end()
+                if attribute[1].lower() in NAMED:
+                    values.append(value)
+        if not whole:  # cut off: markup, but no element
+            yield begin, size, "", False, [], False
+            return
+        go_on = yield begin, at, name.group().lower(), closing, values, slash
+        at = at if go_on is None else go_on
+
+
 class Tree:
     """Elements in page order: parent, tag, attribute kinds; and the page's text runs with their element."""
 
@@ -89,26 +146,28 @@ class Tree:
         self.runs: list[tuple[int, str, bool]] = []  # the element of a run of text, the run, whether it is a link's
         self.breaks: list[int] = []  # the number of runs before each block boundary
         self.link = False
+        self.open = {"#root": 1}  # how many elements of a name are on the stack
         stack, at = [0], 0
+        scan, go_on = tags(page), None
         while True:
-            m = TOKEN.search(page, at)
-            if m is None:
-                self._text(stack[-1], page[at:])
+            try:
+                begin, end, tag, closing, values, slash = scan.send(go_on)
+            except StopIteration:
                 break
-            if m.start() > at:
-                self._text(stack[-1], page[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+            if begin > at:
+                self._text(stack[-1], page[at:begin])
+            at, go_on = end, None
+            if not tag:
                 continue
-            tag = m[2].lower()
-            if m[1]:
+            if closing:
                 self._close(stack, tag)
             elif tag in RAW:
-                closing = RAW_ENDS[tag].search(page, at)
-                end = page.find(">", closing.start()) if closing else -1
-                at = len(page) if end < 0 else end + 1
+                ending = RAW_ENDS[tag].search(page, at)
+                end = page.find(">", ending.start()) if ending else -1
+                at = go_on = len(page) if end < 0 else end + 1
             else:
-                self._open(stack, tag, m[3])
+                self._open(stack, tag, values, slash)
+        self._text(stack[-1], page[at:])
         self.breaks.append(len(self.runs))
 
     def _text(self, node: int, run: str) -> None:
@@ -117,20 +176,20 @@ class Tree:
         elif run and self.runs:
             self.runs.append((node, " ", False))
 
-    def _open(self, stack: list[int], tag: str, attributes: str) -> None:
+    def _open(self, stack: list[int], tag: str, values: list[str], slash: bool) -> None:
         if tag in ENDS_PARAGRAPH:
             self._end(stack, {"p"}, {"article", "aside", "div", "section", "li", "td", "blockquote", "main", "#root"})
         if tag in CLOSES:
             self._end(stack, *CLOSES[tag])
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in IN_LINE_VOID:
             self.breaks.append(len(self.runs))
         if tag == "a":
             self.link = True
         if tag in VOID:
             return
         kinds = 0
-        for _, value in ATTRIBUTE.findall(attributes):
-            words = set(SPLIT.split(value.strip("\"'"))) | set(SPLIT.split(value.lower()))
+        for value in values:
+            words = set(SPLIT.split(value)) | set(SPLIT.split(value.lower()))
             kinds |= sum(1 << k for k, known in enumerate(KINDS) if words & known)
         if tag in INLINE and not kinds:
             return  # belongs to the block that it stands in
@@ -138,13 +197,22 @@ class Tree:
         self.tag.append(tag)
         self.kinds.append(kinds)
         self.depth.append(len(stack))
-        if len(stack) < DEEPEST and not attributes.endswith("/"):
+        if not slash:
             stack.append(len(self.parent) - 1)
+            self.open[tag] = self.open.get(tag, 0) + 1
+
+    def _cut(self, stack: list[int], k: int) -> None:
+        """Takes the elements from place ``k`` on off the stack."""
+        for node in stack[k:]:
+            self.open[self.tag[node]] -= 1
+        del stack[k:]
 
     def _end(self, stack: list[int], kinds: set[str], limits: set[str]) -> None:
+        if not any(self.open.get(kind) for kind in kinds):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if self.tag[stack[k]] in kinds:
-                del stack[k:]
+                self._cut(stack, k)
                 return
             if self.tag[stack[k]] in limits:
                 return
@@ -154,11 +222,13 @@ class Tree:
             self.breaks.append(len(self.runs))
         if tag not in INLINE or tag == "a":
             self.link = False
+        if not self.open.get(tag):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if tag in INLINE and self.tag[stack[k]] not in INLINE:
                 return  # an inline tag ends no block
             if self.tag[stack[k]] == tag:
-                del stack[k:]
+                self._cut(stack, k)
                 return
 
     def text(self, keep: np.ndarray) -> str:
@@ -177,7 +247,7 @@ FEATURES = len(TAG_GROUPS) + 1 + 3 * len(KINDS) + 12
 def features(tree: Tree) -> np.ndarray:
     """A row for each element."""
     n = len(tree.parent)
-    parent, depth = np.array(tree.parent), np.array(tree.depth, np.float64)
+    parent, depth = np.array(tree.parent), np.minimum(np.array(tree.depth, np.float64), DEEPEST)
     own, links, runs = np.zeros(n), np.zeros(n), np.zeros(n)
     for node, run, link in tree.runs:
         own[node] += len(run)

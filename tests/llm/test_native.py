@@ -292,3 +292,19 @@ def test_a_small_share_of_a_huge_table_is_not_none(spark):
     # Of 10^12 rows 2,000 are wanted: the hash's bound is then far above 0.
     plan = keys.where(sampled(F.col("id"), 2000 / 1e12))._jdf.queryExecution().toString()
     assert f"< {int(2000 / 1e12 * (1 << 63))}" in plan and int(2000 / 1e12 * (1 << 63)) > 1e10
+
+
+def test_many_spans_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    from supplypanel.llm.common import match_spans
+
+    rng = random.Random(4)
+    words = [f"{rng.getrandbits(128):032x}" for _ in range(20_000)]
+    text = "é" + " ".join(words) + " end"
+    table = spark.createDataFrame([(text,), ("",), ("xyz",), ("ab",)], "t string")
+    began = time.time()
+    found = [r.s for r in table.select(match_spans(F.col("t"), "[0-9a-f]{2,}").alias("s")).collect()]
+    assert time.time() - began < 60  # a fold over all at once takes minutes
+    assert [(s.start, s.end, s.match) for s in found[0]] == [(1 + 33 * i, 33 + 33 * i, w) for i, w in enumerate(words)]
+    assert [len(s) for s in found[1:]] == [0, 0, 1]

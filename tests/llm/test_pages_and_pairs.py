@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -231,3 +232,35 @@ def test_queries_cover_their_tables(spark, name):
         assert sorted(r.doc_id for r in found.collect()) == ids
     else:
         assert found.count() > 0
+
+
+def whole_text(page):
+    tree = web.Tree(page)
+    return tree.text(np.ones(len(tree.parent), bool))
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<p title=it's>Hello it's me</p><p>next</p>", "Hello it's me next"),
+    ('<p a=b"c d=\'x>y\' e>one</p>two', "one two"),
+    ("super<wbr>cali a<img src=x>b <input value='>'>c", "supercali ab c"),
+    ("<p>before</p><div class='x", "before"), ("<p>before</p><div class=x", "before"), ("one <!-- two", "one"),
+    ("a < b <3 </p> x </ y> z", "a < b <3 x z"), ("x<!doctype q>y<?z>w", "xyw"), ("<a x=\"1", ""), ("", ""), ("<", "<"),
+    ("İ<script>if (a < b) '</p>'</SCRIPT >after", "İafter"), ("a<br/>b<div/>c", "a b c"),
+])
+def test_scanner_keeps_text_and_drops_markup(page, text):
+    assert whole_text(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a x="', "<", "<div>", "<p a='b' ", "</x><p>", "<!-", "<script>", "&lt"])
+def test_time_grows_with_the_page_and_not_its_square(part):
+    began = time.process_time()
+    web.Tree(part * 100_000 + "</x></div></p>" * 20_000)
+    assert time.process_time() - began < 15  # a restart at each tag would take hours
+
+
+def test_deep_elements_close_themselves_alone():
+    tree = web.Tree("<div id=outer>" + "<div>" * 1000 + "deep" + "</div>" * 1000 + "<p>next</p></div><p>after</p>")
+    where = {run: tree.parent[node] for node, run, _ in tree.runs}
+    outer = 1
+    assert tree.tag[outer] == "div" and where["next"] == outer and where["after"] == 0
+    assert web.features(tree).shape[0] == len(tree.parent) and web.decode(tree, np.ones(len(tree.parent))).all()
