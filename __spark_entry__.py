@@ -557,7 +557,7 @@ def window_statistics(spark, folder):
 def isotonic_fit(spark, folder):
     """The isotonic mean of each rounded log-odds of the calibration year."""
     rows = _fixed_scorer().score(_training(spark, folder).where(F.col("reference_year") == CALIBRATION_YEAR))
-    points = rows.groupBy(F.round("log_odds", 1).alias("value")).agg(
+    points = rows.groupBy((F.floor(F.round("log_odds", 8) * 8) / 8).alias("value")).agg(
         F.sum("label").cast("bigint").alias("events"), F.count(F.lit(1)).alias("n"))
     blocks = isotonic.isotonic_blocks(points, slices=4)
     return _rounded(isotonic.with_mean(points.select("value"), "value", blocks, "mean"), "mean")
@@ -646,7 +646,7 @@ def fixed_scorer_explanations(spark, folder):
             "part.feature", "part.transformed_value", "part.contribution",
         ),
         "predicted_probability", "log_odds", "transformed_value", "contribution", digits=8,
-    )
+    ).withColumn("contribution", F.col("contribution") + F.lit(0.0))  # no minus before a zero
 
 
 def fixed_scorer_highest_risk(spark, folder):

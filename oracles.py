@@ -913,7 +913,7 @@ def all_queries() -> dict[str, str]:
     sql["fixed_scorer_explanations"] = f"""
         SELECT reference_year, {_OFFER}, round(score, 8) AS predicted_probability, round(log_odds, 8) AS log_odds,
                CAST(place - 1 AS INTEGER) AS rank, feature, round(transformed_value, 8) AS transformed_value,
-               round(contribution, 8) AS contribution
+               round(contribution, 8) + 0.0::DOUBLE AS contribution
         FROM explained_test WHERE place <= 3"""
     sql["fixed_scorer_highest_risk"] = f"""
         SELECT CAST(row_number() OVER (ORDER BY round(log_odds, 8) DESC, reference_year, {_OFFER}) AS INTEGER) AS position,
@@ -1100,7 +1100,7 @@ FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c)
 # Rounded log-odds of the calibration year, and all stretches of neighbouring values with their sums.
 PARTS["isotonic_points"] = f"""
 SELECT value, events, n, row_number() OVER (ORDER BY value) AS place FROM (
-    SELECT round(log_odds, 1) AS value, count(*) FILTER (deteriorated) AS events, count(*) AS n
+    SELECT floor(round(log_odds, 8) * 8) / 8 AS value, count(*) FILTER (deteriorated) AS events, count(*) AS n
     FROM ({_scored(f"SELECT * FROM training WHERE reference_year = {TRAIN_YEARS[1]}")}) GROUP BY 1)
 """
 PARTS["isotonic_stretches"] = """
