@@ -3,9 +3,11 @@
 Each feature is cut at exact quantiles into at most 255 bins; missing values have
 one more, and each split learns to which side they go. A tree grows level by
 level. For a level, a task sums gradient, hessian and rows by (node, feature, bin)
-over its rows, Spark adds the tasks' sums up, and the driver, which gets at most
-16 × features × 256 cells, chooses the splits. Only the smaller child of a split is
-summed; the other one is the parent less that.
+over its rows, the tasks' sums are added up, and the driver, which gets at most
+16 × features × 256 cells a task, chooses the splits. Only the smaller child of a split is
+summed; the other one is the parent less that. Rows are blocks of arrays in an RDD:
+a level is one short job without a plan or a shuffle, and the scores after a tree are
+kept by the job that sums the next tree's root, so no tree is applied twice.
 
 Gradients are whole multiples of 2⁻²⁴, so sums are exact: the trees do not depend
 on how the rows are dealt to tasks or on the order in which sums arrive.
@@ -21,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +36,10 @@ MISSING = BINS  # the bin of missing values
 FRACTION_BITS = 24
 LEAST_HESSIAN = 1e-3
 PATIENCE, TOLERANCE = 10, 1e-7
-#: Trees after which the rows' raw scores are written, so that a scan applies few trees and lineage stays short.
-WRITTEN_TREES = 10
-#: Rows that one partition of the binned table holds.
-PART_ROWS = 100_000
+#: Trees after which the rows' scores are written to the shared folder, so that lineage stays short.
+WRITTEN_TREES = 25
+#: Rows that are worth a task of their own, and tasks of which the driver adds the sums up itself.
+PART_ROWS, SENDING_TASKS = 20_000, 16
 
 
 @dataclass(frozen=True)
@@ -127,71 +130,91 @@ def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
 
 
 def _binned(rows: DataFrame, features: list[str], cuts: list[np.ndarray], label: Column, held_out: Column) -> DataFrame:
-    """bins (a byte for each feature), label, held_out and raw (the score so far)."""
+    """A row for each block of rows, those to learn from first: how many these are, bins (a byte for each feature) and label of all."""
     locate, _ = _walkers()
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(features))]
-            bins = locate(columns, cuts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in bins], pa.binary()), batch.column(len(features)), batch.column(len(features) + 1),
-                 pa.array(np.zeros(len(bins)))], names=["bins", "label", "held_out", "raw"])
+            label, held = (batch.column(len(features) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            held = np.array(held, bool)
+            if len(held):
+                order = np.argsort(held, kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int((~held).sum())]), pa.array([locate(columns, cuts)[order].tobytes()], pa.binary()),
+                     pa.array([label[order].astype(float).tobytes()], pa.binary())], names=["own", "bins", "label"])
 
     values = [F.col(c).cast("double").alias(c) for c in features]
     return rows.select(*values, label.cast("double").alias("_label"), held_out.alias("_held_out")).mapInArrow(
-        binned, "bins binary, label double, held_out boolean, raw double")
+        binned, "own long, bins binary, label binary")
+
+
+def _first_state(table: DataFrame, parts: int, n_features: int, base: float) -> RDD:
+    """The blocks as arrays: rows to learn from, bins, label, and the score so far."""
+
+    def opened(row) -> tuple:
+        label = np.frombuffer(row.label)
+        bins = np.frombuffer(row.bins, np.uint8).reshape(-1, n_features)
+        return int(row.own), bins, label, np.full(len(label), base)
+
+    return table.rdd.coalesce(parts).map(opened)
+
+
+def _scored(state: RDD, tree: Tree) -> RDD:
+    """The blocks with one more tree in their scores."""
+    _, reach = _walkers()
+    grown = _plain(tree)
+
+    def scored(block: tuple) -> tuple:
+        own, bins, label, score = block
+        return own, bins, label, score + grown["value"][reach(bins, grown)]
 
+    return state.map(scored)
 
-def _level_sums(
-    table: DataFrame, n_features: int, base: float, pending: list[Tree], tree: Tree | None, nodes: list[int],
-) -> tuple[np.ndarray, float, int]:
+
+def _level_sums(state: RDD, n_features: int, tree: Tree | None, nodes: list[int]) -> tuple[np.ndarray, float, int]:
     """Gradient, hessian and rows of each (node, feature, bin), and the loss and number of the held-out rows."""
     _, reach = _walkers()
-    applied, grown, slots = [_plain(t) for t in pending], _plain(tree) if tree else None, {n: i for i, n in enumerate(nodes)}
+    grown, slots = _plain(tree) if tree else None, {n: i for i, n in enumerate(nodes)}
     one, width = float(1 << FRACTION_BITS), BINS + 1
-    size = len(nodes) * n_features * width
-    cells = size + 1  # the last one is for the held-out rows
+    shape = (3, len(nodes), n_features, width)
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((3, cells), np.int64)
+    def summed(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        totals, loss_sum, held_rows = np.zeros(shape, np.int64), 0, 0
         slot_of = np.full(1 << 16, -1, np.int64)
         for n, i in slots.items():
             slot_of[n] = i
-        for batch in batches:
-            raw_bins = batch.column(0)
-            bins = np.frombuffer(b"".join(raw_bins.to_pylist()), np.uint8).reshape(len(raw_bins), n_features)
-            label, held, raw = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            held = held.astype(bool)
-            score = raw + base
-            for t in applied:
-                score = score + t["value"][reach(bins, t)]
-            if grown is None and held.any():
-                loss = np.logaddexp(0.0, score[held]) - label[held] * score[held]
-                totals[0, -1] += int(np.rint(loss * one).sum())
-                totals[2, -1] += int(held.sum())
-            slot = np.zeros(len(bins), np.int64) if grown is None else slot_of[reach(bins, grown)]
-            own = ~held & (slot >= 0)
-            if not own.any():
+        for own, bins, label, score in blocks:
+            if grown is None and own < len(label):
+                loss = np.logaddexp(0.0, score[own:]) - label[own:] * score[own:]
+                loss_sum += int(np.rint(loss * one).sum())
+                held_rows += len(loss)
+            bins, label, score = bins[:own], label[:own], score[:own]
+            slot = np.zeros(own, np.int64)
+            if grown is not None:
+                slot = slot_of[reach(bins, grown)]
+                inside = slot >= 0
+                bins, label, score, slot = bins[inside], label[inside], score[inside], slot[inside]
+            if not len(label):
                 continue
-            p = 1.0 / (1.0 + np.exp(-score[own]))
-            numbers = (np.rint((p - label[own]) * one), np.rint(p * (1 - p) * one), None)
-            bins, slot = bins[own], slot[own] * n_features
+            p = 1.0 / (1.0 + np.exp(-score))
+            numbers = (np.rint((p - label) * one), np.rint(p * (1 - p) * one), None)
+            slot = slot * width
             for f in range(n_features):
-                cell = (slot + f) * width + bins[:, f]
+                cell = slot + bins[:, f]
                 for k, weights in enumerate(numbers):
-                    totals[k, :size] += np.bincount(cell, weights, minlength=size).astype(np.int64)
-        held_cells = np.flatnonzero(totals[2])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(held_cells), *[pa.array(totals[k, held_cells]) for k in range(3)]], names=["cell", "g", "h", "n"])
+                    found = np.bincount(cell, weights, minlength=len(slots) * width)
+                    totals[k, :, f] += found.astype(np.int64).reshape(-1, width)
+        yield totals, loss_sum, held_rows
 
-    found = table.mapInArrow(summed, "cell long, g long, h long, n long").groupBy("cell").agg(
-        *[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
-    totals = np.zeros((3, cells), np.int64)
-    at = found.column("cell").to_numpy()
-    for k, c in enumerate(("g", "h", "n")):
-        totals[k, at] = found.column(c).to_numpy()
-    return totals[:, :size].reshape(3, len(nodes), n_features, width), totals[0, -1] / one, int(totals[2, -1])
+    def added(a: tuple, b: tuple) -> tuple:
+        return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+
+    parts = state.mapPartitions(summed)
+    # A few tasks send their sums to the driver, many add them up among themselves first.
+    few = state.getNumPartitions() <= SENDING_TASKS
+    totals, loss, held = parts.reduce(added) if few else parts.treeReduce(added)
+    return totals, loss / one, held
 
 
 def best_splits(sums: np.ndarray, least_rows: int) -> list[tuple | None]:
@@ -229,7 +252,7 @@ def best_splits(sums: np.ndarray, least_rows: int) -> list[tuple | None]:
     return out
 
 
-def _grow(table, n_features, base, pending, first, depth, most_leaves, least_rows, rate) -> Tree | None:
+def _grow(state, n_features, first, depth, most_leaves, least_rows, rate) -> Tree | None:
     """One tree from the sums of its root; None if the root cannot be split."""
     size, one = 2 ** (depth + 1) - 1, float(1 << FRACTION_BITS)
     tree = Tree(np.full(size, -1), np.zeros(size, int), np.zeros(size, bool), np.zeros(size))
@@ -247,7 +270,7 @@ def _grow(table, n_features, base, pending, first, depth, most_leaves, least_row
         if not chosen or level == depth - 1:
             break
         smaller = [min((2 * n + 1, 2 * n + 2), key=lambda c: (totals[c][2], c)) for n in chosen]
-        found, _, _ = _level_sums(table, n_features, base, pending, tree, smaller)
+        found, _, _ = _level_sums(state, n_features, tree, smaller)
         below = {}
         for i, (n, child) in enumerate(zip(chosen, smaller)):
             other = 4 * n + 3 - child  # the children's numbers add up to this
@@ -268,42 +291,46 @@ def fit_boosted(
     """Boosted trees of ``rows``; those marked by ``held_out`` only tell when to stop."""
     cuts = cut_points(rows, features)
     table = settled(_binned(rows, features, cuts, label, held_out))
-    counted = table.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("held_out")).alias("own"),
-        F.sum(F.when(~F.col("held_out"), F.col("label"))).alias("events")).first()
-    if not counted.own:
+    # One row for each block.
+    found = table.mapInArrow(_block_counts(), "n long, own long, events double").agg(
+        *[F.sum(c).alias(c) for c in ("n", "own", "events")]).first()
+    if not found.own:
         raise ValueError("no rows to learn from")
-    table = table.coalesce(max(1, -(-counted.n // PART_ROWS)))
-    share = min(max(counted.events / counted.own, 1e-9), 1 - 1e-9)
-    base, trees, losses, pending = float(np.log(share / (1 - share))), [], [], []
+    context = rows.sparkSession.sparkContext
+    parts = max(1, min(context.defaultParallelism, -(-found.n // PART_ROWS)))
+    share = min(max(found.events / found.own, 1e-9), 1 - 1e-9)
+    base, trees, losses = float(np.log(share / (1 - share))), [], []
+    state, before = _first_state(table, parts, len(features), base).persist(StorageLevel.MEMORY_AND_DISK), None
     while True:
-        first, loss, held = _level_sums(table, len(features), base, pending, None, [0])
+        # The scores of the last tree are kept by the same job that sums the next one's root.
+        first, loss, held = _level_sums(state, len(features), None, [0])
+        if before is not None:
+            before.unpersist()
         if held:
             losses.append(loss / held)
         stale = len(losses) > patience and min(losses[-patience:]) > losses[-patience - 1] - TOLERANCE
         if stale or len(trees) == max_iter:
             break
-        tree = _grow(table, len(features), base, pending, first[:, 0], depth, most_leaves, least_rows, rate)
+        tree = _grow(state, len(features), first[:, 0], depth, most_leaves, least_rows, rate)
         if tree is None:
             break
         trees.append(tree)
-        pending.append(tree)
-        if len(pending) == WRITTEN_TREES:
-            table, pending = settled(_applied(table, pending, len(features))), []
+        before, state = state, _scored(state, tree).persist(StorageLevel.MEMORY_AND_DISK)
+        if len(trees) % WRITTEN_TREES == 0:
+            state.checkpoint()
+    state.unpersist()
     return Boosted(list(features), cuts, base, trees, losses)
 
 
-def _applied(table: DataFrame, pending: list[Tree], n_features: int) -> DataFrame:
-    """The table with the trees' values added to the raw scores."""
-    _, reach = _walkers()
-    trees = [_plain(t) for t in pending]
+def _block_counts():
+    """Rows, rows to learn from and events among these, of each block."""
 
-    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, n_features)
-            raw = batch.column(3).to_numpy()
-            for t in trees:
-                raw = raw + t["value"][reach(bins, t)]
-            yield batch.set_column(3, "raw", pa.array(raw))
+            own = batch.column(0).to_pylist()
+            labels = [np.frombuffer(v) for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(v) for v in labels], pa.int64()), pa.array(own, pa.int64()),
+                 pa.array([float(v[:k].sum()) for v, k in zip(labels, own)], pa.float64())], names=["n", "own", "events"])
 
-    return table.mapInArrow(applied, "bins binary, label double, held_out boolean, raw double")
+    return counted
