@@ -256,14 +256,15 @@ def pair_distances(shares: DataFrame, sources: DataFrame) -> DataFrame:
     entries = shares.select("lang", "term", "place", "p", F.pmod(F.xxhash64("term"), slices).alias("slice"), "sources").select(
         "lang", "term", "place", "p", "slice", blocks.alias("block"))
     # Slice 0 is there even without terms; the terms that no source of the block has are known from those of the slice.
-    cut = sources.select("lang", "source", "place", "p0", "sources",
+    # A name of its own: Spark prunes the second side's column where both sides have it from one lineage.
+    cut = sources.select("lang", "source", F.col("place").alias("position"), "p0", "sources",
                          F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)).alias("slice"))
-    cut = cut.select("lang", "source", "place", "p0", "slice", blocks.alias("block"))
+    cut = cut.select("lang", "source", "position", "p0", "slice", blocks.alias("block"))
     keys = ["lang", "slice", "block"]
 
     def compared(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         lang, block = key[0], int(key[2])
-        right = right.sort_values("place")
+        right = right.sort_values("position")
         names = right["source"].tolist()
         sums = np.zeros((min(SOURCE_BLOCK, len(names) - block * SOURCE_BLOCK), len(names)), np.int64)
         own = range(block * SOURCE_BLOCK, block * SOURCE_BLOCK + len(sums))
