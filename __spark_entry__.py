@@ -81,8 +81,14 @@ def _once(spark: SparkSession, table: str, build) -> DataFrame:
     return spark.table(table)
 
 
+def _buckets(spark, folder):
+    """Buckets of the tables made from the order lines: as many as keep the rows behind one of them bounded."""
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()  # from the files' footers
+    return tables.bucket_count(spark, lines)
+
+
 def _snapshot(spark, folder):
-    table, buckets = _name(spark, folder, "supply_snapshot"), spark.sparkContext.defaultParallelism
+    table, buckets = _name(spark, folder, "supply_snapshot"), _buckets(spark, folder)
     return _once(
         spark, table,
         lambda: mart.supply_snapshot(
@@ -106,7 +112,7 @@ def _state(spark, folder):
     return _once(
         spark, table,
         lambda: portfolio.portfolio_snapshot(
-            portfolio.modality_portfolio_state(_snapshot(spark, folder)), table
+            portfolio.modality_portfolio_state(_snapshot(spark, folder)), table, _buckets(spark, folder)
         ),
     )
 
@@ -162,19 +168,9 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 10) -> DataFrame:
 # --- Editions as files --------------------------------------------------------------
 
 
-def _raw_by_year(spark, folder):
-    """The raw table split by year in a single scan."""
-    table = _name(spark, folder, "raw_by_year")
-    return _once(
-        spark, table,
-        lambda: tables.materialize(_raw(spark, folder), table, partition="nu_ano_censo"),
-    )
-
-
 def _edition_source(spark, folder, year):
-    """One edition's rows."""
-    raw = _raw_by_year(spark, folder)
-    return census.as_edition(raw.where(F.col("nu_ano_censo") == str(year)), year)
+    """One edition's rows, chosen by the year before any text is made."""
+    return census.as_edition(_raw(spark, folder).where(F.col("nu_ano_censo") == str(year)), year)
 
 
 def _edition(spark, folder, year):
@@ -187,10 +183,16 @@ def _edition(spark, folder, year):
     return path, editions.read_edition(spark, path)
 
 
+_YEARS: dict[str, list[int]] = {}
+
+
 def _years(spark, folder):
-    """The years that the raw table holds, which are its partitions."""
-    years = _raw_by_year(spark, folder).select("nu_ano_censo").distinct().collect()
-    return sorted(int(r.nu_ano_censo) for r in years)
+    """The years that the raw table holds, from one column of it."""
+    name = _name(spark, folder, "years")
+    if name not in _YEARS:
+        years = _raw(spark, folder).select("nu_ano_censo").distinct().collect()
+        _YEARS[name] = sorted(int(r.nu_ano_censo) for r in years)
+    return _YEARS[name]
 
 
 def _editions(spark, folder):
@@ -201,11 +203,12 @@ def _layouts(spark, folder):
     """Layout rows from the headers of the edition files, with their row counts."""
     paths = [_edition(spark, folder, year)[0] for year in _years(spark, folder)]
     name = F.element_at(F.split("path", "/"), -1)
-    return editions.profile_files(spark, paths).select(
+    # A row for each file, kept: what is built on it names it several times.
+    return tables.settled(editions.profile_files(spark, paths).select(
         editions.edition_year(name).alias("year"),
         editions.edition_kind(name).alias("kind"),
         "data_row_count", "column_count", "columns",
-    )
+    ))
 
 
 def _layout_rows(spark, folder):
@@ -363,9 +366,10 @@ def control_match(spark, folder):
 
 def snapshot_fingerprint(spark, folder):
     """The snapshot reloaded a second time against the mart it came from."""
-    supply = _supply(spark, folder)
+    # Written, so that both reloads and the comparison read one computation of the mart.
+    supply = tables.written(_supply(spark, folder), _name(spark, folder, "supply_source"))
     table = _name(spark, folder, "supply_reloaded")
-    mart.supply_snapshot(supply, table)
+    mart.supply_snapshot(supply, table, _buckets(spark, folder))
     again = mart.supply_snapshot(supply, table)
     columns = sorted(supply.columns)
     return comparison.compare_fingerprints(
@@ -780,8 +784,7 @@ def spoilt_mart_checks(spark, folder):
 
 
 def persistence_checks(spark, folder):
-    # The edition's own partition, not a filter on a cast over all editions.
-    edition = _raw_by_year(spark, folder).where(F.col("nu_ano_censo") == str(LAST))
+    edition = _raw(spark, folder).where(F.col("nu_ano_censo") == str(LAST))
     newest = staging.stage_courses(edition, single_edition=True)
     return checks.persistence_checks(
         mart.offer_years(_courses(spark, folder)), _snapshot(spark, folder), mart.course_supply(newest),

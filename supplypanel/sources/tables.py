@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Source rows behind one bucket of a table: what its tasks sort stays at some hundred megabytes.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_count(spark: SparkSession, source_rows: int) -> int:
+    """Buckets of a table made from so many rows: the session's parallelism, or more where a bucket would grow with the data."""
+    return max(spark.sparkContext.defaultParallelism, -(-source_rows // BUCKET_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

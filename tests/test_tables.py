@@ -1,12 +1,15 @@
 """Reloads of editions, manifests of key ranges, file profiles and guards inside jobs."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from supplypanel.operators import ranges
 from supplypanel.plans import mart
-from supplypanel.sources import editions, versions
+from supplypanel.sources import editions, tables, versions
 
 
 def rows_of(spark, years=(2019, 2020, 2021), extra=0):
@@ -205,3 +208,47 @@ def test_a_spoilt_raw_mart_fails_with_its_key(spark):
         mart.mvp_course_mart(text).collect()
     assert mart.mvp_course_mart(text, unique=False).count() == 2
     assert mart.mvp_course_mart(text.where("tp_dimensao = '3'")).count() == 1
+
+
+@pytest.fixture
+def order_lines(spark, tmp_path):
+    """A folder with order lines of its own: 60 in each of two years."""
+    rows = [(i, i, i % 5, 1, 10.0 + i % 7, 30000.0, 0.05, 0.01, "N", "F", datetime(1995 + i % 2, 3, 1)) for i in range(120)]
+    spark.createDataFrame(
+        rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+        "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_editions_come_from_the_source_without_a_sorted_copy(spark, order_lines):
+    tables_before = {t.name for t in spark.catalog.listTables()}
+    assert entry._years(spark, order_lines) == [1995, 1996]
+    edition = entry._edition_source(spark, order_lines, 1996)
+    plan = edition._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and all("lineitem.parquet" in f for f in edition.inputFiles())
+    profile = entry.edition_file_profile(spark, order_lines).collect()
+    assert sorted((r.year, r.data_row_count, r.column_count) for r in profile) == [(1995, 60, 22), (1996, 60, 23)]
+    assert {t.name for t in spark.catalog.listTables()} == tables_before
+
+
+def test_buckets_grow_with_the_source(spark, order_lines, monkeypatch):
+    monkeypatch.setattr(tables, "BUCKET_ROWS", 5)
+    state = entry._state(spark, order_lines)
+    for table in (entry._name(spark, order_lines, "portfolio_snapshot"),
+                  versions._current(spark, entry._name(spark, order_lines, "supply_snapshot"))):
+        found = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+        assert int(found.data_type) == 120 // 5 > spark.sparkContext.defaultParallelism
+    assert state.agg(F.sum("presencial_offers")).first()[0] == entry._snapshot(spark, order_lines).count() > 0
+
+
+def test_a_reload_reads_one_computation_of_the_mart(spark, order_lines, monkeypatch):
+    read, plain = [], mart.supply_snapshot
+
+    def watched(supply, *more):
+        read.extend(supply.inputFiles())
+        return plain(supply, *more)
+
+    monkeypatch.setattr(entry.mart, "supply_snapshot", watched)
+    assert entry.snapshot_fingerprint(spark, order_lines).count() == 1
+    assert read and not any("lineitem.parquet" in f for f in read)
