@@ -40,7 +40,8 @@ PLACE_BITS = 26
 def repeated_words(words: Column) -> Column:
     """How many words stand in a three-word window that the text holds twice or more.
 
-    Each window is one long, some of its hash's bits above its place, and the longs
+    Most texts hold no window twice, which the windows' hashes tell. For the others each
+    window is one long, some of its hash's bits above its place, and the longs
     are sorted. Only windows beside another of the same bits can be repeated; those
     are sorted by their words, so equal ones are neighbours whatever else shares the
     bits. Texts with more words than there are places sort all windows so. Each
@@ -48,15 +49,18 @@ def repeated_words(words: Column) -> Column:
     """
     places = F.lit((1 << PLACE_BITS) - 1).cast("long")
 
-    def marked(w: Column) -> Column:
+    def hashes(w: Column) -> Column:
         every = F.sequence(F.lit(0), F.size(w) - 3)
+        return F.transform(every, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-        def key(i: Column) -> Column:
-            windowed = F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-            return F.shiftleft(windowed, PLACE_BITS).bitwiseOR(i.cast("long"))
+    def marked(w: Column, hashed: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(w) - 3)
+
+        def key(x: Column, i: Column) -> Column:
+            return F.shiftleft(x, PLACE_BITS).bitwiseOR(i.cast("long"))
 
-        def alike(x: Column, y: Column) -> Column:
-            return F.coalesce(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.lit(False))
+        def alike(x: Column, y: Column) -> Column:  # null beside an end, which is no match
+            return F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0
 
         def window(i: Column) -> Column:
             a, b, c = (F.get(w, i + k) for k in range(3))
@@ -65,8 +69,8 @@ def repeated_words(words: Column) -> Column:
         def same(x: Column, y: Column) -> Column:
             return F.coalesce((x.a == y.a) & (x.b == y.b) & (x.c == y.c), F.lit(False))
 
-        beside = let(F.sort_array(F.transform(every, key)), lambda s: F.transform(
-            F.filter(s, lambda x, i: alike(x, F.get(s, i - 1)) | alike(x, F.get(s, i + 1))),
+        beside = let(F.sort_array(F.transform(hashed, key)), lambda s: F.transform(
+            F.filter(s, lambda x, i: F.coalesce(alike(x, F.get(s, i - 1)) | alike(x, F.get(s, i + 1)), F.lit(False))),
             lambda x: x.bitwiseAND(places).cast("int")))
         likely = F.when(F.size(w) <= 1 << PLACE_BITS, beside).otherwise(every)
         repeated = let(F.sort_array(F.transform(likely, window)), lambda s: F.filter(
@@ -78,7 +82,9 @@ def repeated_words(words: Column) -> Column:
             F.lit(0).cast("long"), lambda total, x: total + x,
         ))
 
-    return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(marked(w)))
+    none = F.lit(0).cast("long")
+    return let(words, lambda w: F.when(F.size(w) < 4, none).otherwise(let(hashes(w), lambda hashed: F.when(
+        F.size(F.array_distinct(hashed)) == F.size(hashed), none).otherwise(marked(w, hashed)))))
 
 
 def base_counts(words: Column, text: Column) -> dict[str, Column]:
@@ -129,7 +135,8 @@ def distinct_texts(docs: DataFrame, trusted: DataFrame, cells: int = TEXT_CELLS)
     placed = flagged.withColumn("_cell", cell(F.xxhash64("_body")))
     alone = placed.join(shared, "_cell", "left_anti").select("_body", "_trusted")
     grouped = placed.join(shared, "_cell", "left_semi").groupBy("_body").agg(F.max("_trusted").alias("_trusted"))
-    return alone.unionByName(grouped).select(words_of(F.col("_body")).alias("words"), "_trusted")
+    words = F.array_remove(F.split("_body", " "), "")  # one space stands between words, and no other blank is left
+    return alone.unionByName(grouped).select(words.alias("words"), "_trusted")
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
