@@ -522,18 +522,19 @@ def test_boosting_stops_when_held_out_rows_gain_nothing(spark):
         boosting.fit_boosted(df, F.col("deteriorated").cast("int"), F.lit(True))
 
 
-def test_boosting_runs_one_job_a_level(spark):
+def test_boosting_runs_one_job_a_level(spark, monkeypatch):
     """Levels neither plan nor shuffle, the scores of a tree come with the next one's root, and kept blocks are let go."""
+    monkeypatch.setattr(boosting, "PART_ROWS", 500)  # several tasks
     rows = spark.range(3000).selectExpr(
         "cast(id % 97 as double) a", "cast(id % 11 as double) b", "id % 97 > 40 or id % 11 = 3 as deteriorated", "id % 7 = 0 as held")
     context, before = spark.sparkContext, len(spark.sparkContext._jsc.getPersistentRDDs())
 
     def jobs(trees):
-        context.setJobGroup(f"boosting {trees}", "")
+        scheduler = context._jsc.sc().dagScheduler()
+        first = scheduler.numTotalJobs()
         model = boosting.fit_boosted(rows, F.col("deteriorated").cast("int"), F.col("held"), ["a", "b"], max_iter=trees, depth=2)
-        context.setLocalProperty("spark.jobGroup.id", None)
         assert len(model.trees) == trees
-        return len(context.statusTracker().getJobIdsForGroup(f"boosting {trees}"))
+        return scheduler.numTotalJobs() - first
 
     assert jobs(9) - jobs(2) == 7 * 2
     assert len(context._jsc.getPersistentRDDs()) == before
