@@ -5,7 +5,7 @@ one more, and each split learns to which side they go. A tree grows level by
 level. For a level, a task sums gradient, hessian and rows by (node, feature, bin)
 over its rows, the tasks' sums are added up, and the driver, which gets at most
 16 × features × 256 cells a task, chooses the splits. Only the smaller child of a split is
-summed; the other one is the parent less that. Rows are blocks of arrays in an RDD:
+summed; the other one is the parent less that. Rows are blocks of arrays, a line for each feature, in an RDD:
 a level is one short job without a plan or a shuffle, and the scores after a tree are
 kept by the job that sums the next tree's root, so no tree is applied twice.
 
@@ -40,6 +40,9 @@ PATIENCE, TOLERANCE = 10, 1e-7
 WRITTEN_TREES = 25
 #: Rows that are worth a task of their own, and tasks of which the driver adds the sums up itself.
 PART_ROWS, SENDING_TASKS = 20_000, 16
+#: Rows of a block at most: a hessian is no more than 2²² of its units, so a block's sum of them stays below
+#: ``COUNT_BITS`` bits, and one sum of doubles holds it and the count above it without rounding.
+BLOCK_ROWS, COUNT_BITS = 1 << 14, 37
 
 
 @dataclass(frozen=True)
@@ -70,7 +73,7 @@ class Boosted:
         @F.pandas_udf("double")
         def raw(*columns: pd.Series) -> pd.Series:
             bins = locate([c.to_numpy(float, na_value=np.nan) for c in columns], cuts)
-            total = np.full(len(bins), base)
+            total = np.full(bins.shape[1], base)
             for tree in trees:
                 total += tree["value"][reach(bins, tree)]
             return pd.Series(total)
@@ -88,21 +91,21 @@ def _walkers():
     missing = MISSING
 
     def locate(columns: list[np.ndarray], cuts: list[np.ndarray]) -> np.ndarray:
-        """The bin of each value: how many cut points lie below it."""
-        out = np.empty((len(columns[0]), len(columns)), np.uint8)
+        """The bin of each value, a line for each feature: how many cut points lie below it."""
+        out = np.empty((len(columns), len(columns[0])), np.uint8)
         for f, (values, edges) in enumerate(zip(columns, cuts)):
-            out[:, f] = np.where(np.isnan(values), missing, np.searchsorted(edges, values))
+            out[f] = np.where(np.isnan(values), missing, np.searchsorted(edges, values))
         return out
 
     def reach(bins: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
         """The node that each row comes to."""
-        rows, node = np.arange(len(bins)), np.zeros(len(bins), np.int64)
+        rows, node = np.arange(bins.shape[1]), np.zeros(bins.shape[1], np.int64)
         while True:
             feature = tree["feature"][node]
             open_ = feature >= 0
             if not open_.any():
                 return node
-            at = bins[rows, np.maximum(feature, 0)]
+            at = bins[np.maximum(feature, 0), rows]
             left = np.where(at == missing, tree["missing_left"][node], at <= tree["cut"][node])
             node = np.where(open_, 2 * node + 2 - left, node)
 
@@ -130,19 +133,22 @@ def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
 
 
 def _binned(rows: DataFrame, features: list[str], cuts: list[np.ndarray], label: Column, held_out: Column) -> DataFrame:
-    """A row for each block of rows, those to learn from first: how many these are, bins (a byte for each feature) and label of all."""
+    """A row for each block of rows, those to learn from first: how many these are, bins (a byte for each feature, feature by feature) and label of all."""
     locate, _ = _walkers()
+    block_rows = BLOCK_ROWS
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(features))]
             label, held = (batch.column(len(features) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
             held = np.array(held, bool)
-            if len(held):
-                order = np.argsort(held, kind="stable")
+            for start in range(0, len(held), block_rows):
+                part = slice(start, start + block_rows)
+                order = np.argsort(held[part], kind="stable")
+                bins = locate([c[part] for c in columns], cuts)[:, order]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([int((~held).sum())]), pa.array([locate(columns, cuts)[order].tobytes()], pa.binary()),
-                     pa.array([label[order].astype(float).tobytes()], pa.binary())], names=["own", "bins", "label"])
+                    [pa.array([int((~held[part]).sum())]), pa.array([bins.tobytes()], pa.binary()),
+                     pa.array([label[part][order].astype(float).tobytes()], pa.binary())], names=["own", "bins", "label"])
 
     values = [F.col(c).cast("double").alias(c) for c in features]
     return rows.select(*values, label.cast("double").alias("_label"), held_out.alias("_held_out")).mapInArrow(
@@ -154,7 +160,7 @@ def _first_state(table: DataFrame, parts: int, n_features: int, base: float) ->
 
     def opened(row) -> tuple:
         label = np.frombuffer(row.label)
-        bins = np.frombuffer(row.bins, np.uint8).reshape(-1, n_features)
+        bins = np.frombuffer(row.bins, np.uint8).reshape(n_features, -1)
         return int(row.own), bins, label, np.full(len(label), base)
 
     return table.rdd.coalesce(parts).map(opened)
@@ -172,15 +178,25 @@ def _scored(state: RDD, tree: Tree) -> RDD:
     return state.map(scored)
 
 
+def _narrow():
+    """What makes a task's sums small to send, as a closure: whole numbers in the fewest bytes that hold them all."""
+
+    def narrow(numbers: np.ndarray) -> np.ndarray:
+        most = int(np.abs(numbers).max(initial=0))
+        return numbers.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
+
+    return narrow
+
+
 def _level_sums(state: RDD, n_features: int, tree: Tree | None, nodes: list[int]) -> tuple[np.ndarray, float, int]:
     """Gradient, hessian and rows of each (node, feature, bin), and the loss and number of the held-out rows."""
     _, reach = _walkers()
     grown, slots = _plain(tree) if tree else None, {n: i for i, n in enumerate(nodes)}
-    one, width = float(1 << FRACTION_BITS), BINS + 1
-    shape = (3, len(nodes), n_features, width)
+    one, width, count_bits = float(1 << FRACTION_BITS), BINS + 1, COUNT_BITS
+    cells, narrow = len(nodes) * width, _narrow()
 
     def summed(blocks: Iterator[tuple]) -> Iterator[tuple]:
-        totals, loss_sum, held_rows = np.zeros(shape, np.int64), 0, 0
+        totals, loss_sum, held_rows = np.zeros((3, n_features, cells), np.int64), 0, 0
         slot_of = np.full(1 << 16, -1, np.int64)
         for n, i in slots.items():
             slot_of[n] = i
@@ -189,32 +205,37 @@ def _level_sums(state: RDD, n_features: int, tree: Tree | None, nodes: list[int]
                 loss = np.logaddexp(0.0, score[own:]) - label[own:] * score[own:]
                 loss_sum += int(np.rint(loss * one).sum())
                 held_rows += len(loss)
-            bins, label, score = bins[:own], label[:own], score[:own]
+            bins, label, score = bins[:, :own], label[:own], score[:own]
             slot = np.zeros(own, np.int64)
             if grown is not None:
                 slot = slot_of[reach(bins, grown)]
                 inside = slot >= 0
-                bins, label, score, slot = bins[inside], label[inside], score[inside], slot[inside]
+                bins, label, score, slot = bins[:, inside], label[inside], score[inside], slot[inside]
             if not len(label):
                 continue
             p = 1.0 / (1.0 + np.exp(-score))
-            numbers = (np.rint((p - label) * one), np.rint(p * (1 - p) * one), None)
-            slot = slot * width
+            gradient = np.rint((p - label) * one)
+            counted = np.rint(p * (1 - p) * one) + float(1 << count_bits)  # the hessian, and a one above it
+            slot, found = slot * width, np.empty((2, n_features, cells))
             for f in range(n_features):
-                cell = slot + bins[:, f]
-                for k, weights in enumerate(numbers):
-                    found = np.bincount(cell, weights, minlength=len(slots) * width)
-                    totals[k, :, f] += found.astype(np.int64).reshape(-1, width)
-        yield totals, loss_sum, held_rows
+                cell = slot + bins[f]
+                found[0, f] = np.bincount(cell, gradient, minlength=cells)
+                found[1, f] = np.bincount(cell, counted, minlength=cells)
+            found = found.astype(np.int64)
+            totals[0] += found[0]
+            totals[1] += found[1] & ((1 << count_bits) - 1)
+            totals[2] += found[1] >> count_bits
+        yield [narrow(t) for t in totals], loss_sum, held_rows
 
     def added(a: tuple, b: tuple) -> tuple:
-        return a[0] + b[0], a[1] + b[1], a[2] + b[2]
+        return [np.add(x, y, dtype=np.int64) for x, y in zip(a[0], b[0])], a[1] + b[1], a[2] + b[2]
 
     parts = state.mapPartitions(summed)
     # A few tasks send their sums to the driver, many add them up among themselves first.
     few = state.getNumPartitions() <= SENDING_TASKS
     totals, loss, held = parts.reduce(added) if few else parts.treeReduce(added)
-    return totals, loss / one, held
+    totals = np.stack(totals).astype(np.int64).reshape(3, n_features, len(nodes), width)
+    return totals.transpose(0, 2, 1, 3), loss / one, held
 
 
 def best_splits(sums: np.ndarray, least_rows: int) -> list[tuple | None]:
@@ -225,19 +246,24 @@ def best_splits(sums: np.ndarray, least_rows: int) -> list[tuple | None]:
     """
     one = float(1 << FRACTION_BITS)
     known, gone = np.cumsum(sums[..., :BINS], axis=-1)[..., :-1], sums[..., BINS:]
-    left = np.stack([known, known + gone], axis=3)  # (3, nodes, features, missing side, cut)
-    whole = sums.sum(axis=-1)[..., None, None]
-    right = whole - left
+    whole = sums.sum(axis=-1)[..., None]
 
     def value(part: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return (part[0] / one) ** 2 / (part[1] / one)
+        return (part[0] / one) ** 2 / (part[1] / one)
 
-    gain = value(left) + value(right) - value(np.broadcast_to(whole, left.shape))
-    allowed = (left[2] >= least_rows) & (right[2] >= least_rows)
-    allowed &= (left[1] >= LEAST_HESSIAN * one) & (right[1] >= LEAST_HESSIAN * one)
-    allowed[:, :, 1, :] &= gone[2] > 0  # without missing values the two sides are one split
-    gain = np.where(allowed & (gain > 1e-9), gain, -np.inf)
+    def gains(left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        right = whole - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = value(left) + value(right) - value(whole)
+        allowed = (left[2] >= least_rows) & (right[2] >= least_rows)
+        allowed &= (left[1] >= LEAST_HESSIAN * one) & (right[1] >= LEAST_HESSIAN * one)
+        return np.where(allowed & (gain > 1e-9), gain, -np.inf)
+
+    # (nodes, features, missing side, cut); without missing values the two sides are one split.
+    gain = np.full((*known.shape[1:3], 2, known.shape[3]), -np.inf)
+    gain[:, :, 0] = gains(known, whole)
+    node, feature = np.nonzero(gone[2, ..., 0])
+    gain[node, feature, 1] = gains(known[:, node, feature] + gone[:, node, feature], whole[:, node, feature])
     out: list[tuple | None] = []
     for node in range(gain.shape[0]):
         flat = int(np.argmax(gain[node]))
@@ -245,9 +271,9 @@ def best_splits(sums: np.ndarray, least_rows: int) -> list[tuple | None]:
         if gain[node, feature, side, cut] == -np.inf:
             out.append(None)
             continue
-        part = left[:, node, feature, side, cut]
+        part = known[:, node, feature, cut] + side * gone[:, node, feature, 0]
         if gone[2, node, feature, 0] == 0:  # rows with a missing value that come later go to the larger side
-            side = int(part[2] > right[2, node, feature, side, cut])
+            side = int(part[2] > whole[2, node, feature, 0] - part[2])
         out.append((float(gain[node].max()), int(feature), int(cut), bool(side), part))
     return out
 

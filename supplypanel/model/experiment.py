@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supplypanel.functions.columns import safe_ratio
@@ -35,6 +38,13 @@ def _kept(scored: DataFrame) -> DataFrame:
     return settled(scored.select(*ROW_KEYS, "score", "label"))
 
 
+def _together(spark: SparkSession, *tasks: Callable) -> list:
+    """What the tasks return, in their order; their Spark jobs run at the same time. An error is that of the first task that fails."""
+    with ThreadPoolExecutor(len(tasks)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(task)) for task in tasks]
+        return [r.result() for r in running]
+
+
 def calibrated_pair(train: DataFrame, calibration_year: int):
     """Base model fitted before the calibration year, and its calibrated form.
 
@@ -58,34 +68,52 @@ def run_experiment(
     """Fits on the training years, evaluates on the test years.
 
     Returns the report's sections, each a DataFrame. ``training`` is read by
-    every fit, so hand in a written or persisted table.
+    every fit, so hand in a written or persisted table. The fits do not depend on
+    each other: their jobs run side by side, and each model is evaluated when it is fitted.
     """
+    spark = training.sparkSession
     train, test = chronological_split(training)
-    reference = fit_reference_model(train)
-    comparison = fit_comparison_model(train, max_iter=boosting_iterations)
-    scored = {
-        (name, split): _kept(model.score(rows))
-        for name, model in ((REFERENCE, reference), (COMPARISON, comparison))
-        for split, rows in ((TRAIN, train), (TEST, test))
-    }
+
+    def reported(rows: DataFrame, name: str, split: str) -> dict[str, DataFrame]:
+        found = {"evaluations": evaluate(rows, name, split), "precision_at_k": precision_at_k(rows, name, split)}
+        if split == TEST and name != SCALE_ONLY:
+            found["calibration"] = calibration_table(rows)
+        return found
+
+    def both_splits(model, name: str) -> list[dict]:
+        return _together(spark, *[
+            lambda rows=rows, split=split: reported(_kept(model.score(rows)), name, split)
+            for split, rows in ((TRAIN, train), (TEST, test))
+        ])
+
+    def of_reference() -> tuple:
+        model = fit_reference_model(train)
+        return (model.coefficient_table(spark), highest_risk(model, test)), both_splits(model, REFERENCE)
+
+    def of_comparison() -> list[dict]:
+        return both_splits(fit_comparison_model(train, max_iter=boosting_iterations), COMPARISON)
+
+    def of_pair() -> list[dict]:
+        pair = calibrated_pair(train, calibration_year)
+        return [
+            reported(_kept(model.score(test)), name, TEST) for name, model in zip((SHORT_FIT, CALIBRATED), pair or ())
+        ]
+
+    (read, reference), comparison, pair, scale, stability = _together(
+        spark, of_reference, of_comparison, of_pair, lambda: reported(scale_scores(test), SCALE_ONLY, TEST),
+        lambda: rolling_stability(training, window, top_k),
+    )
     sections = {
-        "reference_coefficients": reference.coefficient_table(training.sparkSession),
-        "reference_calibration": calibration_table(scored[REFERENCE, TEST]),
-        "comparison_calibration": calibration_table(scored[COMPARISON, TEST]),
-        "highest_risk_explanations": highest_risk(reference, test),
+        "reference_coefficients": read[0],
+        "reference_calibration": reference[1]["calibration"],
+        "comparison_calibration": comparison[1]["calibration"],
+        "highest_risk_explanations": read[1],
     }
-    pair = calibrated_pair(train, calibration_year)
-    if pair:
-        for name, model in zip((SHORT_FIT, CALIBRATED), pair):
-            scored[name, TEST] = _kept(model.score(test))
-        sections["base_calibration"] = calibration_table(scored[SHORT_FIT, TEST])
-        sections["calibrated_calibration"] = calibration_table(scored[CALIBRATED, TEST])
-    scored[SCALE_ONLY, TEST] = scale_scores(test)
-    parts = [(rows, name, split) for (name, split), rows in scored.items()]
-    sections["evaluations"] = union_all([evaluate(*part) for part in parts])
-    sections["precision_at_k"] = union_all([precision_at_k(*part) for part in parts])
-    sections.update(rolling_stability(training, window, top_k))
-    return sections
+    sections.update(zip(("base_calibration", "calibrated_calibration"), [p["calibration"] for p in pair]))
+    reports = [*reference, *comparison, *pair, scale]
+    for section in ("evaluations", "precision_at_k"):
+        sections[section] = union_all([r[section] for r in reports])
+    return sections | stability
 
 
 def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -> dict[str, DataFrame]:

@@ -1,5 +1,6 @@
 """Model steps against brute force on small frames."""
 
+import threading
 from fractions import Fraction
 
 import numpy as np
@@ -578,3 +579,48 @@ def test_experiment_sections(training):
         {n: sections[f"{n}_calibration"] for n in ("base", "calibrated")}
     )
     assert [r.model_name for r in gaps.collect()] == ["base", "calibrated"]
+
+
+def test_experiment_fits_run_side_by_side(training, monkeypatch):
+    """Boosting is held up until all other fits have begun; one after the other they never would."""
+    begun, boosted = {"reference": threading.Event(), "pair": threading.Event(), "windows": threading.Event()}, experiment.fit_comparison_model
+
+    def marked(fit, name):
+        def run(*arguments, **named):
+            begun[name].set()
+            return fit(*arguments, **named)
+
+        return run
+
+    def waiting(*arguments, **named):
+        assert all(event.wait(30) for event in begun.values()), "the fits run one after the other"
+        return boosted(*arguments, **named)
+
+    monkeypatch.setattr(experiment, "fit_reference_model", marked(experiment.fit_reference_model, "reference"))
+    monkeypatch.setattr(experiment, "calibrated_pair", marked(experiment.calibrated_pair, "pair"))
+    monkeypatch.setattr(experiment, "rolling_stability", marked(experiment.rolling_stability, "windows"))
+    monkeypatch.setattr(experiment, "fit_comparison_model", waiting)
+    sections = experiment.run_experiment(training, calibration_year=2020, window=1, top_k=10, boosting_iterations=1)
+    assert sections["evaluations"].count() == 7
+
+
+def test_level_sums_are_exact_and_narrow(spark):
+    """Full blocks whose gradients and hessians are as large as they come; what a task sends takes as few bytes as hold it."""
+    draw, n = np.random.default_rng(7), boosting.BLOCK_ROWS
+    blocks = []
+    for k in range(3):
+        bins = draw.integers(0, 256, (2, n)).astype(np.uint8)
+        bins[0] = 9  # all in one cell
+        blocks.append((n - k, bins, np.ones(n), np.zeros(n) if k else draw.normal(size=n)))
+    state = spark.sparkContext.parallelize(blocks, 2)
+    sums, _, held = boosting._level_sums(state, 2, None, [0])
+    one, want = 2.0**boosting.FRACTION_BITS, np.zeros((3, 1, 2, 256), np.int64)
+    for own, bins, label, score in blocks:
+        p = 1 / (1 + np.exp(-score[:own]))
+        for f in range(2):
+            for k, numbers in enumerate((np.rint((p - label[:own]) * one), np.rint(p * (1 - p) * one), np.ones(own))):
+                np.add.at(want[k, 0, f], bins[f, :own], numbers.astype(np.int64))
+    assert (sums == want).all() and held == 3
+    narrow = boosting._narrow()
+    for most, kind in ((2**15 - 1, np.int16), (2**15, np.int32), (2**31 - 1, np.int32), (2**31, np.int64)):
+        assert narrow(np.array([-most, 3])).dtype == kind and narrow(np.array([-most, 3])).tolist() == [-most, 3]
