@@ -1,12 +1,12 @@
-"""Token ids of whole texts, with each pre-token encoded once per Python worker.
+"""Token ids of whole texts, with each word and pre-token encoded once per Python worker.
 
 The tokenizer drops white space and never joins across it, so a text's ids are
-those of its words in order. Text of printable characters below U+0130 is cut into
-pre-tokens here and only pre-tokens not met before go to the model; a word with
+those of its words in order. In text of printable characters below U+0130 only words not met
+before are cut into pre-tokens, and of these only those not met before go to the model; a word with
 any other character goes through the whole tokenizer. Strings of special tokens in a text are
 ordinary text. Memory is bounded: the store has two generations; what is met again
 moves to the young one, and when that is full the old one is dropped. So frequent
-pre-tokens are never encoded twice, however many rare ones there are.
+words are never encoded twice, however many rare ones there are.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-#: Pre-tokens and odd words that a generation of the store holds.
+#: Words with their pre-tokens, and odd words, that a generation of the store holds.
 STORED = 200_000
 #: Characters of a text that are cut at once, up to the next space or line end.
 CUT_CHARACTERS = 1 << 20
@@ -40,6 +40,8 @@ def _pre_tokens() -> re.Pattern:
 
 PRE_TOKENS = _pre_tokens()
 SPACE = re.compile("[ \t-\r]")
+#: The ASCII characters that are not odd.
+PRINTED = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
 
 
 def tokenizer_path() -> str:
@@ -57,6 +59,11 @@ def release() -> None:
     encoder.cache_clear()
 
 
+def _is_odd(text: str) -> bool:
+    """Whether a text has a character that is left to the tokenizer."""
+    return bool(text.encode().translate(None, PRINTED) if text.isascii() else ODD.search(text))
+
+
 def _visible_bytes() -> list[str]:
     """The character for each byte: printable ones stand for themselves, the others follow from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -90,7 +97,12 @@ class WordEncoder:
         self.table = {i: c for i, c in enumerate(_visible_bytes())}
         self.pieces, self.words = _Store(self._piece), _Store(self._word)
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, word: str) -> bytes:
+        """The ids of a plain word in small letters; a pre-token is the word whose only pre-token it is."""
+        found = PRE_TOKENS.findall(word)
+        if len(found) > 1:
+            return b"".join(map(self.pieces.__getitem__, found))
+        (piece,) = found
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
         return array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
@@ -98,16 +110,16 @@ class WordEncoder:
         return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, PRE_TOKENS.findall(text.lower())))
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
     def _part(self, text: str) -> bytes:
         """The ids of a text that begins and ends between words, as bytes."""
-        if not ODD.search(text):
+        if not _is_odd(text):
             return self._plain(text)
         words = (w.decode() for w in text.encode().split())
         return b"".join(
             b"".join(map(self.words.__getitem__, run)) if odd else self._plain(" ".join(run))
-            for odd, run in groupby(words, key=lambda w: bool(ODD.search(w))))
+            for odd, run in groupby(words, key=_is_odd))
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text as unsigned 32-bit numbers; none for null."""

@@ -47,6 +47,14 @@ def test_frequent_pre_tokens_are_encoded_once_however_many_are_rare(monkeypatch)
     assert made["often"] == made["seen"] == 1 and sum(made.values()) == 402
 
 
+def test_words_met_before_are_not_cut_again(plain, monkeypatch):
+    encoder = word_tokens.WordEncoder(word_tokens.tokenizer_path())
+    text = "It's said, 'twas (often) 12.5; isn't it? Été--naïve"
+    first = encoder.encode(text).tolist()
+    monkeypatch.setattr(word_tokens, "PRE_TOKENS", None)
+    assert encoder.encode(f"{text}\n{text}").tolist() == first * 2 and first == plain(text)
+
+
 # --- packing
 
 
