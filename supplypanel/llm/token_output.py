@@ -87,8 +87,8 @@ def _framed(docs: DataFrame, dictionary: bytes, path: str, end_id: int) -> DataF
         compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         for batch in batches:
             counts, frames = [], []
-            for text in batch.column(2):
-                ids = _ids(path, end_id, text.as_py())
+            for own in encoder(path).encode_all(batch.column(2)):
+                ids = np.append(own, np.uint32(end_id))
                 counts.append(len(ids)), frames.append(compressor.compress(serialized(ids)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())],

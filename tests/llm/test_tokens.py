@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,6 +56,32 @@ def test_words_met_before_are_not_cut_again(plain, monkeypatch):
     assert encoder.encode(f"{text}\n{text}").tolist() == first * 2 and first == plain(text)
 
 
+def test_texts_encoded_together_equal_those_encoded_alone(plain, monkeypatch):
+    monkeypatch.setattr(word_tokens, "STORED", 20)
+    monkeypatch.setattr(word_tokens, "CUT_CHARACTERS", 80)
+    monkeypatch.setattr(word_tokens, "SHARED_BYTES", 150)
+    encoder = word_tokens.WordEncoder(word_tokens.tokenizer_path())
+    every = [chr(c) for c in range(0x131)]
+    parts = ["the", "It's", "l'été,", "don't'", "12a3.", "...", "(a)", "x²;", "½", "ªº", "ÀÉÞ", "\x00", "İ", "ΑΣ", "😀", "<|endoftext|>", *every]
+    rng = random.Random(1)
+    texts = [None, "", " ", "\n\t", *(f"a{c}B {c}{c} 's{c}" for c in every), *(
+        "".join(rng.choice(parts) + rng.choice(("", " ", "\r\n")) for _ in range(rng.randint(0, 30))) for _ in range(300))]
+    for kind in (pa.string(), pa.large_string()):
+        found = list(encoder.encode_all(pa.array(texts, kind)))
+        assert [x.tolist() for x in found] == [plain(t) for t in texts] and {x.dtype for x in found} == {np.dtype(np.uint32)}
+    assert list(encoder.encode_all(pa.array([], pa.string()))) == []
+    assert [x.tolist() for x in encoder.encode_all(pa.array(["ab cd", "x", "EF, ab"]).slice(1))] == [plain("x"), plain("EF, ab")]
+
+
+def test_words_of_neighbouring_texts_are_looked_up_once(monkeypatch):
+    encoder, asked = word_tokens.WordEncoder(word_tokens.tokenizer_path()), collections.Counter()
+    parted = encoder._parted
+    monkeypatch.setattr(encoder, "_parted", lambda word: asked.update([word]) or parted(word))
+    list(encoder.encode_all(pa.array(["one word, one WORD,", "another word, Word"] * 50)))
+    assert asked == collections.Counter(["one", "word,", "another", "word"])
+    assert not {"word,"} & set(encoder.pieces)  # the store holds the word and the mark
+
+
 # --- packing
 
 
