@@ -12,6 +12,7 @@ words are never encoded twice, however many rare ones there are.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -65,7 +66,9 @@ def encoder(path: str) -> WordEncoder:
 
 def release() -> None:
     """Gives back the memory of the worker's encoders."""
-    encoder.cache_clear()
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its stores refer to each other
 
 
 def _is_odd(text: str) -> bool:
@@ -170,6 +173,7 @@ class WordEncoder:
             alone = pc.or_(pc.match_substring_regex(part, ODD.pattern),
                            pc.greater(sizes.slice(start, stop - start), CUT_CHARACTERS))
             shared = iter(self._shared(part.filter(pc.invert(alone))))
+            pa.default_memory_pool().release_unused()
             for i, own in enumerate(alone.to_pylist()):
                 yield self.encode(part[i].as_py()) if own else next(shared).astype(np.uint32)
 

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -82,6 +83,12 @@ def test_words_of_neighbouring_texts_are_looked_up_once(monkeypatch):
     assert not {"word,"} & set(encoder.pieces)  # the store holds the word and the mark
 
 
+def test_released_encoders_are_gone():
+    store = weakref.ref(word_tokens.encoder(word_tokens.tokenizer_path()).pieces)
+    word_tokens.release()
+    assert store() is None
+
+
 # --- packing
 
 
