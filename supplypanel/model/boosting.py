@@ -5,9 +5,10 @@ one more, and each split learns to which side they go. A tree grows level by
 level. For a level, a task sums gradient, hessian and rows by (node, feature, bin)
 over its rows, the tasks' sums are added up, and the driver, which gets at most
 16 × features × 256 cells a task, chooses the splits. Only the smaller child of a split is
-summed; the other one is the parent less that. Rows are blocks of arrays, a line for each feature, in an RDD:
-a level is one short job without a plan or a shuffle, and the scores after a tree are
-kept by the job that sums the next tree's root, so no tree is applied twice.
+summed; the other one is the parent less that. Rows are blocks of arrays, a line for each feature, in an RDD, and
+their scores are another one beside it: a level is one short job without a plan or a shuffle, and the scores after a
+tree, which are all that is written for it, are kept by the job that sums the next tree's root, so no tree is applied
+twice. A tree is walked by comparing whole lines of bins, a byte for each row, and never row by row.
 
 Gradients are whole multiples of 2⁻²⁴, so sums are exact: the trees do not depend
 on how the rows are dealt to tasks or on the order in which sums arrive.
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,9 @@ PATIENCE, TOLERANCE = 10, 1e-7
 WRITTEN_TREES = 25
 #: Rows that are worth a task of their own, and tasks of which the driver adds the sums up itself.
 PART_ROWS, SENDING_TASKS = 20_000, 16
-#: Rows of a block at most: a hessian is no more than 2²² of its units, so a block's sum of them stays below
-#: ``COUNT_BITS`` bits, and one sum of doubles holds it and the count above it without rounding.
-BLOCK_ROWS, COUNT_BITS = 1 << 14, 37
+#: Rows of a block, and of one sum of doubles, at most: a hessian is no more than 2²² of its units, so a sum of them
+#: stays below ``COUNT_BITS`` bits, and a double holds it and the count above it without rounding.
+BLOCK_ROWS, COUNT_BITS = (1 << 15) - 1, 37
 
 
 @dataclass(frozen=True)
@@ -67,23 +69,28 @@ class Boosted:
 
     def log_odds(self) -> Column:
         """The raw score of a row that has the features as columns."""
-        locate, reach = _walkers()
-        features, cuts, base, trees = self.features, self.cuts, self.base, self.trees
+        locate, _, gained = _walkers()
+        features, cuts, base = self.features, self.cuts, self.base
 
         @F.pandas_udf("double")
         def raw(*columns: pd.Series) -> pd.Series:
             bins = locate([c.to_numpy(float, na_value=np.nan) for c in columns], cuts)
             total = np.full(bins.shape[1], base)
             for tree in trees:
-                total += tree["value"][reach(bins, tree)]
+                total += gained(bins, *tree)
             return pd.Series(total)
 
-        trees = [_plain(t) for t in trees]
+        trees = [_plain(t) for t in self.trees]
         return raw(*[F.col(c).cast("double") for c in features])
 
 
-def _plain(tree: Tree) -> dict[str, np.ndarray]:
-    return {"feature": tree.feature, "cut": tree.cut, "missing_left": tree.missing_left, "value": tree.value}
+def _plain(tree: Tree) -> tuple[list[tuple], np.ndarray]:
+    """Splits in heap order (node, feature, last bin to the left, side of missing values), and the nodes' values."""
+    splits = [
+        (int(n), int(tree.feature[n]), int(tree.cut[n]), bool(tree.missing_left[n]))
+        for n in np.flatnonzero(tree.feature >= 0)
+    ]
+    return splits, tree.value
 
 
 def _walkers():
@@ -97,19 +104,28 @@ def _walkers():
             out[f] = np.where(np.isnan(values), missing, np.searchsorted(edges, values))
         return out
 
-    def reach(bins: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
-        """The node that each row comes to."""
-        rows, node = np.arange(bins.shape[1]), np.zeros(bins.shape[1], np.int64)
-        while True:
-            feature = tree["feature"][node]
-            open_ = feature >= 0
-            if not open_.any():
-                return node
-            at = bins[np.maximum(feature, 0), rows]
-            left = np.where(at == missing, tree["missing_left"][node], at <= tree["cut"][node])
-            node = np.where(open_, 2 * node + 2 - left, node)
-
-    return locate, reach
+    def reach(bins: np.ndarray, splits: list[tuple]) -> dict[int, np.ndarray]:
+        """For each leaf a mark on the rows that come to it."""
+        inside = {0: np.ones(bins.shape[1], bool)}
+        for node, feature, cut, missing_left in splits:
+            here, at = inside.pop(node), bins[feature]
+            left = at <= cut
+            if missing_left:
+                left |= at == missing
+            left &= here
+            inside[2 * node + 1], inside[2 * node + 2] = left, here ^ left
+        return inside
+
+    def gained(bins: np.ndarray, splits: list[tuple], value: np.ndarray) -> np.ndarray:
+        """What a tree adds to the score of each row."""
+        leaves = reach(bins, splits)
+        kind = np.uint8 if len(leaves) <= 256 else np.uint16
+        place = np.zeros(bins.shape[1], kind)
+        for i, marked in enumerate(leaves.values()):
+            place |= marked.view(np.uint8) * kind(i)
+        return value[list(leaves)].take(place)
+
+    return locate, reach, gained
 
 
 def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
@@ -134,48 +150,68 @@ def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
 
 def _binned(rows: DataFrame, features: list[str], cuts: list[np.ndarray], label: Column, held_out: Column) -> DataFrame:
     """A row for each block of rows, those to learn from first: how many these are, bins (a byte for each feature, feature by feature) and label of all."""
-    locate, _ = _walkers()
+    locate, _, _ = _walkers()
     block_rows = BLOCK_ROWS
 
+    def block(parts: list[tuple]) -> pa.RecordBatch:
+        bins, label, held = (np.concatenate(x, axis=-1) for x in zip(*parts))
+        order = np.argsort(held, kind="stable")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int((~held).sum())]), pa.array([bins[:, order].tobytes()], pa.binary()),
+             pa.array([label[order].astype(float).tobytes()], pa.binary())], names=["own", "bins", "label"])
+
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, room = [], block_rows
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(features))]
             label, held = (batch.column(len(features) + i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            held = np.array(held, bool)
-            for start in range(0, len(held), block_rows):
-                part = slice(start, start + block_rows)
-                order = np.argsort(held[part], kind="stable")
-                bins = locate([c[part] for c in columns], cuts)[:, order]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int((~held[part]).sum())]), pa.array([bins.tobytes()], pa.binary()),
-                     pa.array([label[part][order].astype(float).tobytes()], pa.binary())], names=["own", "bins", "label"])
+            bins, held, start = locate(columns, cuts), np.array(held, bool), 0
+            while start < len(held):
+                part = slice(start, start + room)
+                parts.append((bins[:, part], label[part], held[part]))
+                room -= len(held[part])
+                start = part.stop
+                if not room:
+                    yield block(parts)
+                    parts, room = [], block_rows
+        if parts:
+            yield block(parts)
 
     values = [F.col(c).cast("double").alias(c) for c in features]
     return rows.select(*values, label.cast("double").alias("_label"), held_out.alias("_held_out")).mapInArrow(
         binned, "own long, bins binary, label binary")
 
 
-def _first_state(table: DataFrame, parts: int, n_features: int, base: float) -> RDD:
-    """The blocks as arrays: rows to learn from, bins, label, and the score so far."""
+def _one_by_one(blocks: RDD) -> RDD:
+    """The blocks sent singly, so that two such RDDs can be put side by side block by block."""
+    return blocks._reserialize(BatchedSerializer(CPickleSerializer(), 1))
+
+
+def _first_blocks(table: DataFrame, parts: int, n_features: int) -> RDD:
+    """The blocks as arrays, dealt evenly: rows to learn from, bins and label."""
 
     def opened(row) -> tuple:
-        label = np.frombuffer(row.label)
-        bins = np.frombuffer(row.bins, np.uint8).reshape(n_features, -1)
-        return int(row.own), bins, label, np.full(len(label), base)
+        label = np.frombuffer(row.label).astype(np.uint8)
+        return int(row.own), np.frombuffer(row.bins, np.uint8).reshape(n_features, -1), label
+
+    return _one_by_one(table.repartition(parts).rdd.map(opened))
+
 
-    return table.rdd.coalesce(parts).map(opened)
+def _state(blocks: RDD, scores: RDD) -> RDD:
+    """The blocks with their scores so far."""
+    return blocks.zip(scores).map(lambda pair: (*pair[0], pair[1]))
 
 
 def _scored(state: RDD, tree: Tree) -> RDD:
-    """The blocks with one more tree in their scores."""
-    _, reach = _walkers()
+    """The blocks' scores with one more tree in them."""
+    _, _, gained = _walkers()
     grown = _plain(tree)
 
-    def scored(block: tuple) -> tuple:
-        own, bins, label, score = block
-        return own, bins, label, score + grown["value"][reach(bins, grown)]
+    def scored(block: tuple) -> np.ndarray:
+        _, bins, _, score = block
+        return score + gained(bins, *grown)
 
-    return state.map(scored)
+    return _one_by_one(state.map(scored))
 
 
 def _narrow():
@@ -190,41 +226,56 @@ def _narrow():
 
 def _level_sums(state: RDD, n_features: int, tree: Tree | None, nodes: list[int]) -> tuple[np.ndarray, float, int]:
     """Gradient, hessian and rows of each (node, feature, bin), and the loss and number of the held-out rows."""
-    _, reach = _walkers()
-    grown, slots = _plain(tree) if tree else None, {n: i for i, n in enumerate(nodes)}
-    one, width, count_bits = float(1 << FRACTION_BITS), BINS + 1, COUNT_BITS
+    _, reach, _ = _walkers()
+    splits = _plain(tree)[0] if tree else None
+    one, width, count_bits, most = float(1 << FRACTION_BITS), BINS + 1, COUNT_BITS, BLOCK_ROWS
     cells, narrow = len(nodes) * width, _narrow()
 
     def summed(blocks: Iterator[tuple]) -> Iterator[tuple]:
         totals, loss_sum, held_rows = np.zeros((3, n_features, cells), np.int64), 0, 0
-        slot_of = np.full(1 << 16, -1, np.int64)
-        for n, i in slots.items():
-            slot_of[n] = i
+        kind = np.uint8 if len(nodes) < 256 else np.uint16
+        waiting, rows = [], 0
+
+        def add_up() -> None:
+            if not waiting:
+                return
+            first, bins, label, score = (
+                x[0] if len(waiting) == 1 else np.concatenate(x, axis=-1) for x in zip(*waiting))
+            p = 1.0 / (1.0 + np.exp(-score))
+            both = np.empty(len(p), complex)  # one look-up of a cell adds to two sums
+            both.real = np.rint((p - label) * one)
+            both.imag = np.rint(p * (1 - p) * one) + float(1 << count_bits)  # the hessian, and a one above it
+            found = np.zeros((n_features, cells), complex)
+            for f in range(n_features):
+                np.add.at(found[f], first + bins[f], both)
+            totals[0] += found.real.astype(np.int64)
+            counted = found.imag.astype(np.int64)
+            totals[1] += counted & ((1 << count_bits) - 1)
+            totals[2] += counted >> count_bits
+            waiting.clear()
+
         for own, bins, label, score in blocks:
-            if grown is None and own < len(label):
+            if splits is None and own < len(label):
                 loss = np.logaddexp(0.0, score[own:]) - label[own:] * score[own:]
                 loss_sum += int(np.rint(loss * one).sum())
                 held_rows += len(loss)
             bins, label, score = bins[:, :own], label[:own], score[:own]
-            slot = np.zeros(own, np.int64)
-            if grown is not None:
-                slot = slot_of[reach(bins, grown)]
-                inside = slot >= 0
-                bins, label, score, slot = bins[:, inside], label[inside], score[inside], slot[inside]
-            if not len(label):
-                continue
-            p = 1.0 / (1.0 + np.exp(-score))
-            gradient = np.rint((p - label) * one)
-            counted = np.rint(p * (1 - p) * one) + float(1 << count_bits)  # the hessian, and a one above it
-            slot, found = slot * width, np.empty((2, n_features, cells))
-            for f in range(n_features):
-                cell = slot + bins[f]
-                found[0, f] = np.bincount(cell, gradient, minlength=cells)
-                found[1, f] = np.bincount(cell, counted, minlength=cells)
-            found = found.astype(np.int64)
-            totals[0] += found[0]
-            totals[1] += found[1] & ((1 << count_bits) - 1)
-            totals[2] += found[1] >> count_bits
+            first = np.zeros(own, np.intp)
+            if splits is not None:
+                leaves, slot = reach(bins, splits), np.zeros(own, kind)
+                for i, n in enumerate(nodes, 1):
+                    slot |= leaves[n].view(np.uint8) * kind(i)
+                inside = np.flatnonzero(slot)
+                bins, label, score = bins.take(inside, axis=1), label.take(inside), score.take(inside)
+                first = (slot.take(inside).astype(np.intp) - 1) * width
+            # Rows of several blocks are summed at once, as long as a double holds their hessians and count.
+            if rows + len(label) > most:
+                add_up()
+                rows = 0
+            if len(label):
+                waiting.append((first, bins, label, score))
+                rows += len(label)
+        add_up()
         yield [narrow(t) for t in totals], loss_sum, held_rows
 
     def added(a: tuple, b: tuple) -> tuple:
@@ -326,8 +377,10 @@ def fit_boosted(
     parts = max(1, min(context.defaultParallelism, -(-found.n // PART_ROWS)))
     share = min(max(found.events / found.own, 1e-9), 1 - 1e-9)
     base, trees, losses = float(np.log(share / (1 - share))), [], []
-    state, before = _first_state(table, parts, len(features), base).persist(StorageLevel.MEMORY_AND_DISK), None
+    blocks = _first_blocks(table, parts, len(features)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    scores, before = _one_by_one(blocks.map(lambda block: np.full(len(block[2]), base))).persist(StorageLevel.MEMORY_AND_DISK_DESER), None
     while True:
+        state = _state(blocks, scores)
         # The scores of the last tree are kept by the same job that sums the next one's root.
         first, loss, held = _level_sums(state, len(features), None, [0])
         if before is not None:
@@ -341,10 +394,11 @@ def fit_boosted(
         if tree is None:
             break
         trees.append(tree)
-        before, state = state, _scored(state, tree).persist(StorageLevel.MEMORY_AND_DISK)
+        before, scores = scores, _scored(state, tree).persist(StorageLevel.MEMORY_AND_DISK_DESER)
         if len(trees) % WRITTEN_TREES == 0:
-            state.checkpoint()
-    state.unpersist()
+            scores.checkpoint()
+    scores.unpersist()
+    blocks.unpersist()
     return Boosted(list(features), cuts, base, trees, losses)
 
 

@@ -624,3 +624,24 @@ def test_level_sums_are_exact_and_narrow(spark):
     narrow = boosting._narrow()
     for most, kind in ((2**15 - 1, np.int16), (2**15, np.int32), (2**31 - 1, np.int32), (2**31, np.int64)):
         assert narrow(np.array([-most, 3])).dtype == kind and narrow(np.array([-most, 3])).tolist() == [-most, 3]
+
+
+def test_boosting_blocks_are_full_and_a_tree_keeps_scores_alone(spark):
+    """Rows of many Arrow batches share a block, and what is kept after a tree is a number for each row."""
+    rows = spark.range(1000).coalesce(1).selectExpr("cast(id % 7 as double) a", "if(id % 5 = 0, null, cast(id as double)) b", "id % 3 = 0 y", "id % 10 = 9 held")
+    cuts, batch = [np.arange(6.0), np.array([250.0, 600.0])], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(batch, 100)
+    try:
+        table = boosting._binned(rows, ["a", "b"], cuts, F.col("y"), F.col("held"))
+        (row,) = table.collect()
+        blocks = boosting._first_blocks(table, 3, 2)
+        state = boosting._state(blocks, boosting._one_by_one(blocks.map(lambda block: np.full(len(block[2]), 0.5))))
+        tree = boosting.Tree(np.array([1, 0, -1, -1, -1, -1, -1]), np.array([1, 2, 0, 0, 0, 0, 0]),
+                             np.array([True] + [False] * 6), np.array([0, 0, 3.0, 1.0, 2.0, 0, 0]))
+        (score,) = boosting._scored(state, tree).collect()
+    finally:
+        spark.conf.unset(batch)
+    assert row.own == 900 and len(row.label) == 8 * 1000
+    ids = np.array([i for i in range(1000) if i % 10 != 9] + list(range(9, 1000, 10)))
+    left = (ids % 5 == 0) | (ids <= 600)
+    assert score.tolist() == np.where(left, np.where(ids % 7 <= 2, 1.5, 2.5), 3.5).tolist()
