@@ -18,6 +18,7 @@ first level, has not fallen for ``PATIENCE`` trees.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -128,10 +129,16 @@ def _walkers():
     return locate, reach, gained
 
 
-def cut_points(rows: DataFrame, features: list[str]) -> list[np.ndarray]:
-    """For each feature the upper ends of all bins but the last: the values themselves if there are few, else exact quantiles."""
-    histogram = settled(
-        feature_histogram(rows, features=features).where("value is not null and not isnan(value)"))
+def cut_points(rows: DataFrame, features: list[str], histogram: DataFrame | None = None) -> list[np.ndarray]:
+    """For each feature the upper ends of all bins but the last: the values themselves if there are few, else exact quantiles.
+
+    ``histogram`` is that of the rows, by whatever keys, where it is known.
+    """
+    if histogram is None:
+        histogram = feature_histogram(rows, features=features)
+    else:
+        histogram = histogram.where(F.col("feature").isin(*features)).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    histogram = settled(histogram.where("value is not null and not isnan(value)"))
     counts = {r.feature: r.distinct for r in histogram.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct")).collect()}
     few = [f for f in features if 0 < counts.get(f, 0) <= BINS]
     many = [f for f in features if counts.get(f, 0) > BINS]
@@ -202,12 +209,23 @@ def _state(blocks: RDD, scores: RDD) -> RDD:
     return blocks.zip(scores).map(lambda pair: (*pair[0], pair[1]))
 
 
+def _sparer():
+    """What keeps a worker from searching all that it has imported for garbage after each short task, as a closure."""
+
+    def spare() -> None:
+        if not gc.get_freeze_count():
+            gc.freeze()
+
+    return spare
+
+
 def _scored(state: RDD, tree: Tree) -> RDD:
     """The blocks' scores with one more tree in them."""
     _, _, gained = _walkers()
-    grown = _plain(tree)
+    grown, spare = _plain(tree), _sparer()
 
     def scored(block: tuple) -> np.ndarray:
+        spare()
         _, bins, _, score = block
         return score + gained(bins, *grown)
 
@@ -229,9 +247,10 @@ def _level_sums(state: RDD, n_features: int, tree: Tree | None, nodes: list[int]
     _, reach, _ = _walkers()
     splits = _plain(tree)[0] if tree else None
     one, width, count_bits, most = float(1 << FRACTION_BITS), BINS + 1, COUNT_BITS, BLOCK_ROWS
-    cells, narrow = len(nodes) * width, _narrow()
+    cells, narrow, spare = len(nodes) * width, _narrow(), _sparer()
 
     def summed(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        spare()
         totals, loss_sum, held_rows = np.zeros((3, n_features, cells), np.int64), 0, 0
         kind = np.uint8 if len(nodes) < 256 else np.uint16
         waiting, rows = [], 0
@@ -364,9 +383,10 @@ def _grow(state, n_features, first, depth, most_leaves, least_rows, rate) -> Tre
 def fit_boosted(
     rows: DataFrame, label: Column, held_out: Column, features: list[str] = FEATURES, max_iter: int = 300,
     rate: float = 0.05, depth: int = 5, most_leaves: int = 31, least_rows: int = 20, patience: int = PATIENCE,
+    histogram: DataFrame | None = None,
 ) -> Boosted:
     """Boosted trees of ``rows``; those marked by ``held_out`` only tell when to stop."""
-    cuts = cut_points(rows, features)
+    cuts = cut_points(rows, features, histogram)
     table = settled(_binned(rows, features, cuts, label, held_out))
     # One row for each block.
     found = table.mapInArrow(_block_counts(), "n long, own long, events double").agg(

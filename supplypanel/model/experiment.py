@@ -16,8 +16,9 @@ from supplypanel.model.metrics import (
     union_all,
 )
 from supplypanel.model.models import (
-    fit_calibrated_model, fit_comparison_model, fit_reference_model, fit_reference_models, highest_risk,
+    ReferenceFits, fit_calibrated_model, fit_comparison_model, fit_reference_model, fit_reference_models, highest_risk,
 )
+from supplypanel.model.preparation import feature_histogram
 from supplypanel.operators.comparison import jaccard
 from supplypanel.operators.ranking import ranked_top
 from supplypanel.plans.risk import TEST, TRAIN
@@ -45,16 +46,21 @@ def _together(spark: SparkSession, *tasks: Callable) -> list:
         return [r.result() for r in running]
 
 
-def calibrated_pair(train: DataFrame, calibration_year: int):
+def _windows(years: list[int], window: int) -> dict[str, list[int]]:
+    return {f"{years[i]}-{years[i + window - 1]}": years[i : i + window] for i in range(len(years) - window + 1)}
+
+
+def calibrated_pair(train: DataFrame, calibration_year: int, together: ReferenceFits | None = None):
     """Base model fitted before the calibration year, and its calibrated form.
 
-    ``None`` if either side of the calibration year has no rows.
+    ``None`` if either side of the calibration year has no rows. With ``together``
+    the base model is the one of these fits named ``SHORT_FIT``.
     """
     fit_rows = train.where(F.col("reference_year") < calibration_year)
     calibration_rows = train.where(F.col("reference_year") == calibration_year)
     if fit_rows.isEmpty() or calibration_rows.isEmpty():
         return None
-    base = fit_reference_model(fit_rows)
+    base = fit_reference_model(fit_rows, together=together, name=SHORT_FIT)
     return base, fit_calibrated_model(base, calibration_rows)
 
 
@@ -68,11 +74,19 @@ def run_experiment(
     """Fits on the training years, evaluates on the test years.
 
     Returns the report's sections, each a DataFrame. ``training`` is read by
-    every fit, so hand in a written or persisted table. The fits do not depend on
+    every fit, so hand in a written or persisted table. One histogram by year serves all fits, and the logistic ones,
+    of whatever years, are fitted together; boosting and these do not depend on
     each other: their jobs run side by side, and each model is evaluated when it is fitted.
     """
     spark = training.sparkSession
     train, test = chronological_split(training)
+    years = _years(train)
+    before = [y for y in years if y < calibration_year]
+    spans = {REFERENCE: None, **_windows(years, window)}
+    if before and calibration_year in years:
+        spans[SHORT_FIT] = before
+    histogram = settled(feature_histogram(train, ["reference_year"]))
+    together = ReferenceFits(train, spans, histogram)
 
     def reported(rows: DataFrame, name: str, split: str) -> dict[str, DataFrame]:
         found = {"evaluations": evaluate(rows, name, split), "precision_at_k": precision_at_k(rows, name, split)}
@@ -87,21 +101,21 @@ def run_experiment(
         ])
 
     def of_reference() -> tuple:
-        model = fit_reference_model(train)
+        model = fit_reference_model(train, together=together, name=REFERENCE)
         return (model.coefficient_table(spark), highest_risk(model, test)), both_splits(model, REFERENCE)
 
     def of_comparison() -> list[dict]:
-        return both_splits(fit_comparison_model(train, max_iter=boosting_iterations), COMPARISON)
+        return both_splits(fit_comparison_model(train, max_iter=boosting_iterations, histogram=histogram), COMPARISON)
 
     def of_pair() -> list[dict]:
-        pair = calibrated_pair(train, calibration_year)
+        pair = calibrated_pair(train, calibration_year, together)
         return [
             reported(_kept(model.score(test)), name, TEST) for name, model in zip((SHORT_FIT, CALIBRATED), pair or ())
         ]
 
     (read, reference), comparison, pair, scale, stability = _together(
         spark, of_reference, of_comparison, of_pair, lambda: reported(scale_scores(test), SCALE_ONLY, TEST),
-        lambda: rolling_stability(training, window, top_k),
+        lambda: rolling_stability(training, window, top_k, together),
     )
     sections = {
         "reference_coefficients": read[0],
@@ -116,23 +130,22 @@ def run_experiment(
     return sections | stability
 
 
-def rolling_stability(training: DataFrame, window: int = 3, top_k: int = 1000) -> dict[str, DataFrame]:
+def rolling_stability(
+    training: DataFrame, window: int = 3, top_k: int = 1000, together: ReferenceFits | None = None,
+) -> dict[str, DataFrame]:
     """How the model changes as its window of training years slides.
 
     Sections: metrics per window, overlap of the ``top_k`` offers of
     neighbouring windows, coefficients per window, and the features whose sign
-    flips or holds.
+    flips or holds. With ``together`` the windows' models are those of these fits.
     """
     spark = training.sparkSession
     train, test = chronological_split(training)
-    years = _years(train)
-    windows = {
-        f"{years[i]}-{years[i + window - 1]}": years[i : i + window] for i in range(len(years) - window + 1)
-    }
+    windows = _windows(_years(train), window)
     if len(windows) < 2:
         raise ValueError("stability needs at least two training windows")
 
-    models = fit_reference_models(train, windows)
+    models = fit_reference_models(train, windows) if together is None else {w: together[w] for w in windows}
     # All windows score the test rows in one pass.
     scores = [
         F.struct(F.lit(name).alias("window"), model.probability().alias("score")) for name, model in models.items()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,20 +103,46 @@ class ReferenceModel:
         )
 
 
-def fit_reference_model(rows: DataFrame, c: float = 1.0) -> ReferenceModel:
-    """L2 logistic regression on standardized inputs, intercept unpenalized, the penalty stated for summed losses."""
+def fit_reference_model(
+    rows: DataFrame, c: float = 1.0, together: ReferenceFits | None = None, name: str = "",
+) -> ReferenceModel:
+    """L2 logistic regression on standardized inputs, intercept unpenalized, the penalty stated for summed losses.
+
+    With ``together`` it is the model ``name`` of these fits, whose window then holds just ``rows``.
+    """
+    if together is not None:
+        return together[name]
     preparation = fit_preparation(rows)
     (fit,) = fit_logistic(rows, [(preparation, None)], c)
     return _reference(preparation, fit, c)
 
 
-def fit_reference_models(rows: DataFrame, windows: dict[str, list[int]], c: float = 1.0) -> dict[str, ReferenceModel]:
-    """One reference model for each window of years: one scan for all preparations, and one for each step of all fits."""
-    preparations = fit_preparations(rows, windows)
+def fit_reference_models(
+    rows: DataFrame, windows: dict[str, list[int] | None], c: float = 1.0, histogram: DataFrame | None = None,
+) -> dict[str, ReferenceModel]:
+    """One reference model for each window of years (None for all): one scan for all preparations, and one for all fits.
+
+    ``histogram`` is the settled one of the rows by year, where it is known.
+    """
+    preparations = fit_preparations(rows, windows, histogram)
     fits = fit_logistic(rows, [(preparations[w], years) for w, years in windows.items()], c)
     return {w: _reference(preparations[w], fit, c) for w, fit in zip(windows, fits)}
 
 
+class ReferenceFits:
+    """Reference models of several windows of years of the same rows, fitted together when the first is asked for; for threads."""
+
+    def __init__(self, rows: DataFrame, windows: dict[str, list[int] | None], histogram: DataFrame | None = None):
+        self._inputs, self._lock, self._models = (rows, windows, histogram), Lock(), {}
+
+    def __getitem__(self, name: str) -> ReferenceModel:
+        with self._lock:
+            if not self._models:
+                rows, windows, histogram = self._inputs
+                self._models = fit_reference_models(rows, windows, histogram=histogram)
+        return self._models[name]
+
+
 def _reference(preparation: Preparation, fit: LogisticFit, c: float) -> ReferenceModel:
     return ReferenceModel(preparation, fit.coefficients, fit.intercept, c, fit)
 
@@ -150,15 +177,18 @@ class ComparisonModel:
 
 def fit_comparison_model(
     rows: DataFrame, max_iter: int = 300, learning_rate: float = 0.05, max_depth: int = 5,
+    histogram: DataFrame | None = None,
 ) -> ComparisonModel:
     """Gradient boosting that stops when held-out rows no longer improve.
 
-    A key hash holds out 15 % of the rows. Categories enter as numbers.
+    A key hash holds out 15 % of the rows. Categories enter as numbers. ``histogram``
+    is the settled one of the rows, by whatever keys, where it is known.
     """
     keys = [k for k in ROW_KEYS if k in rows.columns]
     held_out = F.pmod(F.xxhash64(*keys), F.lit(100)) < VALIDATION_PERCENT
     return ComparisonModel(fit_boosted(
-        rows, _label(), held_out, FEATURES, max_iter, learning_rate, max_depth, least_rows=MIN_LEAF_ROWS))
+        rows, _label(), held_out, FEATURES, max_iter, learning_rate, max_depth, least_rows=MIN_LEAF_ROWS,
+        histogram=histogram))
 
 
 @dataclass(frozen=True)

@@ -55,16 +55,17 @@ def feature_histogram(rows: DataFrame, by=(), features=FEATURES) -> DataFrame:
     )
 
 
-def merged_windows(state: DataFrame, windows: dict[str, list[int]]) -> DataFrame:
+def merged_windows(state: DataFrame, windows: dict[str, list[int] | None]) -> DataFrame:
     """The histogram of each window of years, from one state by ``reference_year``.
 
-    ``windows`` are named lists of years, so their table is as small as a series is long.
+    ``windows`` are named lists of years, so their table is as small as a series is long. None stands for all rows.
     """
-    members = [(name, year) for name, years in windows.items() for year in years]
+    members = [(name, year) for name, years in windows.items() for year in years or ()]
     table = state.sparkSession.createDataFrame(members, "window string, reference_year int")
-    return state.join(F.broadcast(table), "reference_year").groupBy("window", "feature", "value").agg(
-        F.sum("n").alias("n")
-    )
+    dealt = state.join(F.broadcast(table), "reference_year")
+    for name in [n for n, years in windows.items() if years is None]:
+        dealt = dealt.unionByName(state.withColumn("window", F.lit(name)))
+    return dealt.groupBy("window", "feature", "value").agg(F.sum("n").alias("n"))
 
 
 def numeric_summary(histogram: DataFrame, by=()) -> DataFrame:
@@ -201,7 +202,8 @@ def design_of(steps: list[tuple]):
                 parts.append((value - a) / b)
             else:
                 parts.append((value == a if kind == "level" else ~np.isin(value, a)).astype(float))
-        return np.stack(parts, axis=1) if parts else np.empty((len(next(iter(columns.values()))), 0))
+        # A line in memory for each input, a row for each row.
+        return np.stack(parts).T if parts else np.empty((len(next(iter(columns.values()))), 0))
 
     return design
 
@@ -218,13 +220,16 @@ def _learnt(numeric: dict, categorical: dict) -> Preparation:
     return Preparation(numeric, categorical, names)
 
 
-def fit_preparations(rows: DataFrame, windows: dict[str, list[int]]) -> dict[str, Preparation]:
-    """The preparation of each window of years, all from one scan of ``rows``.
+def fit_preparations(
+    rows: DataFrame, windows: dict[str, list[int] | None], histogram: DataFrame | None = None,
+) -> dict[str, Preparation]:
+    """The preparation of each window of years (None for all rows), from one scan of ``rows`` or their settled ``histogram`` by year.
 
     What comes back to the driver is bounded: for each window a row per numeric
     feature, and per category its mode and the levels that hold at least one row in a hundred.
     """
-    return _fit(settled(merged_windows(settled(feature_histogram(rows, ["reference_year"])), windows)), list(windows))
+    state = settled(feature_histogram(rows, ["reference_year"])) if histogram is None else histogram
+    return _fit(settled(merged_windows(state, windows)), list(windows))
 
 
 def fit_preparation(rows: DataFrame) -> Preparation:

@@ -645,3 +645,53 @@ def test_boosting_blocks_are_full_and_a_tree_keeps_scores_alone(spark):
     ids = np.array([i for i in range(1000) if i % 10 != 9] + list(range(9, 1000, 10)))
     left = (ids % 5 == 0) | (ids <= 600)
     assert score.tolist() == np.where(left, np.where(ids % 7 <= 2, 1.5, 2.5), 3.5).tolist()
+
+
+def test_logistic_blocks_hold_the_numbers_exactly_in_few_bytes(spark):
+    numbers = {
+        "a": ([1, -127, None], np.float32), "b": ([1, 127, -5], np.int8), "c": ([300, -1, 0], np.int16), "d": ([70_000, 1, 2], np.int32),
+        "e": ([0.5, None, 2.0], np.float32), "f": ([0.1, None, 2.0], np.float64), "g": ([2.0**40 + 1, 1.0, 3.0], np.float64),
+        "h": ([float("inf"), 1.0, 1e300], np.float64), "i": ([None, None, None], np.float32),
+    }
+    rows = [(*(float(v[i]) if v[i] is not None else None for v, _ in numbers.values()), i == 1, 2019 + i) for i in range(3)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in numbers) + ", deteriorated boolean, reference_year int").coalesce(1)
+    ((columns, label, year),) = logistic._blocks(df, list(numbers)).collect()
+    for (values, kind), found in zip(numbers.values(), columns):
+        assert found.dtype == kind
+        assert [None if np.isnan(x) else float(x) for x in found.astype(float)] == [None if v is None else float(v) for v in values]
+    assert label.tolist() == [0, 1, 0] and year.tolist() == [2019, 2020, 2021]
+
+
+def test_rows_are_read_once_for_all_steps(training, monkeypatch):
+    train = training.where(F.col("split") == TRAIN)
+    train.count()  # the fixture is kept itself
+    read, blocks, sums, steps = 0, logistic._blocks, logistic._sums, []
+
+    def reading(rows, features):
+        nonlocal read
+        read += 1
+        return blocks(rows, features)
+
+    monkeypatch.setattr(logistic, "_blocks", reading)
+    monkeypatch.setattr(logistic, "_sums", lambda *arguments: steps.append(1) or sums(*arguments))
+    kept = len(training.sparkSession.sparkContext._jsc.getPersistentRDDs())
+    fits = models.ReferenceFits(train, {"all": None, "first": [2019]})
+    alone = models.fit_reference_model(train)
+    assert read == 1 and len(steps) > 2
+    assert fits["all"].coefficients == pytest.approx(alone.coefficients, abs=1e-9) and fits["first"].fit.n == 40
+    assert read == 2 and fits["all"].preparation.names == alone.preparation.names
+    assert len(training.sparkSession.sparkContext._jsc.getPersistentRDDs()) == kept
+
+
+def test_experiment_counts_values_once(training, monkeypatch):
+    counted = []
+
+    def counting(*arguments, **named):
+        counted.append(1)
+        return histogram(*arguments, **named)
+
+    histogram = preparation.feature_histogram
+    for module in (preparation, boosting, experiment):
+        monkeypatch.setattr(module, "feature_histogram", counting, raising=False)
+    experiment.run_experiment(training, calibration_year=2020, window=1, top_k=10, boosting_iterations=1)
+    assert len(counted) == 1
